@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, html_text, mixing, pieces_bpe, ppm, quality, secrets, tokens
+from . import exact_dedup, html_text, mixing, ngram_join, pieces_bpe, ppm, quality, secrets, tokens
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op2_secret_scans": secrets.op2_secret_scans,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op4_ngram_join": ngram_join.op4_ngram_join,
     "op5_mix_sources": mixing.op5_mix_sources,
     "op6_ppm_scores": ppm.op6_ppm_scores,
     "op7_html_text": html_text.op7_html_text,
