@@ -116,6 +116,21 @@ def exact_dedup(spark: SparkSession, path: str, id_col: str = "doc_id", text_col
     return out.select(F.col("id").alias(id_col), "digest", "keep_id", F.col("n").alias("group_size"))
 
 
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows that do not stay; all columns as they are.
+
+    Of rows with one id and one text the first that comes stays.
+    """
+    spark = docs.sparkSession
+    path = shared_path(spark, "dedup-input")
+    docs.select(F.col(f"`{id_col}`").alias(id_col), F.col(f"`{text_col}`").alias(text_col)).write.parquet(path)
+    verdict = exact_dedup(spark, path, id_col, text_col)
+    stay = verdict.where(F.col(id_col).eqNullSafe(F.col("keep_id"))).select(F.col(id_col).alias("__id"), F.col("digest").alias("__digest")).distinct()
+    keyed = docs.withColumn("__text_digest", sha256_of(F.col(f"`{text_col}`")))
+    kept = keyed.join(stay, (F.col("__text_digest") == F.col("__digest")) & F.col(f"`{id_col}`").eqNullSafe(F.col("__id")), "left_semi")
+    return kept.dropDuplicates([id_col, "__text_digest"]).select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
 def op3_exact_dedup(spark, sf_dir) -> DataFrame:
     """One row per document, dropped ones too."""
     out = exact_dedup(spark, f"{sf_dir}/documents.parquet")

@@ -87,6 +87,32 @@ def thresholds(docs: DataFrame, budgets: DataFrame) -> DataFrame:
     return done
 
 
+def _key(source: Column) -> Column:
+    """Null is a key of its own that no text can have."""
+    return F.coalesce(F.concat(F.lit("s"), source), F.lit("n"))
+
+
+def mix_plan(rows: DataFrame, weights=(1, 2, 3), repeats: int = MAX_REPEATS) -> DataFrame:
+    """A row for each source of ``rows`` (skey, source, hash, size): its sizes, whole copies and threshold."""
+    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
+    goal = materialise(targets(sizes, weights, repeats).withColumn("skey", _key(F.col("source"))), "mix-targets")
+    full = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(repeats))).otherwise(F.lit(0)).cast("long")
+    goal = goal.withColumn("full", full)
+    budgets = goal.where("source_size > 0").select("skey", F.when(F.col("full") < repeats, F.col("target") - F.col("full") * F.col("source_size")).otherwise(0.0).alias("budget"))
+    last = thresholds(rows.select("skey", "hash", "size"), budgets)
+    return materialise(goal.drop("source").join(last, "skey", "left"), "mix-plan")
+
+
+def _planned(rows: DataFrame, plan: DataFrame, repeats: int) -> DataFrame:
+    more = F.when((F.col("full") < repeats) & (F.col("hash") <= F.col("last")), 1).otherwise(0)
+    return rows.join(plan, "skey").withColumn("copies", (F.col("full") + more).cast("long"))
+
+
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").alias("source"), size_of(F.col(f"`{text_col}`")).alias("size"))
+    return materialise(rows.select("id", "source", _key(F.col("source")).alias("skey"), hash_of(F.col("id")).alias("hash"), "size"), "mix-docs")
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=(1, 2, 3), repeats: int = MAX_REPEATS) -> DataFrame:
     """Per row: id, source, size, source_size, target and ``copies``, how often the mix takes it (0 to ``repeats``).
 
@@ -95,20 +121,19 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     an empty table gives none.  Whatever its sizes, nothing is random: reruns
     agree.
     """
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").alias("source"), size_of(F.col(f"`{text_col}`")).alias("size"))
-    # null is a key of its own that no text can have
-    key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
-    rows = materialise(rows.select("id", "source", key.alias("skey"), hash_of(F.col("id")).alias("hash"), "size"), "mix-docs")
-    sizes = rows.groupBy("source", "skey").agg(F.sum("size").alias("source_size"))
-    goal = materialise(targets(sizes.select("source", "source_size"), weights, repeats).withColumn("skey", key), "mix-targets")
-    full = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(repeats))).otherwise(F.lit(0)).cast("long")
-    goal = goal.withColumn("full", full)
-    budgets = goal.where("source_size > 0").select("skey", F.when(F.col("full") < repeats, F.col("target") - F.col("full") * F.col("source_size")).otherwise(0.0).alias("budget"))
-    last = thresholds(rows.select("skey", "hash", "size"), budgets)
-    plan = materialise(goal.drop("source").join(last, "skey", "left"), "mix-plan")
-    more = F.when((F.col("full") < repeats) & (F.col("hash") <= F.col("last")), 1).otherwise(0)
-    out = rows.join(plan, "skey")
-    return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", (F.col("full") + more).cast("long").alias("copies"))
+    rows = _sized(docs, id_col, text_col, source_col)
+    out = _planned(rows, mix_plan(rows, weights, repeats), repeats)
+    return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "copies")
+
+
+def take_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=(1, 2, 3), repeats: int = MAX_REPEATS) -> DataFrame:
+    """``docs`` as the mix has them: a row as often as it is taken, all columns as they are."""
+    plan = mix_plan(_sized(docs, id_col, text_col, source_col), weights, repeats).select(F.col("skey").alias("__skey"), F.col("full").alias("__full"), F.col("last").alias("__last"))
+    keyed = docs.withColumn("__skey", _key(F.col(f"`{source_col}`"))).withColumn("__hash", hash_of(F.col(f"`{id_col}`")))
+    more = F.when((F.col("__full") < repeats) & (F.col("__hash") <= F.col("__last")), 1).otherwise(0)
+    copies = (F.col("__full") + more).cast("int")
+    taken = keyed.join(plan, "__skey").withColumn("__copy", F.explode(F.array_repeat(F.lit(True), copies)))
+    return taken.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op5_mix_sources(spark, sf_dir) -> DataFrame:

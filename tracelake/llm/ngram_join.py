@@ -449,5 +449,12 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"))
 
 
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """``docs`` with the document of the least id of each component; all columns as they are."""
+    found = similar_sets(docs, id_col, text_col, width, percent)
+    stay = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__id"))
+    return docs.join(stay, F.col(f"`{id_col}`").eqNullSafe(F.col("__id")), "left_semi")
+
+
 def op4_ngram_join(spark, sf_dir) -> DataFrame:
     return similar_sets(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))

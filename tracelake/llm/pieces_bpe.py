@@ -130,6 +130,8 @@ def encoder(path: str) -> PieceEncoder:
 def encode_pieces(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
     """Per row: id, ``ids`` (with begin and end) and ``decoded``; with ``digests`` their number and SHA-256 instead.
 
+    The first column of the result has the type and name of ``id_col``.
+
     The model file has to be at that path on every executor.  A null text is
     empty: begin and end alone.  Repeated rows are encoded each; other
     columns are left out; an empty table gives an empty result.

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, html_text, mixing, ngram_join, pieces_bpe, ppm, quality, secrets, tokens
+from . import exact_dedup, html_text, mixing, ngram_join, pieces_bpe, ppm, quality, repeats, secrets, tokens
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_html_text": html_text.op7_html_text,
     "op8_sentencepiece": pieces_bpe.op8_sentencepiece,
     "op9_token_counts": tokens.op9_token_counts,
+    "op10_repeated_passages": repeats.op10_repeated_passages,
 }
 
 #: DuckDB SQL of those that SQL can express.
