@@ -163,7 +163,8 @@ def cascade(df: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text", or
         passes = ~F.coalesce(rule.fails(*(F.col(have[x]) for x in rule.needs)), F.lit(False))
         out = out.withColumn(f"__q_alive{step}", passes if alive is None else alive & passes)
         alive = F.col(f"__q_alive{step}")
-    kept = F.lit(True) if alive is None else alive
+    # always true, but not deterministic: a filter on kept then stays above the features, where pushing it down would write them out in it again and again
+    kept = (F.lit(True) if alive is None else alive) & (F.monotonically_increasing_id() >= 0)
     return out.select(*(F.col(f"`{c}`") for c in own), *(F.col(have[x]).alias(x) for x in always), kept.alias("kept"))
 
 
