@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
-FLAGSHIP = None
+from .plans import jobs, signals, spikes
+
+QUERIES: dict = signals.QUERIES | spikes.QUERIES | jobs.QUERIES
+ORACLE_SQL: dict = signals.SQL | spikes.SQL | jobs.SQL
+FLAGSHIP = spikes.QUERIES["spike_features"]
