@@ -13,12 +13,19 @@ their digests agree form groups of their own.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import materialise, shared_path
+from .shared import key_filter, materialise, passes, shared_path
 
-_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    # many partitions with little state each: no space allotted ahead
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def sha256_of(text: Column) -> Column:
@@ -41,8 +48,9 @@ def run_stream(spark: SparkSession, path: str, schema, id_col: str, text_col: st
     from its state (files already seen are not read again).
     """
     at = at or shared_path(spark, "dedup")
-    provider, key = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None), "spark.sql.streaming.stateStore.providerClass"
-    spark.conf.set(key, _PROVIDER)
+    before = {k: spark.conf.get(k, None) for k in _STATE}
+    for k, v in _STATE.items():
+        spark.conf.set(k, v)
 
     def sink(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{at}/out/batch={number}")
@@ -61,10 +69,11 @@ def run_stream(spark: SparkSession, path: str, schema, id_col: str, text_col: st
         )
         query.awaitTermination()
     finally:
-        if provider is None:
-            spark.conf.unset(key)
-        else:
-            spark.conf.set(key, provider)
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
     kind = schema[id_col].dataType.simpleString()
     shape = f"digest string, keep struct<id:{kind},file:string,row:bigint>, n bigint, batch bigint"
     try:
@@ -78,6 +87,18 @@ def run_stream(spark: SparkSession, path: str, schema, id_col: str, text_col: st
     return last.select("digest", F.col("s.keep.id").alias("keep_id"), F.col("s.n").alias("n"))
 
 
+def _like_hits(keyed: DataFrame, bits) -> DataFrame:
+    """Rows (id, digest, body) whose digest the filter may hold."""
+    held = keyed.sparkSession.sparkContext.broadcast(bits)
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.select(["id", "digest", "body"]).filter(pa.array(passes(held.value, batch.column("key").to_numpy())))
+
+    shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in keyed.schema)
+    return keyed.withColumn("key", F.xxhash64("digest")).mapInArrow(pick, shape)
+
+
 def exact_dedup(spark: SparkSession, path: str, id_col: str = "doc_id", text_col: str = "text", digest=sha256_of) -> DataFrame:
     """For each row of the Parquet table at ``path``: id, digest, ``keep_id``, ``group_size``.
 
@@ -91,8 +112,11 @@ def exact_dedup(spark: SparkSession, path: str, id_col: str = "doc_id", text_col
     docs = spark.read.parquet(path)
     docs = docs.select(F.col(f"`{id_col}`").alias(id_col), F.col(f"`{text_col}`").alias(text_col))
     state = materialise(run_stream(spark, path, docs.schema, id_col, text_col, digest), "dedup-state")
-    keyed = docs.select(F.col(id_col).alias("id"), digest(F.col(text_col)).alias("digest"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
+    light = docs.select(F.col(id_col).alias("id"), digest(F.col(text_col)).alias("digest"))
     hits = state.where("n > 1")
+    # contents of hits alone leave the map tasks; a filter of a fixed size tells them from most other rows
+    spark_keys = hits.select(F.xxhash64("digest").alias("key"))
+    keyed = _like_hits(docs.select(F.col(id_col).alias("id"), digest(F.col(text_col)).alias("digest"), F.coalesce(F.col(text_col), F.lit("")).alias("body")), key_filter(spark_keys))
     # the content of the rows that stay
     kept = (
         keyed.alias("k")
@@ -100,10 +124,8 @@ def exact_dedup(spark: SparkSession, path: str, id_col: str = "doc_id", text_col
         .groupBy(F.col("k.digest").alias("digest"))
         .agg(F.max("k.body").alias("keep_body"))
     )
-    known = hits.join(kept, "digest")
-    checked = keyed.join(known, "digest").where(F.col("body") != F.col("keep_body")).select("id", "digest", "body")
+    checked = keyed.join(hits.join(kept, "digest"), "digest").where(F.col("body") != F.col("keep_body")).select("id", "digest", "body")
     odd = materialise(checked, "dedup-odd")
-    light = keyed.select("id", "digest")
     whole = light.join(state, "digest").select("id", "digest", "keep_id", "n")
     if odd.isEmpty():
         return whole.select(F.col("id").alias(id_col), "digest", "keep_id", F.col("n").alias("group_size"))

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import buffers, materialise, mix, pack, partitions, pieces, unpack, word_hashes
+from .shared import buffers, key_filter, materialise, mix, pack, partitions, passes, pieces, unpack, word_hashes
 
 WIDTH = 5
 #: Similarity in hundredths.
@@ -46,7 +46,6 @@ FRAGMENTS = 8
 SHORT_LIST = 4
 #: Classes of a long list are compared in blocks of so many.
 BLOCK = 2048
-FILTER_BITS = 26
 #: Tokens of a task in the lists and in the fragments.
 TASK_TOKENS = 1_000_000
 
@@ -280,35 +279,6 @@ def _cross_pairs(percent: int):
     return cross
 
 
-def _filter_of(keys: DataFrame) -> np.ndarray:
-    """Bits of the keys' hashes, in an array of a fixed size."""
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(1 << FILTER_BITS, bool)
-        for batch in batches:
-            bits[(mix(batch.column(0).to_numpy().view(np.uint64)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
-        rows = [(i, zlib.compress(np.packbits(c).tobytes(), 1)) for i, c in enumerate(bits.reshape(64, -1)) if c.any()]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.binary())], names=["chunk", "blob"])
-
-    def join(group: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(1 << FILTER_BITS - 9, np.uint8)
-        for blob in group["blob"]:
-            total |= np.frombuffer(zlib.decompress(blob), np.uint8)
-        return pd.DataFrame({"chunk": [int(group["chunk"].iloc[0])], "blob": [zlib.compress(total.tobytes(), 1)]})
-
-    out = np.zeros((64, 1 << FILTER_BITS - 9), np.uint8)
-    marked = keys.mapInArrow(mark, "chunk int, blob binary").groupBy("chunk").applyInPandas(join, "chunk int, blob binary")
-    for row in marked.toLocalIterator():  # of a fixed size in all
-        out[row.chunk] = np.frombuffer(zlib.decompress(row.blob), np.uint8)
-    return out.reshape(-1)
-
-
-def _passes(bits: np.ndarray, key: int) -> bool:
-    at = int(mix(np.array([key], np.int64).view(np.uint64))[0] >> np.uint64(64 - FILTER_BITS))
-    return bool(bits[at >> 3] >> (7 - (at & 7)) & 1)
-
-
 def _overlaps(docs: DataFrame, text_col: str, pairs: DataFrame, rank, mass: np.ndarray, width: int, percent: int) -> DataFrame:
     """Links (a, b) among candidate pairs (a, b, na, nb): partial overlaps by fragment, summed per pair."""
     spark = docs.sparkSession
@@ -320,7 +290,7 @@ def _overlaps(docs: DataFrame, text_col: str, pairs: DataFrame, rank, mass: np.n
     # equal shares of all n-grams, as ranks of hash buckets
     cuts = np.searchsorted(mass, mass[-1] * np.arange(1, FRAGMENTS) / FRAGMENTS)
     routes = pairs.select(F.col("a").alias("key"), h.alias("h")).union(pairs.select("b", h)).distinct()
-    needed = spark.sparkContext.broadcast(_filter_of(routes.select("key").distinct()))
+    needed = spark.sparkContext.broadcast(key_filter(routes.select("key").distinct()))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, bits = set(), needed.value
@@ -328,7 +298,7 @@ def _overlaps(docs: DataFrame, text_col: str, pairs: DataFrame, rank, mass: np.n
             for part in pieces(batch, 2 << 20):
                 rows = []
                 for tokens in shingle_sets(part.column(0), width):
-                    if len(tokens) and (key := set_key(tokens)) not in seen and _passes(bits, key):
+                    if len(tokens) and (key := set_key(tokens)) not in seen and passes(bits, np.array([key]))[0]:
                         if len(seen) < 500_000:
                             seen.add(key)
                         rows.append((key, tokens.tobytes()))

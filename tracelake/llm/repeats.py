@@ -27,8 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .ngram_join import FILTER_BITS, _filter_of
-from .shared import buffers, materialise, mix, pack, partitions, pieces, unpack, word_hashes
+from .shared import buffers, key_filter, materialise, mix, pack, partitions, passes, pieces, unpack, word_hashes
 
 MIN_WORDS = 50
 KGRAM = 16
@@ -209,8 +208,7 @@ def _suffix_rows(count: int, parts: int, min_words: int, kgram: int, needed, rou
             for part in pieces(batch, 2 << 20):
                 ids, words, first = _texts(part)
                 at, grams = retained(words, first, min_words, kgram)
-                slot = (mix(grams) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
-                wanted = (bits[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1).astype(bool) & (grams % np.uint64(rounds) == turn)
+                wanted = passes(bits, grams) & (grams % np.uint64(rounds) == turn)
                 at, grams = at[wanted], grams[wanted]
                 if not len(at):
                     continue
@@ -306,7 +304,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     rounds = max(1, -(-n // FILTER_KEYS))
     found = None
     for turn in range(rounds):
-        needed = spark.sparkContext.broadcast(_filter_of(keys.where(F.pmod("key", F.lit(rounds)) == turn) if rounds > 1 else keys))
+        needed = spark.sparkContext.broadcast(key_filter(keys.where(F.pmod("key", F.lit(rounds)) == turn) if rounds > 1 else keys))
         suffixes = materialise(rows.mapInArrow(_suffix_rows(count, parts, min_words, kgram, needed, rounds, turn), "kind int, p bigint, blob binary"), "repeat-suffixes")
         matched = suffixes.where("kind = 0").groupBy("p").applyInPandas(_match(parts, min_words, kgram), "p bigint, blob binary")
         one = matched.union(suffixes.where("kind = 1").select("p", "blob"))

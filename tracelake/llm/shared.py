@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: ASCII white space of the word definition ``[^\x20\x09-\x0D]+``.
 SPACES = " \t\n\x0b\x0c\r"
+#: Bits of a key filter, as a power of two.
+FILTER_BITS = 26
 SPACES_RE = "[\\x20\\x09-\\x0D]+"
 
 
@@ -21,12 +25,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The folder of sessions that name none, as in tests.
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder that every executor sees: ``spark.checkpoint.dir``, or a temporary one where it is unset."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        at = tempfile.mkdtemp(prefix="tracelake-")
-        spark.conf.set("spark.checkpoint.dir", at)
+        if "dir" not in _OWN:
+            _OWN["dir"] = tempfile.mkdtemp(prefix="tracelake-")
+        at = _OWN["dir"]
     return at
 
 
@@ -159,3 +168,33 @@ def unpack(blobs: list[bytes], *kinds: str) -> list[np.ndarray]:
             out[i].append(np.frombuffer(blob, k, n, at))
             at += n * np.dtype(k).itemsize
     return [np.concatenate(x) if x else np.zeros(0, k) for x, k in zip(out, kinds, strict=True)]
+
+
+def key_filter(keys: DataFrame) -> np.ndarray:
+    """Bits of the hashes of the keys (one column of longs), in an array of a fixed size (8 MB)."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(1 << FILTER_BITS, bool)
+        for batch in batches:
+            bits[(mix(batch.column(0).to_numpy().view(np.uint64)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
+        rows = [(i, zlib.compress(np.packbits(c).tobytes(), 1)) for i, c in enumerate(bits.reshape(64, -1)) if c.any()]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.binary())], names=["chunk", "blob"])
+
+    def join(group: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(1 << FILTER_BITS - 9, np.uint8)
+        for blob in group["blob"]:
+            total |= np.frombuffer(zlib.decompress(blob), np.uint8)
+        return pd.DataFrame({"chunk": [int(group["chunk"].iloc[0])], "blob": [zlib.compress(total.tobytes(), 1)]})
+
+    out = np.zeros((64, 1 << FILTER_BITS - 9), np.uint8)
+    marked = keys.mapInArrow(mark, "chunk int, blob binary").groupBy("chunk").applyInPandas(join, "chunk int, blob binary")
+    for row in marked.toLocalIterator():  # of a fixed size in all
+        out[row.chunk] = np.frombuffer(zlib.decompress(row.blob), np.uint8)
+    return out.reshape(-1)
+
+
+def passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which of the keys a filter may hold: all that it was made of, and few others."""
+    at = (mix(keys.view(np.uint64)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+    return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
