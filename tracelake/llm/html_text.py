@@ -3,7 +3,7 @@
 Every page scores its containers: text in paragraphs counts for the nearest
 containers above it, text in links against them.  A container has a
 generalised path of tags and classes without digits.  In Spark the pages of a
-host vote, with their scores, for the path of their best container; each page
+host vote, each for the path of its best container; each page
 is then read again, and the text under the host's winning path is taken (under
 its own best container where it has no such path).  A host with any number of
 pages costs each task one row for a path.
@@ -189,7 +189,7 @@ def host_of(url: Column) -> Column:
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
-    """host, path: the path with the most votes by score; ties by pages, then by path."""
+    """host, path: the path that is best on most pages; ties by score, then by path."""
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -200,7 +200,7 @@ def host_paths(pages: DataFrame) -> DataFrame:
 
     votes = pages.select("html", "host").mapInArrow(vote, "host string, path string, score double")
     sums = votes.groupBy("host", "path").agg(F.sum("score").alias("score"), F.count(F.lit(1)).alias("n"))
-    return sums.groupBy("host").agg(F.max_by("path", F.struct("score", "n", "path")).alias("path"))
+    return sums.groupBy("host").agg(F.max_by("path", F.struct("n", "score", "path")).alias("path"))
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -21,5 +21,7 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_quality_rules": quality.ORACLE,
     "op3_exact_dedup": exact_dedup.ORACLE,
+    "op4_ngram_join": ngram_join.ORACLE,
     "op5_mix_sources": mixing.ORACLE,
+    "op10_repeated_passages": repeats.ORACLE,
 }

@@ -97,6 +97,8 @@ def _strings(tree, limit: int = 64) -> list[tuple[str, bool]] | None:
             nexts = [(chr(v), True) for _, v in arg]
         elif op in (sre.MAX_REPEAT, sre.MIN_REPEAT) and arg[1] <= 1:
             nexts = [("", True)] * (arg[0] == 0) + (_strings(arg[2], limit) or [("", False)])
+        elif op in (sre.MAX_REPEAT, sre.MIN_REPEAT) and arg[0] >= 1:
+            nexts = [(s, False) for s, _ in _strings(arg[2], limit) or [("", False)]]
         elif op is sre.AT:
             nexts = [("", True)]
         else:
