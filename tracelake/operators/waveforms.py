@@ -191,3 +191,20 @@ def spatial_spread(df: DataFrame, geometry: DataFrame) -> DataFrame:
     placed = per.join(top, "waveform_index").join(F.broadcast(g.toDF("trace", "x", "y")), "trace").join(F.broadcast(g.toDF("peak", "px", "py")), "peak")
     far = F.sqrt((F.col("x") - F.col("px")) * (F.col("x") - F.col("px")) + (F.col("y") - F.col("py")) * (F.col("y") - F.col("py")))
     return placed.groupBy("waveform_index").agg((F.sum(far * F.col("val")) / F.nullif(F.sum("val"), F.lit(0.0))).alias("spread"))
+
+
+def pre_post(df: DataFrame, peaks: DataFrame) -> DataFrame:
+    """Long rows with ``pre`` (value strictly before the peak) and ``post`` (from it on), else null."""
+    joined = df.join(peaks.select("waveform_index", "peak_time_idx"), "waveform_index")
+    early = F.col("sample") < F.col("peak_time_idx")
+    return joined.withColumn("pre", F.when(early, F.col("v"))).withColumn("post", F.when(~early, F.col("v"))).drop("peak_time_idx")
+
+
+def without_nan(df: DataFrame, column: str = "traces") -> DataFrame:
+    """Waveforms with NaN and null samples as zero."""
+    return df.withColumn(column, F.transform(column, lambda tr: F.transform(tr, lambda x: F.nanvl(F.coalesce(x, F.lit(0.0)), F.lit(0.0)))))
+
+
+def one_channel(df: DataFrame) -> DataFrame:
+    """Each trace of each waveform as a waveform of its own: waveform_index, trace, samples."""
+    return df.select("waveform_index", F.posexplode("traces").alias("trace", "samples"))

@@ -51,3 +51,9 @@ def window_members(samples: DataFrame, size: int, overlap: int, sample: str = "s
     low = F.greatest(F.lit(0), F.ceil((F.col(sample) - size + 1) / step)).cast("long")
     high = F.floor(F.col(sample) / step).cast("long")
     return samples.withColumn("iw", F.explode(F.sequence(low, high)))
+
+
+def even_batches(lengths: DataFrame, n: int, duration: float, ns: str = "ns") -> DataFrame:
+    """Starts of ``n`` batches of ``duration`` spread evenly over each recording: batch, start."""
+    k = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("batch")
+    return lengths.select("*", k).withColumn("start", F.col("batch") * (F.col(ns) - duration) / (n - 1))

@@ -344,3 +344,34 @@ def _csd(method, **more):
 
 
 QUERIES["csd_standard"], QUERIES["csd_delta"], QUERIES["csd_step"], QUERIES["csd_spline"] = _csd("standard"), _csd("delta"), _csd("step"), _csd("spline", steps=25)
+
+
+@query()
+def lfp_band(spark, d):
+    """The low band of each trace: tapered, low-passed, every fourth sample."""
+    return rounded(V.to_long(V.along_time(_probe_rows(spark, d), lambda x: K.low_band(x, 4, 8))), "v")
+
+
+@query()
+def bad_channels_mode(spark, d):
+    """The commonest label of each channel over blocks."""
+    return V.label_mode(V.bad_channels(_probe_rows(spark, d), 30000))
+
+
+@query()
+def savgol_gaps(spark, d):
+    """Smoothing of traces in which every ninth sample is missing."""
+
+    def one(x):
+        x = x.copy()
+        x[:, ::9] = np.nan
+        return np.stack([K.savgol_interpolated(r, 11, 3) for r in x])
+
+    return rounded(V.to_long(V.along_time(_probe_rows(spark, d), one)), "v")
+
+
+@query()
+def csd_filtered(spark, d):
+    z = np.arange(1, 26) * 20e-6
+    made = lambda x: K.density_filter(K.source_density(x, z[: len(x)], "standard"), "gaussian", (5, 1.0))
+    return rounded(V.to_long(V.across_channels(_probe_rows(spark, d), made, ("block", "shank"))), "v")

@@ -533,3 +533,55 @@ def trajectory_indices(spark, d):
     xy = np.array([(i % 4, i // 4) for i in range(32)], float)
     _, places, channels, counts = K.trajectory(xy[:, 0], xy[:, 1])
     return spark.createDataFrame([(int(p), int(c), int(counts[c])) for p, c in zip(places, channels, strict=True)], "place long, channel long, count long")
+
+
+@query("SELECT i, j, i + 5 - 1 - j AS place FROM range(6) a(i), range(5) b(j)")
+def toeplitz_indices(spark, d):
+    i, j = spark.range(6).withColumnRenamed("id", "i"), spark.range(5).withColumnRenamed("id", "j")
+    return i.crossJoin(F.broadcast(j)).withColumn("place", F.col("i") + 5 - 1 - F.col("j"))  # a matrix of fixed size
+
+
+@query(f"WITH {_LENGTHS} SELECT rec, k AS batch, round(k * (ns - 10) / 9.0::DOUBLE, 6) AS start FROM n, range(10) r(k)")
+def even_batches(spark, d):
+    lengths = views.table(spark, d, "events").groupBy(F.col("user_id").alias("rec")).agg(F.count(F.lit(1)).alias("ns"))
+    return rounded(W.even_batches(lengths, 10, 10).select("rec", "batch", "start"), "start")
+
+
+@query(f"""WITH {WAVES}, p AS (SELECT waveform_index, t AS pt FROM (SELECT *, row_number() OVER (PARTITION BY waveform_index ORDER BY abs(v) DESC, trace, t) AS k FROM wave) WHERE k = 1)
+SELECT waveform_index, trace, count(*) FILTER (t < pt) AS n_pre, round(coalesce(sum(v) FILTER (t < pt), 0), 6) + 0.0 AS pre, round(sum(v) FILTER (t >= pt), 6) + 0.0 AS post
+FROM wave JOIN p USING (waveform_index) GROUP BY 1, 2""")
+def pre_post(spark, d):
+    out = X.pre_post(_cells(spark, d), X.maximum(views.waveforms(spark, d)))
+    out = out.groupBy("waveform_index", "trace").agg(F.count("pre").alias("n_pre"), F.coalesce(F.sum("pre"), F.lit(0.0)).alias("pre"), F.sum("post").alias("post"))
+    return rounded(out, "pre", "post")
+
+
+@query(f"WITH {WAVES} SELECT waveform_index, trace, round(sum(v), 6) + 0.0 AS total, count(*) AS n FROM wave GROUP BY 1, 2")
+def one_channel(spark, d):
+    out = X.one_channel(X.without_nan(views.waveforms(spark, d)))
+    total = F.aggregate("samples", F.lit(0.0), lambda a, x: a + x)
+    return rounded(out.select("waveform_index", F.col("trace").cast("long").alias("trace"), total.alias("total"), F.size("samples").cast("long").alias("n")), "total")
+
+
+@query()
+def model_waveforms(spark, d):
+    """A modelled spike on 40 sites, beside each cluster's number."""
+
+    def made(batches):
+        spike = -np.exp(-(((np.arange(121) - 40) / 5.0) ** 2))
+        sites = np.c_[np.tile([43, 11, 59, 27], 10), np.repeat(np.arange(20), 2) * 20.0 + 20]
+        for batch in batches:
+            for cluster in batch["cluster"]:
+                w = K.model_waveform(spike, np.array([30.0, 200 + 10.0 * cluster]), sites, 30000)
+                yield pd.DataFrame({"cluster": cluster, "site": np.arange(40), "lowest": np.round(w.min(1) * 1e6, 4)})
+
+    return views.waveforms(spark, d).select("cluster").distinct().mapInPandas(made, "cluster bigint, site bigint, lowest double")
+
+
+@query()
+def drift_of_clocks(spark, d):
+    """Slope in parts per million between two event types' clocks of one user, the second an affine image of the first."""
+    t = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 - 1704067200
+    e = views.table(spark, d, "events").where("event_type = 'view'").select(F.col("user_id").alias("rec"), t.alias("time"))
+    both = e.withColumn("side", F.lit("a")).unionByName(e.select("rec", (F.col("time") * (1 + 17.14e-6) + 34.323).alias("time"), F.lit("b").alias("side")))
+    return E.clock_pairs(both, 60.0).groupBy("rec").agg(F.round(F.max("drift_ppm"), 2).alias("drift_ppm"))
