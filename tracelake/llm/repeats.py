@@ -27,14 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import buffers, key_filter, materialise, mix, pack, partitions, passes, pieces, unpack, word_hashes
+from .shared import buffers, key_filter, materialise, mix, pack, partitions, passes, pieces, small_batches, tidy, unpack, word_hashes
 
 MIN_WORDS = 50
 KGRAM = 16
 #: Repeated grams that one filter holds; beyond that the second pass goes in rounds over the hash range.
 FILTER_KEYS = 8_000_000
 #: Suffixes that a task combines at once.
-BUFFER = 60_000
+BUFFER = 20_000
 
 _ODDS = np.random.Generator(np.random.PCG64(11)).integers(1, 1 << 63, 128, dtype=np.uint64) | np.uint64(1)
 
@@ -84,7 +84,7 @@ def _gram_rows(count: int, min_words: int, kgram: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held = []
-            for part in pieces(batch, 2 << 20):
+            for part in pieces(batch, 1 << 20):
                 ids, words, first = _texts(part)
                 at, grams = retained(words, first, min_words, kgram)
                 held.append((grams, ids[np.searchsorted(first, at, "right") - 1]))
@@ -205,7 +205,7 @@ def _suffix_rows(count: int, parts: int, min_words: int, kgram: int, needed, rou
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, held, n = needed.value, [], 0
         for batch in batches:
-            for part in pieces(batch, 2 << 20):
+            for part in pieces(batch, 1 << 20):
                 ids, words, first = _texts(part)
                 at, grams = retained(words, first, min_words, kgram)
                 wanted = passes(bits, grams) & (grams % np.uint64(rounds) == turn)
@@ -227,6 +227,7 @@ def _suffix_rows(count: int, parts: int, min_words: int, kgram: int, needed, rou
                         held, n = [], 0
         if held:
             yield emit(settle(held))
+        tidy()
 
     return rows
 
@@ -256,6 +257,7 @@ def _match(parts: int, min_words: int, kgram: int):
             found.append((d, b, e, np.full(len(d), dropped, np.int64)))
         d, b, e, f = (np.concatenate(x) for x in zip(*found, strict=True))
         out = pack((mix(d.view(np.uint64)) % np.uint64(parts)).astype(np.int64), parts, d, b, e, f)
+        tidy()
         return pd.DataFrame({"p": [p for p, _ in out], "blob": [x for _, x in out]})
 
     return match
@@ -294,6 +296,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     gives an empty result.
     """
     spark: SparkSession = docs.sparkSession
+    small_batches(spark)
     kind = docs.schema[id_col].dataType.simpleString()
     null_id = -(1 << 63)
     rows = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(null_id)).alias("id"), F.col(f"`{text_col}`").alias("body"))
@@ -342,3 +345,20 @@ def op10_repeated_passages(spark, sf_dir) -> DataFrame:
     told = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x[0], x[1])), ",")
     size = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x[1] - x[0])
     return found.select("doc_id", F.size("spans").cast("long").alias("n_spans"), size("spans").alias("repeated_words"), size("drop_spans").alias("drop_words"), told("spans").alias("spans"), told("drop_spans").alias("drop_spans"))
+
+
+ORACLE = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+i AS (SELECT doc_id, w, unnest(range(0, len(w) - 49)) AS i FROM w WHERE len(w) >= 50),
+h AS (SELECT doc_id, i, md5(array_to_string(w[i + 1:i + 50], ' ')) AS h FROM i),
+g AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY h) AS low, max(doc_id) OVER (PARTITION BY h) AS high FROM h),
+k AS (SELECT doc_id, i, false AS dropped FROM g WHERE low <> high UNION ALL SELECT doc_id, i, true FROM g WHERE low < doc_id),
+f AS (SELECT *, coalesce(i - lag(i) OVER (PARTITION BY dropped, doc_id ORDER BY i) > 50, true) AS fresh FROM k),
+r AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY dropped, doc_id ORDER BY i) AS run FROM f),
+s AS (SELECT dropped, doc_id, run, min(i) AS a, max(i) + 50 AS b FROM r GROUP BY 1, 2, 3)
+SELECT doc_id, count(*) FILTER (NOT dropped) AS n_spans, (sum(b - a) FILTER (NOT dropped))::BIGINT AS repeated_words,
+       coalesce(sum(b - a) FILTER (dropped), 0)::BIGINT AS drop_words,
+       string_agg(a || ':' || b, ',' ORDER BY a) FILTER (NOT dropped) AS spans,
+       coalesce(string_agg(a || ':' || b, ',' ORDER BY a) FILTER (dropped), '') AS drop_spans
+FROM s GROUP BY 1
+"""

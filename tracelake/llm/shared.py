@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 import zlib
@@ -58,6 +60,19 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of some MB at most, however long the texts, for what runs in this session from now on."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
+
+
+def tidy() -> None:
+    """Gives memory that is free in this Python worker back to the system; workers are used again by later stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def partitions(spark: SparkSession, weight: float, each: float) -> int:
     """Shuffle partitions of about ``each`` of ``weight``, at least the session's own number."""
     own = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -197,7 +212,7 @@ def key_filter(keys: DataFrame) -> np.ndarray:
 
     out = np.zeros((64, 1 << FILTER_BITS - 9), np.uint8)
     marked = keys.mapInArrow(mark, "chunk int, blob binary").groupBy("chunk").applyInPandas(join, "chunk int, blob binary")
-    for row in marked.toLocalIterator():  # of a fixed size in all
+    for row in marked.collect():  # 8 MB at most
         out[row.chunk] = np.frombuffer(zlib.decompress(row.blob), np.uint8)
     return out.reshape(-1)
 
