@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import buffers, key_filter, materialise, mix, pack, partitions, passes, pieces, unpack, word_hashes
+from .shared import buffers, key_filter, materialise, mix, pack, partitions, passes, pieces, small_batches, tidy, unpack, word_hashes
 
 WIDTH = 5
 #: Similarity in hundredths.
@@ -88,13 +88,14 @@ def _survey(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFram
         id_type = None
         for batch in batches:
             id_type = batch.column(0).type
-            for part in pieces(batch, 2 << 20):
+            for part in pieces(batch, 1 << 20):
                 sets = shingle_sets(part.column(1), width)
                 if sets:
                     counts += np.bincount((np.concatenate(sets) >> np.uint64(64 - ORDER_BITS)).astype(np.int64), minlength=len(counts)).astype(np.uint32)
                 none = pa.nulls(len(sets), pa.int32())
                 keys = [set_key(s) if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.int64()), none, none, pa.nulls(len(sets), pa.binary())], names=names)
+        tidy()
         rows = [(i, zlib.compress(c.tobytes(), 1)) for i, c in enumerate(counts.reshape(-1, 1 << CHUNK_BITS)) if c.any()]
         if rows:
             salt = TaskContext.get().partitionId() % 64
@@ -116,7 +117,7 @@ def _order(chunks: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Rank of each hash bucket in the global order, and the n-grams up to each rank."""
     summed = chunks.groupBy("chunk", "salt").applyInPandas(_add_chunks, "chunk int, blob binary").groupBy("chunk").applyInPandas(_add_chunks, "chunk int, blob binary")
     counts = np.zeros((1 << ORDER_BITS - CHUNK_BITS, 1 << CHUNK_BITS), np.uint32)
-    for row in summed.toLocalIterator():  # of a fixed size in all
+    for row in summed.collect():  # 16 MB at most
         counts[row.chunk] = np.frombuffer(zlib.decompress(row.blob), np.uint32)
     counts = counts.reshape(-1)
     by = np.argsort(counts, kind="stable")
@@ -144,7 +145,7 @@ def _postings(docs: DataFrame, text_col: str, rank, width: int, percent: int, co
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order, seen = rank.value, set()
         for batch in batches:
-            for part in pieces(batch, 4 << 20):
+            for part in pieces(batch, 2 << 20):
                 toks, keys, sizes, places = [], [], [], []
                 for tokens in shingle_sets(part.column(0), width):
                     n = len(tokens)
@@ -219,6 +220,7 @@ def _lists(percent: int):
             if some.sum() > 1:
                 held.append(k[some].tobytes() + n[some].tobytes() + p[some].tobytes())
         more = pd.DataFrame({"a": 0, "b": 0, "na": 0, "nb": 0, "blob": held}) if held else pairs[:0]
+        tidy()
         return pd.concat([pairs, more], ignore_index=True).astype({"a": "int64", "b": "int64", "na": "int64", "nb": "int64"})
 
     return lists
@@ -295,7 +297,7 @@ def _overlaps(docs: DataFrame, text_col: str, pairs: DataFrame, rank, mass: np.n
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, bits = set(), needed.value
         for batch in batches:
-            for part in pieces(batch, 2 << 20):
+            for part in pieces(batch, 1 << 20):
                 rows = []
                 for tokens in shingle_sets(part.column(0), width):
                     if len(tokens) and (key := set_key(tokens)) not in seen and passes(bits, np.array([key]))[0]:
@@ -369,10 +371,12 @@ def _overlaps(docs: DataFrame, text_col: str, pairs: DataFrame, rank, mass: np.n
             out += np.bincount(pair[hit], minlength=len(a))
             at = stop
         some = out > 0
+        tidy()
         return pd.DataFrame({"a": a[some], "b": b[some], "n": out[some]})
 
     found = docs.select(F.col(text_col).alias("body")).mapInArrow(sets, "key bigint, tokens binary")
-    segments = routes.join(found, "key").select("key", "h", "tokens").mapInArrow(cut, "f int, h bigint, keys binary, lengths binary, tokens binary")
+    # the sets are shuffled at any size, so that a small run is planned like a large one
+    segments = routes.hint("merge").join(found, "key").select("key", "h", "tokens").mapInArrow(cut, "f int, h bigint, keys binary, lengths binary, tokens binary")
     asked = pairs.select("a", "b", h.alias("h")).mapInArrow(ask, "f int, h bigint, blob binary")
     partial = segments.groupBy("f", "h").cogroup(asked.groupBy("f", "h")).applyInPandas(count, "a bigint, b bigint, n bigint")
     summed = partial.groupBy("a", "b").agg(F.sum("n").alias("n"))
@@ -391,6 +395,7 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     clash; an empty table gives an empty result.
     """
     spark: SparkSession = docs.sparkSession
+    small_batches(spark)
     docs = docs.select(F.col(f"`{id_col}`").alias(id_col), F.col(f"`{text_col}`").alias(text_col))
     survey = materialise(_survey(docs, id_col, text_col, width), "join-survey")
     rows = survey.where("chunk IS NULL").select("id", "n", "key")
@@ -428,3 +433,20 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def op4_ngram_join(spark, sf_dir) -> DataFrame:
     return similar_sets(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+ORACLE = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+i AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM w WHERE len(w) > 0),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM i),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+l AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id
+  JOIN n na ON na.doc_id = a.doc_id JOIN n nb ON nb.doc_id = b.doc_id
+  GROUP BY 1, 2 HAVING 100 * count(*) >= 80 * (any_value(na.n) + any_value(nb.n) - count(*))),
+r AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, l.y FROM r JOIN l ON l.x = r.y)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id
+FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT x, min(y) AS component_id FROM r GROUP BY 1) c ON c.x = d.doc_id
+"""
