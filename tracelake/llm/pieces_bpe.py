@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import math
 import re
 from collections.abc import Iterator
 
@@ -25,6 +26,8 @@ from pyspark.sql import functions as F
 from .shared import pieces
 
 MARK = "▁"
+#: Characters up to which a segment's agenda is a list.
+SHORT = 40
 
 
 class PieceEncoder:
@@ -55,8 +58,10 @@ class PieceEncoder:
         scores = self.scores
         if segment in scores and len(segment) == 1:
             return [self.ids[segment]]
+        n = len(segment)
+        if n <= SHORT:
+            return self._short_agenda(segment)
         symbol: list[str | None] = list(segment)
-        n = len(symbol)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = []
         for i in range(n - 1):
@@ -78,16 +83,33 @@ class PieceEncoder:
                     heapq.heappush(heap, (-score, left, end, size + len(symbol[end])))
             if (start := before[left]) >= 0 and (score := scores.get(symbol[start] + symbol[left])) is not None:
                 heapq.heappush(heap, (-score, start, left, len(symbol[start]) + size))
+        return self._ids([x for x in symbol if x is not None])
+
+    def _short_agenda(self, segment: str) -> list[int]:
+        """The same, with the agenda in the order of the symbols: for short segments a look through it is faster than a heap."""
+        score, none = self.scores.get, -math.inf
+        symbol = list(segment)
+        pair = [score(a + b, none) for a, b in zip(symbol, symbol[1:])]  # noqa: B905
+        while pair and (best := max(pair)) > none:
+            i = pair.index(best)
+            symbol[i] += symbol.pop(i + 1)
+            del pair[i]
+            if i:
+                pair[i - 1] = score(symbol[i - 1] + symbol[i], none)
+            if i < len(pair):
+                pair[i] = score(symbol[i] + symbol[i + 1], none)
+        return self._ids(symbol)
+
+    def _ids(self, symbols: list[str]) -> list[int]:
         out: list[int] = []
-        for x in symbol:
-            if x is not None:
-                i = self.ids.get(x)
-                if i is not None:
-                    out.append(i)
-                elif self.bytes:
-                    out += [self.bytes[b] for b in x.encode()]
-                else:
-                    out.append(self.unk)
+        for x in symbols:
+            i = self.ids.get(x)
+            if i is not None:
+                out.append(i)
+            elif self.bytes:
+                out += [self.bytes[b] for b in x.encode()]
+            else:
+                out.append(self.unk)
         return out
 
     def split(self, text: str) -> list[str]:
@@ -103,7 +125,7 @@ class PieceEncoder:
                 raise ValueError(f"encoding of {s!r} differs from the library's: {a} and {b}")
         self.seen.update(zip(new, (np.array(x, "<u4").tobytes() for x in own), strict=True))
 
-    def encode(self, texts: list[str], most_seen: int = 400_000) -> list[bytes]:
+    def encode(self, texts: list[str], most_seen: int = 1_000_000) -> list[bytes]:
         """Ids of each text with begin and end, as little-endian unsigned 32-bit integers."""
         split = [self.split(t) for t in texts]
         if len(self.seen) > most_seen:
