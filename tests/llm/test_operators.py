@@ -307,6 +307,31 @@ def test_ppm_beats_its_base_on_held_out_text(spark, tmp_path):
     assert short.count() == 400
 
 
+def test_ppm_keeps_its_order_at_any_number_of_grams(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [(i, prose(rng, 6) + rng.choice(("", " Qux", " é~")), "en", "s", 0) for i in range(40)] + [(40, None, "en", "s", 0)]
+    spark.createDataFrame(rows, SHAPE).repartition(3).write.parquet(str(tmp_path / "d"))
+    texts = {i: (t or "").encode().lower() for i, t, *_ in rows}
+    learnt = [t for i, t in texts.items() if zlib.crc32(str(i).encode()) % 7 != 2]
+    assert 1 < len(learnt) < len(texts)
+    streams = [b"\xff" * 5 + t + b"\xff" for t in learnt]
+    held = {}
+
+    def price(gram):
+        if gram not in held:
+            held[gram] = math.log10(plain_ppm(learnt, 5, gram[:5], gram[5]))
+        return held[gram]
+
+    want = {}
+    for i in [0, 1, 2, 40, *(i for i in texts if zlib.crc32(str(i).encode()) % 7 == 2)]:
+        s = b"\xff" * 5 + texts[i] + b"\xff"
+        want[i] = sum(price(s[k - 5 : k + 1]) for k in range(5, len(s)))
+    assert len({s[k : k + 6] for s in streams for k in range(len(s) - 5)}) > 200
+    for out in (ppm.score_documents(spark.read.parquet(str(tmp_path / "d"))), ppm.score_documents(spark.read.parquet(str(tmp_path / "d")), max_nodes=200)):
+        got = {r.doc_id: r.score for r in out.collect()}
+        assert len(got) == 41 and all(math.isclose(got[i], x, rel_tol=1e-5) for i, x in want.items())
+
+
 # --- pages --------------------------------------------------------------------------------
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var a="</p><p>no</p>";</script></head><body class="c1">
 <header><h2>Site</h2></header><nav><ul><li><a href="/">Home</a></li></ul></nav><div class="ad box-2">Buy now, long advert text that goes on and on for a while.</div>

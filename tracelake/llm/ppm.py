@@ -10,14 +10,17 @@ evenly.
 
 Counting: documents lie in blocks (rows beside each other in a file); each
 block sends, packed and by hash partition, its distinct n-grams and words with
-their counts.  An n-gram table larger than ``max_nodes`` is
-folded to the next shorter order until it fits, so what is broadcast has a
-bound; word counts, which have none, go back to each block as the counts of
-its own words, and are never broadcast.
+their counts (none for those of held-out rows alone).  Distinct n-grams are
+dealt again by the last two bytes of their contexts, so that all longer
+contexts of an n-gram lie together, and each gets its log probability there.
+Of the shorter contexts the counts of byte pairs are broadcast: 65,536 at most
+in any corpus.  Each block gets back the log probabilities of its own n-grams
+and the counts of its own words, so the model has its full order at any size.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,7 +39,12 @@ END_TOKEN = np.uint64(0x9E3779B97F4A7C15)
 ORDER = 5
 #: Text of a block.
 BLOCK_BYTES = 16 << 20
-MAX_NODES = 4_000_000
+#: Text for each partition of the counts.
+PART_BYTES = 64 << 20
+#: Distinct n-grams of a task that gives them their probabilities, about.
+MAX_NODES = 500_000
+#: Bytes of a context by which n-grams are dealt; shorter contexts are broadcast.
+NEAR = 2
 
 
 def fold(data: np.ndarray) -> np.ndarray:
@@ -84,6 +92,36 @@ def _sum(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[first], np.add.reduceat(values, first) if len(first) else values[:0]
 
 
+def _pack_sorted(to: np.ndarray, count: int, keys: np.ndarray, values: np.ndarray) -> list[tuple[int, bytes]]:
+    """As :func:`pack`, of ascending keys and values: differences and values, byte by byte, compressed."""
+    order = np.argsort(to, kind="stable")
+    keys, values = keys[order], values[order]
+    bounds = np.searchsorted(to[order], np.arange(count + 1))
+    planes = lambda x: np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
+    out = []
+    for p in np.flatnonzero(np.diff(bounds)).tolist():
+        a, b = bounds[p], bounds[p + 1]
+        out.append((p, zlib.compress(planes(np.diff(keys[a:b], prepend=keys.dtype.type(0))) + planes(values[a:b]), 1)))
+    return out
+
+
+def _unpack_sorted(blobs: list[bytes], key_kind: str, kind: str) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Inverse of :func:`_pack_sorted`: keys and values of each blob."""
+    wide, narrow = np.dtype(key_kind).itemsize, np.dtype(kind).itemsize
+    keys, values = [], []
+    for blob in blobs:
+        raw = np.frombuffer(zlib.decompress(blob), np.uint8)
+        n = len(raw) // (wide + narrow)
+        keys.append(np.cumsum(np.ascontiguousarray(raw[: wide * n].reshape(wide, n).T).view(key_kind).ravel(), dtype=key_kind))
+        values.append(np.ascontiguousarray(raw[wide * n :].reshape(narrow, n).T).view(kind).ravel())
+    return keys, values
+
+
+def _home(keys: np.ndarray, count: int) -> np.ndarray:
+    """Partition of n-grams or words by hash."""
+    return ((keys * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(33)) % np.uint64(count)).astype(np.int64)
+
+
 @dataclass
 class Level:
     """n-grams of one length: sorted codes, their counts, and per gram its context's totals."""
@@ -98,14 +136,21 @@ class Level:
 
 
 class Trie:
-    """PPM model from the counts of (order+1)-grams."""
+    """PPM model from the counts of (order+1)-grams.
 
-    def __init__(self, codes: np.ndarray, counts: np.ndarray, order: int):
+    ``short`` are the whole corpus's counts of ``near``-grams, where
+    ``codes`` hold only all those with some contexts of ``near`` bytes.
+    """
+
+    def __init__(self, codes: np.ndarray, counts: np.ndarray, order: int, near: int = 0, short: tuple[np.ndarray, np.ndarray] | None = None):
         self.order = order
         self.levels: list[Level] = []
         by_length = {order: (codes, counts.astype(np.int64))}
         for k in range(order - 1, -1, -1):
             longer = by_length[k + 1]
+            if short is not None and k == near - 1:
+                by_length[k] = short
+                continue
             by_length[k] = _sum(longer[0] & np.uint64((1 << 8 * (k + 1)) - 1), longer[1])
         for k in range(order + 1):
             codes, counts = by_length[k]
@@ -175,14 +220,43 @@ class Trie:
         out[open_] -= np.log10(np.maximum(256 - seen[open_], 1))
         return out
 
+
+class Prices:
+    """log10 probabilities of a block's own (order+1)-grams."""
+
+    def __init__(self, codes: np.ndarray, logs: np.ndarray, order: int):
+        by = np.argsort(codes)
+        self.codes, self.logs, self.order = codes[by], logs[by], order
+        bits = max(10, int(max(1, len(codes)) * 4 - 1).bit_length())
+        self.shift = np.uint64(64 - bits)
+        # no n-gram is as large as an empty slot's mark: the order is 6 at most
+        self.keys = np.full(1 << bits, np.uint64(0xFFFFFFFFFFFFFFFF))
+        self.values = np.zeros(1 << bits, np.float32)
+        at = self._slot(self.codes)
+        self.keys[at], self.values[at] = self.codes, self.logs
+
+    def _slot(self, codes: np.ndarray) -> np.ndarray:
+        return ((codes * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def log10(self, codes: np.ndarray) -> np.ndarray:
+        at = self._slot(codes)
+        out = self.values[at].astype(np.float64)
+        rest = np.flatnonzero(self.keys[at] != codes)
+        if len(rest):
+            i = np.searchsorted(self.codes, codes[rest])
+            if i.max() >= len(self.codes) or (self.codes[i] != codes[rest]).any():
+                raise ValueError("a block has other n-grams than it sent")
+            out[rest] = self.logs[i]
+        return out
+
     def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """log10 probability of each text, its end included."""
         codes, begins = grams(data, offsets, self.order)
         return np.add.reduceat(self.log10(codes), begins[:-1]) if len(codes) else np.zeros(0)
 
 
-def _blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Documents as id (text), body, held and block: rows that lie together in a file, about ``BLOCK_BYTES`` of text.
+def _blocks(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
+    """Documents as id (text), body, held and block: rows that lie together in a file, about ``BLOCK_BYTES`` of text; and the bytes of all text.
 
     A row's file and number in it are the same in every scan, so the blocks
     are too, whatever the splits.
@@ -190,12 +264,13 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     size, n = docs.agg(F.sum(F.octet_length(F.col(f"`{text_col}`"))), F.count(F.lit(1))).first()
     rows = max(64, int(BLOCK_BYTES * n / max(1, size or 0))) if n else 64
     key = F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit(""))
-    return docs.select(
+    blocks = docs.select(
         F.col(f"`{id_col}`").cast("string").alias("id"),
         F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("body"),
         (F.crc32(key) % 7 == 2).alias("held"),
         F.xxhash64("_metadata.file_path", F.floor(F.col("_metadata.row_index") / rows)).alias("block"),
     )
+    return blocks, size or 0
 
 
 def _gather(blocks: DataFrame, order: int, count: int) -> DataFrame:
@@ -205,9 +280,9 @@ def _gather(blocks: DataFrame, order: int, count: int) -> DataFrame:
         rows = []
         for name, found in (("g", gram_parts), ("w", word_parts)):
             keys, sums = _sum(np.concatenate([k for k, _ in found]), np.concatenate([n for _, n in found]))
-            to = (keys * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(33)) % np.uint64(count)
             # a block is small enough for counts of 32 bits
-            rows += [(name, p, block, blob) for p, blob in pack(to.astype(np.int64), count, keys, sums.astype(np.uint32))]
+            put = _pack_sorted if name == "g" else pack
+            rows += [(name, p, block, blob) for p, blob in put(_home(keys, count), count, keys, sums.astype(np.uint32))]
         columns = list(zip(*rows, strict=True))
         return pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.binary())], names=["kind", "p", "block", "blob"])
 
@@ -227,7 +302,10 @@ def _gather(blocks: DataFrame, order: int, count: int) -> DataFrame:
                     data, offsets = buffers(piece.column(0))
                     train = ~piece.column(1).to_numpy(zero_copy_only=False).astype(bool)
                     codes, begins = grams(data, offsets, order)
-                    gram_parts.append(_count(codes[np.repeat(train, np.diff(begins))]))
+                    learnt = np.repeat(train, np.diff(begins))
+                    gram_parts.append(_count(codes[learnt]))
+                    asked = _count(codes[~learnt])[0]
+                    gram_parts.append((asked, np.zeros(len(asked), np.int64)))
                     words, _, _, first = word_hashes(data, offsets)
                     one = np.repeat(train, np.diff(first)).astype(np.int64)
                     word_parts.append(_sum(np.r_[words, END_TOKEN], np.r_[one, train.sum()]))
@@ -238,48 +316,83 @@ def _gather(blocks: DataFrame, order: int, count: int) -> DataFrame:
     return blocks.select("body", "held", "block").mapInArrow(gather, "kind string, p bigint, block bigint, blob binary")
 
 
-def _reduce_grams(group: pd.DataFrame) -> pd.DataFrame:
-    keys, sums = _sum(*unpack(list(group["blob"]), "<u8", "<i8"))
-    return pd.DataFrame({"n": [len(keys)], "blob": [keys.tobytes() + sums.tobytes()]})
-
-
 def _reduce(group: pd.DataFrame) -> pd.DataFrame:
-    """One partition's grams with their counts; or its words' counts, and for each block those of its own words."""
-    blobs, blocks, kind = list(group["blob"]), group["block"].to_numpy(), group["kind"].iloc[0]
-    keys, counts = unpack(blobs, "<u8", "<u4")
+    """One partition's grams with their counts, and for each block the places of its own; or for each block the counts of its own words."""
+    blobs, blocks, kind, p = list(group["blob"]), group["block"].to_numpy(), group["kind"].iloc[0], int(group["p"].iloc[0])
     if kind == "g":
-        keys, sums = _sum(keys, counts.astype(np.int64))
-        return pd.DataFrame({"kind": ["g"], "block": [0], "blob": [keys.tobytes() + sums.tobytes()], "tokens": [0], "words": [len(keys)]})
-    who = np.repeat(np.arange(len(blobs)), [len(b) // 12 for b in blobs])
-    known, inverse = np.unique(keys, return_inverse=True)
-    sums = np.bincount(inverse, weights=counts, minlength=len(known)).astype(np.int64)
-    out = pack(who, len(blobs), keys, sums[inverse])
-    made = {"kind": ["w"] * len(out), "block": [int(blocks[k]) for k, _ in out], "blob": [b for _, b in out], "tokens": [0] * len(out), "words": [0] * len(out)}
-    total = {"kind": ["n"], "block": [0], "blob": [b""], "tokens": [int(sums.sum())], "words": [int((sums > 0).sum())]}
-    return pd.DataFrame({k: made[k] + total[k] for k in made})
-
-
-def train_trie(grams_by_part: DataFrame, order: int, max_nodes: int) -> Trie:
-    """The trie of the longest order whose n-grams number ``max_nodes`` at most (order 1 at least)."""
-    packed = grams_by_part
-    while order > 1 and (packed.agg(F.sum("n")).first()[0] or 0) > max_nodes:
-        order -= 1
-        keep = np.uint64((1 << 8 * (order + 1)) - 1)
-        count = int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-        def shorten(batches: Iterator[pa.RecordBatch], keep=keep, count=count) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for blob in batch.column(0).to_pylist():
-                    keys, sums = unpack([blob], "<u8", "<i8")
-                    keys, sums = _sum(keys & keep, sums)
-                    to = ((keys * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(33)) % np.uint64(count)).astype(np.int64)
-                    rows = pack(to, count, keys, sums)
-                    yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.int64()), pa.array([b for _, b in rows], pa.binary())], names=["p", "blob"])
-
-        packed = materialise(packed.select("blob").mapInArrow(shorten, "p bigint, blob binary").groupBy("p").applyInPandas(_reduce_grams, "n bigint, blob binary"), "ppm-shorter")
-    keys, sums = unpack([bytes(r.blob) for r in packed.select("blob").collect()], "<u8", "<i8")
+        parts, counts = _unpack_sorted(blobs, "<u8", "<u4")
+        keys, sums = _sum(np.concatenate(parts), np.concatenate(counts).astype(np.int64))
+        rows = [("g", 0, blob, 0, len(keys)) for _, blob in _pack_sorted(np.zeros(len(keys), np.int64), 1, keys, sums)]
+        for block, own in zip(blocks.tolist(), parts, strict=True):
+            at = np.searchsorted(keys, own).astype(np.uint32)
+            rows.append(("i", block, zlib.compress(np.diff(at, prepend=np.uint32(0)).tobytes(), 1), 0, 0))
+    else:
+        keys, counts = unpack(blobs, "<u8", "<u4")
+        who = np.repeat(np.arange(len(blobs)), [len(b) // 12 for b in blobs])
+        known, inverse = np.unique(keys, return_inverse=True)
+        sums = np.bincount(inverse, weights=counts, minlength=len(known)).astype(np.int64)
+        rows = [("w", int(blocks[k]), blob, 0, 0) for k, blob in pack(who, len(blobs), keys, sums[inverse])]
+        rows.append(("n", 0, b"", int(sums.sum()), int((sums > 0).sum())))
+    tidy()
+    out = pd.DataFrame(rows, columns=["kind", "block", "blob", "tokens", "words"])
+    out.insert(1, "p", p)
+    return out
+
+
+def _short_grams(grams_by_part: DataFrame, near: int) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of the last ``near`` bytes (two at most) of all grams."""
+
+    def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << 8 * near, np.int64)
+        for batch in batches:
+            for blob in batch.column(0).to_pylist():
+                (keys,), (sums,) = _unpack_sorted([blob], "<u8", "<i8")
+                np.add.at(total, (keys & np.uint64(len(total) - 1)).astype(np.int64), sums)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["code", "n"])
+
+    found = grams_by_part.select("blob").mapInArrow(shorten, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")).orderBy("code").toPandas()
+    return found["code"].to_numpy(np.uint64), found["n"].to_numpy(np.int64)
+
+
+def _prices(grams_by_part: DataFrame, order: int, count: int, tasks: int) -> DataFrame:
+    """Each distinct gram with its log10 probability, packed, by the partition (p) that counted it."""
+    near = min(NEAR, order)
+    spark = grams_by_part.sparkSession
+    short = spark.sparkContext.broadcast(_short_grams(grams_by_part, near) if near else None)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for blob in batch.column(0).to_pylist():
+                (keys,), (sums,) = _unpack_sorted([blob], "<u8", "<i8")
+                rows = _pack_sorted(_home(keys >> np.uint64(8) & np.uint64((1 << 8 * near) - 1), tasks), tasks, keys, sums)
+                yield pa.RecordBatch.from_arrays([pa.array([q for q, _ in rows], pa.int64()), pa.array([b for _, b in rows], pa.binary())], names=["q", "blob"])
+
+    def price(group: pd.DataFrame) -> pd.DataFrame:
+        keys, sums = map(np.concatenate, _unpack_sorted(list(group["blob"]), "<u8", "<i8"))
+        by = np.argsort(keys)
+        keys, sums = keys[by], sums[by]
+        learnt = sums > 0
+        logs = Trie(keys[learnt], sums[learnt], order, near, short.value).log10(keys).astype(np.float32)
+        rows = _pack_sorted(_home(keys, count), count, keys, logs)
+        tidy()
+        return pd.DataFrame({"p": [p for p, _ in rows], "blob": [b for _, b in rows]})
+
+    dealt = grams_by_part.select("blob").mapInArrow(deal, "q bigint, blob binary")
+    return dealt.groupBy("q").applyInPandas(price, "p bigint, blob binary")
+
+
+def _answer(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    """For each block the prices of its own grams in one partition."""
+    keys, logs = map(np.concatenate, _unpack_sorted(list(left["blob"]), "<u8", "<f4"))
     by = np.argsort(keys)
-    return Trie(keys[by], sums[by], order)
+    keys, logs = keys[by], logs[by]
+    out = []
+    for blob in right["blob"]:
+        at = np.cumsum(np.frombuffer(zlib.decompress(blob), np.uint32), dtype=np.uint32)
+        out += [b for _, b in _pack_sorted(np.zeros(len(at), np.int64), 1, keys[at], logs[at])]
+    tidy()
+    return pd.DataFrame({"kind": "g", "block": right["block"].to_numpy(), "blob": out})
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, max_nodes: int = MAX_NODES) -> DataFrame:
@@ -290,30 +403,34 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     is hashed as the empty text.  Rows with one id are scored each and count
     each; other columns are left out, so none can clash.  An empty table
     gives an empty result; without training rows every byte of the model is
-    as likely as any other.
+    as likely as any other.  ``max_nodes`` sets how many n-grams a task gives
+    their probabilities, about; no score depends on it.
     """
     spark: SparkSession = docs.sparkSession
     small_batches(spark)
     kind = docs.schema[id_col].dataType.simpleString()
     try:
-        blocks = _blocks(docs, id_col, text_col)
+        blocks, size = _blocks(docs, id_col, text_col)
     except AnalysisException:  # rows of no file: as a table they have one
-        blocks = _blocks(materialise(docs, "ppm-docs"), id_col, text_col)
-    count = partitions(spark, 1, 1)
-    shape = "kind string, block bigint, blob binary, tokens bigint, words bigint"
+        blocks, size = _blocks(materialise(docs, "ppm-docs"), id_col, text_col)
+    count = partitions(spark, size, PART_BYTES)
+    shape = "kind string, p bigint, block bigint, blob binary, tokens bigint, words bigint"
     counted = materialise(_gather(blocks, order, count).groupBy("kind", "p").applyInPandas(_reduce, shape), "ppm-counts")
-    trie = spark.sparkContext.broadcast(train_trie(counted.where("kind = 'g'").select(F.col("words").alias("n"), "blob"), order, max_nodes))
+    distinct_grams = counted.where("kind = 'g'").agg(F.sum("words")).first()[0] or 0
+    prices = materialise(_prices(counted.where("kind = 'g'"), order, count, partitions(spark, distinct_grams, max_nodes)), "ppm-prices")
     tokens, distinct = counted.where("kind = 'n'").agg(F.sum("tokens"), F.sum("words")).first()
     n, v = tokens or 0, distinct or 0
-    own = counted.where("kind = 'w'").select("block", "blob")
+    answers = prices.groupBy("p").cogroup(counted.where("kind = 'i'").select("p", "block", "blob").groupBy("p")).applyInPandas(_answer, "kind string, block bigint, blob binary")
+    own = counted.where("kind = 'w'").select("kind", "block", "blob").union(answers)
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        keys, counts = unpack(right.column("blob").to_pylist(), "<u8", "<i8")
+        held = list(zip(right.column("kind").to_pylist(), right.column("blob").to_pylist(), strict=True))
+        keys, counts = unpack([b for k, b in held if k == "w"], "<u8", "<i8")
         by = np.argsort(keys)
         keys, counts = keys[by], counts[by]
         logs = np.log10((counts + 1) / (n + v + 1))
         end = np.searchsorted(keys, END_TOKEN)
-        model, out = trie.value, []
+        model, out = Prices(*map(np.concatenate, _unpack_sorted([b for k, b in held if k == "g"], "<u8", "<f4")), order), []
         for batch in left.select(["body", "id", "held"]).to_batches():
             for piece in pieces(batch, 1 << 20):
                 data, offsets = buffers(piece.column(0))
