@@ -360,6 +360,35 @@ def test_unclosed_tags():
     assert html_text.extract("x < y & z <3", None) == html.unescape("x < y & z <3")
 
 
+def spread(*parts):
+    return "<html><body><nav><a href='/'>Home</a></nav><div class='hint'><p>See <a href='/'>all the other pages of ours</a></p></div>" + "".join(parts) + "<footer>end</footer></body></html>"
+
+
+SPREAD = {
+    "sections": ("<article><h1>Head</h1><p>short</p><section class='a'><p>" + "one " * 60 + "</p></section><section class='b'><p>" + "two " * 20 + "</p></section></article>", ["Head", "short", "one " * 60, "two " * 20]),
+    "equal divs": ("<main><div class='a'><p>" + "one " * 30 + "</p></div><div class='b'><p>" + "two " * 30 + "</p></div></main>", ["one " * 30, "two " * 30]),
+    "quote": ("<article><p>Before it.</p><blockquote><p>" + "said " * 50 + "</p></blockquote><p>After it.</p></article>", ["Before it.", "said " * 50, "After it."]),
+    "quote in a section": ("<div class='post'><p>Before it.</p><section><blockquote><p>" + "said " * 50 + "</p></blockquote></section></div>", ["Before it.", "said " * 50]),
+    "table": ("<div class='post'><p>Words.</p><table><tr><td>" + "cell " * 40 + "</td><td>b</td></tr></table></div>", ["Words.", "cell " * 40, "b"]),
+    "details": ("<section class='x'><p>Lead.</p><details><summary>More</summary><p>" + "deep " * 40 + "</p></details></section>", ["Lead.", "More", "deep " * 40]),
+}
+
+
+@pytest.mark.parametrize("name", SPREAD)
+def test_text_spread_over_containers(name):
+    page, want = SPREAD[name]
+    assert html_text.extract(spread(page), None).split("\n\n") == [x.strip() for x in want]
+
+
+def test_host_path_that_is_a_part_of_a_page(spark):
+    one = spread("<article><section class='a'><p>" + "one " * 30 + "</p></section></article>")
+    both = spread(SPREAD["sections"][0])
+    pages = [(i, "http://a.example.com/x", one) for i in range(4)] + [(7, "http://a.example.com/y", both)]
+    out = html_text.extract_pages(spark.createDataFrame(pages, "page_id long, url string, html string"))
+    got = {r.page_id: r.text.split("\n\n") for r in out.collect()}
+    assert got == {i: [("one " * 30).strip()] for i in range(4)} | {7: [x.strip() for x in SPREAD["sections"][1]]}
+
+
 # --- tokens -------------------------------------------------------------------------------
 def odd_texts():
     rng = random.Random(1)

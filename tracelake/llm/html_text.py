@@ -1,12 +1,14 @@
 """Main text of web pages by consensus of each host's pages.
 
-Every page scores its containers: text in paragraphs counts for the nearest
-containers above it, text in links against them.  A container has a
+Every page scores its containers: text counts for the nearest container above
+it, text in links against that one, and what a container has left over counts
+for all above it too.  The best is the lowest that holds most of the page's
+text, or the whole that it is a part of (see :func:`_score`).  A container has a
 generalised path of tags and classes without digits.  In Spark the pages of a
 host vote, each for the path of its best container; each page
 is then read again, and the text under the host's winning path is taken (under
-its own best container where it has no such path).  A host with any number of
-pages costs each task one row for a path.
+its own best container where it has no such path, or where that path is but a
+part of it).  A host with any number of pages costs each task one row for a path.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ BLOCKS = frozenset(
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 CONTAINERS = frozenset("article body div main section td blockquote center details".split())
+#: Containers that are parts of a text rather than all of it.
+PARTS = frozenset("blockquote center details section td".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Nothing under these is text of a page.
 HIDDEN = frozenset("head script style noscript template iframe object svg math canvas audio video select textarea button datalist title".split())
@@ -60,10 +64,12 @@ _SPACE = re.compile(r"\s+")
 class Node:
     """An open or closed element: its generalised path, and what it has been scored."""
 
-    __slots__ = ("tag", "path", "container", "score", "dropped", "linked")
+    __slots__ = ("tag", "path", "container", "above", "depth", "score", "dropped", "linked")
 
     def __init__(self, tag: str, path: str, container: "Node | None", dropped: bool, linked: bool):
         self.tag, self.path, self.container, self.score, self.dropped, self.linked = tag, path, container, 0.0, dropped, linked
+        #: Of a container: the next one above it, and how many are.
+        self.above, self.depth = None, 0
 
 
 def _attributes(raw: str) -> tuple[list[str], bool]:
@@ -129,6 +135,7 @@ def read_page(page: str) -> list[tuple[Node, str]]:
         dropped = top.dropped or hidden or tag in HIDDEN or tag in FURNITURE or (tag == "header" and not inside) or (tag not in ("html", "body", "article", "main") and not FURNITURE_WORDS.isdisjoint(words)) or (tag == "article" and "comment" in words)
         node = Node(tag, f"{top.path}/{tag}" + "".join(f".{w}" for w in words), top.container, dropped, top.linked or tag == "a")
         if tag in CONTAINERS:
+            node.above, node.depth = node.container, node.container.depth + 1
             node.container = node
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
@@ -140,20 +147,43 @@ def read_page(page: str) -> list[tuple[Node, str]]:
 
 
 def _score(runs: list[tuple[Node, str]]) -> Node | None:
-    """The best container: paragraphs' text for the nearest one, half of it for the one above."""
-    best, parents = None, {}
+    """The best container, with all text that it holds as its score.
+
+    Each container's own text, less twice its links', counts for it and for
+    all above it if there is any left.  The lowest container with more than
+    half of the page's text is where its main text lies; if that is a section,
+    a quote, a cell or the like, what encloses it is taken, if it holds more;
+    and so is the article (or else the main element) around it.
+    """
+    own: dict[Node, float] = {}
     for node, text in runs:
-        if text is None or not (size := len(text.strip())):
-            continue
-        gain = -2.0 * size if node.linked else float(size)
-        box = node.container
-        box.score += gain
-        if box not in parents:
-            parents[box] = box
-        if best is None or box.score > best.score:
-            best = box
-    boxes = [x for x in parents if x.score > 0]
-    return max(boxes, key=lambda x: x.score, default=None)
+        if text is not None and (size := len(text.strip())):
+            own[node.container] = own.get(node.container, 0.0) + (-2.0 * size if node.linked else float(size))
+    boxes: set[Node] = set()
+    for box, gain in own.items():
+        while gain > 0 and box is not None and box not in boxes:
+            box.score = max(0.0, own.get(box, 0.0))
+            boxes.add(box)
+            box = box.above
+    if not boxes:
+        return None
+    total = sum(x.score for x in boxes)
+    for box in sorted(boxes, key=lambda x: -x.depth):
+        if box.above is not None:
+            box.above.score += box.score
+    best = max((x for x in boxes if 2 * x.score > total), key=lambda x: x.depth)
+    whole = best
+    while whole.tag in PARTS:
+        whole = whole.above
+        if whole.score > best.score:
+            best = whole
+    for tag in ("article", "main"):
+        whole = best
+        while whole is not None and whole.tag != tag:
+            whole = whole.above
+        if whole is not None:
+            return whole if whole.score > best.score else best
+    return best
 
 
 def best_path(page: str) -> tuple[str, float] | None:
@@ -162,8 +192,16 @@ def best_path(page: str) -> tuple[str, float] | None:
 
 
 def extract(page: str, path: str | None) -> str:
-    """Text under ``path``, or under the page's best container if it has no text there."""
+    """Text under ``path``, or under the page's best container if it has no text there or that path is a part of it.
+
+    The body as a whole is no such container, unless the path's is a section, a quote, a cell or the like.
+    """
     runs = read_page(page)
+    best = _score(runs)
+    if path is not None and best is not None and path.startswith(best.path + "/"):
+        last = path.rpartition("/")[2].partition(".")[0]
+        if best.tag not in ("", "body") or last in PARTS:
+            path = best.path
 
     def under(own: str) -> list[str]:
         blocks, parts = [], []
@@ -178,7 +216,7 @@ def extract(page: str, path: str | None) -> str:
         return blocks
 
     found = under(path) if path is not None else []
-    if not found and (best := _score(runs)) is not None:
+    if not found and best is not None:
         found = under(best.path)
     return "\n\n".join(found)
 
