@@ -211,6 +211,15 @@ def test_ngram_join_with_long_lists(spark, monkeypatch):
     assert bag(tuple(r) for r in out.collect()) == component_want(rows)
 
 
+def test_pairs_of_a_list_of_many_blocks(monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", 2)
+    key = np.arange(140, dtype=np.int64)  # 70 blocks
+    blob = b"".join(x.tobytes() for x in (key, np.full(140, 50, np.int64), np.zeros(140, np.int64)))
+    rows = pa.Table.from_batches(ngram_join._spread_lists(iter([pa.RecordBatch.from_arrays([pa.array([blob])], names=["blob"])]))).to_pandas()
+    got = ngram_join._cross_pairs(80)(rows.assign(root=rows["key"]))
+    assert bag(zip(got["a"], got["b"], strict=True)) == bag((a, b) for b in range(140) for a in range(b))
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, x) for x in range(101, 140)] + [(7, 7)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}

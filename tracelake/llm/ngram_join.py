@@ -242,20 +242,19 @@ def _some_partner(n: np.ndarray, place: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _spread_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Members of long lists; a list of more than BLOCK members goes in pairs of blocks."""
+    """Members of long lists; a list of more than BLOCK members goes in pairs of blocks: its name, x and y."""
     for batch in batches:
         for blob in batch.column(0).to_pylist():
             m = len(blob) // 24
             key, n, place = (np.frombuffer(blob, "<i8", m, 8 * m * k) for k in range(3))
-            name = int.from_bytes(hashlib.blake2b(blob, digest_size=6).digest(), "little")
+            name = int.from_bytes(hashlib.blake2b(blob, digest_size=8).digest(), "little", signed=True)
             blocks = -(-m // BLOCK)
             for x in range(blocks):
                 for y in range(x, blocks):
                     i = np.unique(np.r_[x * BLOCK : min(m, (x + 1) * BLOCK), y * BLOCK : min(m, (y + 1) * BLOCK)])
                     side = (i // BLOCK != x).astype(np.int32)
-                    whole = np.full(len(i), x == y)
-                    run = np.full(len(i), name * 4096 % (1 << 62) + (x * 64 + y) % 4096)
-                    yield pa.RecordBatch.from_arrays([pa.array(run), pa.array(key[i]), pa.array(n[i]), pa.array(place[i]), pa.array(side), pa.array(whole)], names=["run", "key", "n", "place", "side", "whole"])
+                    run, left, right = (np.full(len(i), v, np.int64) for v in (name, x, y))
+                    yield pa.RecordBatch.from_arrays([pa.array(run), pa.array(left), pa.array(right), pa.array(key[i]), pa.array(n[i]), pa.array(place[i]), pa.array(side)], names=["run", "x", "y", "key", "n", "place", "side"])
 
 
 def _cross_pairs(percent: int):
@@ -263,16 +262,16 @@ def _cross_pairs(percent: int):
 
     def cross(group: pd.DataFrame) -> pd.DataFrame:
         found = [(np.zeros(0, np.int64),) * 4]
-        group = group.sort_values(["run", "side"], kind="stable")
-        for _, one in group.groupby("run", sort=False):
+        group = group.sort_values(["run", "x", "y", "side"], kind="stable")
+        for (_, left, right), one in group.groupby(["run", "x", "y"], sort=False):
             key, n, place, root, side = (one[c].to_numpy() for c in ("key", "n", "place", "root", "side"))
             if len(set(root.tolist())) < 2:
                 continue
-            cut = len(one) if one["whole"].iloc[0] else int((side == 0).sum())
-            rows, columns = (np.arange(len(one)),) * 2 if one["whole"].iloc[0] else (np.arange(cut), np.arange(cut, len(one)))
+            whole, cut = left == right, int((side == 0).sum())
+            rows, columns = (np.arange(len(one)),) * 2 if whole else (np.arange(cut), np.arange(cut, len(one)))
             for a in range(0, len(rows), 512):
                 r = rows[a : a + 512]
-                ok = may_link(n[r, None], place[r, None], n[None, columns], place[None, columns], percent) & (root[r, None] != root[None, columns]) & (key[r, None] < key[None, columns] if one["whole"].iloc[0] else True)
+                ok = may_link(n[r, None], place[r, None], n[None, columns], place[None, columns], percent) & (root[r, None] != root[None, columns]) & (key[r, None] < key[None, columns] if whole else True)
                 x, y = np.nonzero(ok)
                 found.append((key[r[x]], key[columns[y]], n[r[x]], n[columns[y]]))
         a, b, na, nb = _unique_pairs(*(np.concatenate(c) for c in zip(*found, strict=True)))
@@ -410,9 +409,9 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     roots = components(links)
     if not later.isEmpty():
         roots = materialise(roots, "join-roots")
-        members = later.mapInArrow(_spread_lists, "run bigint, key bigint, n bigint, place bigint, side int, whole boolean")
+        members = later.mapInArrow(_spread_lists, "run bigint, x bigint, y bigint, key bigint, n bigint, place bigint, side int")
         known = members.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-        crossed = known.withColumn("p", F.pmod(F.xxhash64("run"), F.lit(count))).groupBy("p").applyInPandas(_cross_pairs(percent), "a bigint, b bigint, na bigint, nb bigint")
+        crossed = known.withColumn("p", F.pmod(F.xxhash64("run", "x", "y"), F.lit(count))).groupBy("p").applyInPandas(_cross_pairs(percent), "a bigint, b bigint, na bigint, nb bigint")
         # what has been counted before needs no second look
         more = materialise(crossed.distinct().join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "join-more")
         if not more.isEmpty():
