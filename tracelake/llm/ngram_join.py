@@ -391,7 +391,9 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     one without words has an empty set and is linked with nothing.  Texts with
     equal sets are linked.  Repeated rows count each; a null id takes part and
     is never the least unless alone; other columns are left out, so none can
-    clash; an empty table gives an empty result.
+    clash; an empty table gives an empty result.  Links within a component are
+    not enumerated: pairs of a long list that are in one component already are
+    never counted.
     """
     spark: SparkSession = docs.sparkSession
     small_batches(spark)
