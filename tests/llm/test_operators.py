@@ -197,32 +197,61 @@ def test_ngram_join(spark, sf, rows):
     assert bag(tuple(r) for r in registry.QUERIES["op4_ngram_join"](spark, sf).collect()) == component_want(rows)
 
 
-def test_ngram_join_with_long_lists(spark, monkeypatch):
-    rng = random.Random(9)
-    base = prose(rng, 120).split()
-    rows = []
-    for i in range(70):
+def near_group(rng, n, words, changes, first=0):
+    base, rows = prose(rng, words).split(), []
+    for i in range(n):
         w = list(base)
-        for _ in range(rng.choice((0, 1, 2, 3, 4, 6))):
-            w[rng.randrange(120)] = f"w{rng.randrange(10**9)}"
-        rows.append((i, " ".join(w), "en", "s", 0))
-    monkeypatch.setattr(ngram_join, "BLOCK", 16)
-    out = ngram_join.similar_sets(spark.createDataFrame(rows, SHAPE))
+        for _ in range(rng.choice(changes)):
+            w[rng.randrange(words)] = f"w{rng.randrange(10**9)}"
+        rows.append((first + i, " ".join(w), "en", "s", 0))
+    return rows
+
+
+@pytest.mark.parametrize("hot,cell", [(4096, 512), (4096, 2), (8, 3), (2, 1)])
+def test_ngram_join_with_long_lists(spark, hot, cell):
+    rng = random.Random(9)
+    rows = near_group(rng, 60, 120, (0, 1, 2, 3, 4, 6)) + near_group(rng, 30, 14, (0, 1, 1, 2), 100)
+    out = ngram_join.similar_sets(spark.createDataFrame(rows, SHAPE), hot=hot, cell=cell)
     assert bag(tuple(r) for r in out.collect()) == component_want(rows)
 
 
-def test_pairs_of_a_list_of_many_blocks(monkeypatch):
-    monkeypatch.setattr(ngram_join, "BLOCK", 2)
-    key = np.arange(140, dtype=np.int64)  # 70 blocks
-    blob = b"".join(x.tobytes() for x in (key, np.full(140, 50, np.int64), np.zeros(140, np.int64)))
-    rows = pa.Table.from_batches(ngram_join._spread_lists(iter([pa.RecordBatch.from_arrays([pa.array([blob])], names=["blob"])]))).to_pandas()
-    got = ngram_join._cross_pairs(80)(rows.assign(root=rows["key"]))
-    assert bag(zip(got["a"], got["b"], strict=True)) == bag((a, b) for b in range(140) for a in range(b))
+@pytest.mark.parametrize("hot", [4096, 16])
+def test_ngram_join_over_very_many_cells(spark, hot):
+    """A list of 280 classes of which few link with its leader, in cells of two: over 66 of them."""
+    rng = random.Random(4)
+    shared, rows = prose(rng, 5), []
+    for k in range(140):  # pairs of near copies that all begin with the same shingle
+        own = [f"u{k}x{j}" for j in range(14)]
+        other = list(own)
+        other[-1] = f"v{k}"
+        rows += [(2 * k, f"{shared} {' '.join(own)}", "en", "s", 0), (2 * k + 1, f"{shared} {' '.join(other)}", "en", "s", 0)]
+    out = ngram_join.similar_sets(spark.createDataFrame(rows, SHAPE), hot=hot, cell=2)
+    assert bag(tuple(r) for r in out.collect()) == component_want(rows)
+
+
+@pytest.mark.parametrize("cell", [1, 2, 7])
+def test_cells_meet_two_by_two(spark, cell):
+    """All pairs of a list's members that are in different components and may link, each once."""
+    from tracelake.llm.shared import Scratch
+
+    rng = random.Random(1)
+    rows = [(7, k, rng.choice((40, 50, 60, 400)), rng.randrange(3), 0 if k < 60 else k // 3) for k in range(150)] + [(8, k, 50, 0, 5) for k in range(40)]
+    work = Scratch(spark)
+    placed, runs = ngram_join._cells(spark.createDataFrame(rows, "name long, key long, n long, place long, root long"), work, 80, cell)
+    assert placed.groupBy("name", "cell").count().agg(F.max("count")).first()[0] <= 60 and {r.name for r in placed.select("name").distinct().collect()} == {7}
+    if cell == 1:
+        assert placed.select("cell").distinct().count() > 66
+    got = bag((r.a, r.b) for r in ngram_join._across(placed, runs, 80, 5).collect())
+    one = [r for r in rows if r[0] == 7]
+    assert got == bag((x[1], y[1]) for y in one for x in one if x[1] < y[1] and x[4] != y[4] and ngram_join.may_link(x[2], x[3], y[2], y[3], 80))
 
 
 def test_components(spark):
+    from tracelake.llm.shared import Scratch
+
     edges = [(i, i + 1) for i in range(30)] + [(100, x) for x in range(101, 140)] + [(7, 7)]
-    got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    work = Scratch(spark)
+    got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long"), work).collect()}
     assert got == {i: 0 for i in range(31)} | {i: 100 for i in range(100, 140)}
 
 

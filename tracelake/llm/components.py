@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialise
+from .shared import Scratch
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -24,23 +24,31 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first())
 
 
-def components(links: DataFrame, rounds: int = 100) -> DataFrame:
+def components(links: DataFrame, work: Scratch, rounds: int = 100) -> DataFrame:
     """node, root (the component's least node) for every node that a link (columns a, b) touches.
 
     Each node is compared with the least of its neighbours, never with all of
     them at once; a node with very many neighbours is split by Spark's skew
     handling in the joins and combined before the shuffles of the minima.
+    ``work`` gets the result; the rounds' own tables are removed.
     """
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct()
-    edges = materialise(edges, "links")
+    held = Scratch(links.sparkSession)
+    edges = held.write(edges, "links")
     mark = _mark(edges)
     for _ in range(rounds):
         if not mark[0]:
             break
-        edges = materialise(_small(_large(edges)), "stars")
+        later = Scratch(links.sparkSession)
+        edges = later.write(_small(_large(edges)), "stars")
         before, mark = mark, _mark(edges)
+        held.clear()
+        held = later
         if mark == before:
             break
     else:
         raise RuntimeError("components did not settle")
-    return edges.select(F.col("hi").alias("node"), F.col("lo").alias("root")).union(edges.select("lo", "lo").distinct())
+    out = edges.select(F.col("hi").alias("node"), F.col("lo").alias("root")).union(edges.select("lo", "lo").distinct())
+    out = work.write(out, "roots")
+    held.clear()
+    return out

@@ -9,7 +9,11 @@ stands early in both.  Each class sends its prefix to inverted lists; in a
 list, pairs that pass the length and position filters are candidates.  In a
 list of many classes only pairs with its leader are tried at first, and pairs
 of classes that are still in different components later: a large group of
-near copies costs a few links each, not all its pairs.
+near copies costs a few links each, not all its pairs.  The list of a common
+n-gram is dealt in parts by a hash of n-gram and class, each with a leader of
+its own.  What is left for later is dealt by list, component and length into
+cells of a bounded size, and cells are compared two by two; lists within one
+component end before that.
 
 Counting: the global order is cut into fragments of equal mass.  The segment
 of a set in each fragment goes to that fragment's tasks, which count the
@@ -35,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import buffers, key_filter, materialise, mix, pack, partitions, passes, pieces, small_batches, tidy, unpack, word_hashes
+from .shared import Scratch, buffers, key_filter, materialise, mix, pack, partitions, passes, pieces, small_batches, tidy, unpack, word_hashes
 
 WIDTH = 5
 #: Similarity in hundredths.
@@ -44,8 +48,10 @@ ORDER_BITS, CHUNK_BITS = 22, 16
 FRAGMENTS = 8
 #: Lists up to this length give all their pairs at once.
 SHORT_LIST = 4
-#: Classes of a long list are compared in blocks of so many.
-BLOCK = 2048
+#: Documents that a hash bucket of n-grams has before its lists are dealt in parts of about so many.
+HOT = 4096
+#: Classes of a long list are compared in cells of about so many.
+CELL = 512
 #: Tokens of a task in the lists and in the fragments.
 TASK_TOKENS = 1_000_000
 
@@ -113,8 +119,8 @@ def _add_chunks(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"chunk": [int(group["chunk"].iloc[0])], "blob": [zlib.compress(total.tobytes(), 1)]})
 
 
-def _order(chunks: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Rank of each hash bucket in the global order, and the n-grams up to each rank."""
+def _order(chunks: DataFrame, hot: int) -> tuple[np.ndarray, np.ndarray, int, np.ndarray]:
+    """Rank of each hash bucket in the global order, the n-grams up to each rank, the first rank of more than ``hot`` documents, and into how many parts the lists from there on are dealt."""
     summed = chunks.groupBy("chunk", "salt").applyInPandas(_add_chunks, "chunk int, blob binary").groupBy("chunk").applyInPandas(_add_chunks, "chunk int, blob binary")
     counts = np.zeros((1 << ORDER_BITS - CHUNK_BITS, 1 << CHUNK_BITS), np.uint32)
     for row in summed.collect():  # 16 MB at most
@@ -123,7 +129,9 @@ def _order(chunks: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     by = np.argsort(counts, kind="stable")
     rank = np.empty(len(by), np.int32)
     rank[by] = np.arange(len(by), dtype=np.int32)
-    return rank, np.cumsum(counts[by].astype(np.int64))
+    counts = counts[by].astype(np.int64)
+    first = int(np.searchsorted(counts, hot, "right"))
+    return rank, np.cumsum(counts), first, (-(-counts[first:] // hot)).astype(np.uint32)
 
 
 def in_order(tokens: np.ndarray, rank: np.ndarray) -> np.ndarray:
@@ -141,9 +149,9 @@ def may_link(n1, i1, n2, i2, percent: int):
     return (np.minimum(n1, n2) * 100 >= np.maximum(n1, n2) * percent) & (np.minimum(n1 - i1, n2 - i2) >= need)
 
 
-def _postings(docs: DataFrame, text_col: str, rank, width: int, percent: int, count: int) -> DataFrame:
+def _postings(docs: DataFrame, text_col: str, rank, spread, width: int, percent: int, count: int) -> DataFrame:
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order, seen = rank.value, set()
+        order, (first, parts), seen = rank.value, spread.value, set()
         for batch in batches:
             for part in pieces(batch, 2 << 20):
                 toks, keys, sizes, places = [], [], [], []
@@ -165,7 +173,13 @@ def _postings(docs: DataFrame, text_col: str, rank, width: int, percent: int, co
                 key = np.repeat(np.array(keys, np.int64), lengths)
                 size = np.repeat(np.array(sizes, np.int32), lengths)
                 place = (np.arange(len(tok)) - np.repeat(np.cumsum(lengths) - lengths, lengths)).astype(np.int32)
-                rows = pack((mix(tok) % np.uint64(count)).astype(np.int64), count, tok, key, size, place)
+                # the lists of common n-grams in parts; -1 is a list that is whole
+                at = order[(tok >> np.uint64(64 - ORDER_BITS)).astype(np.int64)] - first
+                common = at >= 0
+                share = np.full(len(tok), -1, np.int32)
+                share[common] = mix(tok[common] ^ key[common].view(np.uint64)) % parts[at[common]]
+                home = mix(tok ^ (share + 1).astype(np.uint64) * _ODDS[0])
+                rows = pack((home % np.uint64(count)).astype(np.int64), count, tok, key, size, place, share)
                 yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.int64()), pa.array([b for _, b in rows], pa.binary())], names=["p", "blob"])
 
     return docs.select(F.col(text_col).alias("body")).mapInArrow(post, "p bigint, blob binary")
@@ -181,92 +195,120 @@ def _unique_pairs(a, b, na, nb) -> tuple[np.ndarray, ...]:
 
 
 def _lists(percent: int):
-    """Of one partition of the inverted lists: candidate pairs, and long lists for later."""
+    """Of one partition of the inverted lists: candidate pairs, and long lists for later (a: their name)."""
 
     def lists(group: pd.DataFrame) -> pd.DataFrame:
-        tok, key, size, place = unpack(list(group["blob"]), "<u8", "<i8", "<i4", "<i4")
-        by = np.lexsort((key, tok))
-        tok, key, size, place = tok[by], key[by], size[by], place[by]
-        fresh = np.r_[True, (tok[1:] != tok[:-1]) | (key[1:] != key[:-1])] if len(tok) else np.zeros(0, bool)
-        tok, key, size, place = tok[fresh], key[fresh], size[fresh].astype(np.int64), place[fresh].astype(np.int64)
-        starts = np.flatnonzero(np.r_[True, tok[1:] != tok[:-1]]) if len(tok) else np.zeros(0, np.int64)
+        tok, key, size, place, share = unpack(list(group["blob"]), "<u8", "<i8", "<i4", "<i4", "<i4")
+        by = np.lexsort((key, share, tok))
+        tok, key, size, place, share = tok[by], key[by], size[by], place[by], share[by]
+        starts = np.r_[True, (tok[1:] != tok[:-1]) | (share[1:] != share[:-1])] if len(tok) else np.zeros(0, bool)
+        fresh = starts.copy()
+        fresh[1:] |= key[1:] != key[:-1]
+        tok, key, size, place, share = tok[fresh], key[fresh], size[fresh].astype(np.int64), place[fresh].astype(np.int64), share[fresh]
+        starts = np.flatnonzero(starts[fresh])
         lengths = np.diff(np.r_[starts, len(tok)])
-        length = np.repeat(lengths, lengths)
+        length, run = np.repeat(lengths, lengths), np.repeat(np.arange(len(starts)), lengths)
         left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for d in range(1, SHORT_LIST):
-            i = np.flatnonzero((length[:-d] <= SHORT_LIST) & (tok[:-d] == tok[d:])) if len(tok) > d else np.zeros(0, np.int64)
+            i = np.flatnonzero((length[:-d] <= SHORT_LIST) & (run[:-d] == run[d:])) if len(tok) > d else np.zeros(0, np.int64)
             left.append(i)
             right.append(i + d)
-        later: dict[bytes, list[np.ndarray]] = {}
-        for s, m in zip(starts[lengths > SHORT_LIST].tolist(), lengths[lengths > SHORT_LIST].tolist(), strict=True):
+        later: dict[bytes, list] = {}
+        held: list[tuple] = []
+        for s, m in zip(starts.tolist(), lengths.tolist(), strict=True):
+            part = share[s] >= 0
+            if m <= SHORT_LIST and not part:
+                continue
             i = np.arange(s, s + m)
             # whoever has the fewest rarer n-grams of its own is likely the others' origin
             lead = s + int(np.lexsort((key[i], -size[i], place[i]))[0])
             others = i[i != lead]
-            left.append(np.full(len(others), lead))
-            right.append(others)
-            name = key[others].tobytes()
-            if name in later:
-                later[name][2] = np.minimum(later[name][2], place[others])
+            if m > SHORT_LIST:
+                left.append(np.full(len(others), lead))
+                right.append(others)
+            if part:  # its leader too has to meet the other parts
+                held.append((int(tok[s : s + 1].view(np.int64)[0]), key[i], size[i], place[i]))
+                continue
+            told = key[others].tobytes()
+            if told in later:
+                later[told][3] = np.minimum(later[told][3], place[others])
             else:
-                later[name] = [key[others], size[others], place[others]]
+                name = int.from_bytes(hashlib.blake2b(told, digest_size=8).digest(), "little", signed=True)
+                later[told] = [name, key[others], size[others], place[others]]
         i, j = np.concatenate(left), np.concatenate(right)
         ok = may_link(size[i], place[i], size[j], place[j], percent)
         a, b, na, nb = _unique_pairs(key[i[ok]], key[j[ok]], size[i[ok]], size[j[ok]])
         pairs = pd.DataFrame({"a": a, "b": b, "na": na, "nb": nb, "blob": [None] * len(a)})
-        held = []
-        for k, n, p in later.values():
-            some = _some_partner(n, p, percent)
-            if some.sum() > 1:
-                held.append(k[some].tobytes() + n[some].tobytes() + p[some].tobytes())
-        more = pd.DataFrame({"a": 0, "b": 0, "na": 0, "nb": 0, "blob": held}) if held else pairs[:0]
+        for name, k, n, p in later.values():
+            some = _some_partner(n, percent)
+            if some.any():
+                held.append((name, k[some], n[some], p[some]))
+        more = pd.DataFrame({"a": [x[0] for x in held], "b": 0, "na": 0, "nb": 0, "blob": [b"".join(c.tobytes() for c in x[1:]) for x in held]}) if held else pairs[:0]
         tidy()
         return pd.concat([pairs, more], ignore_index=True).astype({"a": "int64", "b": "int64", "na": "int64", "nb": "int64"})
 
     return lists
 
 
-def _some_partner(n: np.ndarray, place: np.ndarray, percent: int) -> np.ndarray:
-    """Members of a list that may link with another one by length and place."""
+def _some_partner(n: np.ndarray, percent: int) -> np.ndarray:
+    """Members of a list that may link with another one by their lengths: the next shorter or longer one is near enough."""
+    by = np.argsort(n, kind="stable")
+    near = n[by][:-1] * 100 >= n[by][1:] * percent
     out = np.zeros(len(n), bool)
-    for a in range(0, len(n), BLOCK):
-        rows = slice(a, a + BLOCK)
-        for b in range(a, len(n), BLOCK):
-            columns = slice(b, b + BLOCK)
-            ok = may_link(n[rows, None], place[rows, None], n[None, columns], place[None, columns], percent)
-            if a == b:
-                np.fill_diagonal(ok, False)
-            out[rows] |= ok.any(1)
-            out[columns] |= ok.any(0)
+    out[by[:-1]] |= near
+    out[by[1:]] |= near
     return out
 
 
 def _spread_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Members of long lists; a list of more than BLOCK members goes in pairs of blocks: its name, x and y."""
+    """Members of long lists: the list's name, key, n, place."""
     for batch in batches:
-        for blob in batch.column(0).to_pylist():
+        for name, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             m = len(blob) // 24
             key, n, place = (np.frombuffer(blob, "<i8", m, 8 * m * k) for k in range(3))
-            name = int.from_bytes(hashlib.blake2b(blob, digest_size=8).digest(), "little", signed=True)
-            blocks = -(-m // BLOCK)
-            for x in range(blocks):
-                for y in range(x, blocks):
-                    i = np.unique(np.r_[x * BLOCK : min(m, (x + 1) * BLOCK), y * BLOCK : min(m, (y + 1) * BLOCK)])
-                    side = (i // BLOCK != x).astype(np.int32)
-                    run, left, right = (np.full(len(i), v, np.int64) for v in (name, x, y))
-                    yield pa.RecordBatch.from_arrays([pa.array(run), pa.array(left), pa.array(right), pa.array(key[i]), pa.array(n[i]), pa.array(place[i]), pa.array(side)], names=["run", "x", "y", "key", "n", "place", "side"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(m, name, np.int64)), pa.array(key), pa.array(n), pa.array(place)], names=["name", "key", "n", "place"])
 
 
-def _cross_pairs(percent: int):
-    """Pairs of a list's members that are in different components."""
+def _cells(known: DataFrame, work: Scratch, percent: int, cell: int) -> tuple[DataFrame, DataFrame]:
+    """Members (name, key, n, place, root) of lists in several components with their cells, and the pairs of cells (name, x, y) to compare.
+
+    A cell holds about ``cell`` members of one list and one band of lengths:
+    of one component if that has more, else of whole components.
+    """
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)))
+    known = known.withColumn("band", band)
+    sums = work.write(known.groupBy("name", "root", "band").agg(F.count(F.lit(1)).alias("m")), "join-sums")
+    alive = sums.groupBy("name").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("name")
+    pools = sums.where(F.col("m") <= cell).groupBy("name", "band").agg(F.ceil(F.sum("m") / cell).alias("pool"))
+    plan = sums.join(alive, "name", "left_semi").join(pools, ["name", "band"], "left")
+    plan = work.write(plan.select("name", "root", "band", F.when(F.col("m") > cell, F.ceil(F.col("m") / cell)).alias("own"), "pool"), "join-cells")
+    alone = F.col("own").isNotNull()
+    part = F.when(alone, F.pmod(F.xxhash64("key"), F.col("own"))).otherwise(F.pmod(F.xxhash64("root"), F.col("pool")))
+    placed = known.join(plan, ["name", "root", "band"]).withColumn("alone", F.when(alone, F.col("root"))).withColumn("cell", F.xxhash64("band", "alone", part))
+    placed = work.write(placed.select("name", "key", "n", "place", "root", "cell", "alone"), "join-placed")
+    found = work.write(placed.groupBy("name", "cell").agg(F.min("alone").alias("alone"), F.min("n").alias("lo"), F.max("n").alias("hi")), "join-found")
+    a, b = found.alias("a"), found.alias("b")
+    other = F.coalesce(F.col("a.alone") != F.col("b.alone"), F.lit(True))
+    near = (F.col("a.lo") * percent <= F.col("b.hi") * 100) & (F.col("b.lo") * percent <= F.col("a.hi") * 100)
+    pairs = a.join(b, (F.col("a.name") == F.col("b.name")) & (F.col("a.cell") <= F.col("b.cell")) & other & near)
+    return placed, work.write(pairs.select(F.col("a.name").alias("name"), F.col("a.cell").alias("x"), F.col("b.cell").alias("y")), "join-runs")
+
+
+def _across(placed: DataFrame, runs: DataFrame, percent: int, count: int) -> DataFrame:
+    """Candidate pairs of members of two cells that are in different components."""
+    columns = ("name", "x", "y", "key", "n", "place", "root")
+    left = placed.withColumnRenamed("cell", "x").join(runs, ["name", "x"]).select(*columns, F.lit(0).alias("side"))
+    right = placed.withColumnRenamed("cell", "y").join(runs.where("x <> y"), ["name", "y"]).select(*columns, F.lit(1).alias("side"))
+    dealt = left.union(right).withColumn("p", F.pmod(F.xxhash64("name", "x", "y"), F.lit(count)))
+    return dealt.groupBy("p").applyInPandas(_cross_pairs(percent), "a bigint, b bigint, na bigint, nb bigint")
+
 
+def _cross_pairs(percent: int):
     def cross(group: pd.DataFrame) -> pd.DataFrame:
         found = [(np.zeros(0, np.int64),) * 4]
-        group = group.sort_values(["run", "x", "y", "side"], kind="stable")
-        for (_, left, right), one in group.groupby(["run", "x", "y"], sort=False):
+        group = group.sort_values(["name", "x", "y", "side"], kind="stable")
+        for (_, left, right), one in group.groupby(["name", "x", "y"], sort=False):
             key, n, place, root, side = (one[c].to_numpy() for c in ("key", "n", "place", "root", "side"))
-            if len(set(root.tolist())) < 2:
-                continue
             whole, cut = left == right, int((side == 0).sum())
             rows, columns = (np.arange(len(one)),) * 2 if whole else (np.arange(cut), np.arange(cut, len(one)))
             for a in range(0, len(rows), 512):
@@ -383,7 +425,7 @@ def _overlaps(docs: DataFrame, text_col: str, pairs: DataFrame, rank, mass: np.n
     return summed.join(sizes, ["a", "b"]).where(F.col("n") * (100 + percent) >= F.col("size") * percent).select("a", "b")
 
 
-def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT, hot: int = HOT, cell: int = CELL) -> DataFrame:
     """Per row: id, ``n_shingles``, ``component_id`` (the least id reachable by links, its own included).
 
     Words are cut at ASCII white space, A-Z count as a-z.  A text of fewer
@@ -393,34 +435,39 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     is never the least unless alone; other columns are left out, so none can
     clash; an empty table gives an empty result.  Links within a component are
     not enumerated: pairs of a long list that are in one component already are
-    never counted.
+    never counted.  ``hot`` and ``cell`` set how work is dealt, and change no
+    result.
     """
     spark: SparkSession = docs.sparkSession
     small_batches(spark)
+    work = Scratch(spark)
     docs = docs.select(F.col(f"`{id_col}`").alias(id_col), F.col(f"`{text_col}`").alias(text_col))
-    survey = materialise(_survey(docs, id_col, text_col, width), "join-survey")
+    survey = work.write(_survey(docs, id_col, text_col, width), "join-survey")
     rows = survey.where("chunk IS NULL").select("id", "n", "key")
-    order, mass = _order(survey.where("chunk IS NOT NULL").select("chunk", "salt", "blob"))
-    rank = spark.sparkContext.broadcast(order)
+    order, mass, first, parts = _order(survey.where("chunk IS NOT NULL").select("chunk", "salt", "blob"), hot)
+    rank, spread = spark.sparkContext.broadcast(order), spark.sparkContext.broadcast((first, parts))
     count = partitions(spark, float(mass[-1]) * (100 - percent) / 100, TASK_TOKENS)
-    lists = _postings(docs, text_col, rank, width, percent, count).repartition(count, "p").groupBy("p")
-    candidates = materialise(lists.applyInPandas(_lists(percent), "a bigint, b bigint, na bigint, nb bigint, blob binary"), "join-lists")
-    pairs = materialise(candidates.where("blob IS NULL").select("a", "b", "na", "nb").distinct(), "join-pairs")
-    links = materialise(_overlaps(docs, text_col, pairs, rank, mass, width, percent), "join-links")
-    later = candidates.where("blob IS NOT NULL").select("blob").distinct()
-    roots = components(links)
+    lists = _postings(docs, text_col, rank, spread, width, percent, count).repartition(count, "p").groupBy("p")
+    candidates = work.write(lists.applyInPandas(_lists(percent), "a bigint, b bigint, na bigint, nb bigint, blob binary"), "join-lists")
+    pairs = work.write(candidates.where("blob IS NULL").select("a", "b", "na", "nb").distinct(), "join-pairs")
+    links = work.write(_overlaps(docs, text_col, pairs, rank, mass, width, percent), "join-links")
+    later = candidates.where("blob IS NOT NULL").select("a", "blob").distinct()
+    roots = components(links, work)
     if not later.isEmpty():
-        roots = materialise(roots, "join-roots")
-        members = later.mapInArrow(_spread_lists, "run bigint, x bigint, y bigint, key bigint, n bigint, place bigint, side int")
+        members = later.mapInArrow(_spread_lists, "name bigint, key bigint, n bigint, place bigint")
         known = members.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-        crossed = known.withColumn("p", F.pmod(F.xxhash64("run", "x", "y"), F.lit(count))).groupBy("p").applyInPandas(_cross_pairs(percent), "a bigint, b bigint, na bigint, nb bigint")
-        # what has been counted before needs no second look
-        more = materialise(crossed.distinct().join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "join-more")
-        if not more.isEmpty():
-            roots = components(links.union(_overlaps(docs, text_col, more, rank, mass, width, percent)))
+        placed, runs = _cells(work.write(known, "join-members"), work, percent, cell)
+        if not runs.isEmpty():
+            # what has been counted before needs no second look
+            more = _across(placed, runs, percent, count).distinct().join(pairs.select("a", "b"), ["a", "b"], "left_anti")
+            more = work.write(more, "join-more")
+            if not more.isEmpty():
+                roots = components(links.union(_overlaps(docs, text_col, more, rank, mass, width, percent)), work)
     named = rows.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").select("id", "n", F.coalesce("root", "key").alias("root"))
     named = materialise(named, "join-named")
-    least = named.where("root IS NOT NULL").groupBy("root").agg(F.min("id").alias("least"))
+    # a table of its own, so that Spark can split the rows of a large component in the join
+    least = materialise(named.where("root IS NOT NULL").groupBy("root").agg(F.min("id").alias("least")), "join-least")
+    work.clear()
     out = named.join(least, "root", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"))
 
