@@ -6,9 +6,14 @@ retains the stable identifier of the row that stays, a locator of that row's
 content (file and row number) and the number of rows seen.  Map tasks combine
 a digest's rows before the shuffle, so one large group of copies costs each
 task one row.  A later run over new files of the same folder goes on from the
-checkpoint.  Hits (digests seen twice or more) are then checked byte by byte
-against the content of the row that stays; rows whose bytes differ although
-their digests agree form groups of their own.
+checkpoint.
+
+Hits (digests seen twice or more) are then checked by all their bytes.  A
+second scan writes each row's digest and place, with its content if the digest
+is a hit.  The contents that the locators point at are taken from it, and each
+task's distinct contents of the other hits are compared with them: a large
+group of copies again costs each task one row.  Rows whose bytes differ
+although their digests agree form groups of their own.
 """
 
 from __future__ import annotations
@@ -16,10 +21,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import key_filter, materialise, passes, shared_path
+from .shared import Scratch, key_filter, materialise, passes, shared_path
 
 _STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -32,6 +38,11 @@ def sha256_of(text: Column) -> Column:
     return F.sha2(F.coalesce(text, F.lit("")), 256)
 
 
+def place_of() -> Column:
+    """A row's locator: its file and number there, as a long."""
+    return F.xxhash64("_metadata.file_path", "_metadata.row_index")
+
+
 def digest_state(stream: DataFrame, id_col: str, text_col: str, digest=sha256_of) -> DataFrame:
     """Streaming aggregate: digest, keep (id and locator of the row with the largest id), n."""
     rows = stream.select(
@@ -42,7 +53,7 @@ def digest_state(stream: DataFrame, id_col: str, text_col: str, digest=sha256_of
 
 
 def run_stream(spark: SparkSession, path: str, schema, id_col: str, text_col: str, digest=sha256_of, at: str | None = None, bytes_per_trigger: int = 64 << 30) -> DataFrame:
-    """Drains the files under ``path`` through the state; returns one row per digest.
+    """Drains the files under ``path`` through the state; returns one row per digest: keep_id, keep_place, n.
 
     ``at`` is the folder of checkpoint and output; the same folder goes on
     from its state (files already seen are not read again).
@@ -81,22 +92,54 @@ def run_stream(spark: SparkSession, path: str, schema, id_col: str, text_col: st
     except Exception as e:  # an empty folder has no batch: no documents at all
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        return spark.createDataFrame([], "digest string, keep_id " + kind + ", n bigint")
+        return spark.createDataFrame([], f"digest string, keep_id {kind}, keep_place bigint, n bigint")
     # a digest's last batch holds its state
     last = found.groupBy("digest").agg(F.max_by(F.struct("keep", "n"), "batch").alias("s"))
-    return last.select("digest", F.col("s.keep.id").alias("keep_id"), F.col("s.n").alias("n"))
+    return last.select("digest", F.col("s.keep.id").alias("keep_id"), F.xxhash64("s.keep.file", "s.keep.row").alias("keep_place"), F.col("s.n").alias("n"))
 
 
-def _like_hits(keyed: DataFrame, bits) -> DataFrame:
-    """Rows (id, digest, body) whose digest the filter may hold."""
-    held = keyed.sparkSession.sparkContext.broadcast(bits)
+def _scan(docs: DataFrame, hits: DataFrame) -> DataFrame:
+    """Rows (id, digest, body, place) without the bodies that are no hits', and ``stays``: what a locator may point at."""
+    context = docs.sparkSession.sparkContext
+    digests = context.broadcast(key_filter(hits.select(F.xxhash64("digest").alias("key"))))
+    places = context.broadcast(key_filter(hits.select("keep_place")))
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.select(["id", "digest", "body"]).filter(pa.array(passes(held.value, batch.column("key").to_numpy())))
+            hit = pa.array(passes(digests.value, batch.column("key").to_numpy()))
+            body = pc.if_else(hit, batch.column("body"), pa.scalar(None, batch.schema.field("body").type))
+            stays = pc.and_(hit, pa.array(passes(places.value, batch.column("place").to_numpy())))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("digest"), body, batch.column("place"), stays], names=["id", "digest", "body", "place", "stays"])
 
-    shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in keyed.schema)
-    return keyed.withColumn("key", F.xxhash64("digest")).mapInArrow(pick, shape)
+    shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema)
+    return docs.withColumn("key", F.xxhash64("digest")).mapInArrow(pick, f"{shape}, stays boolean")
+
+
+def _verdicts(spark: SparkSession, path: str, id_col: str, text_col: str, digest) -> DataFrame:
+    """Per row of the table at ``path``: id, digest, place, keep_id, keep_place, n."""
+    docs = spark.read.parquet(path)
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), digest(F.col(f"`{text_col}`")).alias("digest"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("body"), place_of().alias("place"))
+    docs = docs.select(F.col(f"`{id_col}`").alias(id_col), F.col(f"`{text_col}`").alias(text_col))
+    work = Scratch(spark)
+    state = materialise(run_stream(spark, path, docs.schema, id_col, text_col, digest), "dedup-state")
+    hits = state.where("n > 1").select("digest", "keep_place")
+    scan = materialise(_scan(rows, hits), "dedup-scan")
+    held = scan.where("body IS NOT NULL")
+    kept = held.where("stays").join(hits, (held["digest"] == hits["digest"]) & (F.col("place") == F.col("keep_place"))).select(hits["digest"], F.col("body").alias("keep_body"))
+    kept = work.write(kept, "dedup-kept")
+    odd = held.select("digest", "body").distinct().join(kept, "digest").where("body <> keep_body").select("digest").distinct()
+    odd = work.write(odd, "dedup-odd")
+    whole = scan.select("id", "digest", "place").join(state, "digest")
+    if odd.isEmpty():
+        work.clear()
+        return whole
+    # digests that stand for several texts: group their rows by all bytes
+    broken = materialise(odd, "dedup-broken")
+    work.clear()
+    several = held.join(broken, "digest", "left_semi")
+    groups = several.groupBy("digest", "body").agg(F.max(F.struct("id", "place")).alias("keep"), F.count(F.lit(1)).alias("n"))
+    split = several.join(groups, ["digest", "body"]).select("id", "digest", "place", F.col("keep.id").alias("keep_id"), F.col("keep.place").alias("keep_place"), "n")
+    return whole.join(broken, "digest", "left_anti").unionByName(split)
 
 
 def exact_dedup(spark: SparkSession, path: str, id_col: str = "doc_id", text_col: str = "text", digest=sha256_of) -> DataFrame:
@@ -109,48 +152,23 @@ def exact_dedup(spark: SparkSession, path: str, id_col: str = "doc_id", text_col
     ``digest`` may be any function of the text: rows that collide are told
     apart by their bytes.
     """
-    docs = spark.read.parquet(path)
-    docs = docs.select(F.col(f"`{id_col}`").alias(id_col), F.col(f"`{text_col}`").alias(text_col))
-    state = materialise(run_stream(spark, path, docs.schema, id_col, text_col, digest), "dedup-state")
-    light = docs.select(F.col(id_col).alias("id"), digest(F.col(text_col)).alias("digest"))
-    hits = state.where("n > 1")
-    # contents of hits alone leave the map tasks; a filter of a fixed size tells them from most other rows
-    spark_keys = hits.select(F.xxhash64("digest").alias("key"))
-    keyed = _like_hits(docs.select(F.col(id_col).alias("id"), digest(F.col(text_col)).alias("digest"), F.coalesce(F.col(text_col), F.lit("")).alias("body")), key_filter(spark_keys))
-    # the content of the rows that stay
-    kept = (
-        keyed.alias("k")
-        .join(hits.alias("h"), (F.col("k.digest") == F.col("h.digest")) & F.col("k.id").eqNullSafe(F.col("h.keep_id")))
-        .groupBy(F.col("k.digest").alias("digest"))
-        .agg(F.max("k.body").alias("keep_body"))
-    )
-    checked = keyed.join(hits.join(kept, "digest"), "digest").where(F.col("body") != F.col("keep_body")).select("id", "digest", "body")
-    odd = materialise(checked, "dedup-odd")
-    whole = light.join(state, "digest").select("id", "digest", "keep_id", "n")
-    if odd.isEmpty():
-        return whole.select(F.col("id").alias(id_col), "digest", "keep_id", F.col("n").alias("group_size"))
-    # digests that stand for several texts: group their rows by all bytes
-    broken = odd.select("digest").distinct()
-    rows = keyed.join(broken, "digest", "left_semi")
-    groups = rows.groupBy("digest", "body").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
-    split = rows.join(groups, ["digest", "body"]).select("id", "digest", "keep_id", "n")
-    out = whole.join(broken, "digest", "left_anti").unionByName(split)
+    out = _verdicts(spark, path, id_col, text_col, digest)
     return out.select(F.col("id").alias(id_col), "digest", "keep_id", F.col("n").alias("group_size"))
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that do not stay; all columns as they are.
 
-    Of rows with one id and one text the first that comes stays.
+    Of rows with one id and one text one stays.  Nulls, empty texts and empty
+    tables are treated as in :func:`exact_dedup`.
     """
     spark = docs.sparkSession
     path = shared_path(spark, "dedup-input")
-    docs.select(F.col(f"`{id_col}`").alias(id_col), F.col(f"`{text_col}`").alias(text_col)).write.parquet(path)
-    verdict = exact_dedup(spark, path, id_col, text_col)
-    stay = verdict.where(F.col(id_col).eqNullSafe(F.col("keep_id"))).select(F.col(id_col).alias("__id"), F.col("digest").alias("__digest")).distinct()
-    keyed = docs.withColumn("__text_digest", sha256_of(F.col(f"`{text_col}`")))
-    kept = keyed.join(stay, (F.col("__text_digest") == F.col("__digest")) & F.col(f"`{id_col}`").eqNullSafe(F.col("__id")), "left_semi")
-    return kept.dropDuplicates([id_col, "__text_digest"]).select(*(F.col(f"`{c}`") for c in docs.columns))
+    docs.write.parquet(path)
+    found = _verdicts(spark, path, id_col, text_col, sha256_of)
+    stay = found.where("place = keep_place").select(F.col("place").alias("__stays"))
+    rows = spark.read.schema(docs.schema).parquet(path).withColumn("__place", place_of())
+    return rows.join(stay, F.col("__place") == F.col("__stays"), "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op3_exact_dedup(spark, sf_dir) -> DataFrame:
