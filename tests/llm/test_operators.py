@@ -502,13 +502,22 @@ def test_repeats(spark, sf, rows):
     assert {r.doc_id: {"all": r.spans, "drop": r.drop_spans} for r in out.collect()} == repeat_want(rows)
 
 
-def test_repeats_in_rounds(spark, sf, rows, monkeypatch):
-    monkeypatch.setattr(repeats, "FILTER_KEYS", 10)
-    monkeypatch.setattr(repeats, "BUFFER", 64)
-    out = repeats.repeated_passages(spark.read.parquet(f"{sf}/documents.parquet"))
+@pytest.mark.parametrize("hot,buffer", [(0, 64), (6, 20_000), (6, 16)])
+def test_repeats_of_common_grams(spark, sf, rows, hot, buffer):
+    out = repeats.repeated_passages(spark.read.parquet(f"{sf}/documents.parquet"), hot=hot, buffer=buffer)
     assert {r.doc_id: {"all": r.spans, "drop": r.drop_spans} for r in out.collect()} == repeat_want(rows)
 
 
+def test_common_passage_in_differing_surroundings(spark):
+    rng = random.Random(8)
+    passage = prose(rng, 55)
+    rows = [(i, f"{prose(rng, rng.choice((0, 20, 60)))} {passage} {prose(rng, rng.choice((0, 10, 60)))}", "en", "s", 0) for i in range(60)]
+    rows += rows[:3] + [(100 + i, rows[i][1], "en", "s", 0) for i in range(5)]
+    for hot in (4096, 10):
+        out = repeats.repeated_passages(spark.createDataFrame(rows, SHAPE).repartition(5), hot=hot, buffer=32)
+        assert {r.doc_id: {"all": r.spans, "drop": r.drop_spans} for r in out.collect()} == repeat_want(rows)
+
+
 def test_cut_passages(spark):
     rng = random.Random(3)
     a, b, c = prose(rng, 60), prose(rng, 70), prose(rng, 55)

@@ -14,7 +14,14 @@ what it shares.
 
 Suffixes with equal surroundings are combined in each task: all but that of
 the least document are settled there, so a passage in very many documents
-costs each task one row.
+costs each task one row.  A gram in very many places whose surroundings differ
+would still make one large group: its windows go one by one through Spark's
+aggregation (least and greatest document per window, combined in each task)
+and a join, which Spark splits where one window is common.
+
+Both passes read each text once, at any size.  The filter of repeated grams
+between them has a fixed size; with very many of them it lets more suffixes
+through that match nothing, and no result depends on it.
 """
 
 from __future__ import annotations
@@ -27,12 +34,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import buffers, key_filter, materialise, mix, pack, partitions, passes, pieces, small_batches, tidy, unpack, word_hashes
+from .shared import FILTER_BITS, Scratch, buffers, key_filter, materialise, mix, pack, partitions, passes, pieces, powers, small_batches, tidy, unpack, word_hashes
 
 MIN_WORDS = 50
 KGRAM = 16
-#: Repeated grams that one filter holds; beyond that the second pass goes in rounds over the hash range.
-FILTER_KEYS = 8_000_000
+#: Places of a gram from which on its windows are matched one by one.
+HOT = 4096
+#: Text for each partition of the grams, suffixes of a partition in bytes, and places for each partition of the documents.
+GRAM_BYTES, SUFFIX_BYTES, SPANS = 256 << 20, 64 << 20, 1_000_000
 #: Suffixes that a task combines at once.
 BUFFER = 20_000
 
@@ -96,23 +105,28 @@ def _gram_rows(count: int, min_words: int, kgram: int):
     return rows
 
 
-def _ends(grams: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _ends(grams: np.ndarray, low: np.ndarray, high: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
     by = np.argsort(grams, kind="stable")
-    grams, low, high = grams[by], low[by], high[by]
+    grams, low, high, n = grams[by], low[by], high[by], n[by]
     first = np.flatnonzero(np.r_[True, grams[1:] != grams[:-1]]) if len(grams) else np.zeros(0, np.int64)
     if not len(first):
-        return grams, low, high
-    return grams[first], np.minimum.reduceat(low, first), np.maximum.reduceat(high, first)
+        return grams, low, high, n
+    return grams[first], np.minimum.reduceat(low, first), np.maximum.reduceat(high, first), np.add.reduceat(n, first)
 
 
 def _pack_ends(grams: np.ndarray, docs: np.ndarray, count: int) -> list[tuple[int, bytes]]:
-    grams, low, high = _ends(grams, docs, docs)
-    return pack((mix(grams) % np.uint64(count)).astype(np.int64), count, grams, low, high)
+    grams, *ends = _ends(grams, docs, docs, np.ones(len(docs), np.int64))
+    return pack((mix(grams) % np.uint64(count)).astype(np.int64), count, grams, *ends)
 
 
 def _repeated(group: pd.DataFrame) -> pd.DataFrame:
-    grams, low, high = _ends(*unpack(list(group["blob"]), "<u8", "<i8", "<i8"))
-    return pd.DataFrame({"key": grams[low != high].view(np.int64)})
+    """Grams of more than one document and their places, and the places of all grams (no key)."""
+    grams, low, high, n = _ends(*unpack(list(group["blob"]), "<u8", "<i8", "<i8", "<i8"))
+    several = low != high
+    keys = pd.array(np.r_[grams[several].view(np.int64), 0], dtype="Int64")
+    keys[-1] = pd.NA
+    tidy()
+    return pd.DataFrame({"key": keys, "n": np.r_[n[several], n.sum()]})
 
 
 def _windows(group_keys: np.ndarray, docs: np.ndarray, known: np.ndarray, pos: np.ndarray, size: np.ndarray, around: np.ndarray, min_words: int, left: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -161,10 +175,23 @@ def _spans(docs: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.nda
     return docs[at], begin[at], (reach - place * wide)[np.r_[at[1:], len(docs)] - 1]
 
 
-def _suffix_rows(count: int, parts: int, min_words: int, kgram: int, needed, rounds: int, turn: int):
-    """Suffixes by partition of their gram (kind 0), and spans settled here by partition of their document (kind 1)."""
+def _suffix_rows(count: int, parts: int, min_words: int, kgram: int, needed, hot, buffer: int):
+    """Suffixes by partition of their gram (kind 0), spans settled here by partition of their document (kind 1), windows of common grams (kind 2)."""
     left = min_words - kgram
     width = left + min_words
+    base = int(_ODDS[0])
+    forward, backward = powers(base, width), powers(pow(base, -1, 1 << 64), width)
+
+    def windows(doc, pos, size, around, known) -> bytes:
+        """Each window over these suffixes' grams: hash, document, first word, whether another document has it for sure."""
+        sums = np.zeros((len(doc), width + 1), np.uint64)
+        np.cumsum(mix(around.astype(np.uint64)) * forward, axis=1, out=sums[:, 1:])
+        out = []
+        for l in range(left + 1):  # noqa: E741
+            i = np.flatnonzero((pos >= l) & (pos - l + min_words <= size))
+            key = mix((sums[i, left - l + min_words] - sums[i, left - l]) * backward[left - l])
+            out.append((key, doc[i], pos[i] - l, known[i].astype(np.int64)))
+        return b"".join(np.concatenate(c).tobytes() for c in zip(*out, strict=True))
 
     def settle(held: list[tuple]) -> list[tuple[int, int, bytes]]:
         gram, doc, pos, size, around = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -190,6 +217,9 @@ def _suffix_rows(count: int, parts: int, min_words: int, kgram: int, needed, rou
         stay = ~done
         known = np.repeat(more, length)[stay].astype(np.uint8)
         gram, doc, pos, size, around = (x[stay] for x in (gram, doc, pos, size, around))
+        if hot is not None and (common := passes(hot.value, gram)).any():
+            rows.append((2, 0, windows(*(x[common] for x in (doc, pos, size, around, known)))))
+            gram, doc, pos, size, around, known = (x[~common] for x in (gram, doc, pos, size, around, known))
         to = (mix(gram) % np.uint64(count)).astype(np.int64)
         by = np.argsort(to, kind="stable")
         bounds = np.searchsorted(to[by], np.arange(count + 1))
@@ -208,21 +238,21 @@ def _suffix_rows(count: int, parts: int, min_words: int, kgram: int, needed, rou
             for part in pieces(batch, 1 << 20):
                 ids, words, first = _texts(part)
                 at, grams = retained(words, first, min_words, kgram)
-                wanted = passes(bits, grams) & (grams % np.uint64(rounds) == turn)
+                wanted = passes(bits, grams)
                 at, grams = at[wanted], grams[wanted]
                 if not len(at):
                     continue
                 row = np.searchsorted(first, at, "right") - 1
                 low, high = first[row], first[row + 1]
                 short = (words >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
-                for a in range(0, len(at), BUFFER):
-                    s = slice(a, a + BUFFER)
+                for a in range(0, len(at), buffer):
+                    s = slice(a, a + buffer)
                     i = at[s, None] + np.arange(-left, min_words)[None, :]
                     inside = (i >= low[s, None]) & (i < high[s, None])
                     around = np.where(inside, short[np.clip(i, 0, len(short) - 1)], np.uint32(0))
                     held.append((grams[s], ids[row[s]], at[s] - low[s], high[s] - low[s], around))
                     n += len(around)
-                    if n >= BUFFER:
+                    if n >= buffer:
                         yield emit(settle(held))
                         held, n = [], 0
         if held:
@@ -283,7 +313,35 @@ def _gather(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"id": spans.index.astype("int64"), "spans": spans.to_numpy(), "drop_spans": [x if isinstance(x, list) else [] for x in drops]})
 
 
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, kgram: int = KGRAM) -> DataFrame:
+def _common_spans(rows: DataFrame, parts: int, min_words: int, work: Scratch) -> DataFrame:
+    """Spans by partition of their document, of windows over common grams (blobs of kind 2)."""
+
+    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for blob in batch.column(0).to_pylist():
+                columns = unpack([blob], "<i8", "<i8", "<i8", "<i8")
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["w", "id", "begin", "known"])
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc, begin, late = (batch.column(i).to_numpy() for i in range(3))
+            found = []
+            for dropped in (0, 1):
+                some = late == dropped
+                d, b, e = _spans(doc[some], begin[some], begin[some] + min_words)
+                found.append((d, b, e, np.full(len(d), dropped, np.int64)))
+            d, b, e, f = (np.concatenate(x) for x in zip(*found, strict=True))
+            out = pack((mix(d.view(np.uint64)) % np.uint64(parts)).astype(np.int64), parts, d, b, e, f)
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.int64()), pa.array([x for _, x in out], pa.binary())], names=["p", "blob"])
+
+    windows = rows.mapInArrow(unpacked, "w bigint, id bigint, begin bigint, known bigint")
+    ends = windows.groupBy("w").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.max("known").alias("known"))
+    ends = work.write(ends.where("low <> high OR known = 1").select("w", "low"), "repeat-windows")
+    late = (F.col("id") != F.col("low")).cast("long")
+    return work.write(windows.join(ends, "w").select("id", "begin", late.alias("late")).mapInArrow(packed, "p bigint, blob binary"), "repeat-common")
+
+
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, kgram: int = KGRAM, hot: int = HOT, buffer: int = BUFFER) -> DataFrame:
     """Documents that share a passage of ``min_words`` words or more with another one.
 
     Per such document: id, ``spans`` (arrays [first word, end word) of all it
@@ -293,26 +351,33 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     repeat only themselves and rows that repeat an id with the same text are
     not reported; a null id counts as one document, the least.  Ids are
     integers.  Other columns are left out, so none can clash; an empty table
-    gives an empty result.
+    gives an empty result.  ``hot`` and ``buffer`` set how work is dealt, and
+    change no result.
     """
     spark: SparkSession = docs.sparkSession
     small_batches(spark)
+    work = Scratch(spark)
     kind = docs.schema[id_col].dataType.simpleString()
     null_id = -(1 << 63)
     rows = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(null_id)).alias("id"), F.col(f"`{text_col}`").alias("body"))
-    count = parts = partitions(spark, 1, 1)
+    size = rows.agg(F.sum(F.octet_length("body"))).first()[0] or 0
+    count = partitions(spark, size, GRAM_BYTES)
     grams = rows.mapInArrow(_gram_rows(count, min_words, kgram), "p bigint, blob binary")
-    keys = materialise(grams.groupBy("p").applyInPandas(_repeated, "key bigint"), "repeat-grams")
-    n = keys.count()
-    rounds = max(1, -(-n // FILTER_KEYS))
-    found = None
-    for turn in range(rounds):
-        needed = spark.sparkContext.broadcast(key_filter(keys.where(F.pmod("key", F.lit(rounds)) == turn) if rounds > 1 else keys))
-        suffixes = materialise(rows.mapInArrow(_suffix_rows(count, parts, min_words, kgram, needed, rounds, turn), "kind int, p bigint, blob binary"), "repeat-suffixes")
-        matched = suffixes.where("kind = 0").groupBy("p").applyInPandas(_match(parts, min_words, kgram), "p bigint, blob binary")
-        one = matched.union(suffixes.where("kind = 1").select("p", "blob"))
-        found = one if found is None else found.union(one)
-    out = found.groupBy("p").applyInPandas(_gather, "id bigint, spans array<array<bigint>>, drop_spans array<array<bigint>>")
+    found = work.write(grams.groupBy("p").applyInPandas(_repeated, "key bigint, n bigint"), "repeat-grams")
+    keys = found.where("key IS NOT NULL")
+    known, places, common, total = found.agg(F.count("key"), F.sum(F.when(F.col("key").isNotNull(), F.col("n"))), F.count_if(F.col("key").isNotNull() & (F.col("n") > hot)), F.sum(F.when(F.col("key").isNull(), F.col("n")))).first()
+    # suffixes to come: those of repeated grams, and what the filter lets through besides
+    expected = (places or 0) + min(1.0, known / (1 << FILTER_BITS)) * (total or 0)
+    count, parts = partitions(spark, expected * (33 + 4 * (2 * min_words - kgram)), SUFFIX_BYTES), partitions(spark, expected, SPANS)
+    needed = spark.sparkContext.broadcast(key_filter(keys.select("key")))
+    often = spark.sparkContext.broadcast(key_filter(keys.where(F.col("n") > hot).select("key"))) if common else None
+    suffixes = work.write(rows.mapInArrow(_suffix_rows(count, parts, min_words, kgram, needed, often, buffer), "kind int, p bigint, blob binary"), "repeat-suffixes")
+    spans = suffixes.where("kind = 0").groupBy("p").applyInPandas(_match(parts, min_words, kgram), "p bigint, blob binary").union(suffixes.where("kind = 1").select("p", "blob"))
+    if common:
+        spans = spans.union(_common_spans(suffixes.where("kind = 2").select("blob"), parts, min_words, work))
+    spans = materialise(spans, "repeat-spans")
+    work.clear()
+    out = spans.groupBy("p").applyInPandas(_gather, "id bigint, spans array<array<bigint>>, drop_spans array<array<bigint>>")
     return out.select(F.nullif("id", F.lit(null_id)).cast(kind).alias(id_col), "spans", "drop_spans")
 
 
