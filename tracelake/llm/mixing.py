@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import materialise, words_of
+from .shared import Scratch, materialise, words_of
 
 #: The hash has 60 bits, five levels of 12.
 LEVEL_BITS, LEVELS = 12, 5
@@ -29,35 +29,45 @@ def hash_of(key: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")
 
 
-def targets(sizes: DataFrame, weights=(1, 2, 3), repeats: int = MAX_REPEATS) -> DataFrame:
+def _ranked(sizes: DataFrame, work: Scratch) -> DataFrame:
+    """``sizes`` with each source's ``rank`` by code point, null last: sorted by ranges, the ranges' counts added up."""
+    order = (F.col("source").isNull(), F.col("source"))
+    dealt = work.write(sizes.repartitionByRange(*order).withColumn("range", F.spark_partition_id()), "mix-ranges")
+    before, starts = 0, {}
+    for row in sorted(dealt.groupBy("range").count().collect()):  # one for each partition
+        starts[row["range"]], before = before, before + row["count"]
+    start = F.element_at(F.create_map(*(F.lit(x) for k, v in starts.items() for x in (k, v))), F.col("range")) if starts else F.lit(0)
+    within = F.row_number().over(Window.partitionBy("range").orderBy(*order)) - 1
+    return dealt.withColumn("rank", start + within).drop("range")
+
+
+def targets(sizes: DataFrame, work: Scratch, weights=(1, 2, 3), repeats: int = MAX_REPEATS) -> DataFrame:
     """Targets of sources (columns source, source_size) that share the sum of all sizes.
 
     Sources by code point, null last, weigh ``weights`` in turn.  A target
     stops at ``repeats`` times its source's size, and the excess is reshared
-    by weight until none is above: filling by ascending cap for a unit of
-    weight, a source is capped if its cap is less than its share of what is
-    then left.  The table has a row for each source, not for each document.
+    by weight until none is above: in each round one aggregation over the
+    sources sums what those that are above take, and the others' weights.
     """
-    everything = Window.partitionBy(F.lit(0))
-    order = everything.orderBy(F.col("source").isNull(), F.col("source"))
-    w = F.element_at(F.array(*(F.lit(float(x)) for x in weights)), (F.pmod(F.row_number().over(order) - 1, F.lit(len(weights))) + 1).cast("int"))
-    ranked = sizes.withColumn("w", w).withColumn("cap", F.col("source_size") * float(repeats))
-    fill = everything.orderBy(F.col("cap") / F.col("w"), F.col("source").isNull(), F.col("source")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    total, all_w = F.sum("source_size").over(everything), F.sum("w").over(everything)
-    before_cap, before_w = F.sum("cap").over(fill) - F.col("cap"), F.sum("w").over(fill) - F.col("w")
-    filled = ranked.withColumn("left", (total - before_cap).cast("double")).withColumn("left_w", all_w - before_w)
-    filled = filled.withColumn("capped", F.col("cap") * F.col("left_w") < F.col("left") * F.col("w"))
-    # the first source that isn't capped sees what is left for all others
-    share = F.min(F.when(~F.col("capped"), F.struct((F.col("cap") / F.col("w")).alias("by"), F.col("left"), F.col("left_w")))).over(everything)
-    filled = filled.withColumn("share", share)
-    return filled.select("source", "source_size", F.when(F.col("capped"), F.col("cap")).otherwise(F.col("share.left") * F.col("w") / F.col("share.left_w")).alias("target"))
+    w = F.element_at(F.array(*(F.lit(float(x)) for x in weights)), (F.pmod("rank", F.lit(len(weights))) + 1).cast("int"))
+    ranked = work.write(_ranked(sizes, work).withColumn("w", w).withColumn("cap", F.col("source_size") * float(repeats)), "mix-weights")
+    total, left_w = ranked.agg(F.sum("source_size").cast("double"), F.sum("w")).first()
+    left = total
+    while total:
+        above = F.col("cap") * left_w < F.lit(left) * F.col("w")
+        taken, rest = ranked.agg(F.sum(F.when(above, F.col("cap")).otherwise(0.0)), F.sum(F.when(above, 0.0).otherwise(F.col("w")))).first()
+        if (total - taken, rest) == (left, left_w):
+            break
+        left, left_w = total - taken, rest
+    above = F.col("cap") * F.lit(left_w) < F.lit(left) * F.col("w")
+    return ranked.select("source", "source_size", F.when(above, F.col("cap")).otherwise(F.lit(left) * F.col("w") / F.lit(left_w)).alias("target"))
 
 
 def _bucket(level: int) -> Column:
     return F.shiftright("hash", LEVEL_BITS * (LEVELS - 1 - level)).bitwiseAND(F.lit((1 << LEVEL_BITS) - 1).cast("long"))
 
 
-def thresholds(docs: DataFrame, budgets: DataFrame) -> DataFrame:
+def thresholds(docs: DataFrame, budgets: DataFrame, work: Scratch) -> DataFrame:
     """For each source (skey) the largest hash that is taken, -1 if none.
 
     ``docs``: skey, hash, size; ``budgets``: skey, budget.  A document at the
@@ -71,7 +81,7 @@ def thresholds(docs: DataFrame, budgets: DataFrame) -> DataFrame:
         cut = sums.withColumn("before", F.coalesce(F.sum("size").over(w), F.lit(0))).join(left, "skey")
         # the last bucket that begins within the budget
         cut = cut.where(F.col("before") <= F.col("budget")).groupBy("skey").agg(F.max_by(F.struct("bucket", "size", "lo", "hi", "before", "budget"), "bucket").alias("b")).select("skey", "b.*")
-        cut = materialise(cut, f"mix-level{level}")
+        cut = work.write(cut, f"mix-level{level}")
         one = F.col("lo") == F.col("hi")
         taken = F.when(F.col("before") + F.col("size") / 2 <= F.col("budget"), F.col("hi")).otherwise(F.col("lo") - 1)
         whole = F.col("before") + F.col("size") <= F.col("budget")
@@ -82,7 +92,7 @@ def thresholds(docs: DataFrame, budgets: DataFrame) -> DataFrame:
         if level == LEVELS - 1 or open_.isEmpty():
             break
         edge = open_.select("skey", F.col("bucket").alias("at"))
-        rest = materialise(rest.join(edge, "skey").where(_bucket(level) == F.col("at")).select("skey", "hash", "size"), f"mix-edge{level}")
+        rest = work.write(rest.join(edge, "skey").where(_bucket(level) == F.col("at")).select("skey", "hash", "size"), f"mix-edge{level}")
         left = open_.select("skey", (F.col("budget") - F.col("before")).alias("budget"))
     return done
 
@@ -94,13 +104,16 @@ def _key(source: Column) -> Column:
 
 def mix_plan(rows: DataFrame, weights=(1, 2, 3), repeats: int = MAX_REPEATS) -> DataFrame:
     """A row for each source of ``rows`` (skey, source, hash, size): its sizes, whole copies and threshold."""
+    work = Scratch(rows.sparkSession)
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
-    goal = materialise(targets(sizes, weights, repeats).withColumn("skey", _key(F.col("source"))), "mix-targets")
+    goal = work.write(targets(sizes, work, weights, repeats).withColumn("skey", _key(F.col("source"))), "mix-targets")
     full = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(repeats))).otherwise(F.lit(0)).cast("long")
     goal = goal.withColumn("full", full)
     budgets = goal.where("source_size > 0").select("skey", F.when(F.col("full") < repeats, F.col("target") - F.col("full") * F.col("source_size")).otherwise(0.0).alias("budget"))
-    last = thresholds(rows.select("skey", "hash", "size"), budgets)
-    return materialise(goal.drop("source").join(last, "skey", "left"), "mix-plan")
+    last = thresholds(rows.select("skey", "hash", "size"), budgets, work)
+    out = materialise(goal.drop("source").join(last, "skey", "left"), "mix-plan")
+    work.clear()
+    return out
 
 
 def _planned(rows: DataFrame, plan: DataFrame, repeats: int) -> DataFrame:
