@@ -106,8 +106,20 @@ def test_quality_order_does_not_matter(spark, sf):
 
 
 def test_quality_measures(spark, sf):
-    found = quality.measure_rules(spark.read.parquet(f"{sf}/documents.parquet"))
-    assert set(found) == {r.name for r in quality.RULES} and all(s > 0 and 0 <= x <= 1 for s, x in found.values())
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    found = quality.measure_rules(docs)
+    assert {name for name, _, _ in found} == {r.name for r in quality.RULES} and all(s > 0 and 0 <= x <= 1 for _, s, x in found)
+
+
+def test_quality_order_by_rejections_per_cost(spark, monkeypatch):
+    """Rejections count among what is left, and features that are there cost nothing more."""
+    price = {"words": 8.0, "n_words": 1.0, "n_symbols": 2.0, "word_chars": 1.0}
+    monkeypatch.setattr(quality.Costs, "of", lambda self, names: sum(price[x] for x in names) + 1e-9)
+    rules = [quality.Rule("short", ("n_words",), lambda n: n < 3), quality.Rule("symbols", ("n_symbols",), lambda s: s > 0), quality.Rule("wordy", ("word_chars", "n_words"), lambda c, n: c > n * 5)]
+    texts = ["a b"] * 6 + ["# b"] * 3 + ["a b c d"] * 5 + ["longword longword longword"] * 2
+    found = quality.measure_rules(spark.createDataFrame([(t,) for t in texts], "text string"), rules)
+    want = [("symbols", 2, 3 / 16), ("short", 9, 6 / 13), ("wordy", 1, 2 / 7)]
+    assert [n for n, _, _ in found] == [n for n, _, _ in want] and np.allclose([x[1:] for x in found], [x[1:] for x in want])
 
 
 # --- secrets ----------------------------------------------------------------------------
@@ -370,6 +382,19 @@ def test_ppm_keeps_its_order_at_any_number_of_grams(spark, tmp_path):
         assert len(got) == 41 and all(math.isclose(got[i], x, rel_tol=1e-5) for i, x in want.items())
 
 
+def test_ppm_blocks_of_very_uneven_texts(spark, tmp_path, monkeypatch):
+    """Long texts among short ones: every row once, the same scores as in a table of its own order."""
+    rng = random.Random(6)
+    rows = [(i, prose(rng, 4000 if i % 37 == 0 else rng.choice((0, 1, 9))), "en", "s", 0) for i in range(300)]
+    spark.createDataFrame(rows, SHAPE).repartition(3).write.parquet(str(tmp_path / "a"))
+    spark.createDataFrame(sorted(rows, key=lambda r: len(r[1])), SHAPE).coalesce(1).write.parquet(str(tmp_path / "b"))
+    monkeypatch.setattr(ppm, "BLOCK_BYTES", 1 << 15)
+    blocks, size = ppm._blocks(spark.read.parquet(str(tmp_path / "b")), "doc_id", "text")
+    assert blocks.groupBy("block").agg(F.sum(F.length("body")).alias("n")).agg(F.max("n")).first()[0] <= 4 * max(1 << 15, max(len(r[1]) for r in rows))
+    a, b = ({r.doc_id: (r.base_score, r.score) for r in ppm.score_documents(spark.read.parquet(str(tmp_path / x))).collect()} for x in "ab")
+    assert set(a) == set(b) == set(range(300)) and all(np.allclose(a[i], b[i], rtol=1e-6) for i in a)
+
+
 # --- pages --------------------------------------------------------------------------------
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var a="</p><p>no</p>";</script></head><body class="c1">
 <header><h2>Site</h2></header><nav><ul><li><a href="/">Home</a></li></ul></nav><div class="ad box-2">Buy now, long advert text that goes on and on for a while.</div>
@@ -454,6 +479,16 @@ def test_token_query(spark, sf, rows):
     assert bag(tuple(r) for r in registry.QUERIES["op9_token_counts"](spark, sf).collect()) == want
 
 
+def test_pieces_take_the_library_where_they_differ(monkeypatch):
+    import public_tokenizers
+
+    held = pieces_bpe.PieceEncoder(public_tokenizers.path("piece_bpe_32k.model"))
+    monkeypatch.setattr(held, "agenda", lambda s: [5])
+    texts = ["some words here", " a", ""]
+    got = [np.frombuffer(x, "<u4").tolist() for x in held.encode(texts)]
+    assert got[0] == held.library.encode(texts[0], add_bos=True, add_eos=True) and got[2] == [held.bos, held.eos] and held.differences > 0
+
+
 def test_pieces_equal_the_library():
     import public_tokenizers
 

@@ -51,7 +51,7 @@ SHORT_LIST = 4
 #: Documents that a hash bucket of n-grams has before its lists are dealt in parts of about so many.
 HOT = 4096
 #: Classes of a long list are compared in cells of about so many.
-CELL = 512
+CELL = 256
 #: Tokens of a task in the lists and in the fragments.
 TASK_TOKENS = 1_000_000
 
