@@ -4,6 +4,7 @@ import collections
 import hashlib
 import html
 import math
+import os
 import random
 import re
 import zlib
@@ -443,6 +444,76 @@ def test_text_spread_over_containers(name):
     assert html_text.extract(spread(page), None).split("\n\n") == [x.strip() for x in want]
 
 
+P = "<p>" + "words that tell it all in some length " * 4 + "</p>"
+T = ("words that tell it all in some length " * 4).strip()
+LAYOUTS = {
+    "class that sounds like furniture": (f"<article><h1>H</h1>{P}<div class='social-history'>{P}</div><div class='share-price'>{P}</div></article>", ["H", T, T, T]),
+    "header of an article": (f"<article><div class='header'><h1>H</h1></div>{P}<header><p>By me</p></header></article>", ["H", T, "By me"]),
+    "deep header": (f"<main><div><div><header><h1>H</h1></header>{P}</div></div></main>", ["H", T]),
+    "page in a form": (f"<form action='/x'><div id='page'><h1>H</h1>{P}{P}<input><select><option>no</select></div></form>", ["H", T, T]),
+    "theme of widgets": (f"<div class='widget'><h1>H</h1>{P}</div><div class='widget'><p>other thing</p></div>", ["H", T]),
+    "tags on the post": (f"<div class='post category-social tag-search'><h1>H</h1>{P}</div>", ["H", T]),
+    "with a sidebar": (f"<div class='content with-sidebar'><h1>H</h1>{P}<div class='sidebar-left'>{P}</div></div>", ["H", T]),
+    "comments": (f"<article><h1>H</h1>{P}<section id='comments' class='comment-list'><article class='comment'>{P}{P}{P}</article></section></article>", ["H", T]),
+    "cookie notice": (f"<div class='cookie-notice'>{P}</div><article><h1>H</h1>{P}</article>", ["H", T]),
+    "share buttons": (f"<article><h1>H</h1>{P}<div class='share-buttons'><p>Share it with all your friends</p></div><div class='tags'><p>one two</p></div></article>", ["H", T]),
+    "teasers": (f"<article><h1>H</h1>{P}{P}</article><div class='related-posts'><article><h2>Other</h2>{P}</article></div>", ["H", T, T]),
+    "advert slots": (f"<div class='story'><h1>H</h1>{P}<div class='ad-slot' id='ad-2'><p>Buy</p></div>{P}<div class='sponsored'><p>Buy</p></div></div>", ["H", T, T]),
+    "lists": (f"<div id='main-content'><h1>H</h1>{P}<ul><li>one thing<li>another</ul><dl><dt>a<dd>b</dl></div>", ["H", T, "one thing", "another", "a", "b"]),
+    "figure": (f"<article><h1>H</h1>{P}<figure><img src=x><figcaption>What it shows</figcaption></figure></article>", ["H", T, "What it shows"]),
+    "pre and entities": (f"<article><h1>H &amp; I</h1>{P}<pre>a  &lt;b&gt;\n c</pre></article>", ["H & I", T, "a <b> c"]),
+    "search form": (f"<div class='search-box'><form><p>Search the whole of this site here</p></form></div><article><h1>H</h1>{P}</article>", ["H", T]),
+    "hidden": (f"<article><h1>H</h1><div hidden>{P}</div><div aria-hidden='true'>{P}</div>{P}</article>", ["H", T]),
+}
+
+
+@pytest.mark.parametrize("name", LAYOUTS)
+def test_layouts(name):
+    page, want = LAYOUTS[name]
+    assert html_text.extract(spread(page), None).split("\n\n") == want
+
+
+def article_of(page):
+    """Blocks of the article element by the standard library's parser."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.inside, self.blocks = False, [""]
+
+        def handle_starttag(self, tag, attrs):
+            self.inside |= tag == "article"
+            if tag in ("p", "h1"):
+                self.blocks.append("")
+            elif tag == "br" and self.inside:
+                self.blocks[-1] += " "
+
+        def handle_endtag(self, tag):
+            self.inside &= tag != "article"
+            if tag in ("p", "h1"):
+                self.blocks.append("")
+
+        def handle_data(self, data):
+            if self.inside:
+                self.blocks[-1] += data
+
+    reader = Reader()
+    reader.feed(page or "")
+    reader.close()
+    return "\n\n".join(x for x in (re.sub(r"\s+", " ", b).strip() for b in reader.blocks) if x)
+
+
+def test_page_query(spark):
+    """The driver's pages, whose main text is their one article element."""
+    at = "/root/testdata/sf0.001"
+    if not os.path.isdir(at):
+        pytest.skip("no tables here")
+    pages = spark.read.parquet(f"{at}/pages.parquet").collect()
+    want = bag((r.page_id, r.url, t := article_of(r.html), len(t)) for r in pages)
+    assert bag(tuple(r) for r in registry.QUERIES["op7_html_text"](spark, at).collect()) == want
+
+
 def test_host_path_that_is_a_part_of_a_page(spark):
     one = spread("<article><section class='a'><p>" + "one " * 30 + "</p></section></article>")
     both = spread(SPREAD["sections"][0])

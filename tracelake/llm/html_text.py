@@ -9,6 +9,12 @@ host vote, each for the path of its best container; each page
 is then read again, and the text under the host's winning path is taken (under
 its own best container where it has no such path, or where that path is but a
 part of it).  A host with any number of pages costs each task one row for a path.
+
+Page furniture is told by its element, or by a class, id or role that has no
+words but those of furniture and of layout: ``comment-list`` is, and
+``social-history`` is not.  Weaker signs (forms, shares, widgets and the like)
+give way where the element holds the page's main element or first heading, or
+more than half of its text.
 """
 
 from __future__ import annotations
@@ -37,12 +43,19 @@ HIDDEN = frozenset("head script style noscript template iframe object svg math c
 RAW = frozenset("script style textarea title noscript iframe xmp".split())
 #: Page furniture by its element.
 FURNITURE = frozenset("nav footer aside form menu dialog".split())
-#: Page furniture by a word of its class, id or role.
+#: Page furniture by the words of a class, an id or a role.
 FURNITURE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent contentinfo cookie cookies copyright disclaimer disqus "
     "discussion feedback footer form gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification pagination pager paywall popup promo "
     "promoted promotion related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toc toolbar widget".split()
 )
+#: Words of layout that may stand beside those in one name.
+LAYOUT_WORDS = frozenset(
+    "area aside bar block body bottom box btn button buttons cell col column container content footer global group head icon icons inner item items left links list main message "
+    "module outer page panel post posts primary right row secondary section site slot story text thread title top unit user users view wrap wrapper".split()
+)
+#: Signs of furniture that give way to signs of a main text.
+WEAK_WORDS = frozenset("form notice search share sharing social tags widget".split())
 #: An open element is closed by these openings.
 CLOSES = {
     "p": BLOCKS,
@@ -64,25 +77,53 @@ _SPACE = re.compile(r"\s+")
 class Node:
     """An open or closed element: its generalised path, and what it has been scored."""
 
-    __slots__ = ("tag", "path", "container", "above", "depth", "score", "dropped", "linked")
+    __slots__ = ("tag", "path", "container", "above", "depth", "score", "dropped", "linked", "weak", "holds", "size")
 
     def __init__(self, tag: str, path: str, container: "Node | None", dropped: bool, linked: bool):
         self.tag, self.path, self.container, self.score, self.dropped, self.linked = tag, path, container, 0.0, dropped, linked
         #: Of a container: the next one above it, and how many are.
         self.above, self.depth = None, 0
+        #: The weak furniture that it stands in; of that, whether it holds the main text's signs, and its text out of links.
+        self.weak, self.holds, self.size = None, False, 0
 
 
-def _attributes(raw: str) -> tuple[list[str], bool]:
-    """Words of class, id and role without digits; whether the element is hidden."""
+def _attributes(raw: str) -> tuple[list[str], list[frozenset[str]], bool]:
+    """Words of class, id and role without digits, in all and by name; whether the element is hidden."""
     words: list[str] = []
+    names: list[frozenset[str]] = []
     hidden = False
     for name, a, b, c in _ATTR.findall(raw):
         value = (a or b or c).lower()
         if name.lower() in ("class", "id", "role"):
-            words += _WORD.findall(value)
+            for one in value.split():
+                found = _WORD.findall(one)
+                words += found
+                names.append(frozenset(found))
         else:
             hidden |= name.lower() == "hidden" or value == "true"
-    return words, hidden
+    return words, names, hidden
+
+
+def _furniture(tag: str, names: list[frozenset[str]], inside: bool) -> str | None:
+    """``strong`` or ``weak`` furniture, or none; ``inside`` an article or main element headers belong to the text."""
+    if tag in FURNITURE:
+        return "weak" if tag == "form" else "strong"
+    if tag == "header" and not inside:
+        return "strong"
+    if tag in ("html", "body", "main"):
+        return None
+    kind = None
+    for words in names:
+        told = words & FURNITURE_WORDS
+        if inside and "article" not in words:
+            told -= {"header"} if len(told) == 1 else set()
+        if tag == "article":
+            told &= {"comment", "comments", "reply", "replies"}
+        if told and words <= FURNITURE_WORDS | LAYOUT_WORDS:
+            if not told <= WEAK_WORDS:
+                return "strong"
+            kind = "weak"
+    return kind
 
 
 def read_page(page: str) -> list[tuple[Node, str]]:
@@ -92,7 +133,7 @@ def read_page(page: str) -> list[tuple[Node, str]]:
     """
     root = Node("", "", None, False, False)
     root.container = root
-    stack, runs, at, n = [root], [], 0, len(page)
+    stack, runs, at, n, headed = [root], [], 0, len(page), False
     while at < n:
         m = _TAG.search(page, at)
         if m is None:
@@ -130,10 +171,15 @@ def read_page(page: str) -> list[tuple[Node, str]]:
         if tag in VOID:
             continue
         top = stack[-1]
-        words, hidden = _attributes(m[3]) if len(m[3]) > 3 else ([], False)
-        inside = top.container.tag in ("article", "main")
-        dropped = top.dropped or hidden or tag in HIDDEN or tag in FURNITURE or (tag == "header" and not inside) or (tag not in ("html", "body", "article", "main") and not FURNITURE_WORDS.isdisjoint(words)) or (tag == "article" and "comment" in words)
+        words, names, hidden = _attributes(m[3]) if len(m[3]) > 3 else ([], [], False)
+        kind = _furniture(tag, names, _in_article(top.container))
+        dropped = top.dropped or hidden or tag in HIDDEN or kind == "strong"
         node = Node(tag, f"{top.path}/{tag}" + "".join(f".{w}" for w in words), top.container, dropped, top.linked or tag == "a")
+        node.weak = top.weak or (node if kind == "weak" else None)
+        if tag == "main" or (tag == "h1" and not headed and not dropped):
+            headed |= tag == "h1"
+            if node.weak is not None:
+                node.weak.holds = True
         if tag in CONTAINERS:
             node.above, node.depth = node.container, node.container.depth + 1
             node.container = node
@@ -143,7 +189,28 @@ def read_page(page: str) -> list[tuple[Node, str]]:
             continue
         if not m[3].endswith("/") or tag in BLOCKS:
             stack.append(node)
-    return runs
+    return _without_weak(runs)
+
+
+def _in_article(container: Node | None) -> bool:
+    while container is not None and container.tag not in ("article", "main"):
+        container = container.above
+    return container is not None
+
+
+def _without_weak(runs: list[tuple[Node, str]]) -> list[tuple[Node, str]]:
+    """Runs without weak furniture that has no sign of the main text, and no more than half of the page's."""
+    weak, total = set(), 0
+    for node, text in runs:
+        if text is not None and not node.linked:
+            size = len(text.strip())
+            total += size
+            if node.weak is not None:
+                node.weak.size += size
+        if node.weak is not None:
+            weak.add(node.weak)
+    gone = {x for x in weak if not x.holds and 2 * x.size <= total}
+    return [x for x in runs if x[0].weak not in gone or x[1] is None] if gone else runs
 
 
 def _score(runs: list[tuple[Node, str]]) -> Node | None:
