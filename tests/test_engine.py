@@ -14,6 +14,7 @@ from tracelake.operators import geometry as G
 from tracelake.operators import voltage as V
 from tracelake.operators import waveforms as X
 from tracelake.operators import windows as W
+from tracelake.plans import jobs
 from tracelake.sources import metadata as M
 from tracelake.sources import recording as R
 
@@ -231,7 +232,7 @@ def test_extraction_gives_channel_numbers(spark):
     samples = spark.range(200 * 6).select(F.pmod("id", F.lit(6)).alias("channel"), F.floor(F.col("id") / 6).alias("sample"), F.pmod("id", F.lit(6)).cast("double").alias("v"))
     spikes = spark.createDataFrame([(0, 60, 2), (1, 100, 5)], "spike long, sample long, channel long")
     edges = spark.createDataFrame([(2, 0, 1), (2, 1, 2), (5, 0, 4), (5, 1, 6)], "channel long, slot long, neighbour long")
-    out = {(r.spike, r.slot): r.samples for r in X.extract(spikes, samples, edges, 4, 10, 64, None).collect()}
+    out = {(r.spike, r.slot): r.samples for r in X.extract(spikes, X.to_blocks(samples, 64), edges, 4, 10, 64, None).collect()}
     assert out[0, 0] == [1.0] * 10 and out[1, 0] == [4.0] * 10 and out[1, 1] == [None] * 10
 
 
@@ -240,12 +241,13 @@ def test_metadata(spark, tmp_path):
     one = M.read(spark, str(tmp_path))
     m = F.col("meta")
     r = one.select(M.version(m).alias("v"), M.samples(m).alias("ns"), M.sync_channels(m).alias("s"), M.max_int(m).alias("i")).first()
-    assert (r.v, r.ns, r.s, r.i) == ("3B2", 60001, [4], 512)
-    volts = M.volts_per_bit(one).orderBy("place").collect()
-    assert np.isclose(volts[0].ap, 0.6 / 512 / 500) and np.isclose(volts[1].lf, 0.6 / 512 / 125)
+    assert (r.v, r.ns, r.s, r.i) == ("3B1", 60001, [4], 512)
+    volts = M.volts_per_bit(one).orderBy("channel").collect()
+    assert np.isclose(volts[0].ap, 0.6 / 512 / 500) and np.isclose(volts[1].lf, 0.6 / 512 / 125) and volts[4].ap == 1 and volts[2].ap is None
     assert [(x.shank, x.a, x.b, x.flag) for x in M.sites(one).orderBy("place").collect()] == [(0, 0, 0, 1), (0, 1, 0, 0)]
     M.write(one, str(tmp_path / "out"))
-    assert spark.read.text(str(tmp_path / "out")).count() == 9
+    assert spark.read.option("recursiveFileLookup", "true").text(str(tmp_path / "out")).count() == 9
+    assert M.lines(one).count() == 9
 
 
 def test_recording_source(spark, tmp_path):
@@ -295,3 +297,223 @@ def test_queries_and_sql():
     from tracelake import registry
 
     assert set(registry.ORACLE_SQL) <= set(registry.QUERIES) and len(registry.QUERIES) > 90
+
+
+# --- blocks of one recording ---------------------------------------------------------------
+def recording(spark, blocks=8, size=256, channels=4, seed=0):
+    """A drifting recording whole and in blocks: the matrix, and rows block, channel, shank, samples."""
+    rng = np.random.default_rng(seed)
+    n = blocks * size
+    t = np.arange(n)
+    x = np.cumsum(rng.normal(size=(channels, n)), 1) * 0.05 + np.sin(t / 7.0) + np.arange(channels)[:, None]
+    rows = [(b, c, 0, x[c, b * size : (b + 1) * size].tolist()) for b in range(blocks) for c in range(channels)]
+    return x, spark.createDataFrame(rows, "block long, channel long, shank long, samples array<double>")
+
+
+def whole(df, channels=4):
+    rows = sorted((r.block, r.channel, r.samples) for r in df.select("block", "channel", "samples").collect())
+    return np.stack([np.concatenate([s for b, c, s in rows if c == k]) for k in range(channels)])
+
+
+def near(got, want, tolerance):
+    return np.abs(got - want).max() <= tolerance * np.abs(want).max()
+
+
+def test_filters_in_margins_equal_the_whole(spark):
+    x, df = recording(spark)
+    sos = K.butterworth(3, 0.1, "highpass")
+    want = K.sosfiltfilt(sos, x)
+    assert near(whole(V.high_pass(df, 2000, 100, margin=128)), want, 1e-3)
+    assert not near(whole(V.high_pass(df, 2000, 100)), want, 1e-2)
+    assert near(whole(V.low_band(df, 4, 0.2, margin=128)), K.sosfiltfilt(K.butterworth(3, 0.2, "lowpass"), x)[:, ::4], 1e-3)
+    band = K.sosfiltfilt(K.butterworth(3, np.array([0.1, 0.4]), "bandpass"), x)
+    assert near(whole(V.band_pass(df, 2000, (100, 400), margin=200)), band, 1e-3)
+    assert V.high_pass(df, 2000, 100, margin=128).columns == df.columns
+    late = df.withColumn("sample_shift", F.col("channel") / 13)
+    assert near(whole(V.rephase(late, margin=64))[:, 64:-64], K.shift(x, np.arange(4) / 13)[:, 64:-64], 1e-2)
+
+
+def test_destripe_in_margins_equals_the_whole(spark):
+    x, df = recording(spark, channels=6)
+    geometry = G.layout(spark, "1", channels=6).withColumn("sample_shift", F.col("ind") / 13)
+    labels = spark.createDataFrame([(2, 1)], "channel long, label int")
+    one = spark.createDataFrame([(0, c, 0, x[c].tolist()) for c in range(6)], df.schema)
+    for how in (False, True):
+        a, b = whole(V.destripe(df, 2000, geometry, labels, how, 100, margin=128), 6), whole(V.destripe(one, 2000, geometry, labels, how, 100), 6)
+        assert near(a[:, 300:-300], b[:, 300:-300], 2e-2), how
+    plain = K.shift(K.sosfiltfilt(K.butterworth(3, 0.1, "highpass"), x), np.arange(6) / 13)
+    g = geometry.orderBy("ind").toPandas()
+    plain[2] = (K.interpolation_weights(g.x.to_numpy(), g.y.to_numpy(), np.array([0, 0, 1, 0, 0, 0])) @ plain)[0]
+    assert near(whole(V.destripe(one, 2000, geometry, labels, False, 100), 6), plain - np.median(plain, 0), 1e-9)
+
+
+def test_destripe_lfp_undoes_delays_of_version_one_alone(spark):
+    x, df = recording(spark, blocks=1)
+    geometry = G.layout(spark, "1", channels=4).withColumn("sample_shift", F.col("ind") / 13)
+    band = K.sosfiltfilt(K.butterworth(3, 2 * np.array([0.5, 300]) / 2500, "bandpass"), x)
+    late = K.shift(band, np.arange(4) / 13)
+    assert near(whole(V.destripe_lfp(df, 2500, geometry)), late - np.median(late, 0), 1e-9)
+    assert near(whole(V.destripe_lfp(df, 2500, geometry, version="2.4")), band - np.median(band, 0), 1e-9)
+
+
+def test_resample_in_margins_equals_the_whole(spark):
+    x, df = recording(spark, size=512)
+    out = V.resample_lfp(df, 1000, 4, margin=512)
+    high = K.sosfiltfilt(K.butterworth(3, 4 / 1000, "highpass"), x)
+    want = K.decimate(high - np.median(high, 0), 4)
+    got = whole(out)
+    assert got.shape == want.shape and near(got[:, 150:-150], want[:, 150:-150], 5e-2)
+    back = whole(out.withColumn("samples", F.zip_with("samples", "reference", lambda a, b: a + b)))
+    assert near(back[:, 150:-150], K.decimate(high, 4)[:, 150:-150], 5e-2)
+
+
+def test_saturation_over_blocks(spark):
+    x, df = recording(spark, blocks=6, size=50, channels=5)
+    x[:] = 0
+    x[:, 90:160], x[:, 200:203] = 2.0, 2.0
+    df = spark.createDataFrame([(b, c, 0, x[c, b * 50 : (b + 1) * 50].tolist()) for b in range(6) for c in range(5)], df.schema)
+    sat = E.saturation_blocks(df, 2.0, 1.0, v_per_sec=1e9)
+    assert {(r.start_sample, r.stop_sample) for r in E.intervals_blocks(sat, 50).collect()} == {(90, 160), (200, 203)}
+    gain = np.concatenate([r.mute for r in sorted(E.mute_blocks(sat).collect())])
+    flag = np.zeros(300)
+    flag[90:160] = flag[200:203] = 1
+    w = np.sin(np.pi / 7 * (np.arange(7) + 0.5))
+    assert np.allclose(gain, np.maximum(0, 1 - np.convolve(flag, w, "same")))
+    fast = E.saturation_blocks(df, 9.0, 1.0, v_per_sec=1.0)
+    assert {r.start_sample for r in E.intervals_blocks(fast, 50).collect()} == {89, 159, 199, 202}
+
+
+def test_intervals_over_blocks_end_with_the_recording(spark):
+    rows = [(0, [False, True]), (1, [True, True]), (2, [False, True])]
+    sat = spark.createDataFrame(rows, "block long, saturated array<boolean>")
+    assert [(r.start_sample, r.stop_sample) for r in E.intervals_blocks(sat, 2).orderBy("start_sample").collect()] == [(1, 4), (5, 5)]
+
+
+def test_destripe_job_and_its_options(spark, tmp_path):
+    x, df = recording(spark, blocks=4)
+    geometry = G.layout(spark, "1", channels=4).withColumn("sample_shift", F.lit(0.0))
+    out = jobs.destripe_recording(df, str(tmp_path / "a"), 2000, geometry, max_voltage=1e9, mute=False, k_filter=False, margin=64, whitening=2 * np.eye(4), padding=10)
+    clean = whole(V.destripe(df, 2000, geometry, None, False, margin=64))
+    got = whole(out["traces"])
+    assert np.allclose(got[:, :-10], 2 * clean) and np.allclose(got[:, -10:], 2 * clean[:, -1:]) and out["rms"].count() == 16
+    more = jobs.destripe_recording(df.withColumn("block", F.col("block") + 4), str(tmp_path / "a"), 2000, geometry, max_voltage=1e9, mute=False, k_filter=False, margin=64, append=True)
+    assert more["traces"].count() == 32 and more["rms"].count() == 32
+
+
+def test_raw_features_against_numpy(spark):
+    x, df = recording(spark, blocks=2, size=600)
+    geometry = G.layout(spark, "1", channels=4).withColumn("sample_shift", F.lit(0.0))
+    got = {(r.block, r.channel): r for r in jobs.raw_features(df, 30000, geometry).collect()}
+    high = K.sosfiltfilt(K.butterworth(3, 0.02, "highpass"), x[:, 600:])
+    clean = K.kfilt(high, 3000, epsilon=1e-8)
+    for c in range(4):
+        r = got[1, c]
+        assert np.isclose(r.dc_offset, x[c, 600:].mean() * 1e6) and np.isclose(r.butter, np.sqrt((high[c] ** 2).mean()) * 1e6)
+        assert np.isclose(r.destripe, np.sqrt((clean[c] ** 2).mean()) * 1e6) and np.isclose(r.striping, np.sqrt(((high - clean)[c] ** 2).mean()) * 1e6)
+    assert jobs.raw_features_over_snippets(df, 30000, geometry).count() == 4
+
+
+def test_shanks_split_and_checked(spark, tmp_path):
+    x, df = recording(spark, blocks=3, channels=5)
+    rows = df.drop("shank")
+    geometry = spark.createDataFrame([(i, i // 2) for i in range(4)], "ind long, shank long")
+    meta = M.parse(spark.createDataFrame([("a", t) for t in ("typeThis=imec", "imDatPrb_type=24", "imSampRate=30000", "nSavedChans=5", "snsApLfSy=4,0,1")], "path string, value string"))
+    made = jobs.convert_shanks(rows, str(tmp_path / "s"), geometry, meta, q=4, margin=64)
+    assert jobs.check_split(rows, made["ap"]).first().asDict() == {"missing": 0, "extra": 0, "differing": 0, "same": True}
+    spoiled = made["ap"].where("NOT (block = 1 AND channel = 2)").withColumn("samples", F.when((F.col("block") == 0) & (F.col("channel") == 1), F.reverse("samples")).otherwise(F.col("samples")))
+    told = jobs.check_split(rows, spoiled).first()
+    assert (told.missing, told.extra, told.differing, told.same) == (1, 0, 1, False)
+    low = made["lf"].where("channel < 4")
+    assert near(whole(low), K.sosfiltfilt(K.butterworth(3, 0.2, "lowpass"), x[:4])[:, ::4], 1e-3)
+    sync = [r.samples for r in made["lf"].where("channel = 4 AND to_shank = 1").orderBy("block").collect()]
+    assert np.allclose(np.concatenate(sync), x[4, ::4])
+    assert {(r.shank, r.band, r.meta["snsApLfSy"], r.meta["nSavedChans"], r.meta["imSampRate"]) for r in made["meta"].collect()} == {(s, b, c, "3", f) for s in (0, 1) for b, c, f in (("ap", "2,0,1", "30000"), ("lf", "0,2,1", "2500.0"))}
+
+
+def test_clocks_far_apart_and_with_gaps(spark):
+    rng = np.random.default_rng(3)
+    a = np.cumsum(rng.uniform(0.5, 4, 300))
+    b = a * (1 + 17.14e-6) + 3434.323
+    keep_a, keep_b = rng.random(300) > 0.1, rng.random(300) > 0.1
+    i, j, slope, start = E.match_clocks(a[keep_a], b[keep_b])
+    ia, ib = np.flatnonzero(keep_a)[i], np.flatnonzero(keep_b)[j]
+    assert (ia == ib).all() and len(ia) == (keep_a & keep_b).sum() and np.isclose((slope - 1) * 1e6, 17.14) and np.isclose(start, 3434.323)
+    # two events within a bin: each goes to its own
+    i, j, _, _ = E.match_clocks(np.array([0.0, 5.0, 5.04, 9.0, 20.0]), np.array([0.0, 5.0, 5.04, 9.0, 20.0]) + 2)
+    assert i.tolist() == j.tolist() == [0, 1, 2, 3, 4]
+    rows = [(1, "a", float(t)) for t in a] + [(1, "b", float(t)) for t in b] + [(2, "a", 1.0), (2, "b", 1.0)]
+    found = {r.rec: (r.lag, r.n) for r in E.clock_lag(spark.createDataFrame(rows, "rec long, side string, time double")).collect()}
+    assert abs(found[1][0] + 34343) <= 1 and found[2] == (0, 1)
+
+
+def test_fk_parts_and_mean(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(24, 128))
+    group = np.arange(24) // 12
+    both = K.fk(x, 0.002, 5, (200, 400), pad=4, collection=group)
+    for c in (0, 1):
+        assert np.allclose(both[group == c], K.fk(x[group == c], 0.002, 5, (200, 400), pad=4))
+    assert np.allclose(K.fk(np.ones((16, 64)), 0.002, 5, (200, 400)), 0) and np.allclose(K.fk(np.ones((16, 64)), 0.002, 5, (200, 400), "lowpass"), 1)
+    wave = np.tile(np.sin(np.arange(64) * 2 * np.pi / 8), (16, 1))
+    assert np.allclose(K.fk(wave, 0.002, 5, (200, 400)), wave)
+
+
+def test_kernels_against_plain_numpy():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(6, 90))
+    assert np.allclose(K.rotate(x, 360), x) and np.allclose(K.rotate(K.rotate(x, 40), -40)[:, 1:], x[:, 1:], atol=0.5)
+    w = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(5) / 4)
+    gain = np.stack([np.convolve(np.abs(r), w / w.sum(), "same") for r in x])
+    assert np.allclose(K.agc(x, 4, 1, 1e-8)[0], x / np.maximum(gain, 1e-8))
+    f, p = K.welch(x, 100.0, 32)
+    parts = [r - r.mean() for r in (x[0, a : a + 32] for a in range(0, 90 - 31, 16))]
+    h = np.hanning(33)[:32]
+    want = np.mean([np.abs(np.fft.rfft(r * h)) ** 2 for r in parts], 0) / 100 / (h**2).sum()
+    want[1:-1] *= 2
+    assert np.allclose(p[0], want)
+    edges, means = K.log_psd(x, 100.0, 32)
+    assert len(edges) == 127 and means.shape == (6, 127)
+    full = K.svd_denoise(x, 6)
+    u, s, v = np.linalg.svd(x, full_matrices=False)
+    assert np.allclose(full, x) and np.allclose(K.svd_denoise(x, 2), u[:, :2] * s[:2] @ v[:2])
+    y = K.kfilt(x, None, pad=3, order=3, corner=0.1)
+    z = np.concatenate([x[:3][::-1], x, x[-3:][::-1]])
+    assert np.allclose(y, K.sosfiltfilt(K.butterworth(3, 0.1, "highpass"), z.T).T[3:9])
+    assert np.allclose(K.expand(K.reduce(np.fft.fft(x)), 90), np.fft.fft(x)) and np.allclose(K.expand(np.fft.rfft(x[:, :89]), 89), np.fft.fft(x[:, :89]))
+    t = np.arange(200)
+    a, b = np.exp(-(((t - 90) / 6.0) ** 2)), np.exp(-(((t - 93.3) / 6.0) ** 2))
+    for moved, lag in (K.shift_by_correlation(a, b), K.shift_by_phase(a, b, 30000)):
+        assert abs(lag + 3.3) < 0.05 and np.abs(moved - a).max() < 0.02
+    kernel = np.ones(3) / 3
+    assert np.allclose(K.density_filter(x, "boxcar", 3), np.stack([np.convolve(c, kernel, "same") for c in x.T], 1))
+    low = K.low_band(np.tile(np.sin(2 * np.pi * np.arange(1200) / 400), (2, 1)), 12)
+    assert np.allclose(low[:, 20:80], np.sin(2 * np.pi * np.arange(0, 1200, 12) / 400)[20:80], atol=1e-3)
+
+
+def test_waveform_files_round_trip(spark, tmp_path):
+    samples = spark.range(300 * 2).select(F.pmod("id", F.lit(2)).alias("channel"), F.floor(F.col("id") / 2).alias("sample"), (F.pmod("id", F.lit(2)) * 1000 + F.floor(F.col("id") / 2)).cast("double").alias("v"))
+    spikes = X.with_places(spark.createDataFrame([(k, 20 * k, k % 2, k % 3) for k in range(15)], "spike long, sample long, channel long, cluster long"))
+    edges = spark.createDataFrame([(0, 0, 0), (0, 1, 1), (1, 0, 0), (1, 1, 1)], "channel long, slot long, neighbour long")
+    at = str(tmp_path / "w")
+    made = jobs.write_waveforms(spikes, X.to_blocks(samples, 64), edges, at, trough_offset=4, length=10, size=64)
+    for r in made["traces"].collect():
+        want = [r.neighbour * 1000.0 + 20 * r.spike - 4 + i if 0 <= 20 * r.spike - 4 + i < 300 else None for i in range(10)]
+        assert all((w is None and np.isnan(g)) or g == w for g, w in zip(r.samples, want, strict=True))
+    only = jobs.load_waveforms(spark, at, spark.createDataFrame([(1,)], "cluster long"), spark.createDataFrame([(0,), (2,)], "index_within_clusters long"))
+    assert {(r.spike, r.slot) for r in only.collect()} == {(s, k) for s in (1, 7) for k in (0, 1)}
+    assert jobs.waveform_properties(spark, at).first().asDict() == {"n_clusters": 3, "n_spikes": 15, "most_spikes": 5, "n_traces": 2, "n_samples": 10}
+
+
+def test_places_over_many_clusters(spark, monkeypatch):
+    monkeypatch.setattr(X, "RANGE", 3)
+    rows = [(k, k * 7 % 50, k % 11) for k in range(60)]
+    got = {r.spike: (r.index_within_clusters, r.waveform_index) for r in X.with_places(spark.createDataFrame(rows, "spike long, sample long, cluster long")).collect()}
+    order = sorted(rows, key=lambda r: (r[2], r[1], r[0]))
+    assert {s: i for i, (s, _, _) in enumerate(order)} == {s: w for s, (_, w) in got.items()}
+
+
+def test_metadata_of_each_shank_and_geometry(spark):
+    lines = ["typeThis=imec", "imDatPrb_type=24", "NP2.4_shank=1", "nSavedChans=3", "snsApLfSy=2,0,1", "~snsShankMap=(4,2,10)(0:0:0:1)(1:1:0:1)(1:0:0:1)(0:1:1:1)"]
+    one = M.parse(spark.createDataFrame([("a", x) for x in lines], "path string, value string"))
+    got = [(r.ind, r.shank, r.row, r.col, r.x, r.y, r.position) for r in M.geometry(one).orderBy("ind").collect()]
+    assert got == [(0, 1, 0.0, 1.0, 59.0, 20.0, 0), (1, 1, 0.0, 0.0, 27.0, 20.0, 1)]

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import bits
+from .voltage import with_margins
 
 
 def _along(keys: list[str], order: str) -> Window:
@@ -44,6 +45,53 @@ def saturation(df: DataFrame, max_voltage: float, fs: float, v_per_sec: float =
     return mean.select("block", "sample", ((F.col("high") > proportion) | (F.col("fast") > proportion)).alias("saturated"))
 
 
+def saturation_blocks(df: DataFrame, max_voltage: float, fs: float, v_per_sec: float = 1e-8, proportion: float = 0.2) -> DataFrame:
+    """As :func:`saturation`, of array rows (block, channel, samples) that are parts of one recording: block, saturated (an array).
+
+    Arrays of a block meet in one shuffle; the change at a block's end is that
+    to the next block's first sample.
+    """
+    wide = with_margins(df.select("block", "channel", "samples"), 1, 1).select("block", "channel", F.concat("samples", "tail").alias("samples"), F.size("samples").alias("n"))
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        x, n = np.stack(group["samples"].to_numpy()).astype(float), int(group["n"].iloc[0])
+        high = (np.abs(x[:, :n]) > 0.96 * max_voltage).mean(0)
+        fast = np.zeros(n)
+        change = (np.abs(np.diff(x)) / fs >= v_per_sec).mean(0)
+        fast[: len(change)] = change
+        return pd.DataFrame({"block": [group["block"].iloc[0]], "saturated": [(high > proportion) | (fast > proportion)]})
+
+    return wide.groupBy("block").applyInPandas(run, "block bigint, saturated array<boolean>")
+
+
+def mute_blocks(sat: DataFrame, n: int = 7) -> DataFrame:
+    """As :func:`mute`, of the rows of :func:`saturation_blocks`: block, mute (an array); a window reaches into the blocks beside."""
+    half = n // 2
+    weights = [math.sin(math.pi / n * (k + 0.5)) for k in range(n)]
+    wide = with_margins(sat, half, half, (), "saturated").select("block", F.size("head").alias("h"), F.size("saturated").alias("n"), F.transform(F.concat("head", "saturated", "tail"), lambda x: x.cast("double")).alias("all"))
+    near = lambda i, k: F.coalesce(F.get(F.col("all"), F.col("h") + i + (k - half)), F.lit(0.0)) * weights[k]
+    gain = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.greatest(F.lit(0.0), 1 - sum((near(i, k) for k in range(n)), F.lit(0.0))))
+    return wide.select("block", gain.alias("mute"))
+
+
+def intervals_blocks(sat: DataFrame, size: int, flag: str = "saturated") -> DataFrame:
+    """As :func:`intervals`, of arrays of ``size`` samples a block: runs that go over a block's end are one.
+
+    Runs are found block by block; the window that joins them sees a row for
+    each run, not for each sample.
+    """
+    edge = F.filter(F.transform(flag, lambda x, i: F.struct(i.alias("i"), (x & ~F.coalesce(F.get(F.col(flag), i - 1), F.lit(False))).alias("up"), (x & ~F.coalesce(F.get(F.col(flag), i + 1), F.lit(False))).alias("down"))), lambda r: r["up"] | r["down"])
+    at = F.col("block") * size
+    places = lambda name: F.transform(F.filter(F.col("e"), lambda r: r[name]), lambda r: at + r["i"])
+    runs = sat.select("block", edge.alias("e")).select(F.inline(F.arrays_zip(places("up").alias("start"), places("down").alias("last"))))
+    w = Window.orderBy("start")
+    runs = runs.withColumn("fresh", F.coalesce(F.col("start") > F.lag("last").over(w) + 1, F.lit(True)).cast("int"))
+    runs = runs.withColumn("run", F.sum("fresh").over(w))
+    end = sat.agg(F.max(F.col("block") * size + F.size(flag) - 1).alias("end"))
+    joined = runs.groupBy("run").agg(F.min("start").alias("start_sample"), (F.max("last") + 1).alias("stop_sample"))
+    return joined.crossJoin(end).select("start_sample", F.least("stop_sample", "end").alias("stop_sample"))
+
+
 def mute(sat: DataFrame, n: int = 7) -> DataFrame:
     """Gain of each sample: 1 less the saturation smeared by a cosine window of ``n`` samples, 0 at least."""
     w = _along(["block"], "sample")
@@ -93,63 +141,94 @@ def spike_venn(spikes: DataFrame, sorters: list[str], fs: float = 30000, samples
     return counts.select("*", level).groupBy(mask.alias("mask")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def clock_lag(a: DataFrame, b: DataFrame, tbin: float = 0.1, column: str = "time") -> DataFrame:
-    """Bins by which ``a`` is behind ``b``: that at which most of their occupied bins meet (lag, n), the first of equals."""
-    low = a.agg(F.min(column).alias("m")).union(b.agg(F.min(column))).agg(F.min("m").alias("low"))
-    binned = lambda x: x.join(F.broadcast(low)).select(F.floor((F.col(column) - F.col("low")) / tbin).alias("bin")).distinct()
-    pairs = binned(a).alias("a").join(binned(b).alias("b"), F.abs(F.col("a.bin") - F.col("b.bin")) <= 100)
-    sums = pairs.groupBy((F.col("a.bin") - F.col("b.bin")).alias("lag")).agg(F.count(F.lit(1)).alias("n"))
-    return sums.orderBy(F.desc("n"), "lag").limit(1)
+def _correlation(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, int]:
+    """How many occupied bins of two ascending lists meet at each lag of x behind y, and the place of lag 0."""
+    low = min(x[0], y[0])
+    n = int(max(x[-1], y[-1]) - low) + 1
+    a, b = np.zeros(n), np.zeros(n)
+    a[x - low], b[y - low] = 1, 1
+    size = 1 << (2 * n).bit_length()
+    c = np.fft.irfft(np.fft.rfft(a, size) * np.conj(np.fft.rfft(b, size)), size)
+    return np.round(np.r_[c[size - (n - 1) :], c[:n]]), n - 1
+
+
+def clock_lag(events: DataFrame, tbin: float = 0.1) -> DataFrame:
+    """Per recording the lag, in bins, at which most of the occupied bins of its two clocks meet, the first of equals: rec, lag, n.
+
+    ``events``: rec, side ('a' or 'b'), time.  All lags are tried, by one
+    Fourier transform a recording over its occupied bins.
+    """
+    low = events.groupBy("rec").agg(F.min("time").alias("low"))
+    bins = events.join(low, "rec").select("rec", "side", F.floor((F.col("time") - F.col("low")) / tbin).cast("long").alias("bin")).distinct()
+
+    def one(group: pd.DataFrame) -> pd.DataFrame:
+        a, b = (np.sort(group.loc[group["side"] == s, "bin"].to_numpy()) for s in "ab")
+        if not len(a) or not len(b):
+            return pd.DataFrame({"rec": [], "lag": [], "n": []})
+        c, zero = _correlation(a, b)
+        i = int(np.argmax(c))
+        return pd.DataFrame({"rec": [group["rec"].iloc[0]], "lag": [i - zero], "n": [int(c[i])]})
+
+    return bins.groupBy("rec").applyInPandas(one, "rec bigint, lag bigint, n bigint")
+
+
+def _near_pairs(a: np.ndarray, b: np.ndarray, width: float) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of all pairs of a's and ascending b's values nearer than ``width``."""
+    lo, hi = np.searchsorted(b, a - width, "right"), np.searchsorted(b, a + width, "left")
+    n = np.maximum(hi - lo, 0)
+    ia = np.repeat(np.arange(len(a)), n)
+    return ia, np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
 
 
 def match_clocks(tsa: np.ndarray, tsb: np.ndarray, tbin: float = 0.1, linear: bool = False) -> tuple[np.ndarray, np.ndarray, float, float]:
-    """Indices of the events of two clocks that belong together, slope and intercept of b over a.
+    """Indices of the events of two ascending clocks that belong together, slope and intercept of b over a.
 
-    The lag comes from the correlation of binned events; single candidates
-    within ``tbin`` are matched first, then what a fit through them predicts,
-    the nearest pair first.
+    The lag comes from the correlation of binned events.  Events with a single
+    candidate within ``tbin`` are matched first, the nearer of two that claim
+    the same one; then those with several; then what a fit through them
+    predicts.  In the last two steps the nearest pair of what is free goes
+    first.  Only pairs within ``tbin`` are ever looked at.
     """
     low = min(tsa.min(), tsb.min())
-    n = int((max(tsa.max(), tsb.max()) - low) / tbin) + 2
-    x, y = np.zeros(n), np.zeros(n)
-    x[((tsa - low) / tbin).astype(int)] = 1
-    y[((tsb - low) / tbin).astype(int)] = 1
-    size = 1 << (2 * n).bit_length()
-    c = np.fft.irfft(np.fft.rfft(x, size) * np.conj(np.fft.rfft(y, size)), size)
-    c = np.round(np.r_[c[-(n - 1) :], c[:n]], 6)
+    c, zero = _correlation(*(np.unique(((t - low) / tbin).astype(int)) for t in (tsa, tsb)))
     i = int(np.argmax(c))
-    shift = 0.0
+    part = 0.0
     if 0 < i < len(c) - 1:
         curve = (c[i - 1] - 2 * c[i] + c[i + 1]) / 2
-        shift = -(c[i + 1] - c[i - 1]) / 2 / (2 * curve) if curve else 0.0
-    delta = (i + shift - n + 1) * tbin
-    target = tsa - delta
-    near = np.clip(np.searchsorted(tsb, target), 1, len(tsb) - 1)
-    near = np.where(np.abs(tsb[near] - target) < np.abs(tsb[near - 1] - target), near, near - 1)
-    close = np.abs(tsb[near] - target) < tbin
-    match = np.full(len(tsa), -1)
-    used: set[int] = set()
-    for k in np.flatnonzero(close):
-        if near[k] not in used:
-            match[k] = near[k]
-            used.add(int(near[k]))
-    if len(used) > 1:
-        ia = np.flatnonzero(match >= 0)
-        slope, start = np.polyfit(tsa[ia], tsb[match[ia]], 1)
-        guess = tsa * slope + start if linear else np.interp(tsa, tsa[ia], tsb[match[ia]]) + np.where((tsa < tsa[ia[0]]) | (tsa > tsa[ia[-1]]), tsa * slope + start - np.interp(tsa, tsa[ia], tsb[match[ia]]), 0)
-        free_a, free_b = np.flatnonzero(match < 0), np.setdiff1d(np.arange(len(tsb)), match[match >= 0])
-        gaps = np.abs(guess[free_a][:, None] - tsb[free_b][None, :])
-        while gaps.size and np.nanmin(np.where(gaps < tbin, gaps, np.inf)) < tbin:
-            p, q = np.unravel_index(int(np.argmin(gaps)), gaps.shape)
-            match[free_a[p]] = free_b[q]
-            gaps[p, :], gaps[:, q] = np.inf, np.inf
+        part = -(c[i + 1] - c[i - 1]) / 2 / (2 * curve) if curve else 0.0
+    delta = (i + part - zero) * tbin
+    match, taken = np.full(len(tsa), -1), np.zeros(len(tsb), bool)
+
+    def nearest_first(ia: np.ndarray, ib: np.ndarray, gap: np.ndarray) -> None:
+        for k in np.argsort(gap, kind="stable").tolist():
+            if match[ia[k]] < 0 and not taken[ib[k]]:
+                match[ia[k]], taken[ib[k]] = ib[k], True
+
+    ia, ib = _near_pairs(tsa - delta, tsb, tbin)
+    gap = np.abs(tsa[ia] - delta - tsb[ib])
+    alone = np.bincount(ia, minlength=len(tsa))[ia] == 1
+    nearest_first(ia[alone], ib[alone], gap[alone])
+    nearest_first(ia[~alone], ib[~alone], gap[~alone])
+    found = np.flatnonzero(match >= 0)
+    if len(found) > 1:
+        slope, start = np.polyfit(tsa[found], tsb[match[found]], 1)
+        guess = tsa * slope + start
+        if not linear:
+            inner = (tsa >= tsa[found[0]]) & (tsa <= tsa[found[-1]])
+            guess = np.where(inner, np.interp(tsa, tsa[found], tsb[match[found]]), guess)
+        free, left = np.flatnonzero(match < 0), np.flatnonzero(~taken)
+        ia, ib = _near_pairs(guess[free], tsb[left], tbin)
+        nearest_first(free[ia], left[ib], np.abs(guess[free[ia]] - tsb[left[ib]]))
     ia = np.flatnonzero(match >= 0)
     slope, start = np.polyfit(tsa[ia], tsb[match[ia]], 1) if len(ia) > 1 else (1.0, -delta)
     return ia, match[ia], float(slope), float(start)
 
 
 def clock_pairs(events: DataFrame, tbin: float = 0.1) -> DataFrame:
-    """Matches per recording: rec, time_a, time_b, drift_ppm, of rows (rec, side 'a' or 'b', time)."""
+    """Matches per recording: rec, time_a, time_b, drift_ppm, of rows (rec, side 'a' or 'b', time).
+
+    A task holds the events of one recording.
+    """
 
     def one(group: pd.DataFrame) -> pd.DataFrame:
         a, b = (np.sort(group.loc[group["side"] == s, "time"].to_numpy()) for s in "ab")

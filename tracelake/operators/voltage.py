@@ -3,6 +3,10 @@
 Rows are block, channel, shank, samples (an array).  Filters along time work
 row by row in Arrow batches and never shuffle; filters along channels group a
 block (and shank), whose size is the block's and never the recording's.
+
+Blocks stand alone by default.  Where they are parts of one recording, give
+the steps a ``margin``: each block then sees so many samples of its
+neighbours, and its own part of the result is kept.
 """
 
 from __future__ import annotations
@@ -47,6 +51,38 @@ def along_time(df: DataFrame, kernel: Kernel, column: str = "samples", extra: st
     return df.mapInArrow(run, df.schema)
 
 
+def with_margins(df: DataFrame, before: int, after: int, keys: tuple[str, ...] = ("channel",), column: str = "samples") -> DataFrame:
+    """``df`` with ``head`` and ``tail``: the last and first samples of the blocks before and after (empty where there is none).
+
+    Blocks meet by number in an equality join; what moves besides the blocks
+    themselves is the margins alone.
+    """
+    on = [*keys, "block"]
+    head = df.select(*keys, (F.col("block") + 1).alias("block"), F.slice(column, F.greatest(F.size(column) - before + 1, F.lit(1)), F.lit(before)).alias("head"))
+    tail = df.select(*keys, (F.col("block") - 1).alias("block"), F.slice(column, F.lit(1), F.lit(after)).alias("tail"))
+    none = F.array().cast(df.schema[column].dataType)
+    return df.join(head, on, "left").join(tail, on, "left").select(*df.columns, F.coalesce("head", none).alias("head"), F.coalesce("tail", none).alias("tail"))
+
+
+def in_margins(df: DataFrame, step: Callable[[DataFrame], DataFrame], margin: int, q: int = 1, keys: tuple[str, ...] = ("channel",), also: str | None = None, tapered: bool = False) -> DataFrame:
+    """``step`` over blocks with ``margin`` samples of their neighbours, less what it makes of those.
+
+    Filters with an odd extension want margins as they are; for circular ones
+    they may be ``tapered`` from nothing (the recording's own ends never are).
+    ``step`` keeps all columns and may take every ``q``-th sample (blocks and
+    margins are multiples of it); ``also`` names a second array that it makes.
+    """
+    if not margin:
+        return step(df)
+    wide = with_margins(df, margin, margin, keys)
+    fade = lambda k: (1 - F.cos((k + 0.5) / margin * np.pi)) / 2
+    head = F.transform("head", lambda x, i: x * fade(i + margin - F.size("head"))) if tapered else F.col("head")
+    tail = F.transform("tail", lambda x, i: x * fade(margin - 1 - i)) if tapered else F.col("tail")
+    wide = wide.select(*(c for c in df.columns if c != "samples"), F.concat(head, "samples", tail).alias("samples"), F.size("head").alias("__head"), F.size("samples").alias("__own"))
+    own = lambda c: F.slice(c, F.floor(F.col("__head") / q).cast("int") + 1, F.ceil(F.col("__own") / q).cast("int"))
+    return step(wide).withColumns({c: own(c) for c in ("samples", also) if c}).select(*df.columns)
+
+
 def across_channels(df: DataFrame, kernel: Kernel, keys: tuple[str, ...] = ("block",), column: str = "samples", order: str = "channel") -> DataFrame:
     """``column`` replaced by the kernel of each group's matrix (channels, samples)."""
 
@@ -58,20 +94,26 @@ def across_channels(df: DataFrame, kernel: Kernel, keys: tuple[str, ...] = ("blo
     return df.groupBy(*keys).applyInPandas(run, df.schema)
 
 
-def high_pass(df: DataFrame, fs: float, corner: float = 300, order: int = 3) -> DataFrame:
+def high_pass(df: DataFrame, fs: float, corner: float = 300, order: int = 3, margin: int = 0) -> DataFrame:
     """Zero-phase Butterworth high-pass along time."""
     sos = K.butterworth(order, 2 * corner / fs, "highpass")
-    return along_time(df, lambda x: K.sosfiltfilt(sos, x))
+    return in_margins(df, lambda x: along_time(x, lambda a: K.sosfiltfilt(sos, a)), margin)
 
 
-def band_pass(df: DataFrame, fs: float, corners: tuple[float, float] = (0.5, 300), order: int = 3) -> DataFrame:
+def band_pass(df: DataFrame, fs: float, corners: tuple[float, float] = (0.5, 300), order: int = 3, margin: int = 0) -> DataFrame:
     sos = K.butterworth(order, 2 * np.array(corners) / fs, "bandpass")
-    return along_time(df, lambda x: K.sosfiltfilt(sos, x))
+    return in_margins(df, lambda x: along_time(x, lambda a: K.sosfiltfilt(sos, a)), margin)
+
 
+def low_band(df: DataFrame, q: int = 12, corner: float = 0.2, margin: int = 0) -> DataFrame:
+    """Every q-th sample of the zero-phase low-passed traces."""
+    sos = K.butterworth(3, corner, "lowpass")
+    return in_margins(df, lambda x: along_time(x, lambda a: K.sosfiltfilt(sos, a)[..., ::q]), margin, q)
 
-def rephase(df: DataFrame, shift: str = "sample_shift") -> DataFrame:
+
+def rephase(df: DataFrame, shift: str = "sample_shift", margin: int = 0) -> DataFrame:
     """Traces delayed by each channel's part of a sample."""
-    return along_time(df, K.shift, extra=shift)
+    return in_margins(df, lambda x: along_time(x, K.shift, extra=shift), margin, tapered=True)
 
 
 def to_long(df: DataFrame) -> DataFrame:
@@ -99,12 +141,10 @@ def stack(df: DataFrame, word: str = "label", operator: str = "mean") -> DataFra
     return df.groupBy(word, "sample").agg(made.alias("v"), F.count(F.lit(1)).alias("fold"))
 
 
-def interpolate_bad(df: DataFrame, geometry: DataFrame, labels: DataFrame, p: float = 1.3, radius: float = 20) -> DataFrame:
-    """Long rows with dead and noisy channels (labels 1 and 2) rebuilt from the good ones around.
+def donor_weights(geometry: DataFrame, labels: DataFrame, p: float = 1.3, radius: float = 20) -> DataFrame:
+    """target, channel, w: of each dead or noisy channel (labels 1 and 2) the good ones around, by an equality join on cells.
 
-    Weights fall with distance and end at 0.005; a channel with no donor
-    becomes zero.  The table of weights has a row for each pair of sites that
-    are near; only rows of donors meet it.
+    Weights fall with distance and end at 0.005.
     """
     sites = geometry.select("ind", "x", "y").join(labels.select(F.col("channel").alias("ind"), "label"), "ind", "left").withColumn("bad", F.coalesce(F.col("label").isin(1, 2), F.lit(False)))
     # beyond this distance no weight reaches 0.005
@@ -113,45 +153,87 @@ def interpolate_bad(df: DataFrame, geometry: DataFrame, labels: DataFrame, p: fl
     bad = sites.where("bad").select(F.col("ind").alias("target"), F.col("x").alias("tx"), F.col("y").alias("ty"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
     good = sites.where("NOT bad").select("ind", "x", "y", cell.alias("cell"))
     dx, dy = F.col("x") - F.col("tx"), F.col("y") - F.col("ty")
-    weights = bad.join(good, "cell").withColumn("w", F.exp(-F.pow(F.sqrt(dx * dx + dy * dy) / radius, p))).where("w >= 0.005").select("target", F.col("ind").alias("channel"), "w")
-    rebuilt = df.join(F.broadcast(weights), "channel").groupBy("block", "target", "sample").agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("made"))
-    marked = df.join(F.broadcast(sites.select(F.col("ind").alias("channel"), "bad")), "channel", "left")
-    out = marked.join(rebuilt.withColumnRenamed("target", "channel"), ["block", "channel", "sample"], "left")
+    weights = bad.join(good, "cell").withColumn("w", F.exp(-F.pow(F.sqrt(dx * dx + dy * dy) / radius, p))).where("w >= 0.005")
+    return weights.select("target", F.col("ind").alias("channel"), "w")
+
+
+def interpolate_bad(df: DataFrame, geometry: DataFrame, labels: DataFrame, p: float = 1.3, radius: float = 20) -> DataFrame:
+    """Long rows with dead and noisy channels (labels 1 and 2) rebuilt from the good ones around.
+
+    A channel with no donor becomes zero.  The table of weights has a row for
+    each pair of sites that are near; only rows of donors meet it.
+    """
+    weights = donor_weights(geometry, labels, p, radius)
+    rebuilt = df.join(weights, "channel").groupBy("block", "target", "sample").agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("made"))
+    bad = labels.where("label IN (1, 2)").select("channel", F.lit(True).alias("bad"))
+    out = df.join(bad, "channel", "left").join(rebuilt.withColumnRenamed("target", "channel"), ["block", "channel", "sample"], "left")
     return out.withColumn("v", F.when(F.col("bad"), F.coalesce("made", F.lit(0.0))).otherwise(F.col("v"))).select(*df.columns)
 
 
-def destripe(df: DataFrame, fs: float, geometry: DataFrame, labels: DataFrame | None = None, k_filter: bool | None | Kernel = True, corner: float = 300, epsilon: float | None = 1e-8) -> DataFrame:
+def _placed(df: DataFrame, sites: DataFrame) -> DataFrame:
+    """Rows with columns of their site; Spark broadcasts a probe's few sites by their size."""
+    return df.join(sites, "channel")
+
+
+def destripe(df: DataFrame, fs: float, geometry: DataFrame, labels: DataFrame | None = None, k_filter: bool | None | Kernel = True, corner: float = 300, epsilon: float | None = 1e-8, margin: int = 0) -> DataFrame:
     """High-pass, re-phasing, interpolation of bad channels, and a spatial filter per shank.
 
     ``k_filter``: true for the k-filter, false for the common reference, none
     for neither, or a function of a (channels, samples) matrix.  Channels with
     label 3 lie outside the brain: they keep the temporal steps alone.
     """
+    if margin:
+        return in_margins(df, lambda x: destripe(x, fs, geometry, labels, k_filter, corner, epsilon), margin)
+    return _spatial(_shifted(high_pass(df, fs, corner), geometry), fs, geometry, labels, k_filter, epsilon)
+
+
+def _shifted(df: DataFrame, geometry: DataFrame) -> DataFrame:
     sites = geometry.select(F.col("ind").alias("channel"), "sample_shift")
-    out = rephase(high_pass(df, fs, corner).join(F.broadcast(sites), "channel").select(*df.columns, "sample_shift")).select(*df.columns)
-    if labels is not None:
-        out = to_rows(interpolate_bad(to_long(out), geometry, labels), tuple(c for c in df.columns if c != "samples"))
-    if k_filter is None:
-        return out
-    if labels is not None:
-        out = out.join(F.broadcast(labels.select("channel", F.col("label").alias("__label"))), "channel", "left")
-        outside, out = out.where("__label = 3").select(*df.columns), out.where(F.coalesce(F.col("__label"), F.lit(0)) != 3).select(*df.columns)
+    return rephase(_placed(df, sites).select(*df.columns, "sample_shift")).select(*df.columns)
+
+
+def _spatial(df: DataFrame, fs: float, geometry: DataFrame, labels: DataFrame | None, k_filter, epsilon: float | None) -> DataFrame:
+    """Bad channels rebuilt and the spatial filter: a block's arrays meet in one shuffle, and the steps before run once."""
     if k_filter is True:
         lagc = int(fs / 10) if fs >= 3000 else None
-        out = across_channels(out, lambda x: K.kfilt(x, lagc, epsilon=epsilon), ("block", "shank"))
+        kernel = lambda x: K.kfilt(x, lagc, epsilon=epsilon)
     elif k_filter is False:
-        out = to_rows(common_reference(to_long(out)), tuple(c for c in df.columns if c != "samples"))
+        kernel = lambda x: x - np.median(x, 0)
     else:
-        out = across_channels(out, k_filter, ("block", "shank"))
-    return out if labels is None else out.select(*df.columns).unionByName(outside)
+        kernel = k_filter
+    if labels is None:
+        return df if kernel is None else across_channels(df, kernel, ("block", "shank"))
+    columns = df.columns
+    sites = geometry.select(F.col("ind").alias("channel"), F.col("x").alias("__x"), F.col("y").alias("__y")).join(labels.select("channel", F.col("label").alias("__label")), "channel", "left")
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("channel")
+        x = np.stack(group["samples"].to_numpy()).astype(float)
+        label = group["__label"].fillna(0).to_numpy().astype(int)
+        bad = np.isin(label, (1, 2))
+        if bad.any():
+            x[bad] = K.interpolation_weights(group["__x"].to_numpy(), group["__y"].to_numpy(), label) @ x
+        if kernel is not None:
+            for s in group["shank"].unique():
+                rows = np.flatnonzero((group["shank"].to_numpy() == s) & (label != 3))
+                if len(rows):
+                    x[rows] = kernel(x[rows])
+        return group[columns].assign(samples=list(x))
+
+    return _placed(df, sites).groupBy("block").applyInPandas(run, df.schema)
 
 
-def destripe_lfp(df: DataFrame, fs: float, geometry: DataFrame, labels: DataFrame | None = None, corners: tuple[float, float] = (0.5, 300)) -> DataFrame:
-    """Band-pass, bad channels and the common reference of low-frequency bands."""
+def destripe_lfp(df: DataFrame, fs: float, geometry: DataFrame, labels: DataFrame | None = None, corners: tuple[float, float] = (0.5, 300), version: int | str = 1, k_filter: bool | None | Kernel = False, margin: int = 0) -> DataFrame:
+    """Band-pass, re-phasing, bad channels and a spatial filter (the common reference by default) of low-frequency bands.
+
+    From version 2 on the delays are too small to count here, and are not undone.
+    """
+    if margin:
+        return in_margins(df, lambda x: destripe_lfp(x, fs, geometry, labels, corners, version, k_filter), margin)
     out = band_pass(df, fs, corners)
-    if labels is not None:
-        out = to_rows(interpolate_bad(to_long(out), geometry, labels), tuple(c for c in df.columns if c != "samples"))
-    return to_rows(common_reference(to_long(out)), tuple(c for c in df.columns if c != "samples"))
+    if str(version).split(".")[0] in ("1", "3A", "3B1", "3B2"):
+        out = _shifted(out, geometry)
+    return _spatial(out, fs, geometry, labels, k_filter, 1e-8)
 
 
 def similarity(df: DataFrame, keys: tuple[str, ...] = ("block",)) -> DataFrame:
@@ -217,17 +299,32 @@ def source_density(df: DataFrame, dx: float, n: int = 2, sigma: float = 1 / 3, k
     return inner.withColumn("csd", F.coalesce("csd", F.lead("csd").over(w), F.lag("csd").over(w)))
 
 
-def resample_lfp(df: DataFrame, fs: float, q: int, geometry: DataFrame | None = None, labels: DataFrame | None = None) -> DataFrame:
-    """Re-phased, high-passed at 2 Hz, referenced to the good channels' median, every q-th sample."""
-    out = df
-    if geometry is not None:
-        out = rephase(out.join(F.broadcast(geometry.select(F.col("ind").alias("channel"), "sample_shift")), "channel")).select(*df.columns)
-    out = high_pass(out, fs, 2)
-    long = to_long(out)
-    good = long if labels is None else long.join(F.broadcast(labels.where("label = 0").select("channel")), "channel", "left_semi")
-    reference = good.groupBy("block", "sample").agg(F.median("v").alias("reference"))
-    cleaned = long.join(reference, ["block", "sample"], "left").withColumn("v", F.col("v") - F.coalesce("reference", F.lit(0.0))).drop("reference")
-    return along_time(to_rows(cleaned, tuple(c for c in df.columns if c != "samples")), lambda x: K.decimate(x, q))
+def resample_lfp(df: DataFrame, fs: float, q: int, geometry: DataFrame | None = None, labels: DataFrame | None = None, denoise: Kernel | None = None, margin: int = 0) -> DataFrame:
+    """Re-phased, high-passed at 2 Hz, bad channels rebuilt, referenced to the good channels' median, every q-th sample.
+
+    ``denoise`` is a kernel of a block's decimated (channels, samples) matrix,
+    such as Cadzow's.  The result has ``reference`` too: what was taken away,
+    decimated, so that nothing is lost.
+    """
+    marked = df.withColumn("reference", F.array().cast("array<double>"))
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("channel")
+        x = np.stack(group["samples"].to_numpy()).astype(float)
+        good = group["__label"].fillna(0).to_numpy() == 0
+        middle = np.median(x[good], 0) if good.any() else np.zeros(x.shape[1])
+        y = K.decimate(x - middle, q)
+        y = y if denoise is None else denoise(y)
+        return group.drop(columns="__label").assign(samples=list(y), reference=[K.decimate(middle, q)] * len(y))
+
+    def step(x: DataFrame) -> DataFrame:
+        out = high_pass(x if geometry is None else _shifted(x, geometry), fs, 2)
+        if labels is not None and geometry is not None:
+            out = _spatial(out, fs, geometry, labels, None, None)
+        told = out.withColumn("__label", F.lit(0)) if labels is None else out.join(labels.select("channel", F.col("label").alias("__label")), "channel", "left").select(*out.columns, F.col("__label").cast("int"))
+        return told.groupBy("block").applyInPandas(run, out.schema)
+
+    return in_margins(marked, step, margin, q, also="reference")
 
 
 def svd_denoise(df: DataFrame, rank: int | None = None) -> DataFrame:
@@ -251,8 +348,9 @@ def cadzow(df: DataFrame, geometry: DataFrame, fs: float = 250, rank: int = 5, f
 def split_shanks(df: DataFrame, geometry: DataFrame) -> DataFrame:
     """Rows with their site's shank; sync rows (no site) once for each shank."""
     sites = geometry.select(F.col("ind").alias("channel"), F.col("shank").cast("long").alias("to_shank"))
-    probe = df.join(F.broadcast(sites), "channel")
-    sync = df.join(F.broadcast(sites.select("channel")), "channel", "left_anti").join(F.broadcast(sites.select("to_shank").distinct()))
+    probe = df.join(sites, "channel")
+    # as many copies of the few sync rows as there are shanks
+    sync = df.join(sites.select("channel"), "channel", "left_anti").crossJoin(sites.select("to_shank").distinct())
     return probe.unionByName(sync)
 
 

@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import kernels as K
 from ..functions.columns import at, first_argmax, taper
+from .voltage import with_margins
 
 #: Samples before the trough, samples of a waveform.
 TROUGH_OFFSET, LENGTH = 42, 128
+#: Clusters whose places are summed together.
+RANGE = 10_000
 
 
 def far_from_ends(spikes: DataFrame, ns: int, trough_offset: int = TROUGH_OFFSET, length: int = LENGTH) -> DataFrame:
@@ -37,7 +45,12 @@ def with_places(rows: DataFrame) -> DataFrame:
     within = Window.partitionBy("cluster").orderBy("sample", "spike")
     placed = rows.withColumn("index_within_clusters", (F.row_number().over(within) - 1).cast("long"))
     sizes = rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
-    before = sizes.withColumn("start", F.coalesce(F.sum("size").over(Window.orderBy("cluster").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("size")
+    # clusters by ranges: sums within each range, and what the ranges before hold
+    dealt = sizes.withColumn("range", F.floor(F.col("cluster") / RANGE))
+    ranges = dealt.groupBy("range").agg(F.sum("size").alias("all"))
+    ranges = ranges.withColumn("before", F.coalesce(F.sum("all").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("all")
+    inner = F.coalesce(F.sum("size").over(Window.partitionBy("range").orderBy("cluster").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = dealt.withColumn("inner", inner).join(ranges, "range").select("cluster", (F.col("before") + F.col("inner")).alias("start"))
     return placed.join(before, "cluster").withColumn("waveform_index", F.col("start") + F.col("index_within_clusters")).drop("start")
 
 
@@ -51,24 +64,31 @@ def blocks_of(spikes: DataFrame, size: int) -> DataFrame:
     return spikes.withColumn("block", F.floor(F.col("sample") / size))
 
 
-def extract(spikes: DataFrame, samples: DataFrame, edges: DataFrame, trough_offset: int = TROUGH_OFFSET, length: int = LENGTH, size: int = 30_000, missing: float | None = float("nan")) -> DataFrame:
+def to_blocks(samples: DataFrame, size: int) -> DataFrame:
+    """Long rows (channel, sample, v; every sample from 0 on) as arrays of ``size`` samples: channel, block, samples."""
+    dealt = samples.groupBy("channel", F.floor(F.col("sample") / size).alias("block"))
+    return dealt.agg(F.transform(F.array_sort(F.collect_list(F.struct("sample", "v"))), lambda x: x["v"]).alias("samples"))
+
+
+def extract(spikes: DataFrame, traces: DataFrame, edges: DataFrame, trough_offset: int = TROUGH_OFFSET, length: int = LENGTH, size: int = 30_000, missing: float | None = float("nan")) -> DataFrame:
     """Waveforms of spikes on the neighbours of their peak channel: spike, slot, neighbour, samples.
 
-    ``spikes``: spike, sample, channel; ``samples``: channel, sample, v;
-    ``edges``: channel, slot, neighbour.  Spikes and samples meet on channel
-    and block (a spike near a block's end asks the next one too); a sample
-    that is not there is ``missing``.
+    ``spikes``: spike, sample, channel; ``traces``: channel, block, samples
+    (arrays of ``size`` samples, the last shorter); ``edges``: channel, slot,
+    neighbour.  Each block sees the samples of its neighbours that a waveform
+    may reach, and meets its spikes in one join, where a waveform is a slice:
+    no row is made for a sample.  A sample that is not there is ``missing``.
     """
-    wanted = spikes.join(edges, "channel").select("spike", "sample", "slot", "neighbour")
-    first = F.col("sample") - trough_offset
-    wanted = wanted.withColumn("begin", first).withColumn("block", F.explode(F.sequence(F.floor(first / size), F.floor((first + length - 1) / size))))
-    held = samples.select(F.col("channel").alias("neighbour"), F.col("sample").alias("at"), "v", F.floor(F.col("sample") / size).alias("block"))
-    found = wanted.join(held, ["neighbour", "block"], "left").where(F.col("at").isNull() | F.col("at").between(F.col("begin"), F.col("begin") + length - 1))
-    parts = found.groupBy("spike", "slot", "neighbour").agg(F.min("begin").alias("begin"), F.collect_list(F.when(F.col("at").isNotNull(), F.struct((F.col("at") - F.col("begin")).alias("i"), "v"))).alias("got"))
-    every = wanted.select("spike", "slot", "neighbour").distinct()
-    lookup = F.map_from_entries(F.col("got"))
-    made = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(length - 1).cast("long")), lambda i: F.coalesce(F.element_at(lookup, i), F.lit(missing)))
-    return every.join(parts, ["spike", "slot", "neighbour"], "left").withColumn("got", F.coalesce("got", F.array().cast("array<struct<i:bigint,v:double>>"))).select("spike", "slot", "neighbour", made.alias("samples"))
+    wide = with_margins(traces.select("channel", "block", "samples"), trough_offset, length)
+    some = lambda n: F.array_repeat(F.lit(missing).cast("double"), n)
+    before = F.concat(some(F.lit(trough_offset) - F.size("head")), "head")
+    held = wide.select(F.col("channel").alias("neighbour"), "block", F.concat(before, "samples", "tail", some(F.lit(length))).alias("around"))
+    wanted = spikes.join(edges, "channel").select("spike", "sample", "slot", "neighbour", F.floor(F.col("sample") / size).alias("block"))
+    made = F.slice("around", (F.col("sample") - F.col("block") * size + 1).cast("int"), F.lit(length))
+    # the recording may end within the slice, or before it
+    full = F.concat(F.coalesce(made, F.array().cast("array<double>")), some(F.lit(length)))
+    out = wanted.join(held, ["neighbour", "block"], "left")
+    return out.select("spike", "slot", "neighbour", F.slice(full, 1, length).alias("samples"))
 
 
 def load(waveforms: DataFrame, labels: DataFrame | None = None, indices: DataFrame | None = None) -> DataFrame:
@@ -85,7 +105,7 @@ def templates(df: DataFrame, keys: tuple[str, ...] = ("cluster", "trace", "sampl
 def coordinates(spikes: DataFrame, edges: DataFrame, geometry: DataFrame) -> DataFrame:
     """x and y of each spike's neighbour channels; null where a slot has no site."""
     sites = geometry.select(F.col("ind").alias("neighbour"), "x", "y")
-    return spikes.join(edges, "channel", "left").join(F.broadcast(sites), "neighbour", "left").select("spike", "slot", "neighbour", "x", "y")
+    return spikes.join(edges, "channel", "left").join(sites, "neighbour", "left").select("spike", "slot", "neighbour", "x", "y")
 
 
 def maxima(df: DataFrame) -> DataFrame:
@@ -188,7 +208,7 @@ def spatial_spread(df: DataFrame, geometry: DataFrame) -> DataFrame:
     per = maxima(df.select("waveform_index", F.posexplode("traces").alias("trace", "samples")))
     top = per.groupBy("waveform_index").agg(F.max_by("trace", F.struct("max_abs", -F.col("trace"))).alias("peak"))
     g = geometry.select("ind", "x", "y")
-    placed = per.join(top, "waveform_index").join(F.broadcast(g.toDF("trace", "x", "y")), "trace").join(F.broadcast(g.toDF("peak", "px", "py")), "peak")
+    placed = per.join(top, "waveform_index").join(g.toDF("trace", "x", "y"), "trace").join(g.toDF("peak", "px", "py"), "peak")
     far = F.sqrt((F.col("x") - F.col("px")) * (F.col("x") - F.col("px")) + (F.col("y") - F.col("py")) * (F.col("y") - F.col("py")))
     return placed.groupBy("waveform_index").agg((F.sum(far * F.col("val")) / F.nullif(F.sum("val"), F.lit(0.0))).alias("spread"))
 
@@ -200,6 +220,33 @@ def pre_post(df: DataFrame, peaks: DataFrame) -> DataFrame:
     return joined.withColumn("pre", F.when(early, F.col("v"))).withColumn("post", F.when(~early, F.col("v"))).drop("peak_time_idx")
 
 
+def shifted(df: DataFrame, cells: DataFrame, fs: float | None = None) -> DataFrame:
+    """Waveforms moved onto their cluster's median template: waveform_index, cluster, lag, traces.
+
+    ``df``: waveform_index, cluster, traces; ``cells``: the same as rows
+    (cluster, trace, sample, v).  The lag is that of the template's peak trace,
+    by correlation; with ``fs`` by the slope of the phase.  A cluster's template
+    is a small array that meets its waveforms in a join, so that a large cluster
+    is no larger a task.
+    """
+    rows = templates(cells).groupBy("cluster", "trace").agg(F.transform(F.array_sort(F.collect_list(F.struct("sample", "template"))), lambda x: x["template"]).alias("t"))
+    peak = rows.groupBy("cluster").agg(F.max_by(F.struct("trace", "t"), F.struct(F.array_max(F.transform("t", F.abs)), -F.col("trace"))).alias("best"))
+    joined = df.select("waveform_index", "cluster", "traces").join(peak.select("cluster", "best.trace", "best.t"), "cluster")
+
+    def move(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            lags, moved = [], []
+            for traces, at, t in zip(batch["traces"], batch["trace"], batch["t"], strict=True):
+                cube = np.stack([np.asarray(x, float) for x in traces])
+                t = np.asarray(t, float)
+                lag = K.shift_by_correlation(t, cube[at])[1] if fs is None else K.shift_by_phase(t, cube[at], fs)[1]
+                lags.append(float(lag))
+                moved.append([x.tolist() for x in K.shift(cube, lag)])
+            yield pd.DataFrame({"waveform_index": batch["waveform_index"], "cluster": batch["cluster"], "lag": lags, "traces": moved})
+
+    return joined.mapInPandas(move, "waveform_index bigint, cluster bigint, lag double, traces array<array<double>>")
+
+
 def without_nan(df: DataFrame, column: str = "traces") -> DataFrame:
     """Waveforms with NaN and null samples as zero."""
     return df.withColumn(column, F.transform(column, lambda tr: F.transform(tr, lambda x: F.nanvl(F.coalesce(x, F.lit(0.0)), F.lit(0.0)))))

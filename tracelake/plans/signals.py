@@ -102,10 +102,11 @@ def label_mode(spark, d):
     return V.label_mode(e.select(channel.alias("channel"), label.alias("label")))
 
 
-@query(f"""WITH {SIGNAL}, {GEOM}, bad AS (SELECT ind FROM geom WHERE ind % 13 = 5),
-w AS (SELECT b.ind AS target, g.ind AS channel, exp(-((sqrt((a.x - g.x) ** 2 + (a.y - g.y) ** 2) / 20.0) ** 1.3)) AS w
-  FROM bad b JOIN geom a ON a.ind = b.ind JOIN geom g ON g.ind NOT IN (SELECT ind FROM bad)),
-m AS (SELECT s.block, w.target, s.sample, sum(w.w * s.v) / sum(w.w) AS made FROM sig s JOIN w ON w.channel = s.channel WHERE w.w >= 0.005 GROUP BY 1, 2, 3)
+@query(f"""WITH {SIGNAL.replace("sig AS (", "sig AS MATERIALIZED (")}, {GEOM},
+p AS (SELECT a.ind AS target, g.ind AS channel, exp(-((sqrt((a.x - g.x) ** 2 + (a.y - g.y) ** 2) / 20.0::DOUBLE) ** 1.3)) AS w
+  FROM geom a, geom g WHERE a.ind % 13 = 5 AND g.ind % 13 <> 5),
+w AS MATERIALIZED (SELECT * FROM p WHERE w >= 0.005),
+m AS MATERIALIZED (SELECT s.block, w.target, s.sample, sum(w.w * s.v) / sum(w.w) AS made FROM sig s JOIN w ON w.channel = s.channel GROUP BY 1, 2, 3)
 SELECT s.block, s.channel, s.sample, round(CASE WHEN s.channel % 13 = 5 THEN coalesce(m.made, 0.0) ELSE s.v END, 6) + 0.0 AS v
 FROM sig s LEFT JOIN m ON m.block = s.block AND m.target = s.channel AND m.sample = s.sample""")
 def interpolate_bad(spark, d):
@@ -153,18 +154,18 @@ def dft(spark, d):
 
 
 @query(f"""WITH {SIGNAL}, f AS (SELECT block, channel, k.k, sum(v * cos(2 * pi() * k.k * sample / 64)) AS re, -sum(v * sin(2 * pi() * k.k * sample / 64)) AS im
-  FROM sig, range(33) k(k) WHERE block = 0 GROUP BY 1, 2, 3),
+  FROM sig, range(33) k(k) GROUP BY 1, 2, 3),
 g AS (SELECT *, re * cos(2 * pi() * k * 0.3 / 64) + im * sin(2 * pi() * k * 0.3 / 64) AS r2, im * cos(2 * pi() * k * 0.3 / 64) - re * sin(2 * pi() * k * 0.3 / 64) AS i2 FROM f)
 SELECT block, channel, t.t AS sample, round(sum(CASE WHEN k IN (0, 32) THEN 1 ELSE 2 END * (r2 * cos(2 * pi() * k * t.t / 64) - i2 * sin(2 * pi() * k * t.t / 64)) ) / 64, 6) + 0.0 AS v
 FROM g, range(64) t(t) GROUP BY 1, 2, 3""")
 def fshift(spark, d):
-    df = views.signal(spark, d).where("block = 0").select("block", "channel", "samples")
+    df = views.signal(spark, d).select("block", "channel", "samples")
     return rounded(V.to_long(V.along_time(df, lambda x: K.shift(x, 0.3))).withColumn("sample", F.col("sample").cast("long")), "v")
 
 
 def _filter_sql(gain: str) -> str:
     return f"""WITH {SIGNAL}, f AS (SELECT block, channel, k.k, sum(v * cos(2 * pi() * k.k * sample / 64)) AS re, -sum(v * sin(2 * pi() * k.k * sample / 64)) AS im
-  FROM sig, range(33) k(k) WHERE block = 0 GROUP BY 1, 2, 3),
+  FROM sig, range(33) k(k) GROUP BY 1, 2, 3),
 c AS (SELECT *, k / 64.0::DOUBLE AS f FROM f), g AS (SELECT *, {gain} AS gain FROM c)
 SELECT block, channel, t.t AS sample, round(sum(gain * CASE WHEN k IN (0, 32) THEN 1 ELSE 2 END * (re * cos(2 * pi() * k * t.t / 64) - im * sin(2 * pi() * k * t.t / 64))) / 64, 6) + 0.0 AS v
 FROM g, range(64) t(t) GROUP BY 1, 2, 3"""
@@ -175,7 +176,7 @@ def _ramp(a: float, b: float) -> str:
 
 
 def _filtered(spark, d, corners, kind):
-    df = views.signal(spark, d).where("block = 0").select("block", "channel", "samples")
+    df = views.signal(spark, d).select("block", "channel", "samples")
     out = V.along_time(df, lambda x: K.frequency_filter(x, 1.0, corners, kind))
     return rounded(V.to_long(out).withColumn("sample", F.col("sample").cast("long")), "v")
 
@@ -196,10 +197,10 @@ def filter_bp(spark, d):
 
 
 @query(f"""WITH {SIGNAL}, s AS (SELECT a.block, a.channel, a.sample, sum(b.v * [0.25, 0.5, 0.25][(a.sample - b.sample + 2)::INT]) AS v
-  FROM sig a JOIN sig b ON a.block = b.block AND a.channel = b.channel AND abs(a.sample - b.sample) <= 1 WHERE a.block = 0 GROUP BY 1, 2, 3)
+  FROM sig a JOIN sig b ON a.block = b.block AND a.channel = b.channel AND abs(a.sample - b.sample) <= 1 GROUP BY 1, 2, 3)
 SELECT block, channel, sample, round(v, 6) + 0.0 AS v FROM s""")
 def convolve_same(spark, d):
-    df = views.signal(spark, d).where("block = 0").select("block", "channel", "samples")
+    df = views.signal(spark, d).select("block", "channel", "samples")
     out = V.along_time(df, lambda x: K.convolve(x, np.array([0.25, 0.5, 0.25]), "same"))
     return rounded(V.to_long(out).withColumn("sample", F.col("sample").cast("long")), "v")
 
@@ -208,10 +209,10 @@ _HANN5 = "([0.0, 0.25, 0.5, 0.25, 0.0]::DOUBLE[])"
 
 
 @query(f"""WITH {SIGNAL}, s AS (SELECT a.block, a.channel, a.sample, any_value(a.v) AS v, sum(abs(b.v) * {_HANN5}[(a.sample - b.sample + 3)::INT]) AS g
-  FROM sig a JOIN sig b ON a.block = b.block AND a.channel = b.channel AND abs(a.sample - b.sample) <= 2 WHERE a.block = 0 GROUP BY 1, 2, 3)
+  FROM sig a JOIN sig b ON a.block = b.block AND a.channel = b.channel AND abs(a.sample - b.sample) <= 2 GROUP BY 1, 2, 3)
 SELECT block, channel, sample, round(v / greatest(g, 1e-8::DOUBLE), 5) + 0.0 AS v FROM s""")
 def agc(spark, d):
-    df = views.signal(spark, d).where("block = 0").select("block", "channel", "samples")
+    df = views.signal(spark, d).select("block", "channel", "samples")
     out = V.to_long(V.along_time(df, lambda x: K.agc(x, 4, 1, 1e-8)[0])).withColumn("sample", F.col("sample").cast("long"))
     return out.withColumn("v", F.round("v", 5) + F.lit(0.0))
 
@@ -236,7 +237,7 @@ def shank_rebuild(spark, d):
     return V.to_long(V.join_shanks(split)).select("block", "channel", F.col("sample").cast("long").alias("sample"), "v")
 
 
-# --- without SQL: dense linear algebra, checked in the tests ---------------------
+# --- dense linear algebra; without SQL where the tests hold it against numpy ---------------------
 def _probe_rows(spark, d):
     return views.signal(spark, d).select("block", "channel", "shank", "samples")
 
@@ -262,6 +263,12 @@ def destripe_lfp(spark, d):
     return rounded(V.to_long(V.destripe_lfp(_probe_rows(spark, d), 2500, _probe_geometry(spark))), "v")
 
 
+@query()
+def destripe_in_margins(spark, d):
+    """Destriping of the blocks as parts of one recording, each with samples of its neighbours."""
+    return rounded(V.to_long(V.destripe(_probe_rows(spark, d), 30000, _probe_geometry(spark), k_filter=False, margin=32)), "v")
+
+
 @query()
 def bad_channel_labels(spark, d):
     return rounded(V.bad_channels(_probe_rows(spark, d), 30000), "rms_raw", "xcor_hf", "xcor_lf", "psd_hf")
@@ -269,7 +276,8 @@ def bad_channel_labels(spark, d):
 
 @query()
 def resample_lfp(spark, d):
-    return rounded(V.to_long(V.resample_lfp(_probe_rows(spark, d), 2500, 4, _probe_geometry(spark))), "v")
+    out = V.resample_lfp(_probe_rows(spark, d), 2500, 4, _probe_geometry(spark)).drop("reference")
+    return rounded(V.to_long(out), "v")
 
 
 @query()

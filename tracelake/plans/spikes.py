@@ -132,6 +132,43 @@ def meta_parse(spark, d):
     return facts.join(sites, "path").drop("path")
 
 
+def _meta_rows(spark):
+    sites = "".join(f"(0:{i % 2}:{i // 2}:1)" for i in range(8))
+    um = "".join(f"({i // 4}:{27 + 32 * (i % 2)}:{15 * (i % 4 // 2)}:1)" for i in range(8))
+    gains = "".join(f"({i} 0 0 {500 + i} 250 1)" for i in range(8))
+    files = {
+        "one": f"typeThis=imec\nimDatPrb_type=0\nimAiRangeMax=0.6\nnSavedChans=9\nsnsApLfSy=8,0,1\n~imroTbl=(0,8){gains}\n~snsShankMap=(1,2,480){sites}",
+        "two": f"typeThis=imec\nimDatPrb_type=24\nimDatPrb_pn=NP2010\nimAiRangeMax=0.5\nimMaxInt=8192\nnSavedChans=9\nsnsApLfSy=8,0,1\n~imroTbl=(24,8)(0 0 0 0 0)\n~snsGeomMap=(NP2010,4,250,70){um}",
+        "board": "typeThis=nidq\nniAiRangeMax=5\nniMNGain=200\nniMAGain=50\nnSavedChans=5\nsnsMnMaXaDw=1,1,2,1",
+    }
+    return M.parse(spark.createDataFrame([(k, x) for k, t in files.items() for x in t.split("\n")], "path string, value string"))
+
+
+@query("""SELECT 'one' AS path, i AS channel, CASE WHEN i < 8 THEN 0.6::DOUBLE / 512 / (500 + i) ELSE 1.0 END * 1e9 AS ap, CASE WHEN i < 8 THEN 0.6::DOUBLE / 512 / 250 ELSE 1.0 END * 1e9 AS lf, NULL::DOUBLE AS nidq FROM range(9) t(i)
+UNION ALL SELECT 'two', i, g, g, NULL FROM (SELECT i, CASE WHEN i < 8 THEN 0.5::DOUBLE / 8192 / 80 ELSE 1.0 END * 1e9 AS g FROM range(9) t(i))
+UNION ALL SELECT 'board', i, NULL, NULL, [5::DOUBLE / 32768 / 200, 5::DOUBLE / 32768 / 50, 5::DOUBLE / 32768, 5::DOUBLE / 32768, 1][(i + 1)::INT] * 1e9 FROM range(5) t(i)""")
+def meta_gains(spark, d):
+    """Nanovolts a bit of each saved channel of three kinds of files."""
+    return M.volts_per_bit(_meta_rows(spark)).select("path", "channel", *((F.col(c) * 1e9).alias(c) for c in ("ap", "lf", "nidq")))
+
+
+@query("""WITH a AS (SELECT 'one' AS path, i AS ind, 0 AS shank, i // 2 AS row, 2 - 2 * (i % 2) + (i // 2) % 2 AS col, 13 AS c FROM range(8) t(i)
+UNION ALL SELECT 'two', i, i // 4, i % 4 // 2, i % 2, 16 FROM range(8) t(i)),
+g AS (SELECT *, CASE WHEN c = 13 THEN col * 16.0 + 11 ELSE col * 32.0 + 27 END AS x, CASE WHEN c = 13 THEN row * 20.0 + 20 ELSE row * 15.0 + 20 END AS y FROM a)
+SELECT path, ind, shank, row::DOUBLE AS row, col::DOUBLE AS col, x::DOUBLE AS x, y::DOUBLE AS y, (ind % 2)::DOUBLE AS adc, round((ind // 2) / c::DOUBLE, 9) AS sample_shift,
+  row_number() OVER (PARTITION BY path ORDER BY shank, row, col DESC) - 1 AS position FROM g""")
+def meta_geometry(spark, d):
+    out = M.geometry(_meta_rows(spark)).drop("flag")
+    return rounded(out, "sample_shift", digits=9)
+
+
+@query("SELECT * FROM (VALUES ('one', '3B1', 1::BIGINT, '8', ''), ('two', 'NP2.4', 4, '8', ''), ('board', 'nidq', NULL, '4', '2,3')) t(path, version, shanks, sync, analog)")
+def meta_sync(spark, d):
+    m = F.col("meta")
+    told = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+    return _meta_rows(spark).select("path", M.version(m).alias("version"), M.shank_count(m).alias("shanks"), told(M.sync_channels(m)).alias("sync"), told(M.analog_sync_channels(m)).alias("analog"))
+
+
 # --- windows --------------------------------------------------------------------------
 _LENGTHS = "n AS (SELECT user_id AS rec, count(*) AS ns FROM events GROUP BY 1)"
 _WINDOWS = f"""{_LENGTHS}, w AS (SELECT rec, ns, unnest(range(0, greatest(ceil((ns - 20) / 12.0)::BIGINT + 1, 1))) AS iw FROM n),
@@ -266,16 +303,14 @@ def spikes_venn3(spark, d):
     return E.spike_venn(views.spikes(spark, d), ["view", "click", "purchase"], samples_bin=3600)
 
 
-def _clock(spark, d, kind):
-    return views.spikes(spark, d).where(F.col("sorter") == kind).select(F.col("sample").cast("double").alias("time"))
-
-
 @query(f"""WITH {SPIKES}, lo AS (SELECT min(sample) AS lo FROM spikes WHERE sorter IN ('view', 'click')),
 a AS (SELECT DISTINCT (sample - lo) // 600 AS bin FROM spikes, lo WHERE sorter = 'view'), b AS (SELECT DISTINCT (sample - lo) // 600 AS bin FROM spikes, lo WHERE sorter = 'click'),
-g AS (SELECT a.bin - b.bin AS lag, count(*) AS n FROM a JOIN b ON abs(a.bin - b.bin) <= 100 GROUP BY 1)
+g AS (SELECT a.bin - b.bin AS lag, count(*) AS n FROM a, b GROUP BY 1)
 SELECT lag, n FROM g ORDER BY n DESC, lag LIMIT 1""")
 def sync_lag(spark, d):
-    return E.clock_lag(_clock(spark, d, "view"), _clock(spark, d, "click"), 600.0)
+    both = views.spikes(spark, d).where(F.col("sorter").isin("view", "click"))
+    clocks = both.select(F.lit(0).cast("long").alias("rec"), F.when(F.col("sorter") == "view", "a").otherwise("b").alias("side"), F.col("sample").cast("double").alias("time"))
+    return E.clock_lag(clocks, 600.0).select("lag", "n")
 
 
 @query("""WITH p AS (SELECT user_id, ts, event_id FROM events WHERE event_type = 'purchase'), v AS (SELECT user_id, ts, event_id FROM events WHERE event_type = 'view')
@@ -296,13 +331,15 @@ def sync_linear_fit(spark, d):
     return e.groupBy("rec").agg(F.round(F.regr_slope(b, F.col("a")), 9).alias("slope"), F.round(F.regr_intercept(b, F.col("a")), 4).alias("offset_s"))
 
 
-@query("""WITH e AS (SELECT user_id AS rec, epoch_us(ts) / 1e6::DOUBLE - 1704067200 AS t FROM events)
-SELECT rec, count(*) AS n, round(1.0::DOUBLE, 1) AS drift_ppm FROM e GROUP BY 1""")
+@query("""WITH e AS (SELECT user_id AS rec, epoch_us(ts) / 1e6::DOUBLE - 1704067200 AS t FROM events),
+f AS (SELECT rec, t, t * 1.000001 + 3.0 AS u FROM e)
+SELECT rec, round(t, 6) AS time_a, round(u, 6) AS time_b, round((regr_slope(u, t) OVER (PARTITION BY rec) - 1) * 1e6, 1) AS drift_ppm FROM f""")
 def sync_match(spark, d):
+    """Each event of a clock with its own image in another that runs apart by a millionth, three seconds late."""
     t = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 - 1704067200
     e = views.table(spark, d, "events").select(F.col("user_id").alias("rec"), t.alias("time"))
     both = e.withColumn("side", F.lit("a")).unionByName(e.select("rec", (F.col("time") * 1.000001 + 3.0).alias("time"), F.lit("b").alias("side")))
-    return E.clock_pairs(both, 30.0).groupBy("rec").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("drift_ppm"), 1).alias("drift_ppm"))
+    return E.clock_pairs(both, 1.0).select("rec", *(F.round(c, k).alias(c) for c, k in (("time_a", 6), ("time_b", 6), ("drift_ppm", 1))))
 
 
 # --- spike tables and waveforms ----------------------------------------------------------
@@ -330,7 +367,7 @@ def spikes_to_blocks(spark, d):
     return X.blocks_of(views.spikes(spark, d), 30000).select("spike", "sample", "block")
 
 
-_EXTRACT = f"""{SERIES}, sp AS (SELECT channel * 1000000 + sample AS spike, channel, sample FROM series WHERE sample % 10 = 7),
+_EXTRACT = f"""{SERIES}, sp AS (SELECT channel * 1000000 + sample AS spike, channel, sample FROM series),
 g AS (SELECT DISTINCT channel FROM series), e AS (SELECT a.channel, b.channel AS neighbour, row_number() OVER (PARTITION BY a.channel ORDER BY b.channel) - 1 AS slot FROM g a JOIN g b ON abs(a.channel - b.channel) <= 1),
 q AS (SELECT spike, slot, neighbour, sample, i FROM sp JOIN e USING (channel), range(8) r(i)),
 w AS (SELECT q.spike, q.slot, q.neighbour, q.i, coalesce(s.v, -1) AS v FROM q LEFT JOIN series s ON s.channel = q.neighbour AND s.sample = q.sample - 4 + q.i)"""
@@ -345,8 +382,8 @@ def _edges(spark, d):
 
 def _extract(spark, d):
     s = views.series(spark, d)
-    spikes = s.where("sample % 10 = 7").select((F.col("channel") * 1000000 + F.col("sample")).alias("spike"), "channel", "sample")
-    return X.extract(spikes, s, _edges(spark, d), 4, 8, 100, -1.0)
+    spikes = s.select((F.col("channel") * 1000000 + F.col("sample")).alias("spike"), "channel", "sample")
+    return X.extract(spikes, X.to_blocks(s, 100), _edges(spark, d), 4, 8, 100, -1.0)
 
 
 @query(f"WITH {_EXTRACT} SELECT spike, slot, neighbour, round(sum(v), 6) AS total, round(max(CASE WHEN i = 4 THEN v END), 6) AS at_peak FROM w GROUP BY 1, 2, 3")
@@ -435,12 +472,12 @@ def spatial_spread(spark, d):
     return rounded(X.spatial_spread(views.waveforms(spark, d), G.layout(spark, channels=4)), "spread", digits=4)
 
 
-@query(f"""WITH {_NP1}, sp AS (SELECT event_id AS spike, event_id % 384 AS channel FROM events WHERE event_id < 2000),
+@query(f"""WITH {_NP1}, sp AS (SELECT event_id AS spike, event_id % 384 AS channel FROM events),
 e AS (SELECT a.ind AS channel, b.ind AS neighbour FROM s a JOIN s b ON (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= 1600), k AS (SELECT *, row_number() OVER (PARTITION BY channel ORDER BY neighbour) - 1 AS slot FROM e)
 SELECT sp.spike, k.slot, k.neighbour, s.x, s.y FROM sp JOIN k USING (channel) JOIN s ON s.ind = k.neighbour""")
 def waveform_coordinates(spark, d):
     geometry = G.layout(spark)
-    spikes = views.table(spark, d, "events").where("event_id < 2000").select(F.col("event_id").alias("spike"), F.pmod("event_id", F.lit(384)).alias("channel"))
+    spikes = views.table(spark, d, "events").select(F.col("event_id").alias("spike"), F.pmod("event_id", F.lit(384)).alias("channel"))
     return X.coordinates(spikes, G.neighbours(geometry, 40.0), geometry)
 
 
@@ -507,25 +544,14 @@ def rolling_blackman(spark, d):
 @query()
 def shift_waveforms(spark, d):
     """Waveforms of each cluster moved onto its median template by correlation."""
-
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        cube = np.array([np.stack(x) for x in group["traces"]])
-        template = np.median(cube, 0)
-        peak = int(np.abs(template).max(1).argmax())
-        lags = [K.shift_by_correlation(template[peak], w[peak])[1] for w in cube]
-        return pd.DataFrame({"waveform_index": group["waveform_index"], "cluster": group["cluster"], "lag": np.round(lags, 6)})
-
-    return views.waveforms(spark, d).groupBy("cluster").applyInPandas(one, "waveform_index bigint, cluster bigint, lag double")
+    out = X.shifted(views.waveforms(spark, d), _cells(spark, d))
+    return out.select("waveform_index", "cluster", F.round("lag", 6).alias("lag"), F.posexplode("traces").alias("trace", "samples"))
 
 
 @query()
 def phase_shifts(spark, d):
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        cube = np.array([np.stack(x) for x in group["traces"]])
-        lags = [K.shift_by_phase(cube[0, 0], w[0], 30000)[1] for w in cube]
-        return pd.DataFrame({"waveform_index": group["waveform_index"], "lag": np.round(lags, 6)})
-
-    return views.waveforms(spark, d).groupBy("cluster").applyInPandas(one, "waveform_index bigint, lag double")
+    out = X.shifted(views.waveforms(spark, d), _cells(spark, d), fs=30000)
+    return out.select("waveform_index", F.round("lag", 6).alias("lag"))
 
 
 @query()
@@ -535,10 +561,17 @@ def trajectory_indices(spark, d):
     return spark.createDataFrame([(int(p), int(c), int(counts[c])) for p, c in zip(places, channels, strict=True)], "place long, channel long, count long")
 
 
-@query("SELECT i, j, i + 5 - 1 - j AS place FROM range(6) a(i), range(5) b(j)")
+@query("SELECT n, i, j, i + (n + 1) // 2 - 1 - j AS place FROM (SELECT unnest([9, 10, 32]) AS n) t, range(17) a(i), range(16) b(j) WHERE i < n // 2 + 1 AND j < (n + 1) // 2")
 def toeplitz_indices(spark, d):
-    i, j = spark.range(6).withColumnRenamed("id", "i"), spark.range(5).withColumnRenamed("id", "j")
-    return i.crossJoin(F.broadcast(j)).withColumn("place", F.col("i") + 5 - 1 - F.col("j"))  # a matrix of fixed size
+    rows = [(n, i, j, int(p)) for n in (9, 10, 32) for i, r in enumerate(K.toeplitz_indices(n)) for j, p in enumerate(r)]
+    return spark.createDataFrame(rows, "n int, i long, j long, place long")
+
+
+@query("""SELECT i AS position, CASE WHEN i <= 4 THEN i ELSE 8 - i END AS bin FROM range(8) t(i)""")
+def expand_spectrum(spark, d):
+    """Bins of a whole spectrum of eight samples in its half."""
+    whole = K.expand(np.arange(5) * (1 + 0j), 8)
+    return spark.createDataFrame([(i, int(x.real)) for i, x in enumerate(whole)], "position long, bin long")
 
 
 @query(f"WITH {_LENGTHS} SELECT rec, k AS batch, round(k * (ns - 10) / 9.0::DOUBLE, 6) AS start FROM n, range(10) r(k)")

@@ -27,8 +27,8 @@ def stream_fronts(samples: DataFrame, step: float = 1) -> DataFrame:
     return samples.groupBy("channel").applyInPandasWithState(run, "channel bigint, sample bigint, polarity double", "last double", "append", GroupStateTimeout.NoTimeout)
 
 
-def stream_filter(blocks: DataFrame, sos: np.ndarray) -> DataFrame:
-    """Causal filter of a stream of array rows (channel, first_sample, samples); the sections' delays are its state.
+def stream_filter(blocks: DataFrame, sos: np.ndarray, keys: tuple[str, ...] = ("channel",)) -> DataFrame:
+    """Causal filter of a stream of array rows (keys: whole numbers, first_sample, samples); the sections' delays are its state.
 
     The result doesn't depend on how the samples are cut into batches.
     """
@@ -41,9 +41,10 @@ def stream_filter(blocks: DataFrame, sos: np.ndarray) -> DataFrame:
             y, delays = K.sosfilt(sos, np.asarray(x, float)[None], delays)
             out.append(y[0])
         state.update((delays.ravel().tolist(),))
-        yield pd.DataFrame({"channel": key[0], "first_sample": rows["first_sample"].to_numpy(), "samples": out})
+        yield pd.DataFrame({**dict(zip(keys, key, strict=True)), "first_sample": rows["first_sample"].to_numpy(), "samples": out})
 
-    return blocks.groupBy("channel").applyInPandasWithState(run, "channel bigint, first_sample bigint, samples array<double>", "delays array<double>", "append", GroupStateTimeout.NoTimeout)
+    shape = "".join(f"{k} bigint, " for k in keys) + "first_sample bigint, samples array<double>"
+    return blocks.groupBy(*keys).applyInPandasWithState(run, shape, "delays array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
 def stream_windows(events: DataFrame, size: str, slide: str, late: str = "10 minutes") -> DataFrame:
@@ -52,6 +53,12 @@ def stream_windows(events: DataFrame, size: str, slide: str, late: str = "10 min
     return stamped.groupBy(F.window("ts", size, slide), "channel").agg(F.count(F.lit(1)).alias("n"), F.sqrt(F.avg(F.col("v") * F.col("v"))).alias("rms"))
 
 
+def stream_sessions(events: DataFrame, gap: str, late: str = "10 minutes") -> DataFrame:
+    """Count and RMS of values in sessions: runs of events (ts, channel, v) of a channel with no more than ``gap`` between them."""
+    stamped = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    return stamped.groupBy(F.session_window("ts", gap), "channel").agg(F.count(F.lit(1)).alias("n"), F.sqrt(F.avg(F.col("v") * F.col("v"))).alias("rms"))
+
+
 def drain(stream: DataFrame, at: str, mode: str = "append") -> DataFrame:
     """Runs a stream over all there is, and returns what it wrote under ``at``."""
     query = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{at}/checkpoint").format("parquet").option("path", f"{at}/out").start()
