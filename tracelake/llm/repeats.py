@@ -42,8 +42,8 @@ KGRAM = 16
 HOT = 4096
 #: Text for each partition of the grams, suffixes of a partition in bytes, and places for each partition of the documents.
 GRAM_BYTES, SUFFIX_BYTES, SPANS = 256 << 20, 64 << 20, 1_000_000
-#: Suffixes that a task combines at once.
-BUFFER = 20_000
+#: Suffixes that a task combines at once, and whose windows it sends together.
+BUFFER, WINDOWED = 20_000, 1000
 
 _ODDS = np.random.Generator(np.random.PCG64(11)).integers(1, 1 << 63, 128, dtype=np.uint64) | np.uint64(1)
 
@@ -218,7 +218,9 @@ def _suffix_rows(count: int, parts: int, min_words: int, kgram: int, needed, hot
         known = np.repeat(more, length)[stay].astype(np.uint8)
         gram, doc, pos, size, around = (x[stay] for x in (gram, doc, pos, size, around))
         if hot is not None and (common := passes(hot.value, gram)).any():
-            rows.append((2, 0, windows(*(x[common] for x in (doc, pos, size, around, known)))))
+            at = np.flatnonzero(common)
+            for a in range(0, len(at), WINDOWED):
+                rows.append((2, 0, windows(*(x[at[a : a + WINDOWED]] for x in (doc, pos, size, around, known)))))
             gram, doc, pos, size, around, known = (x[~common] for x in (gram, doc, pos, size, around, known))
         to = (mix(gram) % np.uint64(count)).astype(np.int64)
         by = np.argsort(to, kind="stable")
@@ -318,8 +320,8 @@ def _common_spans(rows: DataFrame, parts: int, min_words: int, work: Scratch) ->
 
     def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for blob in batch.column(0).to_pylist():
-                columns = unpack([blob], "<i8", "<i8", "<i8", "<i8")
+            for blob in batch.column(0):
+                columns = unpack([blob.as_buffer()], "<i8", "<i8", "<i8", "<i8")
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["w", "id", "begin", "known"])
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
