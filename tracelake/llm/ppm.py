@@ -8,7 +8,7 @@ context, where the successors already seen are excluded from totals and from
 the escape estimate.  After the shortest context all bytes not seen yet share
 evenly.
 
-Counting: documents lie in blocks (rows near each other in a file); each
+Counting: documents lie in blocks (rows beside each other in a file); each
 block sends, packed and by hash partition, its distinct n-grams and words with
 their counts (none for those of held-out rows alone).  Distinct n-grams are
 dealt again by the last two bytes of their contexts, so that all longer
@@ -256,33 +256,33 @@ class Prices:
 
 
 def _blocks(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
-    """Documents as id (text), body, held and block: rows that lie near each other in a file, up to about four times ``BLOCK_BYTES`` of text; and the bytes of all text.
+    """Documents as id (text), body, held and block: rows that lie together in a file, about ``BLOCK_BYTES`` of text; and the bytes of all text.
 
     A row's file and number in it are the same in every scan, so the blocks
-    are too, whatever the splits.  Texts of more than some four times the mean
-    are in blocks of their own, by their length's power of two: the longer,
-    the fewer to a block.
+    are too, whatever the splits.  A range of rows with much more text than
+    usual is cut into as many blocks as its bytes ask for.
     """
     length = F.octet_length(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
     size, n = docs.agg(F.sum(length), F.count(F.lit(1))).first()
-    mean = (size or 0) / max(1, n)
-    usual = int(mean).bit_length() + 1
-    rows = min(200_000, max(1, int(BLOCK_BYTES / max(1, mean))))
-    power = F.ceil(F.log2(length + 1))
-    kind = F.when(power > usual, power).otherwise(0)
-    each = F.when(power > usual, F.greatest(F.lit(1), F.floor(F.lit(float(BLOCK_BYTES)) / F.pow(F.lit(2.0), power)))).otherwise(rows)
+    rows = min(200_000, max(1, int(BLOCK_BYTES * n / max(1, size or 0)))) if n else 1
     key = F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit(""))
-    blocks = docs.select(
+    row = F.col("_metadata.row_index")
+    placed = docs.select(
         F.col(f"`{id_col}`").cast("string").alias("id"),
         F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("body"),
         (F.crc32(key) % 7 == 2).alias("held"),
-        # that many rows of a file hold as many long texts at most
-        F.xxhash64("_metadata.file_path", kind, F.floor(F.col("_metadata.row_index") / each)).alias("block"),
+        F.xxhash64("_metadata.file_path", F.floor(row / rows)).alias("range"),
+        F.pmod(row, F.lit(rows)).alias("within"),
     )
-    return blocks, size or 0
+    bytes_ = docs.select(length.alias("n"), F.xxhash64("_metadata.file_path", F.floor(row / rows)).alias("range")).groupBy("range").agg(F.sum("n").alias("n"))
+    wide = materialise(bytes_.where(F.col("n") > 2 * BLOCK_BYTES).select("range", F.ceil(F.col("n") / BLOCK_BYTES).alias("parts")), "ppm-ranges")
+    if wide.isEmpty():
+        return placed.select("id", "body", "held", F.col("range").alias("block")), size or 0
+    part = F.floor(F.col("within") * F.coalesce("parts", F.lit(1)) / rows)
+    return placed.join(wide, "range", "left").select("id", "body", "held", F.xxhash64("range", part).alias("block")), size or 0
 
 
-def _gather(blocks: DataFrame, order_: int, count: int) -> DataFrame:
+def _gather(blocks: DataFrame, order: int, count: int) -> DataFrame:
     """Packed counts by kind (g: grams, w: words), partition and block."""
 
     def packed(block: int, gram_parts: list, word_parts: list) -> pa.RecordBatch:
@@ -296,20 +296,21 @@ def _gather(blocks: DataFrame, order_: int, count: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.binary())], names=["kind", "p", "block", "blob"])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_: dict[int, tuple[list, list]] = {}
-        size = 0
+        at, gram_parts, word_parts = None, [], []
         for batch in batches:
             ids = batch.column("block").to_numpy()
-            order = np.argsort(ids, kind="stable")
-            cuts = np.r_[0, np.flatnonzero(np.diff(ids[order])) + 1, len(ids)]
+            cuts = np.r_[0, np.flatnonzero(ids[1:] != ids[:-1]) + 1, len(ids)]
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                 if b == a:
                     continue
-                gram_parts, word_parts = open_.setdefault(int(ids[order[a]]), ([], []))
-                for piece in pieces(batch.select(["body", "held"]).take(pa.array(order[a:b])), 1 << 20):
+                if at is not None and at != ids[a]:
+                    yield packed(at, gram_parts, word_parts)
+                    gram_parts, word_parts = [], []
+                at = int(ids[a])
+                for piece in pieces(batch.slice(a, b - a).select(["body", "held"]), 1 << 20):
                     data, offsets = buffers(piece.column(0))
                     train = ~piece.column(1).to_numpy(zero_copy_only=False).astype(bool)
-                    codes, begins = grams(data, offsets, order_)
+                    codes, begins = grams(data, offsets, order)
                     learnt = np.repeat(train, np.diff(begins))
                     gram_parts.append(_count(codes[learnt]))
                     asked = _count(codes[~learnt])[0]
@@ -317,12 +318,8 @@ def _gather(blocks: DataFrame, order_: int, count: int) -> DataFrame:
                     words, _, _, first = word_hashes(data, offsets)
                     one = np.repeat(train, np.diff(first)).astype(np.int64)
                     word_parts.append(_sum(np.r_[words, END_TOKEN], np.r_[one, train.sum()]))
-                    size += len(data)
-            if size >= BLOCK_BYTES:
-                # a block may send its counts in several parts
-                yield from (packed(k, *parts) for k, parts in open_.items())
-                open_, size = {}, 0
-        yield from (packed(k, *parts) for k, parts in open_.items())
+        if at is not None:
+            yield packed(at, gram_parts, word_parts)
         tidy()
 
     return blocks.select("body", "held", "block").mapInArrow(gather, "kind string, p bigint, block bigint, blob binary")
