@@ -141,22 +141,31 @@ def spike_venn(spikes: DataFrame, sorters: list[str], fs: float = 30000, samples
     return counts.select("*", level).groupBy(mask.alias("mask")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _correlation(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, int]:
-    """How many occupied bins of two ascending lists meet at each lag of x behind y, and the place of lag 0."""
+def _best_lag(x: np.ndarray, y: np.ndarray) -> tuple[int, float, float, float]:
+    """Of two ascending lists of occupied bins: the first lag of x behind y at which most of them meet, how many do, and at the lags beside it.
+
+    By all differences where those are few, else by Fourier transform.
+    """
     low = min(x[0], y[0])
     n = int(max(x[-1], y[-1]) - low) + 1
+    if len(x) * len(y) <= 8 * n:
+        lags, counts = np.unique((x[:, None] - y[None, :]).ravel(), return_counts=True)
+        held = dict(zip(lags.tolist(), counts.tolist(), strict=True))
+        lag = int(lags[int(np.argmax(counts))])
+        return lag, held[lag], held.get(lag - 1, 0), held.get(lag + 1, 0)
     a, b = np.zeros(n), np.zeros(n)
     a[x - low], b[y - low] = 1, 1
     size = 1 << (2 * n).bit_length()
     c = np.fft.irfft(np.fft.rfft(a, size) * np.conj(np.fft.rfft(b, size)), size)
-    return np.round(np.r_[c[size - (n - 1) :], c[:n]]), n - 1
+    c = np.round(np.r_[0, c[size - (n - 1) :], c[:n], 0])
+    i = int(np.argmax(c))
+    return i - n, c[i], c[i - 1], c[i + 1]
 
 
 def clock_lag(events: DataFrame, tbin: float = 0.1) -> DataFrame:
     """Per recording the lag, in bins, at which most of the occupied bins of its two clocks meet, the first of equals: rec, lag, n.
 
-    ``events``: rec, side ('a' or 'b'), time.  All lags are tried, by one
-    Fourier transform a recording over its occupied bins.
+    ``events``: rec, side ('a' or 'b'), time.  All lags are tried.
     """
     low = events.groupBy("rec").agg(F.min("time").alias("low"))
     bins = events.join(low, "rec").select("rec", "side", F.floor((F.col("time") - F.col("low")) / tbin).cast("long").alias("bin")).distinct()
@@ -165,9 +174,8 @@ def clock_lag(events: DataFrame, tbin: float = 0.1) -> DataFrame:
         a, b = (np.sort(group.loc[group["side"] == s, "bin"].to_numpy()) for s in "ab")
         if not len(a) or not len(b):
             return pd.DataFrame({"rec": [], "lag": [], "n": []})
-        c, zero = _correlation(a, b)
-        i = int(np.argmax(c))
-        return pd.DataFrame({"rec": [group["rec"].iloc[0]], "lag": [i - zero], "n": [int(c[i])]})
+        lag, n, _, _ = _best_lag(a, b)
+        return pd.DataFrame({"rec": [group["rec"].iloc[0]], "lag": [lag], "n": [int(n)]})
 
     return bins.groupBy("rec").applyInPandas(one, "rec bigint, lag bigint, n bigint")
 
@@ -190,13 +198,9 @@ def match_clocks(tsa: np.ndarray, tsb: np.ndarray, tbin: float = 0.1, linear: bo
     first.  Only pairs within ``tbin`` are ever looked at.
     """
     low = min(tsa.min(), tsb.min())
-    c, zero = _correlation(*(np.unique(((t - low) / tbin).astype(int)) for t in (tsa, tsb)))
-    i = int(np.argmax(c))
-    part = 0.0
-    if 0 < i < len(c) - 1:
-        curve = (c[i - 1] - 2 * c[i] + c[i + 1]) / 2
-        part = -(c[i + 1] - c[i - 1]) / 2 / (2 * curve) if curve else 0.0
-    delta = (i + part - zero) * tbin
+    lag, top, before, after = _best_lag(*(np.unique(((t - low) / tbin).astype(int)) for t in (tsa, tsb)))
+    curve = (before - 2 * top + after) / 2
+    delta = (lag - ((after - before) / 2 / (2 * curve) if curve else 0.0)) * tbin
     match, taken = np.full(len(tsa), -1), np.zeros(len(tsb), bool)
 
     def nearest_first(ia: np.ndarray, ib: np.ndarray, gap: np.ndarray) -> None:

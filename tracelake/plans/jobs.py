@@ -20,6 +20,8 @@ from ..operators import waveforms as X
 from ..sources import metadata as M
 from ..streaming import stateful as S
 
+from .signals import recursion_sql, recursive
+
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
@@ -190,7 +192,7 @@ def stream_filter(spark, d):
     views.signal(spark, d).select("block", "channel", F.lit(0).cast("long").alias("first_sample"), "samples").write.parquet(f"{at}/in")
     stream = spark.readStream.schema("block bigint, channel bigint, first_sample bigint, samples array<double>").parquet(f"{at}/in")
     out = S.drain(S.stream_filter(stream, K.butterworth(3, 0.1, "highpass"), ("block", "channel")), at)
-    return out.select("block", "channel", F.posexplode("samples").alias("sample", "v")).withColumn("v", F.round("v", 6) + F.lit(0.0))
+    return out.select("block", "channel", F.posexplode("samples").alias("sample", "v")).withColumns({"sample": F.col("sample").cast("long"), "v": F.round("v", 6) + F.lit(0.0)})
 
 
 def _event_stream(spark, d, at):
@@ -263,6 +265,8 @@ def waveform_job(spark, d):
 
 QUERIES |= {f.__name__: f for f in (destripe_job, raw_quality, snippet_quality, stream_fronts, stream_filter, stream_windows, stream_sessions, mute_blocks, saturation_over_blocks, shank_conversion, shank_low_band, waveform_job)}
 SQL["stream_fronts"] = f"WITH {views.SERIES}, c AS (SELECT *, v - lag(v) OVER (PARTITION BY channel ORDER BY sample) AS p FROM series) SELECT channel, sample, round(p, 6) AS polarity FROM c WHERE abs(p) >= 40"
+SQL["stream_filter"] = recursive(f"""{views.SIGNAL}, src AS MATERIALIZED (SELECT block, channel, sample AS t, v FROM sig), {recursion_sql("out", "src", K.butterworth(3, 0.1, "highpass"))}
+SELECT block, channel, t::BIGINT AS sample, round(y, 6) + 0.0 AS v FROM out WHERE t >= 0""")
 SQL["stream_windows"] = """WITH w AS (SELECT user_id AS channel, value AS v, (epoch_us(ts) // 43200000000 - k) * 43200 AS start FROM events, range(2) r(k)),
 m AS (SELECT max(epoch_us(ts)) // 1000 - 600000 AS mark FROM events)
 SELECT start::BIGINT AS start, channel, count(*) AS n, round(sqrt(avg(v * v)), 6) AS rms FROM w, m WHERE (start + 86400) * 1000 <= mark GROUP BY 1, 2"""

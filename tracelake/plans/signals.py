@@ -32,6 +32,64 @@ def rounded(df, *names):
 
 
 
+def recursion_sql(name: str, source: str, sos: np.ndarray, start: str | None = None) -> str:
+    """CTE ``name`` (block, channel, t, y): a cascade of sections over ``source`` (block, channel, t from 0, v).
+
+    ``start``: the state before the first sample is the steady one for its
+    value (``steady``), or nothing.
+    """
+    k = len(sos)
+    b, a = [[float(x) for x in r[:3]] for r in sos], [[float(x) for x in r[4:]] for r in sos]
+    state, scale = [], 1.0
+    for r in range(k):
+        gain = sum(b[r]) / (1 + sum(a[r]))
+        second = b[r][2] - a[r][1] * gain
+        state += [scale * (b[r][1] - a[r][0] * gain + second), scale * second]
+        scale *= gain
+    begin = ", ".join(f"({x if start == 'steady' else 0.0!r})::DOUBLE * v AS s{i}" for i, x in enumerate(state))
+    names = ", ".join(f"s{i}" for i in range(2 * k))
+    steps, x = [], "v"
+    told = ["t + 1 AS t"]
+    out = f"{name}_0 AS (SELECT block, channel, -1 AS t, 0.0::DOUBLE AS y, {begin} FROM {source} WHERE t = 0)"
+    inner = "SELECT p.block, p.channel, q.t, q.v, " + ", ".join(f"p.s{i}" for i in range(2 * k)) + f" FROM {name} p JOIN {source} q ON p.block = q.block AND p.channel = q.channel AND q.t = p.t + 1"
+    for r in range(k):
+        inner = f"SELECT *, {b[r][0]!r} * {x} + s{2 * r} AS y{r} FROM ({inner})"
+        steps += [f"{b[r][1]!r} * {x} - {a[r][0]!r} * y{r} + s{2 * r + 1} AS n{2 * r}", f"{b[r][2]!r} * {x} - {a[r][1]!r} * y{r} AS n{2 * r + 1}"]
+        x = f"y{r}"
+    return f"""{out},
+{name} AS (SELECT * FROM {name}_0 UNION ALL SELECT block, channel, t, {x}, {', '.join(s.split(' AS ')[0] for s in steps)} FROM ({inner}))"""
+
+
+def zero_phase_sql(name: str, source: str, n: int, sos: np.ndarray) -> str:
+    """CTE ``name`` (block, channel, sample, v): forward and backward over ``source`` (block, channel, sample, v), mirrored oddly at both ends."""
+    taps = 2 * len(sos) + 1 - min(int((sos[:, 2] == 0).sum()), int((sos[:, 5] == 0).sum()))
+    edge = min(3 * taps, n - 1)
+    size = n + 2 * edge
+    return f"""{name}_e AS MATERIALIZED (SELECT a.block, a.channel, t.t, CASE WHEN t.t < {edge} THEN 2 * f.v - a.v WHEN t.t >= {n + edge} THEN 2 * l.v - a.v ELSE a.v END AS v
+  FROM range({size}) t(t) JOIN {source} a ON a.sample = CASE WHEN t.t < {edge} THEN {edge} - t.t WHEN t.t >= {n + edge} THEN {2 * n + edge - 2} - t.t ELSE t.t - {edge} END
+  JOIN {source} f ON f.block = a.block AND f.channel = a.channel AND f.sample = 0 JOIN {source} l ON l.block = a.block AND l.channel = a.channel AND l.sample = {n - 1}),
+{recursion_sql(name + "_f", name + "_e", sos, "steady")},
+{name}_r AS MATERIALIZED (SELECT block, channel, {size - 1} - t AS t, y AS v FROM {name}_f WHERE t >= 0),
+{recursion_sql(name + "_b", name + "_r", sos, "steady")},
+{name} AS MATERIALIZED (SELECT block, channel, {size - 1} - t - {edge} AS sample, y AS v FROM {name}_b WHERE t >= 0 AND {size - 1} - t BETWEEN {edge} AND {n + edge - 1})"""
+
+
+def delay_sql(name: str, source: str, delay: str, n: int = 64) -> str:
+    """CTE ``name``: ``source`` (block, channel, sample, v) delayed by ``delay`` samples, by its spectrum."""
+    return f"""{name}_f AS (SELECT s.block, s.channel, k.k, sum(v * cos(2 * pi() * k.k * sample / {n})) AS re, -sum(v * sin(2 * pi() * k.k * sample / {n})) AS im FROM {source} s, range({n // 2 + 1}) k(k) GROUP BY 1, 2, 3),
+{name}_g AS (SELECT *, 2 * pi() * k * ({delay}) / {n} AS a FROM {name}_f),
+{name} AS MATERIALIZED (SELECT block, channel, t.t AS sample, sum(CASE WHEN k IN (0, {n // 2}) THEN 1 ELSE 2 END * ((re * cos(a) + im * sin(a)) * cos(2 * pi() * k * t.t / {n}) - CASE WHEN k IN (0, {n // 2}) THEN 0 ELSE im * cos(a) - re * sin(a) END * sin(2 * pi() * k * t.t / {n}))) / {n} AS v
+  FROM {name}_g, range({n}) t(t) GROUP BY 1, 2, 3)"""
+
+
+#: A trace's delay as a part of the sample, version 1.
+SHIFT1 = "(channel % 24 // 2) / 13.0::DOUBLE"
+
+
+def recursive(sql: str) -> str:
+    return "WITH RECURSIVE " + sql
+
+
 GEOM = """geom AS (
   SELECT i AS ind, (i // 2)::DOUBLE * 20 + 20 AS y, [2, 0, 3, 1][(i % 4 + 1)::INT]::DOUBLE * 16 + 11 AS x FROM range(100) t(i))"""
 
@@ -247,9 +305,13 @@ def _probe_geometry(spark):
     return G.layout(spark, "1", channels=100).withColumn("sample_shift", shift)
 
 
-@query()
+@query(
+    recursive(f"""{SIGNAL}, {zero_phase_sql("hp", "sig", 64, K.butterworth(3, 0.02, "highpass"))}, {delay_sql("ph", "hp", SHIFT1)}
+SELECT block, channel, channel // 25 AS shank, sample, round(v - median(v) OVER (PARTITION BY block, channel // 25, sample), 6) + 0.0 AS v FROM ph""")
+)
 def destripe_car(spark, d):
-    return rounded(V.to_long(V.destripe(_probe_rows(spark, d), 30000, _probe_geometry(spark), k_filter=False)), "v")
+    out = V.to_long(V.destripe(_probe_rows(spark, d), 30000, _probe_geometry(spark), k_filter=False))
+    return rounded(out.withColumn("sample", F.col("sample").cast("long")), "v")
 
 
 @query()
@@ -258,9 +320,13 @@ def destripe_kfilt(spark, d):
     return rounded(V.to_long(V.destripe(_probe_rows(spark, d), 30000, _probe_geometry(spark), labels)), "v")
 
 
-@query()
+@query(
+    recursive(f"""{SIGNAL}, {zero_phase_sql("bp", "sig", 64, K.butterworth(3, 2 * np.array([0.5, 300]) / 2500, "bandpass"))}, {delay_sql("ph", "bp", SHIFT1)}
+SELECT block, channel, channel // 25 AS shank, sample, round(v - median(v) OVER (PARTITION BY block, channel // 25, sample), 6) + 0.0 AS v FROM ph""")
+)
 def destripe_lfp(spark, d):
-    return rounded(V.to_long(V.destripe_lfp(_probe_rows(spark, d), 2500, _probe_geometry(spark))), "v")
+    out = V.to_long(V.destripe_lfp(_probe_rows(spark, d), 2500, _probe_geometry(spark)))
+    return rounded(out.withColumn("sample", F.col("sample").cast("long")), "v")
 
 
 @query()
@@ -300,28 +366,46 @@ def fk(spark, d):
     return rounded(V.to_long(V.across_channels(_probe_rows(spark, d), lambda x: K.fk(x, 0.002, 5, (200, 400), pad=10))), "v")
 
 
-@query()
+@query(f"""WITH {SIGNAL}, c AS (SELECT block, channel, sample, (v - avg(v) OVER (PARTITION BY block, channel)) * (1 - cos(2 * pi() * sample / 64)) / 2 AS v FROM sig),
+f AS (SELECT block, channel, k.k, sum(v * cos(2 * pi() * k.k * sample / 64)) ** 2 + sum(v * sin(2 * pi() * k.k * sample / 64)) ** 2 AS p FROM c, range(33) k(k) GROUP BY 1, 2, 3),
+g AS (SELECT block, channel, k, p * CASE WHEN k IN (0, 32) THEN 1 ELSE 2 END / 24 AS p FROM f),
+e AS (SELECT i, CASE WHEN i = 127 THEN 31 ELSE floor(2 ** (i * log2(15000) / 127) / 15000 * 32) END::BIGINT AS k FROM range(128) t(i))
+SELECT g.block, g.channel, a.i AS sample, round(avg(g.p), 6) + 0.0 AS v FROM e a JOIN e b ON b.i = a.i + 1 JOIN g ON g.k BETWEEN a.k AND b.k GROUP BY 1, 2, 3""")
 def psd_log(spark, d):
-    return rounded(V.to_long(V.along_time(_probe_rows(spark, d), lambda x: K.log_psd(x, 30000, 64)[1])), "v")
+    """Power densities times the sampling rate."""
+    out = V.along_time(_probe_rows(spark, d).select("block", "channel", "samples"), lambda x: K.log_psd(x, 30000, 64)[1] * 30000)
+    return rounded(V.to_long(out).withColumn("sample", F.col("sample").cast("long")), "v")
 
 
-@query()
+_SPECTRUM = "f AS (SELECT block, channel, k.k, sum(v * cos(2 * pi() * k.k * sample / 64)) AS re, -sum(v * sin(2 * pi() * k.k * sample / 64)) AS im FROM sig, range(33) k(k) GROUP BY 1, 2, 3)"
+
+
+@query(f"""WITH {SIGNAL}, {_SPECTRUM} SELECT block, channel, t.t AS sample, round(sum(-im * cos(2 * pi() * k * t.t / 64) - re * sin(2 * pi() * k * t.t / 64)) / 32, 6) + 0.0 AS v
+FROM f, range(64) t(t) WHERE k BETWEEN 1 AND 31 GROUP BY 1, 2, 3""")
 def dephase(spark, d):
-    return rounded(V.to_long(V.along_time(_probe_rows(spark, d), lambda x: K.rotate(x, 90))), "v")
+    out = V.to_long(V.along_time(_probe_rows(spark, d), lambda x: K.rotate(x, 90)).select("block", "channel", "samples"))
+    return rounded(out.withColumn("sample", F.col("sample").cast("long")), "v")
 
 
-@query()
+@query(f"""WITH {SIGNAL}, {_SPECTRUM}, p AS (SELECT block, channel, k / 64.0::DOUBLE AS f, k, atan2(im, re) AS a FROM f WHERE k BETWEEN 4 AND 19),
+d AS (SELECT *, a - lag(a) OVER (PARTITION BY block, channel ORDER BY k) AS d FROM p),
+u AS (SELECT *, a - 2 * pi() * sum(coalesce(round(d / (2 * pi())), 0)) OVER (PARTITION BY block, channel ORDER BY k) AS u FROM d)
+SELECT block, channel, round(-regr_slope(u, f) / (2 * pi()), 6) + 0.0 AS v FROM u GROUP BY 1, 2""")
 def fit_phase(spark, d):
-    return rounded(V.to_long(V.along_time(_probe_rows(spark, d), lambda x: K.fit_delay(x, 1.0, 0.05, 0.3)[:, None])), "v")
+    out = V.along_time(_probe_rows(spark, d), lambda x: K.fit_delay(x, 1.0, 0.05, 0.3)[:, None])
+    return rounded(out.select("block", "channel", F.col("samples")[0].alias("v")), "v")
 
 
-@query()
+@query(f"""WITH {SIGNAL}, a AS (SELECT s.block, o.o, s.sample, -2 * pi() * ((s.channel // 2) * (o.o // 2) / 4.0::DOUBLE + (s.channel % 2) * (o.o % 2) / 2.0::DOUBLE) AS a, v FROM sig s, range(8) o(o)),
+m AS (SELECT block, o, sample, sqrt(sum(v * cos(a)) ** 2 + sum(v * sin(a)) ** 2) AS v FROM a GROUP BY 1, 2, 3)
+SELECT s.block, s.channel, s.sample, round(m.v, 6) + 0.0 AS v FROM sig s JOIN m ON m.block = s.block AND m.o = s.channel % 8 AND m.sample = s.sample""")
 def dft2(spark, d):
     def one(x):
         r, c = np.arange(len(x)) // 2, np.arange(len(x)) % 2
         return np.abs(K.dft2(x, r, c, 4, 2)).reshape(8, -1)[np.arange(len(x)) % 8]
 
-    return rounded(V.to_long(V.across_channels(_probe_rows(spark, d), one)), "v")
+    out = V.to_long(V.across_channels(_probe_rows(spark, d).select("block", "channel", "samples"), one))
+    return rounded(out.withColumn("sample", F.col("sample").cast("long")), "v")
 
 
 @query()
@@ -333,31 +417,52 @@ def tau_p(spark, d):
     return rounded(V.to_long(V.across_channels(_probe_rows(spark, d), one, ("block", "shank"))), "v")
 
 
-@query()
+@query(f"""WITH {SIGNAL}, w AS (SELECT t, j, 1 / 11.0::DOUBLE + t * j / 110.0::DOUBLE + (t * t - 10) * (j * j - 10) / 858.0::DOUBLE + (t ** 3 - 17.8 * t) * (j ** 3 - 17.8 * j) / 6177.6::DOUBLE AS w FROM range(-5, 6) a(t), range(-5, 6) b(j)),
+c AS (SELECT block, channel, sample, least(greatest(sample, 5), 58) AS c FROM sig)
+SELECT c.block, c.channel, c.sample, round(sum(w.w * s.v), 6) + 0.0 AS v FROM c JOIN w ON w.t = c.sample - c.c JOIN sig s ON s.block = c.block AND s.channel = c.channel AND s.sample = c.c + w.j GROUP BY 1, 2, 3""")
 def savgol(spark, d):
-    return rounded(V.to_long(V.along_time(_probe_rows(spark, d), lambda x: np.stack([K.savgol(np.arange(x.shape[1], dtype=float), r, 11, 3) for r in x]))), "v")
+    out = V.along_time(_probe_rows(spark, d).select("block", "channel", "samples"), lambda x: np.stack([K.savgol(np.arange(x.shape[1], dtype=float), r, 11, 3) for r in x]))
+    return rounded(V.to_long(out).withColumn("sample", F.col("sample").cast("long")), "v")
 
 
-@query()
+@query(f"""WITH {SIGNAL}, p AS MATERIALIZED (SELECT s.block, s.channel, t.t, s.v FROM range(90) t(t) JOIN sig s ON s.sample = least(greatest(t.t - 13, 0), 63)),
+f AS (SELECT block, channel, k.k, sum(v * cos(2 * pi() * k.k * t / 90)) AS re, -sum(v * sin(2 * pi() * k.k * t / 90)) AS im FROM p, range(18) k(k) GROUP BY 1, 2, 3),
+g AS (SELECT *, CASE WHEN k <= 9 THEN 1 ELSE 1 - (1 - cos((k / 90.0::DOUBLE - 0.1) / 0.1 * pi())) / 2 END AS gain FROM f)
+SELECT block, channel, t.t AS sample, round(sum(gain * CASE WHEN k = 0 THEN 1 ELSE 2 END * (re * cos(2 * pi() * k * (t.t + 13) / 90) - im * sin(2 * pi() * k * (t.t + 13) / 90))) / 90, 6) + 0.0 AS v FROM g, range(64) t(t) GROUP BY 1, 2, 3""")
 def smooth_lp(spark, d):
-    return rounded(V.to_long(V.along_time(_probe_rows(spark, d), lambda x: np.stack([K.smooth_lowpass(r, (0.2, 0.4)) for r in x]))), "v")
+    out = V.along_time(_probe_rows(spark, d).select("block", "channel", "samples"), lambda x: np.stack([K.smooth_lowpass(r, (0.2, 0.4)) for r in x]))
+    return rounded(V.to_long(out).withColumn("sample", F.col("sample").cast("long")), "v")
+
+
+#: Depths of a shank's sites, in millimetres.
+DEPTHS = np.arange(1, 26) * 0.02
 
 
 def _csd(method, **more):
     def run(spark, d):
-        z = np.arange(1, 26) * 20e-6
-        return rounded(V.to_long(V.across_channels(_probe_rows(spark, d), lambda x: K.source_density(x, z[: len(x)], method, **more), ("block", "shank"))), "v")
+        made = V.across_channels(_probe_rows(spark, d), lambda x: K.source_density(x, DEPTHS[: len(x)], method, 0.5, **more), ("block", "shank"))
+        return rounded(V.to_long(made).withColumn("sample", F.col("sample").cast("long")), "v")
 
     return run
 
 
 QUERIES["csd_standard"], QUERIES["csd_delta"], QUERIES["csd_step"], QUERIES["csd_spline"] = _csd("standard"), _csd("delta"), _csd("step"), _csd("spline", steps=25)
-
-
-@query()
+_STANDARD = f"""{SIGNAL}, d AS (SELECT *, lag(v) OVER w AS a, lead(v) OVER w AS b FROM sig WINDOW w AS (PARTITION BY block, shank, sample ORDER BY channel)),
+c AS (SELECT block, channel, shank, sample, -0.3 * (coalesce(a, v) - 2 * v + coalesce(b, v)) / 0.02 ** 2 AS v FROM d)"""
+SQL["csd_standard"] = f"WITH {_STANDARD} SELECT block, channel, shank, sample, round(v, 6) + 0.0 AS v FROM c"
+SQL["csd_filtered"] = f"""WITH {_STANDARD}, w AS (SELECT k, exp(-k * k / 2.0::DOUBLE) AS w FROM range(-2, 3) t(k)), n AS (SELECT sum(w) AS n FROM w)
+SELECT a.block, a.channel, a.shank, a.sample, round(sum(b.v * w.w) / any_value(n.n), 6) + 0.0 AS v FROM c a, w, n, c b WHERE b.block = a.block AND b.shank = a.shank AND b.sample = a.sample AND b.channel = a.channel + w.k GROUP BY 1, 2, 3, 4"""
+
+
+@query(
+    recursive(f"""{SIGNAL}, tp AS MATERIALIZED (SELECT block, channel, sample, v * CASE WHEN sample <= 0 OR sample >= 63 THEN 0 WHEN sample < 8 THEN (1 - cos(sample / 8.0::DOUBLE * pi())) / 2 WHEN sample > 55 THEN (1 + cos((sample - 55) / 8.0::DOUBLE * pi())) / 2 ELSE 1 END AS v FROM sig),
+{zero_phase_sql("lo", "tp", 64, K.butterworth(3, 0.2, "lowpass"))}
+SELECT block, channel, (sample // 4)::BIGINT AS sample, round(v, 6) + 0.0 AS v FROM lo WHERE sample % 4 = 0""")
+)
 def lfp_band(spark, d):
     """The low band of each trace: tapered, low-passed, every fourth sample."""
-    return rounded(V.to_long(V.along_time(_probe_rows(spark, d), lambda x: K.low_band(x, 4, 8))), "v")
+    out = V.along_time(_probe_rows(spark, d).select("block", "channel", "samples"), lambda x: K.low_band(x, 4, 8))
+    return rounded(V.to_long(out).withColumn("sample", F.col("sample").cast("long")), "v")
 
 
 @query()
@@ -380,6 +485,6 @@ def savgol_gaps(spark, d):
 
 @query()
 def csd_filtered(spark, d):
-    z = np.arange(1, 26) * 20e-6
-    made = lambda x: K.density_filter(K.source_density(x, z[: len(x)], "standard"), "gaussian", (5, 1.0))
-    return rounded(V.to_long(V.across_channels(_probe_rows(spark, d), made, ("block", "shank"))), "v")
+    made = lambda x: K.density_filter(K.source_density(x, DEPTHS[: len(x)], "standard", 0.5), "gaussian", (5, 1.0))
+    out = V.to_long(V.across_channels(_probe_rows(spark, d), made, ("block", "shank")))
+    return rounded(out.withColumn("sample", F.col("sample").cast("long")), "v")
