@@ -39,7 +39,7 @@ from .shared import FILTER_BITS, Scratch, buffers, key_filter, materialise, mix,
 MIN_WORDS = 50
 KGRAM = 16
 #: Places of a gram from which on its windows are matched one by one.
-HOT = 4096
+HOT = 50_000
 #: Text for each partition of the grams, suffixes of a partition in bytes, and places for each partition of the documents.
 GRAM_BYTES, SUFFIX_BYTES, SPANS = 256 << 20, 64 << 20, 1_000_000
 #: Suffixes that a task combines at once, and whose windows it sends together.
