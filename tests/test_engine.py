@@ -517,3 +517,79 @@ def test_metadata_of_each_shank_and_geometry(spark):
     one = M.parse(spark.createDataFrame([("a", x) for x in lines], "path string, value string"))
     got = [(r.ind, r.shank, r.row, r.col, r.x, r.y, r.position) for r in M.geometry(one).orderBy("ind").collect()]
     assert got == [(0, 1, 0.0, 1.0, 59.0, 20.0, 0), (1, 1, 0.0, 0.0, 27.0, 20.0, 1)]
+
+
+def test_cadzow_options():
+    rng = np.random.default_rng(5)
+    t = np.arange(200)
+    x, y = np.tile([0.0, 32.0], 16), np.repeat(np.arange(16), 2) * 20.0
+    clean = np.stack([np.sin(2 * np.pi * (t / 40 - 0.002 * p)) for p in y])
+    noisy = clean + 0.5 * rng.normal(size=clean.shape)
+    error = lambda z: np.sqrt(((z - clean) ** 2).mean())
+    base = K.cadzow(noisy, x, y, 250, 2, fmax=None, size=16, overlap=8)
+    for how in ({"pad": 6}, {"overlap": 12}, {"outlier": 3.0}, {"niter": 3}):
+        assert error(K.cadzow(noisy, x, y, 250, 2, fmax=None, **({"size": 16, "overlap": 8} | how))) < 0.85 * error(noisy), how
+    assert error(base) < 0.85 * error(noisy)
+    spoiled = noisy.copy()
+    spoiled[9] *= 6
+    keep = np.arange(32) != 9
+    plain, robust = (K.cadzow(spoiled, x, y, 250, 2, fmax=None, size=32, overlap=16, outlier=o) for o in (None, 2.0))
+    assert np.abs(robust - clean)[keep].mean() < np.abs(plain - clean)[keep].mean()
+    # frequencies above the limit stay, or go
+    high = K.cadzow(noisy, x, y, 250, 2, fmax=20, size=16, overlap=8)
+    assert np.allclose(np.fft.rfft(high)[:, 20:], np.fft.rfft(noisy)[:, 20:])
+    assert np.allclose(np.fft.rfft(K.cadzow(noisy, x, y, 250, 2, fmax=20, size=16, overlap=8, keep=False))[:, 20:], 0, atol=1e-9)
+    # one frequency by hand: the matrix of one window, its best approximation, means over its diagonals
+    z = np.fft.rfft(noisy)[:, 3]
+    shape, places, channels, counts = K.trajectory(x, y)
+    m = np.zeros(int(np.prod(shape)), complex)
+    m[places] = z[channels]
+    u, s, v = np.linalg.svd(m.reshape(shape), full_matrices=False)
+    low = (u[:, :2] * s[:2] @ v[:2]).ravel()[places]
+    want = np.array([low[channels == c].mean() for c in range(32)])
+    assert np.allclose(K.cadzow_window(np.fft.rfft(noisy), x, y, 2, 5)[:, 3], want)
+    assert np.isfinite(K.safe_svd(np.array([[np.nan, 1], [2, 3]]))[1]).all()
+
+
+def test_gaps_filled_beyond_the_ends():
+    t = np.arange(60.0)
+    for kind, y, tolerance in (("linear", 3 * t + 1, 1e-8), ("cubic", 3 * t + 1, 1e-8), ("cubic", np.sin(t / 9), 0.02)):
+        x = y.copy()
+        x[[0, 1, 20, 21, 59]] = np.nan
+        assert np.abs(K.savgol_interpolated(x, 7, 3, kind) - y)[2:59].max() < tolerance
+    x = 3 * t + 1
+    x[[0, 1, 59]] = np.nan
+    assert np.allclose(K.savgol_interpolated(x, 7, 3), 3 * t + 1)
+
+
+def test_recording_with_its_metadata(spark, tmp_path):
+    data = np.arange(500 * 4, dtype=np.int16).reshape(500, 4)
+    data[:, 3] = np.arange(500) % 2 * 5
+    data.tofile(tmp_path / "a.ap.bin")
+    (tmp_path / "a.ap.meta").write_text("typeThis=imec\nimDatPrb_type=0\nimDatPrb_port=1\nimDatPrb_slot=2\nimAiRangeMax=0.6\nnSavedChans=4\nsnsApLfSy=3,0,1\n~imroTbl=(0,3)(0 0 0 500 250)(1 0 0 250 125)(2 0 0 100 50)\n~snsShankMap=(1,2,3)(0:0:0:1)(0:1:0:1)(0:0:1:1)\nfileSHA1=AB\n")
+    df = R.read_recording(spark, str(tmp_path / "a.ap.bin"), block=128)
+    rows = {(r.block, r.channel): r for r in df.collect()}
+    assert len(rows) == 16 and np.allclose(rows[1, 1].samples, data[128:256, 1] * 0.6 / 512 / 250) and rows[1, 3].x is None
+    assert [rows[0, c].position for c in range(3)] == [0, 1, 2] and [rows[0, c].x for c in range(3)] == [43.0, 11.0, 59.0]
+    part = R.read_recording(spark, str(tmp_path / "a.ap.bin"), block=128, first=100, last=140, only="1:2").collect()
+    assert {(r.block, r.channel, r.first_sample, len(r.samples)) for r in part} == {(0, 1, 100, 28), (0, 2, 100, 28), (1, 1, 128, 12), (1, 2, 128, 12)}
+    cut = R.between(df, 120, 130).where("channel = 0").orderBy("block").collect()
+    assert [(r.first_sample, len(r.samples)) for r in cut] == [(120, 8), (128, 2)]
+    words = R.sync_words(df, 3)
+    fronts = E.write_sync(E.sync_lines(words, spark.createDataFrame([(i, 0, 0, 5.0 if i > 50 else 0.0) for i in range(100)], "sample long, window long, channel long, v double")), 100.0, str(tmp_path / "sync"))
+    assert {(r.channel, r.n) for r in fronts.groupBy("channel").count().withColumnRenamed("count", "n").collect()} == {(0, 499), (2, 499), (16, 1)}
+    told = R.same_as_told(spark, str(tmp_path / "*.ap.*"), M.read(spark, str(tmp_path / "a.ap.meta"))).first()
+    assert told.same is False and told.told == "ab"
+    files = R.with_system(spark.createDataFrame([("f", "imec0", "a", None, None), ("f", "", None, None, "n")], "folder string, label string, ap string, lf string, nidq string"))
+    assert {r.system for r in files.collect()} == {"3B"}
+
+
+def test_random_waveforms_and_user_aggregates(spark):
+    a, b = (X.random_waveforms(spark.newSession(), 40, 4, noise=0.01, seed=3).orderBy("waveform_index").collect() for _ in range(2))
+    assert [r.traces for r in a] == [r.traces for r in b] and {r.cluster for r in a} == {0, 1, 2, 3}
+    peaks = {r.cluster: int(np.abs(np.array(r.traces)).max(1).argmax()) for r in a}
+    assert all(int(np.abs(np.array(r.traces)).max(1).argmax()) == peaks[r.cluster] for r in a)
+    df = spark.createDataFrame([(0, 0, 1.0), (0, 0, 5.0), (0, 0, 3.0)], "label long, sample long, v double")
+    assert V.stack(df, operator=lambda c: F.max(c) - F.min(c)).first().v == 4.0
+    moved = X.shifted(X.random_waveforms(spark, 12, 2, seed=1), X.random_waveforms(spark, 12, 2, seed=1).select("cluster", F.posexplode("traces").alias("trace", "t")).select("cluster", "trace", F.posexplode("t").alias("sample", "v")))
+    assert all(abs(r.lag) < 1e-6 for r in moved.collect())

@@ -126,6 +126,23 @@ def analog_lines(df: DataFrame, threshold: float = 1.2, percentile: float = 10,
     return df.join(floor_, [window, "channel"]).withColumn("bit", ((F.col("v") - F.col("floor")) >= threshold).cast("int")).drop("floor")
 
 
+def sync_lines(words: DataFrame, analog: DataFrame, threshold: float = 1.2, percentile: float = 10) -> DataFrame:
+    """Digital and analog sync together: sample, channel, bit; analog trace k is channel 16 + k.
+
+    ``words``: sample, word; ``analog``: sample, window, channel, v.
+    """
+    lines = words.select("sample", F.posexplode(bits(F.col("word"))).alias("channel", "bit")).select("sample", F.col("channel").cast("long").alias("channel"), F.col("bit").cast("int").alias("bit"))
+    told = analog_lines(analog, threshold, percentile).select("sample", (F.col("channel") + 16).cast("long").alias("channel"), "bit")
+    return lines.unionByName(told)
+
+
+def write_sync(lines: DataFrame, fs: float, out: str) -> DataFrame:
+    """Fronts of sync lines (sample, channel, bit) as a table under ``out``: time, channel, polarity, in files sorted by time."""
+    found = fronts(lines, "bit").select((F.col("sample") / fs).alias("time"), F.col("channel").cast("short").alias("channel"), F.col("polarity").cast("byte").alias("polarity"))
+    found.repartitionByRange("time").sortWithinPartitions("time", "channel").write.parquet(out)
+    return lines.sparkSession.read.parquet(out)
+
+
 def spike_venn(spikes: DataFrame, sorters: list[str], fs: float = 30000, samples_bin: int | None = None, channels_bin: int = 4) -> DataFrame:
     """How many spikes each combination of sorters shares: mask (first sorter highest), n.
 

@@ -135,9 +135,13 @@ def rms(column: Column) -> Column:
     return F.sqrt(F.avg(column * column))
 
 
-def stack(df: DataFrame, word: str = "label", operator: str = "mean") -> DataFrame:
-    """Traces of one word averaged sample by sample: word, sample, v, fold."""
-    made = {"mean": F.avg, "median": F.median, "sum": F.sum}[operator]("v")
+def stack(df: DataFrame, word: str = "label", operator: str | Callable[[Column], Column] = "mean") -> DataFrame:
+    """Traces of one word averaged sample by sample: word, sample, v, fold.
+
+    ``operator`` is a name, or any aggregate of a column (built in or a
+    grouped-aggregate pandas UDF).
+    """
+    made = (operator if callable(operator) else {"mean": F.avg, "median": F.median, "sum": F.sum}[operator])(F.col("v"))
     return df.groupBy(word, "sample").agg(made.alias("v"), F.count(F.lit(1)).alias("fold"))
 
 
@@ -332,14 +336,14 @@ def svd_denoise(df: DataFrame, rank: int | None = None) -> DataFrame:
     return across_channels(df, lambda x: K.svd_denoise(x, rank or max(1, len(x) // 4)), ("block", "shank"))
 
 
-def cadzow(df: DataFrame, geometry: DataFrame, fs: float = 250, rank: int = 5, fmax: float | None = 100) -> DataFrame:
-    """Rank reduction of each block's spectrum on the probe's grid."""
+def cadzow(df: DataFrame, geometry: DataFrame, fs: float = 250, rank: int = 5, fmax: float | None = 100, **how) -> DataFrame:
+    """Rank reduction of each block's spectrum on the probe's grid; ``how`` goes to :func:`kernels.cadzow`."""
     sites = {r.ind: (r.x, r.y) for r in geometry.select("ind", "x", "y").collect()}  # a probe's sites
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("channel")
         xy = np.array([sites[c] for c in group["channel"]])
-        made = K.cadzow(np.stack(group["samples"].to_numpy()).astype(float), xy[:, 0], xy[:, 1], fs, rank, fmax=fmax, size=min(64, 2 * (len(xy) // 2)), overlap=min(32, len(xy) // 2 // 2 * 2))
+        made = K.cadzow(np.stack(group["samples"].to_numpy()).astype(float), xy[:, 0], xy[:, 1], fs, rank, fmax=fmax, **{"size": min(64, 2 * (len(xy) // 2)), "overlap": min(32, len(xy) // 2 // 2 * 2), **how})
         return group.assign(samples=list(made))
 
     return df.groupBy("block").applyInPandas(run, df.schema)

@@ -220,6 +220,28 @@ def pre_post(df: DataFrame, peaks: DataFrame) -> DataFrame:
     return joined.withColumn("pre", F.when(early, F.col("v"))).withColumn("post", F.when(~early, F.col("v"))).drop("peak_time_idx")
 
 
+def random_waveforms(spark, n: int, clusters: int = 10, sites: np.ndarray | None = None, fs: float = 30_000, length: int = LENGTH, noise: float = 0.0, seed: int = 0) -> DataFrame:
+    """``n`` modelled waveforms: waveform_index, cluster, traces; each cluster has a place beside the sites, each spike some noise.
+
+    A row depends on its own number and the seed alone.
+    """
+    grid = np.c_[np.tile([43, 11, 59, 27], 10), np.repeat(np.arange(20), 2) * 20.0 + 20] if sites is None else sites
+    t = np.arange(length) - TROUGH_OFFSET
+    spike = -np.exp(-((t / 5.0) ** 2)) + 0.4 * np.exp(-(((t - 12) / 8.0) ** 2))
+
+    def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            traces = []
+            for i in batch["id"]:
+                place = np.random.default_rng([seed, int(i % clusters)])
+                source = np.array([place.uniform(grid[:, 0].min(), grid[:, 0].max()), place.uniform(grid[:, 1].min(), grid[:, 1].max())])
+                w = K.model_waveform(spike, source, grid, fs) * 50**3
+                traces.append((w + noise * np.random.default_rng([seed, clusters, int(i)]).normal(size=w.shape)).tolist())
+            yield pd.DataFrame({"waveform_index": batch["id"], "cluster": batch["id"] % clusters, "traces": traces})
+
+    return spark.range(n).mapInPandas(made, "waveform_index bigint, cluster bigint, traces array<array<double>>")
+
+
 def shifted(df: DataFrame, cells: DataFrame, fs: float | None = None) -> DataFrame:
     """Waveforms moved onto their cluster's median template: waveform_index, cluster, lag, traces.
 

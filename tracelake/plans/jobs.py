@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 import tempfile
 import uuid
@@ -13,14 +14,18 @@ from pyspark.sql import functions as F
 
 from .. import views
 from ..functions import kernels as K
+from ..functions import sql as L
 from ..operators import events as E
 from ..operators import geometry as G
 from ..operators import voltage as V
 from ..operators import waveforms as X
 from ..sources import metadata as M
+from ..sources import recording as R
 from ..streaming import stateful as S
 
+from .signals import SQL as SIGNAL_SQL
 from .signals import recursion_sql, recursive
+from .spikes import SQL as SPIKE_SQL
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -263,7 +268,46 @@ def waveform_job(spark, d):
     return load_waveforms(spark, at).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(total), 3).alias("total"))
 
 
-QUERIES |= {f.__name__: f for f in (destripe_job, raw_quality, snippet_quality, stream_fronts, stream_filter, stream_windows, stream_sessions, mute_blocks, saturation_over_blocks, shank_conversion, shank_low_band, waveform_job)}
+def recording_scan(spark, d):
+    """Part of a recording file through its data source: volts of some channels and samples, by the metadata beside it."""
+    at = _folder(spark, "recording").removeprefix("file://").removeprefix("file:")
+    os.makedirs(at)
+    R.mock_recording(f"{at}/m.ap.bin", 9, 400, 0.6 / 512 / 500)
+    gains = "".join(f"({i} 0 0 500 250 1)" for i in range(8))
+    with open(f"{at}/m.ap.meta", "w") as f:
+        f.write(f"typeThis=imec\nimDatPrb_type=0\nimAiRangeMax=0.6\nnSavedChans=9\nsnsApLfSy=8,0,1\n~imroTbl=(0,8){gains}\n")
+    rows = R.read_recording(spark, f"{at}/m.ap.bin", block=100, first=50, last=380, only="0:3,8")
+    cells = R.between(rows, 50, 350).select("channel", "first_sample", F.posexplode("samples").alias("i", "v"))
+    return cells.select("channel", (F.col("first_sample") + F.col("i")).alias("sample"), F.round(F.when(F.col("channel") == 8, F.col("v")).otherwise(F.col("v") * 1e6), 6).alias("v"))
+
+
+def sql_delay(spark, d):
+    """A delay called from an SQL text."""
+    L.register(spark)
+    views.signal(spark, d).createOrReplaceTempView("tracelake_signal")
+    out = spark.sql("SELECT block, channel, posexplode(signal_delay(samples, 0.3D)) AS (sample, v) FROM tracelake_signal")
+    return out.withColumns({"sample": F.col("sample").cast("long"), "v": F.round("v", 6) + F.lit(0.0)})
+
+
+def sql_windows(spark, d):
+    """Windows of each user's events by a table function, and the RMS of a group by another."""
+    L.register(spark)
+    views.table(spark, d, "events").groupBy(F.col("user_id").alias("rec")).agg(F.count(F.lit(1)).alias("ns")).createOrReplaceTempView("tracelake_lengths")
+    return spark.sql("SELECT rec, w.* FROM tracelake_lengths, LATERAL signal_windows(ns, 20, 8) w")
+
+
+def sql_rms(spark, d):
+    L.register(spark)
+    views.signal_long(spark, d).createOrReplaceTempView("tracelake_long")
+    return spark.sql("SELECT block, channel, round(signal_rms(v), 6) AS rms FROM tracelake_long GROUP BY block, channel")
+
+
+QUERIES |= {f.__name__: f for f in (recording_scan, sql_delay, sql_windows, sql_rms, destripe_job, raw_quality, snippet_quality, stream_fronts, stream_filter, stream_windows, stream_sessions, mute_blocks, saturation_over_blocks, shank_conversion, shank_low_band, waveform_job)}
+SQL["recording_scan"] = """SELECT c AS channel, t AS sample, round(CASE WHEN c = 8 THEN (1 << (t % 15)::INT)::DOUBLE WHEN t < 16 THEN 0 ELSE round((c + 1) / 2.34375::DOUBLE) * 2.34375 END, 6)::DOUBLE AS v
+FROM range(50, 350) a(t), (SELECT unnest([0, 1, 2, 3, 8])::BIGINT AS c)"""
+SQL["sql_delay"] = SIGNAL_SQL["fshift"]
+SQL["sql_windows"] = SPIKE_SQL["windows_firstlast"]
+SQL["sql_rms"] = f"WITH {views.SIGNAL} SELECT block, channel, round(sqrt(avg(v * v)), 6) AS rms FROM sig GROUP BY 1, 2"
 SQL["stream_fronts"] = f"WITH {views.SERIES}, c AS (SELECT *, v - lag(v) OVER (PARTITION BY channel ORDER BY sample) AS p FROM series) SELECT channel, sample, round(p, 6) AS polarity FROM c WHERE abs(p) >= 40"
 SQL["stream_filter"] = recursive(f"""{views.SIGNAL}, src AS MATERIALIZED (SELECT block, channel, sample AS t, v FROM sig), {recursion_sql("out", "src", K.butterworth(3, 0.1, "highpass"))}
 SELECT block, channel, t::BIGINT AS sample, round(y, 6) + 0.0 AS v FROM out WHERE t >= 0""")

@@ -4,17 +4,18 @@
 ``spark.read.format("recording").option("channels", 385).load(path)`` gives
 rows block, channel, first_sample, samples.  The file is a flat matrix of
 samples by channels (int16 by default), a ``.npy`` matrix, or a chunk-compressed
-file with its ``.ch`` description.  A partition is a range of samples; the
-driver reads no more than the file's size (or its description).
+file with its ``.ch`` description, on a local disk or in a store that pyarrow
+opens by its address.  A partition is a range of samples; the driver reads no
+more than the file's size (or its description).  Options ``first``, ``last``
+(samples) and ``only`` (channels, as ``0:3,7``) keep the rest from being read.
+:func:`read_recording` joins the metadata beside a file: volts and sites.
 """
 
 from __future__ import annotations
 
 import json
-import os
 import zlib
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -37,54 +38,89 @@ class _File:
     """Layout of a recording: where its samples are."""
 
     def __init__(self, options: dict):
-        self.path = options["path"].removeprefix("file:")
+        self.path = options["path"].removeprefix("file://").removeprefix("file:")
         self.dtype = np.dtype(options.get("dtype", "int16"))
         self.size = int(options.get("block", 8192))
         self.scale = float(options.get("scale", 1.0))
+        self.first, self.last = int(options.get("first", 0)), int(options["last"]) if "last" in options else None
+        self.only = _channels(options["only"]) if "only" in options else None
         self.offset, self.chunks = 0, None
+        self.bytes = self._size()
         if self.path.endswith(".npy"):
-            held = np.load(self.path, mmap_mode="r")
-            self.dtype, self.channels, self.offset = held.dtype, held.shape[1], held.offset
+            with self._open() as f:
+                version = np.lib.format.read_magic(f)
+                shape, fortran, self.dtype = (np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0)(f)
+                if fortran:
+                    raise ValueError("a matrix in column order can't be read by ranges of samples")
+                self.channels, self.offset = shape[1], f.tell()
         elif self.path.endswith(".cbin"):
-            self.chunks = json.loads(Path(self.path).with_suffix(".ch").read_text())
+            with self._open(self.path[: -len(".cbin")] + ".ch") as f:
+                self.chunks = json.loads(f.read())
             self.channels, self.dtype = self.chunks["n_channels"], np.dtype(self.chunks["dtype"])
         elif "channels" in options:
             self.channels = int(options["channels"])
         else:
-            size = os.path.getsize(self.path) // self.dtype.itemsize
+            size = self.bytes // self.dtype.itemsize
             self.channels = next((c for c in GUESSES if size % c == 0), 0)
             if not self.channels:
                 raise ValueError(f"the number of channels of {self.path} can't be told from its size")
 
+    def _open(self, path: str | None = None):
+        path = path or self.path
+        if "://" not in path:
+            return open(path, "rb")
+        from pyarrow.fs import FileSystem
+
+        system, at = FileSystem.from_uri(path)
+        return system.open_input_file(at)
+
+    def _size(self) -> int:
+        with self._open() as f:
+            return f.seek(0, 2)
+
     def length(self) -> int:
         if self.chunks:
             return self.chunks["chunk_bounds"][-1]
-        return (os.path.getsize(self.path) - self.offset) // (self.channels * self.dtype.itemsize)
+        self.bytes = self._size()
+        return (self.bytes - self.offset) // (self.channels * self.dtype.itemsize)
 
     def spans(self, first: int, last: int) -> list[Span]:
+        first, last = max(first, self.first), last if self.last is None else min(last, self.last)
         if self.chunks:
             bounds = self.chunks["chunk_bounds"]
             return [Span(i, a, b) for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if b > first and a < last]
-        return [Span(a // self.size, a, min(a + self.size, last)) for a in range(first, last, self.size)]
+        return [Span(a // self.size, max(a, first), min(a + self.size, last)) for a in range(first // self.size * self.size, last, self.size)]
 
     def matrix(self, span: Span) -> np.ndarray:
-        if self.chunks:
-            at = self.chunks["chunk_offsets"]
-            with open(self.path, "rb") as f:
+        with self._open() as f:
+            if self.chunks:
+                at = self.chunks["chunk_offsets"]
                 f.seek(at[span.block])
                 raw = zlib.decompress(f.read(at[span.block + 1] - at[span.block]))
-            order = "F" if self.chunks.get("chunk_order") == "F" else "C"
-            made = np.frombuffer(raw, self.dtype).reshape((span.last - span.first, self.channels), order=order)
-            made = np.cumsum(made, 0, dtype=self.dtype) if self.chunks.get("do_time_diff") else made
-            return np.cumsum(made, 1, dtype=self.dtype) if self.chunks.get("do_spatial_diff") else made
-        width = self.channels * self.dtype.itemsize
-        return np.fromfile(self.path, self.dtype, (span.last - span.first) * self.channels, offset=self.offset + span.first * width).reshape(-1, self.channels)
+                order = "F" if self.chunks.get("chunk_order") == "F" else "C"
+                made = np.frombuffer(raw, self.dtype).reshape((span.last - span.first, self.channels), order=order)
+                made = np.cumsum(made, 0, dtype=self.dtype) if self.chunks.get("do_time_diff") else made
+                return np.cumsum(made, 1, dtype=self.dtype) if self.chunks.get("do_spatial_diff") else made
+            width = self.channels * self.dtype.itemsize
+            f.seek(self.offset + span.first * width)
+            return np.frombuffer(f.read((span.last - span.first) * width), self.dtype).reshape(-1, self.channels)
 
     def rows(self, span: Span) -> Iterator[pa.RecordBatch]:
-        data = self.matrix(span).T.astype(np.float32) * np.float32(self.scale)
+        data, first = self.matrix(span), span.first
+        if self.chunks:  # a chunk is read whole
+            a, b = max(span.first, self.first), span.last if self.last is None else min(span.last, self.last)
+            data, first = data[a - span.first : b - span.first], a
+        which = np.arange(self.channels) if self.only is None else np.array([c for c in self.only if c < self.channels], int)
+        data = data.T[which].astype(np.float32) * np.float32(self.scale)
         n = len(data)
         values = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * data.shape[1], pa.int32()), pa.array(np.ascontiguousarray(data).ravel()))
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, span.block)), pa.array(np.arange(n)), pa.array(np.full(n, span.first)), values], names=["block", "channel", "first_sample", "samples"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, span.block)), pa.array(which), pa.array(np.full(n, first)), values], names=["block", "channel", "first_sample", "samples"])
+
+
+def _channels(text: str) -> list[int]:
+    """Channels of ``0:3,7``: runs with both ends, and single ones."""
+    ends = [[int(x) for x in part.split(":")] for part in text.split(",") if part]
+    return [c for e in ends for c in range(e[0], e[-1] + 1)]
 
 
 class _Reader(DataSourceReader):
@@ -121,7 +157,7 @@ class _StreamReader(DataSourceStreamReader):
 
 
 class RecordingSource(DataSource):
-    """Options: path, channels, dtype, block (samples of a row), scale (volts per bit)."""
+    """Options: path, channels, dtype, block (samples of a row), scale (volts per bit), first, last, only."""
 
     @classmethod
     def name(cls) -> str:
@@ -137,6 +173,58 @@ class RecordingSource(DataSource):
         return _StreamReader(dict(self.options))
 
 
+def read_recording(spark, path: str, meta: str | None = None, band: str | None = None, **options) -> DataFrame:
+    """A recording with the metadata beside it: block, channel, first_sample, samples in volts, shank, x, y, position.
+
+    The ``.meta`` file of the same name (or ``meta``) tells the number of
+    channels, each one's gain and its site; sync traces have no site and stay
+    as they are.  ``options`` are those of the source.
+    """
+    from pyspark.sql import functions as F
+
+    from . import metadata as M
+
+    told = M.read(spark, meta or path.rsplit(".", 1)[0] + ".meta")
+    facts = told.select(M.number(F.col("meta"), "nSavedChans").cast("long").alias("n"), M.band(F.col("meta")).alias("band")).first()
+    spark.dataSource.register(RecordingSource)
+    reader = spark.read.format("recording")
+    for k, v in ({"channels": facts.n} | options).items():
+        reader = reader.option(k, v)
+    gains = M.volts_per_bit(told).select("channel", F.coalesce(F.col(band or facts.band or "ap"), F.lit(1.0)).alias("gain"))
+    sites = M.geometry(told).select(F.col("ind").cast("long").alias("channel"), "shank", "x", "y", "position")
+    rows = reader.load(path).join(gains, "channel").join(sites, "channel", "left")
+    volts = F.transform("samples", lambda v: v.cast("double") * F.col("gain"))
+    return rows.select("block", "channel", "first_sample", volts.alias("samples"), "shank", "x", "y", "position")
+
+
+def between(df: DataFrame, first: int, last: int) -> DataFrame:
+    """The samples [first, last) of array rows (first_sample, samples): rows cut to what is asked, others left out."""
+    from pyspark.sql import functions as F
+
+    begin = F.greatest(F.lit(first) - F.col("first_sample"), F.lit(0)).cast("int")
+    end = F.least(F.lit(last) - F.col("first_sample"), F.size("samples")).cast("int")
+    rows = df.where((F.col("first_sample") < last) & (F.col("first_sample") + F.size("samples") > first))
+    return rows.withColumns({"samples": F.slice("samples", begin + 1, end - begin), "first_sample": F.col("first_sample") + begin})
+
+
+def sync_words(df: DataFrame, channel: int) -> DataFrame:
+    """The digital words of a sync trace: sample, word."""
+    from pyspark.sql import functions as F
+
+    one = df.where(F.col("channel") == channel).select("first_sample", F.posexplode("samples").alias("i", "v"))
+    return one.select((F.col("first_sample") + F.col("i")).alias("sample"), F.pmod(F.col("v").cast("long"), F.lit(65536)).alias("word"))
+
+
+def same_as_told(spark, path: str, meta: DataFrame) -> DataFrame:
+    """path, sha1, told, same: hashes of files under ``path`` against those in their metadata (path without its suffix, meta)."""
+    from pyspark.sql import functions as F
+
+    stem = lambda c: F.regexp_replace(c, r"\.[^./]*$", "")
+    found = file_hashes(spark, path).where(~F.col("path").endswith(".meta")).withColumn("stem", stem(F.col("path")))
+    told = meta.select(stem(F.col("path")).alias("stem"), F.lower(F.element_at("meta", F.lit("fileSHA1"))).alias("told"))
+    return found.join(told, "stem", "left").select("path", "sha1", "told", (F.col("sha1") == F.col("told")).alias("same"))
+
+
 def write_compressed(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Rows as zstd Parquet, the recording's compressed form."""
     df.write.mode(mode).option("compression", "zstd").parquet(path)
@@ -170,6 +258,14 @@ def probe_files(spark, root: str) -> DataFrame:
     return found.groupBy("folder", "label").pivot("kind", ["ap", "lf", "nidq"]).agg(F.first("path"))
 
 
+def with_system(files: DataFrame) -> DataFrame:
+    """Rows of :func:`probe_files` with ``system``: 3B where a board's file stands beside the probes', else 3A."""
+    from pyspark.sql import functions as F
+
+    boards = files.where("nidq IS NOT NULL").agg(F.count(F.lit(1)).alias("boards"))
+    return files.crossJoin(boards).withColumn("system", F.when(F.col("boards") > 0, "3B").otherwise("3A")).drop("boards")
+
+
 def mock_recording(path: str, channels: int, samples: int, volts_per_bit: float) -> None:
     """A file whose channel c holds (c + 1) over the scale, its first 16 rows zero, its last channel walking bits."""
     data = np.tile(np.round((np.arange(channels) + 1) / volts_per_bit / 1e6), (samples, 1)).astype(np.int16)
