@@ -76,6 +76,46 @@ def test_empty_tables(spark, none, name):
     assert registry.QUERIES[name](spark, none).count() == 0
 
 
+CLASHING = ("id", "body", "key", "n", "digest", "held", "block", "range", "within", "p", "blob", "path", "html_", "__text", "kept", "spans", "row", "file", "place", "keep", "size", "hash", "skey", "copies", "words", "n_words", "root", "root_", "name", "host", "word", "sum", "target", "source_size", "component_id", "text_sha256", "a.b")
+
+
+@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - {"op7_html_text"}))
+def test_extra_columns_change_nothing(spark, sf, name, tmp_path_factory):
+    at = tmp_path_factory.getbasetemp() / "clashing"
+    if not at.exists():
+        docs = spark.read.parquet(f"{sf}/documents.parquet")
+        docs.select(*(F.lit(k).alias(c) for k, c in enumerate(CLASHING)), "*").coalesce(2).write.parquet(f"{at}/documents.parquet")
+    plain, wide = (registry.QUERIES[name](spark, x) for x in (sf, str(at)))
+    assert plain.columns == wide.columns
+    near = lambda r: tuple(round(x, 3) if isinstance(x, float) else x for x in r)
+    assert bag(map(near, plain.collect())) == bag(map(near, wide.collect()))
+
+
+def test_a_text_of_some_megabytes(spark, tmp_path_factory):
+    """Whole texts, however long: the ends of long ones count as their beginnings do."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    rng = random.Random(12)
+    passage = prose(rng, 60)
+    long = " ".join(f"{rng.choice(WORDS)}{rng.randrange(10**6)}" for _ in range(250_000)) + f" {passage} password: hunter2secretx"
+    rows = [(1, long, "en", "a", 0), (2, long, "en", "a", 0), (3, f"{passage} and more", "en", "b", 0), (4, long.replace("hunter2secretx", "hunter2secrety"), "en", "b", 0)]
+    at = str(tmp_path_factory.mktemp("long"))
+    spark.createDataFrame(rows, SHAPE).repartition(2).write.parquet(f"{at}/documents.parquet")
+    assert len(long) > 2_500_000
+    run = {k: {r.doc_id: r for r in q(spark, at).collect()} for k, q in registry.QUERIES.items() if k != "op7_html_text"}
+    n = {i: len(words_of(t)) for i, t, *_ in rows}
+    assert {i: r.n_words for i, r in run["op1_quality_rules"].items()} == {i: r.size for i, r in run["op5_mix_sources"].items()} == n
+    assert run["op2_secret_scans"][1].spans == f"assign:{long.index('password')}:{len(long)}"
+    assert [run["op3_exact_dedup"][i].keep_id for i in (1, 2, 3, 4)] == [2, 2, 3, 4]
+    assert [(run["op4_ngram_join"][i].n_shingles, run["op4_ngram_join"][i].component_id) for i in (1, 2, 4, 3)] == [(n[1] - 4, 1)] * 3 + [(n[3] - 4, 3)]
+    assert {i: r.n_tokens for i, r in run["op6_ppm_scores"].items()} == {i: k + 1 for i, k in n.items()}
+    lib = pieces_bpe.encoder(public_tokenizers.path("piece_bpe_32k.model")).library
+    assert run["op8_sentencepiece"][4].n_tokens == len(lib.encode(rows[3][1])) + 2
+    assert run["op9_token_counts"][1].n_tokens == len(Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode(long, add_special_tokens=False).ids)
+    assert run["op10_repeated_passages"][3].spans == "0:60" and run["op10_repeated_passages"][4].spans == f"0:{n[4] - 1}"
+
+
 # --- quality ---------------------------------------------------------------------------
 def repeated_words(w):
     seen = collections.Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
@@ -124,19 +164,37 @@ def test_quality_order_by_rejections_per_cost(spark, monkeypatch):
 
 
 # --- secrets ----------------------------------------------------------------------------
+def secrets_of(text):
+    """Spans of the base kinds by their definition."""
+    text, spans = text or "", []
+    for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A):
+        if len(m[2]) >= 8:
+            spans.append((m.start(), 0, m.end(), "assign"))
+    for k, (kind, pattern, least) in enumerate((("access", "AKIA[A-Z0-9]+", 16), ("hex", "[0-9a-f]+", 32)), 1):
+        spans += [(m.start(), k, m.end(), kind) for m in re.finditer(pattern, text) if len(m[0]) >= least]
+    return sorted(spans)
+
+
 def test_secrets(spark, sf, rows):
-    got = {}
-    for r in registry.QUERIES["op2_secret_scans"](spark, sf).collect():
-        got[r.doc_id] = r
+    got = [(r.doc_id, r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in registry.QUERIES["op2_secret_scans"](spark, sf).collect()]
+    want = bag()
     for i, t, *_ in rows:
-        spans = []
-        for k, rule in enumerate(secrets.RULES):
-            spans += [(m.start(), k, m.end(), rule.kind) for m in rule.compiled().finditer(t or "") if rule.accepts is None or rule.accepts(m)]
-        spans.sort()
-        told = [(kind, a, b) for a, _, b, kind in spans]
-        assert got[i].spans == ",".join(f"{k}:{a}:{b}" for k, a, b in told)
-        assert got[i].base_sha256 == secrets.digest(x for x in told if x[0] in secrets.BASE_KINDS)
-    assert (got[408].n_assign, got[408].n_access, got[408].n_hex) == (1, 1, 1) and got[409].n_assign == 2
+        spans = secrets_of(t)
+        kinds = collections.Counter(x[3] for x in spans)
+        want[i, kinds["assign"], kinds["access"], kinds["hex"], hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, _, b, k in spans).encode()).hexdigest()] += 1
+    assert bag(got) == want
+    told = {r.doc_id: r.spans for r in registry.QUERIES["op2_secret_scans"](spark, sf).collect()}
+    assert told[409] == "assign:0:16,assign:23:41" and told[408].startswith("assign:0:25,access:26:46,hex:47:95")
+
+
+def test_secrets_of_all_kinds(spark, tmp_path):
+    made = {"private_key": "-----BEGIN RSA PRIVATE KEY-----", "github": "ghp_" + "aB3" * 13, "slack": "xoxb-" + "1A-" * 5, "google": "AIza" + "x" * 35, "jwt": "eyJhbGciOiJI.eyJzdWIiOiIx.c2ln"}
+    rows = [(k, f"see {x} here", "en", "s", 0) for k, x in enumerate(made.values())] + [(9, "ghp_short AIzashort xoxb eyJ.eyJ.x BEGIN", "en", "s", 0)]
+    spark.createDataFrame(rows, SHAPE).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.spans for r in registry.QUERIES["op2_secret_scans"](spark, str(tmp_path)).collect()}
+    for k, (kind, x) in enumerate(made.items()):
+        assert f"{kind}:4:{4 + len(x)}" in got[k].split(",")
+    assert got[9] == ""
 
 
 @pytest.mark.parametrize(

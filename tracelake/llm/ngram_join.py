@@ -473,7 +473,11 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """``docs`` with the document of the least id of each component; all columns as they are."""
+    """``docs`` with the document of the least id of each component; all columns as they are.
+
+    Rows with one id stay or go together: they stay if any of them does.
+    Nulls, empty texts and empty tables are treated as in :func:`similar_sets`.
+    """
     found = similar_sets(docs, id_col, text_col, width, percent)
     stay = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__id"))
     return docs.join(stay, F.col(f"`{id_col}`").eqNullSafe(F.col("__id")), "left_semi")
