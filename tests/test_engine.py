@@ -482,6 +482,8 @@ def test_kernels_against_plain_numpy():
     assert np.allclose(K.expand(K.reduce(np.fft.fft(x)), 90), np.fft.fft(x)) and np.allclose(K.expand(np.fft.rfft(x[:, :89]), 89), np.fft.fft(x[:, :89]))
     t = np.arange(200)
     a, b = np.exp(-(((t - 90) / 6.0) ** 2)), np.exp(-(((t - 93.3) / 6.0) ** 2))
+    slope, start = K.phase_calibration(a, 30000)
+    assert np.isclose(slope, 2 * np.pi / 30000, rtol=1e-6) and abs(start) < 1e-9 and np.isclose(K.line_inverse(K.line(0.3, slope, start), slope, start), 0.3)
     for moved, lag in (K.shift_by_correlation(a, b), K.shift_by_phase(a, b, 30000)):
         assert abs(lag + 3.3) < 0.05 and np.abs(moved - a).max() < 0.02
     kernel = np.ones(3) / 3
@@ -595,3 +597,19 @@ def test_random_waveforms_and_user_aggregates(spark):
     assert V.stack(df, operator=lambda c: F.max(c) - F.min(c)).first().v == 4.0
     moved = X.shifted(X.random_waveforms(spark, 12, 2, seed=1), X.random_waveforms(spark, 12, 2, seed=1).select("cluster", F.posexplode("traces").alias("trace", "t")).select("cluster", "trace", F.posexplode("t").alias("sample", "v")))
     assert all(abs(r.lag) < 1e-6 for r in moved.collect())
+
+
+def test_bad_channels_of_each_kind(spark):
+    """A dead, a noisy and some outer channels among like ones, by fixed and adaptive thresholds."""
+    rng = np.random.default_rng(11)
+    n, fs = 4000, 30000
+    common = K.sosfiltfilt(K.butterworth(3, [0.03, 0.3], "bandpass"), rng.normal(size=(1, n)))[0] * 2e-5
+    x = np.tile(common, (60, 1)) + rng.normal(size=(60, n)) * 2e-6
+    x[20] *= 0.05
+    x[30] += rng.normal(size=n) * 2e-4
+    x[48:] = rng.normal(size=(12, n)) * 2e-6
+    df = spark.createDataFrame([(0, c, x[c].tolist()) for c in range(60)], "block long, channel long, samples array<double>")
+    for threshold in (-0.75, "adaptive"):
+        got = {r.channel: r.label for r in V.bad_channels(df, fs, outside_threshold=threshold).collect()}
+        assert got[20] == 1 and got[30] == 2 and got[10] == 0 and got[59] == 3, threshold
+    assert {c for c, label in got.items() if label == 3} <= set(range(40, 60))

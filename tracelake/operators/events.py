@@ -45,6 +45,18 @@ def saturation(df: DataFrame, max_voltage: float, fs: float, v_per_sec: float =
     return mean.select("block", "sample", ((F.col("high") > proportion) | (F.col("fast") > proportion)).alias("saturated"))
 
 
+def fronts_blocks(df: DataFrame, size: int, step: float = 1) -> DataFrame:
+    """As :func:`fronts`, of array rows (block, channel, samples; ``size`` samples a block) of one recording: channel, sample, polarity.
+
+    A block sees the last sample of the one before; no window goes over a
+    whole recording, and only fronts become rows.
+    """
+    wide = with_margins(df.select("block", "channel", "samples"), 1, 1)
+    before = lambda i: F.when(i == 0, F.get("head", F.lit(0))).otherwise(F.get("samples", i - 1))
+    change = F.transform("samples", lambda x, i: F.struct((F.col("block") * size + i).alias("sample"), (x - before(i)).alias("polarity")))
+    return wide.select("channel", F.inline(F.filter(change, lambda r: F.abs(r["polarity"]) >= step)))
+
+
 def saturation_blocks(df: DataFrame, max_voltage: float, fs: float, v_per_sec: float = 1e-8, proportion: float = 0.2) -> DataFrame:
     """As :func:`saturation`, of array rows (block, channel, samples) that are parts of one recording: block, saturated (an array).
 

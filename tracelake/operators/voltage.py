@@ -179,15 +179,16 @@ def _placed(df: DataFrame, sites: DataFrame) -> DataFrame:
     return df.join(sites, "channel")
 
 
-def destripe(df: DataFrame, fs: float, geometry: DataFrame, labels: DataFrame | None = None, k_filter: bool | None | Kernel = True, corner: float = 300, epsilon: float | None = 1e-8, margin: int = 0) -> DataFrame:
+def destripe(df: DataFrame, fs: float, geometry: DataFrame, labels: DataFrame | None = None, k_filter: bool | None | Kernel = True, corner: float = 300, epsilon: float | None = 1e-8, margin: int = 0, tapered: bool = False) -> DataFrame:
     """High-pass, re-phasing, interpolation of bad channels, and a spatial filter per shank.
 
     ``k_filter``: true for the k-filter, false for the common reference, none
     for neither, or a function of a (channels, samples) matrix.  Channels with
     label 3 lie outside the brain: they keep the temporal steps alone.
+    ``margin`` samples of the neighbouring blocks are seen, ``tapered`` if asked.
     """
     if margin:
-        return in_margins(df, lambda x: destripe(x, fs, geometry, labels, k_filter, corner, epsilon), margin)
+        return in_margins(df, lambda x: destripe(x, fs, geometry, labels, k_filter, corner, epsilon), margin, tapered=tapered)
     return _spatial(_shifted(high_pass(df, fs, corner), geometry), fs, geometry, labels, k_filter, epsilon)
 
 
@@ -260,12 +261,13 @@ def running_median(df: DataFrame, value: str, n: int = 11, keys: tuple[str, ...]
     return df.withColumn("trend", F.element_at(F.array_sort(F.array(*around)), half + 1))
 
 
-def bad_channels(df: DataFrame, fs: float, similarity_threshold: tuple[float, float] = (-0.5, 1.0), psd_threshold: float = 0.02, outside_threshold: float = -0.75) -> DataFrame:
+def bad_channels(df: DataFrame, fs: float, similarity_threshold: tuple[float, float] = (-0.5, 1.0), psd_threshold: float = 0.02, outside_threshold: float | str = -0.75) -> DataFrame:
     """Per block and channel: rms_raw, xcor_hf, xcor_lf, psd_hf and label (0 good, 1 dead, 2 noisy, 3 outside).
 
     Dead: like its neighbours too little; noisy: too much like nothing, or
     loud at high frequencies; outside: the run of low similarity that reaches
-    the last channel.
+    the last channel.  The threshold of that may be ``adaptive``: the value
+    halfway down the smoothed fall of a block's similarity along its channels.
     """
     long = to_long(df)
     raw = long.groupBy("block", "channel").agg(rms(F.col("v") - 0).alias("rms_raw"))
@@ -280,10 +282,27 @@ def bad_channels(df: DataFrame, fs: float, similarity_threshold: tuple[float, fl
     psd = along_time(df, loud).select("block", "channel", F.col("samples")[0].alias("psd_hf"))
     out = raw.join(whole, ["block", "channel"]).join(slow, ["block", "channel"]).join(psd, ["block", "channel"])
     w = Window.partitionBy("block").orderBy(F.desc("channel")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    outside = F.min((F.col("xcor_lf") < outside_threshold).cast("int")).over(w) == 1
+    if outside_threshold == "adaptive":
+        out = out.join(_falls(out), "block", "left")
+        limit = F.col("__limit")
+    else:
+        limit = F.lit(float(outside_threshold))
+    outside = F.coalesce(F.min((F.col("xcor_lf") < limit).cast("int")).over(w) == 1, F.lit(False))
     low, high = similarity_threshold
     label = F.when((F.col("xcor_hf") > high) | (F.col("psd_hf") > psd_threshold), 2).when(F.col("xcor_hf") < low, 1).when(outside, 3).otherwise(0)
-    return out.withColumn("label", label.cast("long"))
+    return out.withColumn("label", label.cast("long")).drop("__limit")
+
+
+def _falls(features: DataFrame, smooth: int = 25, drop: float = -0.02) -> DataFrame:
+    """block, __limit: similarity at the median of the channels where its moving average falls by more than ``drop``; null without such."""
+
+    def one(group: pd.DataFrame) -> pd.DataFrame:
+        x = group.sort_values("channel")["xcor_lf"].to_numpy()
+        fall = np.flatnonzero(np.diff(np.convolve(x, np.ones(smooth) / smooth, "same")) < drop) if len(x) > smooth else np.zeros(0, int)
+        limit = float(x[int(np.median(fall))]) if len(fall) else None
+        return pd.DataFrame({"block": [group["block"].iloc[0]], "__limit": [limit]})
+
+    return features.select("block", "channel", "xcor_lf").groupBy("block").applyInPandas(one, "block bigint, __limit double")
 
 
 def label_mode(labels: DataFrame) -> DataFrame:

@@ -204,11 +204,14 @@ def delta_csd_matrix(spark, d):
 @query(f"""WITH {SIGNAL} SELECT s.block, s.channel, k.k, round(sum(v * cos(2 * pi() * k.k * sample / 64)), 6) + 0.0 AS re,
 round(-sum(v * sin(2 * pi() * k.k * sample / 64)), 6) + 0.0 AS im FROM sig s, range(33) k(k) GROUP BY 1, 2, 3""")
 def dft(spark, d):
-    # one pass over each row's array; no row is repeated for a frequency
-    angle = lambda k, i: 2 * np.pi / 64 * F.pmod(k * i, F.lit(64))
-    total = lambda f, k: F.aggregate(F.transform("samples", lambda x, i: x * f(angle(k, i))), F.lit(0.0), lambda a, x: a + x)
-    lines = F.transform(F.sequence(F.lit(0), F.lit(32)), lambda k: F.struct(k.cast("long").alias("k"), total(F.cos, k).alias("re"), (-total(F.sin, k)).alias("im")))
-    return rounded(views.signal(spark, d).select("block", "channel", F.inline(lines)), "re", "im")
+    # one pass over each batch of arrays; no row is repeated for a frequency
+    def both(x):
+        z = K.dft(x)
+        return np.concatenate([z.real, z.imag], 1)
+
+    made = V.along_time(views.signal(spark, d).select("block", "channel", "samples"), both)
+    lines = F.transform(F.sequence(F.lit(0), F.lit(32)), lambda k: F.struct(k.cast("long").alias("k"), F.get("samples", k).alias("re"), F.get("samples", k + 33).alias("im")))
+    return rounded(made.select("block", "channel", F.inline(lines)), "re", "im")
 
 
 @query(f"""WITH {SIGNAL}, f AS (SELECT block, channel, k.k, sum(v * cos(2 * pi() * k.k * sample / 64)) AS re, -sum(v * sin(2 * pi() * k.k * sample / 64)) AS im

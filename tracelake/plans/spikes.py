@@ -218,6 +218,11 @@ def fronts(spark, d):
     return rounded(E.fronts(views.series(spark, d), step=40).select("channel", "sample", "polarity"), "polarity")
 
 
+@query(f"WITH {SERIES}, c AS (SELECT *, v - lag(v) OVER (PARTITION BY channel ORDER BY sample) AS p FROM series) SELECT channel, sample, round(p, 6) AS polarity FROM c WHERE abs(p) >= 40")
+def fronts_over_blocks(spark, d):
+    return rounded(E.fronts_blocks(X.to_blocks(views.series(spark, d), 16), 16, 40), "polarity")
+
+
 @query(f"WITH {SERIES}, c AS (SELECT *, v - lag(v) OVER (PARTITION BY channel ORDER BY sample) AS p FROM series) SELECT channel, sample FROM c WHERE p >= 40")
 def rises(spark, d):
     return E.rises(views.series(spark, d), step=40).select("channel", "sample")
