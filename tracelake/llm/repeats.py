@@ -44,6 +44,8 @@ HOT = 50_000
 GRAM_BYTES, SUFFIX_BYTES, SPANS = 256 << 20, 64 << 20, 1_000_000
 #: Suffixes that a task combines at once, and whose windows it sends together.
 BUFFER, WINDOWED = 20_000, 1000
+#: Columns of those windows: hash, document, first word, whether another document has it for sure.
+WINDOW = ("w", "id", "begin", "known")
 
 _ODDS = np.random.Generator(np.random.PCG64(11)).integers(1, 1 << 63, 128, dtype=np.uint64) | np.uint64(1)
 
@@ -182,18 +184,18 @@ def _suffix_rows(count: int, parts: int, min_words: int, kgram: int, needed, hot
     base = int(_ODDS[0])
     forward, backward = powers(base, width), powers(pow(base, -1, 1 << 64), width)
 
-    def windows(doc, pos, size, around, known) -> bytes:
-        """Each window over these suffixes' grams: hash, document, first word, whether another document has it for sure."""
+    def windows(doc, pos, size, around, known) -> tuple[np.ndarray, ...]:
+        """Each window over these suffixes' grams, as ``WINDOW`` names it."""
         sums = np.zeros((len(doc), width + 1), np.uint64)
         np.cumsum(mix(around.astype(np.uint64)) * forward, axis=1, out=sums[:, 1:])
         out = []
         for l in range(left + 1):  # noqa: E741
             i = np.flatnonzero((pos >= l) & (pos - l + min_words <= size))
             key = mix((sums[i, left - l + min_words] - sums[i, left - l]) * backward[left - l])
-            out.append((key, doc[i], pos[i] - l, known[i].astype(np.int64)))
-        return b"".join(np.concatenate(c).tobytes() for c in zip(*out, strict=True))
+            out.append((key.view(np.int64), doc[i], pos[i] - l, known[i].astype(np.int64)))
+        return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
-    def settle(held: list[tuple]) -> list[tuple[int, int, bytes]]:
+    def settle(held: list[tuple]) -> list[tuple]:
         gram, doc, pos, size, around = (np.concatenate(x) for x in zip(*held, strict=True))
         key = gram.copy()
         for k in range(width):
@@ -220,7 +222,7 @@ def _suffix_rows(count: int, parts: int, min_words: int, kgram: int, needed, hot
         if hot is not None and (common := passes(hot.value, gram)).any():
             at = np.flatnonzero(common)
             for a in range(0, len(at), WINDOWED):
-                rows.append((2, 0, windows(*(x[at[a : a + WINDOWED]] for x in (doc, pos, size, around, known)))))
+                rows.append((2, 0, None, *windows(*(x[at[a : a + WINDOWED]] for x in (doc, pos, size, around, known)))))
             gram, doc, pos, size, around, known = (x[~common] for x in (gram, doc, pos, size, around, known))
         to = (mix(gram) % np.uint64(count)).astype(np.int64)
         by = np.argsort(to, kind="stable")
@@ -231,8 +233,9 @@ def _suffix_rows(count: int, parts: int, min_words: int, kgram: int, needed, hot
         return rows
 
     def emit(rows):
-        kind, p, blob = zip(*rows, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(p, pa.int64()), pa.array(blob, pa.binary())], names=["kind", "p", "blob"])
+        columns = list(zip(*((*r, *[None] * (7 - len(r))) for r in rows), strict=True))
+        kinds = [pa.int32(), pa.int64(), pa.binary(), *[pa.list_(pa.int64())] * 4]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["kind", "p", "blob", *WINDOW])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, held, n = needed.value, [], 0
@@ -316,13 +319,7 @@ def _gather(group: pd.DataFrame) -> pd.DataFrame:
 
 
 def _common_spans(rows: DataFrame, parts: int, min_words: int, work: Scratch) -> DataFrame:
-    """Spans by partition of their document, of windows over common grams (blobs of kind 2)."""
-
-    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for blob in batch.column(0):
-                columns = unpack([blob.as_buffer()], "<i8", "<i8", "<i8", "<i8")
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["w", "id", "begin", "known"])
+    """Spans by partition of their document, of windows over common grams (rows of arrays, kind 2)."""
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -336,7 +333,7 @@ def _common_spans(rows: DataFrame, parts: int, min_words: int, work: Scratch) ->
             out = pack((mix(d.view(np.uint64)) % np.uint64(parts)).astype(np.int64), parts, d, b, e, f)
             yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.int64()), pa.array([x for _, x in out], pa.binary())], names=["p", "blob"])
 
-    windows = rows.mapInArrow(unpacked, "w bigint, id bigint, begin bigint, known bigint")
+    windows = rows.select(F.inline(F.arrays_zip(*WINDOW)))
     ends = windows.groupBy("w").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.max("known").alias("known"))
     ends = work.write(ends.where("low <> high OR known = 1").select("w", "low"), "repeat-windows")
     late = (F.col("id") != F.col("low")).cast("long")
@@ -373,10 +370,10 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     count, parts = partitions(spark, expected * (33 + 4 * (2 * min_words - kgram)), SUFFIX_BYTES), partitions(spark, expected, SPANS)
     needed = spark.sparkContext.broadcast(key_filter(keys.select("key")))
     often = spark.sparkContext.broadcast(key_filter(keys.where(F.col("n") > hot).select("key"))) if common else None
-    suffixes = work.write(rows.mapInArrow(_suffix_rows(count, parts, min_words, kgram, needed, often, buffer), "kind int, p bigint, blob binary"), "repeat-suffixes")
+    suffixes = work.write(rows.mapInArrow(_suffix_rows(count, parts, min_words, kgram, needed, often, buffer), "kind int, p bigint, blob binary, " + ", ".join(f"{c} array<bigint>" for c in WINDOW)), "repeat-suffixes")
     spans = suffixes.where("kind = 0").groupBy("p").applyInPandas(_match(parts, min_words, kgram), "p bigint, blob binary").union(suffixes.where("kind = 1").select("p", "blob"))
     if common:
-        spans = spans.union(_common_spans(suffixes.where("kind = 2").select("blob"), parts, min_words, work))
+        spans = spans.union(_common_spans(suffixes.where("kind = 2").select(*WINDOW), parts, min_words, work))
     spans = materialise(spans, "repeat-spans")
     work.clear()
     out = spans.groupBy("p").applyInPandas(_gather, "id bigint, spans array<array<bigint>>, drop_spans array<array<bigint>>")
