@@ -338,15 +338,43 @@ def destripe_in_margins(spark, d):
     return rounded(V.to_long(V.destripe(_probe_rows(spark, d), 30000, _probe_geometry(spark), k_filter=False, margin=32)), "v")
 
 
-@query()
+def _similarity_sql(name: str, source: str) -> str:
+    return f"""{name}_m AS (SELECT *, v - avg(v) OVER (PARTITION BY block, channel) AS c FROM {source}),
+{name}_r AS (SELECT *, median(c) OVER (PARTITION BY block, sample) AS r0 FROM {name}_m),
+{name}_q AS (SELECT *, r0 - avg(r0) OVER (PARTITION BY block, channel) AS r FROM {name}_r),
+{name}_x AS (SELECT block, channel, sum(c * r) / sum(r * r) AS x FROM {name}_q GROUP BY 1, 2),
+{name}_l AS (SELECT block, list(channel ORDER BY channel) AS c, list(x ORDER BY channel) AS x FROM {name}_x GROUP BY 1),
+{name}_p AS (SELECT block, c, x, {_PAD} AS y FROM {name}_l),
+{name}_u AS (SELECT block, c, x, y, unnest(range(1, len(x) + 1)) AS i FROM {name}_p),
+{name} AS (SELECT block, c[i] AS channel, x[i] AS x, list_sort(y[i:i + 10])[6] AS trend FROM {name}_u)"""
+
+
+_LABELS = f"""{SIGNAL}, {zero_phase_sql("hp", "sig", 64, K.butterworth(3, 0.02, "highpass"))},
+{_similarity_sql("raw", "sig")}, {_similarity_sql("low", "hp")},
+rm AS (SELECT block, channel, sqrt(avg(v * v)) AS rms FROM sig GROUP BY 1, 2),
+pc AS (SELECT block, channel, sample, 1e6 * (v - avg(v) OVER (PARTITION BY block, channel)) * (1 - cos(2 * pi() * sample / 64)) / 2 AS v FROM sig),
+pf AS (SELECT block, channel, k.k, (sum(v * cos(2 * pi() * k.k * sample / 64)) ** 2 + sum(v * sin(2 * pi() * k.k * sample / 64)) ** 2) * CASE WHEN k.k = 32 THEN 1 ELSE 2 END / 24 / 30000 AS p FROM pc, range(26, 33) k(k) GROUP BY 1, 2, 3),
+ps AS (SELECT block, channel, avg(p) AS psd FROM pf GROUP BY 1, 2),
+ft AS (SELECT block, channel, rms AS rms_raw, raw.x - raw.trend AS xcor_hf, low.trend - 1 AS xcor_lf, psd AS psd_hf FROM rm JOIN raw USING (block, channel) JOIN low USING (block, channel) JOIN ps USING (block, channel)),
+lb AS (SELECT *, min((xcor_lf < -0.75)::INT) OVER (PARTITION BY block ORDER BY channel DESC) AS out FROM ft),
+labelled AS (SELECT *, CASE WHEN xcor_hf > 1 OR psd_hf > 0.02 THEN 2 WHEN xcor_hf < -0.5 THEN 1 WHEN out = 1 THEN 3 ELSE 0 END::BIGINT AS label FROM lb)"""
+
+
+@query(recursive(f"{_LABELS} SELECT block, channel, label, round(rms_raw, 6) AS rms_raw, round(xcor_hf, 6) + 0.0 AS xcor_hf, round(xcor_lf, 6) + 0.0 AS xcor_lf, round(psd_hf, 6) AS psd_hf FROM labelled"))
 def bad_channel_labels(spark, d):
     return rounded(V.bad_channels(_probe_rows(spark, d), 30000), "rms_raw", "xcor_hf", "xcor_lf", "psd_hf")
 
 
-@query()
+@query(
+    recursive(f"""{SIGNAL}, {delay_sql("ph", "sig", SHIFT1)}, {zero_phase_sql("hp", "ph", 64, K.butterworth(3, 4 / 2500, "highpass"))},
+cr AS MATERIALIZED (SELECT block, channel, sample, v - median(v) OVER (PARTITION BY block, sample) AS v FROM hp),
+tp AS (SELECT j, CASE WHEN j = 128 THEN 1 ELSE sin(pi() * (j - 128) / 4) / (pi() * (j - 128) / 4) END * (0.54 - 0.46 * cos(2 * pi() * j / 256)) AS w FROM range(257) t(j)),
+tw AS (SELECT o.o, least(greatest(4 * o.o + 128 - j, 0), 63) AS at, sum(w) / (SELECT sum(w) FROM tp) AS w FROM tp, range(16) o(o) GROUP BY 1, 2)
+SELECT block, channel, channel // 25 AS shank, o::BIGINT AS sample, round(sum(w * v), 6) + 0.0 AS v FROM tw JOIN cr ON cr.sample = tw.at GROUP BY 1, 2, 3, 4""")
+)
 def resample_lfp(spark, d):
     out = V.resample_lfp(_probe_rows(spark, d), 2500, 4, _probe_geometry(spark)).drop("reference")
-    return rounded(V.to_long(out), "v")
+    return rounded(V.to_long(out).withColumn("sample", F.col("sample").cast("long")), "v")
 
 
 @query()
@@ -468,7 +496,10 @@ def lfp_band(spark, d):
     return rounded(V.to_long(out).withColumn("sample", F.col("sample").cast("long")), "v")
 
 
-@query()
+@query(
+    recursive(f"""{_LABELS}, n AS (SELECT channel, label, count(*) AS n FROM labelled GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY channel ORDER BY n DESC, label) AS k FROM n)
+SELECT channel, label FROM r WHERE k = 1""")
+)
 def bad_channels_mode(spark, d):
     """The commonest label of each channel over blocks."""
     return V.label_mode(V.bad_channels(_probe_rows(spark, d), 30000))
