@@ -599,6 +599,13 @@ def test_token_counts_equal_the_library():
     assert tokens.RankMerger(path).count_texts(texts) == want
 
 
+def test_other_tokenizers_are_refused():
+    import public_tokenizers
+
+    with pytest.raises(ValueError):
+        tokens.RankMerger(public_tokenizers.path("word_bpe_49k.json"))
+
+
 def test_token_query(spark, sf, rows):
     import public_tokenizers
     from tokenizers import Tokenizer

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .shared import pieces
 
-#: Fixed value: the pre-tokenizer's pattern.
+#: Fixed value: the pattern of the byte-level pre-tokenizer.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
@@ -30,6 +30,19 @@ def byte_symbols() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+def _supported(path: str, spec: dict) -> None:
+    """Refuses tokenizer files that ask for more than byte-level BPE: counts would differ from the library's."""
+    before, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    wants = [
+        spec.get("normalizer") is not None,
+        before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True),
+        model.get("type", "BPE") != "BPE" or any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")),
+        any(t.get(k) for t in spec.get("added_tokens", ()) for k in ("single_word", "lstrip", "rstrip")),
+    ]
+    if any(wants):
+        raise ValueError(f"{path} is no plain byte-level BPE tokenizer")
+
+
 class RankMerger:
     """Ranked merges of a tokenizer file, applied to many byte strings at once."""
 
@@ -38,6 +51,7 @@ class RankMerger:
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        _supported(path, spec)
         ids = spec["model"]["vocab"]
         merges = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
         pairs = np.array([ids[a] << 32 | ids[b] for a, b in merges], np.int64)
