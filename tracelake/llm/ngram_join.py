@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import Scratch, buffers, key_filter, materialise, mix, pack, partitions, passes, pieces, small_batches, tidy, unpack, word_hashes
+from .shared import Scratch, buffers, dealt, key_filter, materialise, mix, pack, partitions, passes, pieces, small_batches, tidy, unpack, word_hashes
 
 WIDTH = 5
 #: Similarity in hundredths.
@@ -299,8 +299,8 @@ def _across(placed: DataFrame, runs: DataFrame, percent: int, count: int) -> Dat
     columns = ("name", "x", "y", "key", "n", "place", "root")
     left = placed.withColumnRenamed("cell", "x").join(runs, ["name", "x"]).select(*columns, F.lit(0).alias("side"))
     right = placed.withColumnRenamed("cell", "y").join(runs.where("x <> y"), ["name", "y"]).select(*columns, F.lit(1).alias("side"))
-    dealt = left.union(right).withColumn("p", F.pmod(F.xxhash64("name", "x", "y"), F.lit(count)))
-    return dealt.groupBy("p").applyInPandas(_cross_pairs(percent), "a bigint, b bigint, na bigint, nb bigint")
+    both = left.union(right).withColumn("p", F.pmod(F.xxhash64("name", "x", "y"), F.lit(count)))
+    return dealt(both, count, "p").groupBy("p").applyInPandas(_cross_pairs(percent), "a bigint, b bigint, na bigint, nb bigint")
 
 
 def _cross_pairs(percent: int):
@@ -419,6 +419,7 @@ def _overlaps(docs: DataFrame, text_col: str, pairs: DataFrame, rank, mass: np.n
     # the sets are shuffled at any size, so that a small run is planned like a large one
     segments = routes.hint("merge").join(found, "key").select("key", "h", "tokens").mapInArrow(cut, "f int, h bigint, keys binary, lengths binary, tokens binary")
     asked = pairs.select("a", "b", h.alias("h")).mapInArrow(ask, "f int, h bigint, blob binary")
+    segments, asked = (dealt(x, groups * FRAGMENTS, "f", "h") for x in (segments, asked))
     partial = segments.groupBy("f", "h").cogroup(asked.groupBy("f", "h")).applyInPandas(count, "a bigint, b bigint, n bigint")
     summed = partial.groupBy("a", "b").agg(F.sum("n").alias("n"))
     sizes = pairs.select("a", "b", (F.col("na") + F.col("nb")).alias("size"))

@@ -31,7 +31,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import buffers, materialise, pack, partitions, pieces, small_batches, tidy, unpack, word_hashes
+from .shared import buffers, dealt, materialise, pack, partitions, pieces, small_batches, tidy, unpack, word_hashes
 
 #: Stands before and after each text; no UTF-8 text contains it.
 EDGE = 0xFF
@@ -387,8 +387,8 @@ def _prices(grams_by_part: DataFrame, order: int, count: int, tasks: int) -> Dat
         tidy()
         return pd.DataFrame({"p": [p for p, _ in rows], "blob": [b for _, b in rows]})
 
-    dealt = grams_by_part.select("blob").mapInArrow(deal, "q bigint, blob binary")
-    return dealt.groupBy("q").applyInPandas(price, "p bigint, blob binary")
+    by_context = dealt(grams_by_part.select("blob").mapInArrow(deal, "q bigint, blob binary"), tasks, "q")
+    return by_context.groupBy("q").applyInPandas(price, "p bigint, blob binary")
 
 
 def _answer(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -424,12 +424,13 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         blocks, size = _blocks(materialise(docs, "ppm-docs"), id_col, text_col)
     count = partitions(spark, size, PART_BYTES)
     shape = "kind string, p bigint, block bigint, blob binary, tokens bigint, words bigint"
-    counted = materialise(_gather(blocks, order, count).groupBy("kind", "p").applyInPandas(_reduce, shape), "ppm-counts")
+    counted = materialise(dealt(_gather(blocks, order, count), 2 * count, "kind", "p").groupBy("kind", "p").applyInPandas(_reduce, shape), "ppm-counts")
     distinct_grams = counted.where("kind = 'g'").agg(F.sum("words")).first()[0] or 0
     prices = materialise(_prices(counted.where("kind = 'g'"), order, count, partitions(spark, distinct_grams, max_nodes)), "ppm-prices")
     tokens, distinct = counted.where("kind = 'n'").agg(F.sum("tokens"), F.sum("words")).first()
     n, v = tokens or 0, distinct or 0
-    answers = prices.groupBy("p").cogroup(counted.where("kind = 'i'").select("p", "block", "blob").groupBy("p")).applyInPandas(_answer, "kind string, block bigint, blob binary")
+    asked = dealt(counted.where("kind = 'i'").select("p", "block", "blob"), count, "p")
+    answers = dealt(prices, count, "p").groupBy("p").cogroup(asked.groupBy("p")).applyInPandas(_answer, "kind string, block bigint, blob binary")
     own = counted.where("kind = 'w'").select("kind", "block", "blob").union(answers)
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -462,8 +463,9 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return pa.Table.from_batches(out)
 
     shape = "id string, held boolean, n_tokens bigint, n_known bigint, base_score double, score double"
-    left = blocks.select("id", "body", "held", "block")
-    scored = left.groupBy("block").cogroup(own.groupBy("block")).applyInArrow(score, shape)
+    each = partitions(spark, size, BLOCK_BYTES)
+    left = dealt(blocks.select("id", "body", "held", "block"), each, "block")
+    scored = left.groupBy("block").cogroup(dealt(own, each, "block").groupBy("block")).applyInArrow(score, shape)
     return scored.select(F.col("id").cast(kind).alias(id_col), F.col("held").alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
 

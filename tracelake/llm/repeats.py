@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import FILTER_BITS, Scratch, buffers, key_filter, materialise, mix, pack, partitions, passes, pieces, powers, small_batches, tidy, unpack, word_hashes
+from .shared import FILTER_BITS, Scratch, buffers, dealt, key_filter, materialise, mix, pack, partitions, passes, pieces, powers, small_batches, tidy, unpack, word_hashes
 
 MIN_WORDS = 50
 KGRAM = 16
@@ -362,7 +362,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     size = rows.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     count = partitions(spark, size, GRAM_BYTES)
     grams = rows.mapInArrow(_gram_rows(count, min_words, kgram), "p bigint, blob binary")
-    found = work.write(grams.groupBy("p").applyInPandas(_repeated, "key bigint, n bigint"), "repeat-grams")
+    found = work.write(dealt(grams, count, "p").groupBy("p").applyInPandas(_repeated, "key bigint, n bigint"), "repeat-grams")
     keys = found.where("key IS NOT NULL")
     known, places, common, total = found.agg(F.count("key"), F.sum(F.when(F.col("key").isNotNull(), F.col("n"))), F.count_if(F.col("key").isNotNull() & (F.col("n") > hot)), F.sum(F.when(F.col("key").isNull(), F.col("n")))).first()
     # suffixes to come: those of repeated grams, and what the filter lets through besides
@@ -371,12 +371,12 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     needed = spark.sparkContext.broadcast(key_filter(keys.select("key")))
     often = spark.sparkContext.broadcast(key_filter(keys.where(F.col("n") > hot).select("key"))) if common else None
     suffixes = work.write(rows.mapInArrow(_suffix_rows(count, parts, min_words, kgram, needed, often, buffer), "kind int, p bigint, blob binary, " + ", ".join(f"{c} array<bigint>" for c in WINDOW)), "repeat-suffixes")
-    spans = suffixes.where("kind = 0").groupBy("p").applyInPandas(_match(parts, min_words, kgram), "p bigint, blob binary").union(suffixes.where("kind = 1").select("p", "blob"))
+    spans = dealt(suffixes.where("kind = 0").select("p", "blob"), count, "p").groupBy("p").applyInPandas(_match(parts, min_words, kgram), "p bigint, blob binary").union(suffixes.where("kind = 1").select("p", "blob"))
     if common:
         spans = spans.union(_common_spans(suffixes.where("kind = 2").select(*WINDOW), parts, min_words, work))
     spans = materialise(spans, "repeat-spans")
     work.clear()
-    out = spans.groupBy("p").applyInPandas(_gather, "id bigint, spans array<array<bigint>>, drop_spans array<array<bigint>>")
+    out = dealt(spans, parts, "p").groupBy("p").applyInPandas(_gather, "id bigint, spans array<array<bigint>>, drop_spans array<array<bigint>>")
     return out.select(F.nullif("id", F.lit(null_id)).cast(kind).alias(id_col), "spans", "drop_spans")
 
 

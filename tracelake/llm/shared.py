@@ -106,6 +106,11 @@ def partitions(spark: SparkSession, weight: float, each: float) -> int:
     return int(max(own, -(-weight // each)))
 
 
+def dealt(df: DataFrame, count: int, *keys: str) -> DataFrame:
+    """``df`` in ``count`` partitions by its keys where the session's own number is less: groups of a bounded size, and as many tasks as they ask for."""
+    return df.repartition(count, *keys) if count > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def words_of(text: Column) -> Column:
     """Words of a text as an array; empty for a null text or one of white space alone."""
     trimmed = F.trim(F.coalesce(text, F.lit("")), F.lit(SPACES))
