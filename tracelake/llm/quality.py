@@ -132,32 +132,33 @@ class Costs:
     """Seconds a row of sets of features over a sample (column text, ``n`` rows).
 
     What a job costs besides its rows is the same for few and for many, so the
-    cost is the slope between the sample and ``copies`` times the sample, each
-    the least of ``runs`` runs after one that is not counted.
+    cost is the slope between the sample and many copies of it: as many as
+    take ``least`` seconds more, ``most`` of them at most.
     """
 
-    def __init__(self, sample: DataFrame, n: int, copies: int = 5, runs: int = 2):
-        self.sample, self.n, self.copies, self.runs, self.held = sample, n, copies, runs, {}
+    def __init__(self, sample: DataFrame, n: int, least: float = 0.1, most: int = 128):
+        self.sample, self.n, self.least, self.most, self.held = sample, n, least, most, {}
 
-    def _seconds(self, names: frozenset[str], copies: int) -> float:
+    def _job(self, names: frozenset[str], copies: int) -> float:
         df = self.sample.select("text", F.explode(F.sequence(F.lit(1), F.lit(copies))).alias("__copy"))
         have: dict[str, str] = {}
         for x in sorted(names):
             df = _with_feature(df, x, "text", None, have)
         wide = {f.name for f in df.schema if f.dataType.typeName() == "array"}
         asked = [F.sum(F.size(c) if c in wide else F.col(c)) for c in have.values()]
-        job = df.agg(F.count(F.lit(1)), F.sum(F.octet_length("text")), *asked)
-        took = []
-        for _ in range(self.runs + 1):
-            began = time.perf_counter()
-            job.collect()
-            took.append(time.perf_counter() - began)
-        return min(took[1:])
+        began = time.perf_counter()
+        df.agg(F.count(F.lit(1)), F.sum(F.octet_length("text")), *asked).collect()
+        return time.perf_counter() - began
 
     def of(self, names: frozenset[str]) -> float:
+        if names not in self.held and not self.n:
+            self.held[names] = 1e-9
         if names not in self.held:
-            slope = (self._seconds(names, self.copies) - self._seconds(names, 1)) / ((self.copies - 1) * max(1, self.n))
-            self.held[names] = max(slope, 1e-9)
+            self._job(names, 1)  # code is compiled
+            few, copies = min(self._job(names, 1), self._job(names, 1)), 4
+            while (many := self._job(names, copies)) - few < self.least and copies < self.most:
+                copies *= 4
+            self.held[names] = max((many - few) / ((copies - 1) * self.n), 1e-9)
         return self.held[names]
 
     def more(self, names: frozenset[str], have: frozenset[str]) -> float:
