@@ -131,13 +131,14 @@ def _closure(names: Sequence[str]) -> frozenset[str]:
 class Costs:
     """Seconds a row of sets of features over a sample (column text, ``n`` rows).
 
-    What a job costs besides its rows is the same for few and for many, so the
-    cost is the slope between the sample and many copies of it: as many as
-    take ``least`` seconds more, ``most`` of them at most.
+    A job without features over the sample tells what a job costs besides its
+    rows.  What a job with features takes more is divided by its rows: those of
+    as many copies of the sample as take ``least`` seconds more, ``most`` of
+    them at most.
     """
 
-    def __init__(self, sample: DataFrame, n: int, least: float = 0.1, most: int = 128):
-        self.sample, self.n, self.least, self.most, self.held = sample, n, least, most, {}
+    def __init__(self, sample: DataFrame, n: int, least: float = 0.1, most: int = 64):
+        self.sample, self.n, self.least, self.most, self.held, self.job = sample, n, least, most, {}, None
 
     def _job(self, names: frozenset[str], copies: int) -> float:
         df = self.sample.select("text", F.explode(F.sequence(F.lit(1), F.lit(copies))).alias("__copy"))
@@ -154,11 +155,13 @@ class Costs:
         if names not in self.held and not self.n:
             self.held[names] = 1e-9
         if names not in self.held:
+            if self.job is None:
+                self.job = min(self._job(frozenset(), 1) for _ in range(3))
             self._job(names, 1)  # code is compiled
-            few, copies = min(self._job(names, 1), self._job(names, 1)), 4
-            while (many := self._job(names, copies)) - few < self.least and copies < self.most:
+            copies = 4
+            while (more := self._job(names, copies) - self.job) < self.least and copies < self.most:
                 copies *= 4
-            self.held[names] = max((many - few) / ((copies - 1) * self.n), 1e-9)
+            self.held[names] = max(more / (copies * self.n), 1e-9)
         return self.held[names]
 
     def more(self, names: frozenset[str], have: frozenset[str]) -> float:
@@ -175,7 +178,7 @@ def measure_rules(df: DataFrame, rules: Sequence[Rule] = RULES, text: str = "tex
     rows = df.select(F.col(f"`{text}`").alias("text"))
     work = Scratch(df.sparkSession)
     # one file, so that costs are those of one task
-    sample = work.write((rows.sample(share, seed=1) if share < 1 else rows).coalesce(1), "quality-sample")
+    sample = work.write((rows.sample(share, seed=1) if share < 1 else rows).repartition(1), "quality-sample")
     have: dict[str, str] = {}
     told = sample
     for rule in rules:
