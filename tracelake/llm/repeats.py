@@ -41,9 +41,9 @@ KGRAM = 16
 #: Places of a gram from which on its windows are matched one by one.
 HOT = 50_000
 #: Text for each partition of the grams, suffixes of a partition in bytes, and places for each partition of the documents.
-GRAM_BYTES, SUFFIX_BYTES, SPANS = 256 << 20, 64 << 20, 1_000_000
+GRAM_BYTES, SUFFIX_BYTES, SPANS = 256 << 20, 8 << 20, 1_000_000
 #: Suffixes that a task combines at once, and whose windows it sends together.
-BUFFER, WINDOWED = 20_000, 1000
+BUFFER, WINDOWED = 6000, 500
 #: Columns of those windows: hash, document, first word, whether another document has it for sure.
 WINDOW = ("w", "id", "begin", "known")
 
@@ -337,7 +337,8 @@ def _common_spans(rows: DataFrame, parts: int, min_words: int, work: Scratch) ->
     ends = windows.groupBy("w").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.max("known").alias("known"))
     ends = work.write(ends.where("low <> high OR known = 1").select("w", "low"), "repeat-windows")
     late = (F.col("id") != F.col("low")).cast("long")
-    return work.write(windows.join(ends, "w").select("id", "begin", late.alias("late")).mapInArrow(packed, "p bigint, blob binary"), "repeat-common")
+    # a table of its own, so that no Python step of the join stands beside those after it
+    return materialise(windows.join(ends, "w").select("id", "begin", late.alias("late")).mapInArrow(packed, "p bigint, blob binary"), "repeat-common")
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, kgram: int = KGRAM, hot: int = HOT, buffer: int = BUFFER) -> DataFrame:
@@ -370,11 +371,11 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     count, parts = partitions(spark, expected * (33 + 4 * (2 * min_words - kgram)), SUFFIX_BYTES), partitions(spark, expected, SPANS)
     needed = spark.sparkContext.broadcast(key_filter(keys.select("key")))
     often = spark.sparkContext.broadcast(key_filter(keys.where(F.col("n") > hot).select("key"))) if common else None
-    suffixes = work.write(rows.mapInArrow(_suffix_rows(count, parts, min_words, kgram, needed, often, buffer), "kind int, p bigint, blob binary, " + ", ".join(f"{c} array<bigint>" for c in WINDOW)), "repeat-suffixes")
+    suffixes = materialise(rows.mapInArrow(_suffix_rows(count, parts, min_words, kgram, needed, often, buffer), "kind int, p bigint, blob binary, " + ", ".join(f"{c} array<bigint>" for c in WINDOW)), "repeat-suffixes")
     spans = dealt(suffixes.where("kind = 0").select("p", "blob"), count, "p").groupBy("p").applyInPandas(_match(parts, min_words, kgram), "p bigint, blob binary").union(suffixes.where("kind = 1").select("p", "blob"))
     if common:
+        # windows' ends go when the spans over them are written
         spans = spans.union(_common_spans(suffixes.where("kind = 2").select(*WINDOW), parts, min_words, work))
-    spans = materialise(spans, "repeat-spans")
     work.clear()
     out = dealt(spans, parts, "p").groupBy("p").applyInPandas(_gather, "id bigint, spans array<array<bigint>>, drop_spans array<array<bigint>>")
     return out.select(F.nullif("id", F.lit(null_id)).cast(kind).alias(id_col), "spans", "drop_spans")
