@@ -174,27 +174,35 @@ def powers(base: int, n: int) -> np.ndarray:
     return held[:n]
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def word_bounds(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """First and end byte of each word of many texts; ``space`` marks the bytes between words.  A word never crosses from one text into the next."""
+    n = len(data)
+    if n == 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    inside = ~space[data]
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    bounds = offsets[(offsets > 0) & (offsets < n)]
+    first[bounds] = inside[bounds]
+    last = inside.copy()
+    last[:-1] &= ~inside[1:]
+    last[bounds - 1] = inside[bounds - 1]
+    return np.flatnonzero(first), np.flatnonzero(last) + 1
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """64-bit hashes of the words of many texts.
 
     ``data`` holds the texts' bytes end to end and ``offsets`` their bounds.
     Returns the hashes, the first and end byte of each word, and for each text
     the index of its first word (one more entry at the end).  With ``lower``
-    A-Z count as a-z.  A word never crosses from one text into the next.
+    A-Z count as a-z.  Words are as in :func:`word_bounds`.
     """
     n = len(data)
     if n == 0:
         none = np.zeros(0, np.int64)
         return np.zeros(0, np.uint64), none, none, np.zeros(len(offsets), np.int64)
-    inside = ~_SPACE[data]
-    first = inside.copy()
-    first[1:] &= ~inside[:-1]
-    bounds = offsets[(offsets > 0) & (offsets < n)]
-    first[bounds] = inside[bounds]
-    last = inside.copy()
-    last[:-1] &= ~inside[1:]
-    last[bounds - 1] = inside[bounds - 1]
-    start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+    start, end = word_bounds(data, offsets, space)
     # sum of value * base**-i over a word, times base**end: the same for equal words wherever they stand
     sums = np.empty(n + 1, np.uint64)
     sums[0] = 0
