@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, html_text, mixing, ngram_join, pieces_bpe, ppm, quality, repeats, secrets, tokens
+from . import exact_dedup, html_text, mixing, ngram_join, phrases, pieces_bpe, ppm, quality, repeats, resample, secrets, setsketch, tokens
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_sentencepiece": pieces_bpe.op8_sentencepiece,
     "op9_token_counts": tokens.op9_token_counts,
     "op10_repeated_passages": repeats.op10_repeated_passages,
+    "op11_phrases": phrases.op11_phrases,
+    "op12_resample": resample.op12_resample,
+    "op13_setsketch": setsketch.op13_setsketch,
 }
 
 #: DuckDB SQL of those that SQL can express.
@@ -24,4 +27,7 @@ ORACLE_SQL = {
     "op4_ngram_join": ngram_join.ORACLE,
     "op5_mix_sources": mixing.ORACLE,
     "op10_repeated_passages": repeats.ORACLE,
+    "op11_phrases": phrases.ORACLE,
+    "op12_resample": resample.ORACLE,
+    "op13_setsketch": setsketch.ORACLE,
 }

@@ -197,7 +197,7 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, work: Scrat
     many = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
     block = F.pmod(F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("blocks"))), F.lit(groups))
     placed = work.write(pairs.join(many, "a").select("a", "b", "na", "nb", block.alias("p")), "sketch-blocks")
-    routes = placed.select(F.col("a").alias("cid"), "p").union(placed.select("b", "p")).distinct()
+    routes = placed.select(F.col("a").alias("cid"), F.col("p").alias("q")).union(placed.select("b", "p")).distinct()
     wanted = classes.select("cid", "key").join(routes.select("cid").distinct(), "cid", "left_semi")
     needed = spark.sparkContext.broadcast(key_filter(wanted.select(F.xxhash64("key"))))
 
@@ -219,8 +219,8 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, work: Scrat
 
     found = docs.select("body").mapInArrow(sets, "key binary, tokens binary").select("key", "tokens", F.xxhash64("key").alias("k")).mapInArrow(asked, "key binary, tokens binary")
     found = wanted.hint("merge").join(found.dropDuplicates(["key"]), "key").select("cid", "tokens")
-    sent = routes.hint("merge").join(found, "cid").select("p", "cid", "tokens")
-    sent, placed = (dealt(x, groups, "p") for x in (sent, placed))
+    sent = routes.hint("merge").join(found, "cid").select("q", "cid", "tokens")
+    sent, placed = dealt(sent, groups, "q"), dealt(placed, groups, "p")
 
     def count(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         held = {c: np.frombuffer(t, np.uint64) for c, t in zip(left["cid"], left["tokens"], strict=True)}
@@ -231,7 +231,7 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, work: Scrat
         tidy()
         return pd.DataFrame({"a": a[ok], "b": b[ok]})
 
-    return sent.groupBy("p").cogroup(placed.groupBy("p")).applyInPandas(count, "a bigint, b bigint")
+    return sent.groupBy("q").cogroup(placed.groupBy("p")).applyInPandas(count, "a bigint, b bigint")
 
 
 def _across(placed: DataFrame, runs: DataFrame, classes: DataFrame, percent: int, count: int) -> DataFrame:
