@@ -14,9 +14,11 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tracelake.llm import components, exact_dedup, html_text, mixing, ngram_join, pieces_bpe, ppm, quality, registry, repeats, secrets, tokens
+from tracelake.llm import components, exact_dedup, html_text, mixing, ngram_join, phrases, pieces_bpe, ppm, quality, registry, repeats, resample, secrets, setsketch, tokens
 
 SHAPE = "doc_id long, text string, lang string, source string, n_chars long"
+#: Rows of the benchmark table that op12 aims at.
+GOAL = [(1, "Kon mira best, kon MIRA; bara"), (2, None), (3, ""), (4, "naïve kon-mira 12 tul tul tul")]
 WORDS = [f"{a}{b}" for a in ("ba", "ko", "mi", "tu", "re", "sa") for b in ("n", "l", "ra", "st", "é")]
 
 
@@ -52,6 +54,7 @@ def rows():
 def sf(spark, rows, tmp_path_factory):
     at = str(tmp_path_factory.mktemp("tables"))
     spark.createDataFrame(rows, SHAPE).repartition(3).write.parquet(f"{at}/documents.parquet")
+    spark.createDataFrame(GOAL, "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
     return at
 
 
@@ -60,6 +63,7 @@ def none(spark, tmp_path_factory):
     at = str(tmp_path_factory.mktemp("empty"))
     spark.createDataFrame([], SHAPE).write.parquet(f"{at}/documents.parquet")
     spark.createDataFrame([], "page_id long, url string, html string").write.parquet(f"{at}/pages.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
     return at
 
 
@@ -76,7 +80,7 @@ def test_empty_tables(spark, none, name):
     assert registry.QUERIES[name](spark, none).count() == 0
 
 
-CLASHING = ("id", "body", "key", "n", "digest", "held", "block", "range", "within", "p", "blob", "path", "html_", "__text", "kept", "spans", "row", "file", "place", "keep", "size", "hash", "skey", "copies", "words", "n_words", "root", "root_", "name", "host", "word", "sum", "target", "source_size", "component_id", "text_sha256", "a.b")
+CLASHING = ("id", "body", "key", "n", "digest", "held", "block", "range", "within", "p", "blob", "path", "html_", "__text", "kept", "spans", "row", "file", "place", "keep", "size", "hash", "skey", "copies", "words", "n_words", "root", "root_", "name", "host", "word", "sum", "target", "source_size", "component_id", "text_sha256", "bucket", "piece", "own", "weight", "score", "rank", "at", "cid", "sketch", "h", "m", "phrase", "k", "cut", "part", "a.b")
 
 
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - {"op7_html_text"}))
@@ -85,6 +89,8 @@ def test_extra_columns_change_nothing(spark, sf, name, tmp_path_factory):
     if not at.exists():
         docs = spark.read.parquet(f"{sf}/documents.parquet")
         docs.select(*(F.lit(k).alias(c) for k, c in enumerate(CLASHING)), "*").coalesce(2).write.parquet(f"{at}/documents.parquet")
+        goal = spark.read.parquet(f"{sf}/benchmark.parquet")
+        goal.select(*(F.lit(k).alias(c) for k, c in enumerate(CLASHING)), "*").write.parquet(f"{at}/benchmark.parquet")
     plain, wide = (registry.QUERIES[name](spark, x) for x in (sf, str(at)))
     assert plain.columns == wide.columns
     near = lambda r: tuple(round(x, 3) if isinstance(x, float) else x for x in r)
@@ -102,13 +108,17 @@ def test_a_text_of_some_megabytes(spark, tmp_path_factory):
     rows = [(1, long, "en", "a", 0), (2, long, "en", "a", 0), (3, f"{passage} and more", "en", "b", 0), (4, long.replace("hunter2secretx", "hunter2secrety"), "en", "b", 0)]
     at = str(tmp_path_factory.mktemp("long"))
     spark.createDataFrame(rows, SHAPE).repartition(2).write.parquet(f"{at}/documents.parquet")
+    spark.createDataFrame(GOAL, "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
     assert len(long) > 2_500_000
-    run = {k: {r.doc_id: r for r in q(spark, at).collect()} for k, q in registry.QUERIES.items() if k != "op7_html_text"}
+    run = {k: {r.doc_id: r for r in q(spark, at).collect()} for k, q in registry.QUERIES.items() if k not in ("op7_html_text", "op11_phrases")}
     n = {i: len(words_of(t)) for i, t, *_ in rows}
     assert {i: r.n_words for i, r in run["op1_quality_rules"].items()} == {i: r.size for i, r in run["op5_mix_sources"].items()} == n
     assert run["op2_secret_scans"][1].spans == f"assign:{long.index('password')}:{len(long)}"
     assert [run["op3_exact_dedup"][i].keep_id for i in (1, 2, 3, 4)] == [2, 2, 3, 4]
     assert [(run["op4_ngram_join"][i].n_shingles, run["op4_ngram_join"][i].component_id) for i in (1, 2, 4, 3)] == [(n[1] - 4, 1)] * 3 + [(n[3] - 4, 3)]
+    assert [(run["op13_setsketch"][i].n_shingles, run["op13_setsketch"][i].component_id) for i in (1, 2, 4, 3)] == [(n[1] - 2, 1)] * 3 + [(n[3] - 2, 3)]
+    lower = [re.findall(r"[0-9a-z\x80-\U0010ffff]+", t.lower()) for _, t, *_ in rows]
+    assert {i: r.n_features for i, r in run["op12_resample"].items()} == {i: 3 * len(w) - 3 for i, w in zip((1, 2, 3, 4), lower, strict=True)}
     assert {i: r.n_tokens for i, r in run["op6_ppm_scores"].items()} == {i: k + 1 for i, k in n.items()}
     lib = pieces_bpe.encoder(public_tokenizers.path("piece_bpe_32k.model")).library
     assert run["op8_sentencepiece"][4].n_tokens == len(lib.encode(rows[3][1])) + 2
@@ -243,8 +253,8 @@ def shingles(text, width=5):
     return frozenset(tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))) if w else frozenset()
 
 
-def component_want(rows):
-    sets = [(i, shingles(t)) for i, t, *_ in rows]
+def component_want(rows, width=5, percent=80):
+    sets = [(i, shingles(t, width)) for i, t, *_ in rows]
     parent = list(range(len(sets)))
 
     def find(x):
@@ -255,7 +265,7 @@ def component_want(rows):
     for a in range(len(sets)):
         for b in range(a):
             x, y = sets[a][1], sets[b][1]
-            if x and y and 100 * len(x & y) >= 80 * len(x | y):
+            if x and y and 100 * len(x & y) >= percent * len(x | y):
                 parent[find(a)] = find(b)
     least = {}
     for k, (i, _) in enumerate(sets):
@@ -695,3 +705,188 @@ def test_cut_passages(spark):
     docs = spark.createDataFrame([(1, f"{a} {b}", 1), (2, f"{c}\n{b} end", 2), (3, None, 3)], "doc_id long, text string, __drop_me long")
     out = {r.doc_id: r.text for r in repeats.cut_passages(docs, repeats.repeated_passages(docs)).collect()}
     assert out == {1: f"{a} {b}", 2: f"{c}\n end", 3: None}
+
+
+# --- phrases ---------------------------------------------------------------------------
+def folded(text):
+    return (text or "").translate({c: c + 32 for c in range(65, 91)})
+
+
+def collocations_by_force(rows, least, depth=5, percent=100):
+    """By the definition: language, phrase, a, l, r, n, score."""
+    count, size = collections.defaultdict(collections.Counter), collections.Counter()
+    for _, text, lang, *_ in rows:
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", folded(text)):
+            words = re.findall(r"[^\x20\x09]+", piece)
+            size[lang or "und"] += len(words)
+            count[lang or "und"].update(tuple(words[i : i + k]) for k in range(1, depth + 1) for i in range(len(words) - k + 1))
+    out = []
+    for lang, f in count.items():
+        some = [x for x, a in f.items() if len(x) > 1 and a >= least]
+        for x in some:
+            if any(len(y) > len(x) and 100 * f[y] >= percent * f[x] and any(y[i : i + len(x)] == x for i in range(len(y) - len(x) + 1)) for y in some):
+                continue
+            score, cut = min((1000 * f[x] * size[lang] // (f[x[:k]] * f[x[k:]]), k) for k in range(1, len(x)))
+            out.append((lang, " ".join(x), f[x], f[x[:cut]], f[x[cut:]], size[lang], score))
+    return out
+
+
+@pytest.fixture(scope="module")
+def spoken():
+    """Texts with punctuation, tabs, capitals, a language that is null or called und, words of other scripts."""
+    rng = random.Random(8)
+    set_ = ["New York City", "of the", "naïve Bayes", "日本 語", "a-b c", "the the the"]
+    text = lambda: "".join(rng.choice([rng.choice(set_), rng.choice(WORDS), rng.choice(WORDS)]) + rng.choice([" ", " ", "  ", "\t", ", ", ".\n", "; "]) for _ in range(120))
+    return [(i, text(), rng.choice(["en", "fr", None, "und"]), "s", 0) for i in range(40)] + [(90, None, "en", "s", 0), (91, "", None, "s", 0), (92, ".,;", "xx", "s", 0)]
+
+
+@pytest.mark.parametrize("least, percent, limit", [(5, 100, 1 << 24), (5, 100, 2000), (12, 80, 2000), (2, 100, 5000)])
+def test_collocations(spark, spoken, least, percent, limit):
+    docs = spark.createDataFrame(spoken, SHAPE).repartition(3)
+    found = phrases.collocations(docs, least=least, percent=percent, limit=limit).collect()
+    got = bag((r.lang, r.phrase, r.a, r.l, r.r, r.n, r.score) for r in found)
+    assert got == bag(collocations_by_force(spoken, least, percent=percent)) and len(got) > 5
+
+
+def test_top_phrases(spark, spoken):
+    exp = sorted(collocations_by_force(spoken, 3), key=lambda r: (r[0], -r[6], -r[2], r[1].encode()))
+    found = phrases.collocations(spark.createDataFrame(spoken, SHAPE), least=3)
+    got = {(r.lang, r["rank"]): (r.phrase, r.score) for r in phrases.top_phrases(found, top=7, parts=3).collect()}
+    for lang in {x[0] for x in exp}:
+        assert [got.get((lang, k + 1)) for k in range(7)] == ([(x[1], x[6]) for x in exp if x[0] == lang] + [None] * 7)[:7]
+    assert max(k for _, k in got) == 7
+
+
+def test_scores_past_64_bits(spark):
+    """a * n * 1000 has 26 digits here; a phrase that is one word over and over counts its overlaps."""
+    counts = spark.createDataFrame([("en", "x y", 2, 3 * 10**12), ("en", "x", 1, 4 * 10**12), ("en", "y", 1, 5 * 10**12)], "lang string, phrase string, k int, n long")
+    sizes = spark.createDataFrame([("en", 7 * 10**12)], "lang string, n long")
+    held, phrases.phrase_counts = phrases.phrase_counts, lambda *a, **b: (counts, sizes)
+    try:
+        row = phrases.collocations(spark.createDataFrame([], SHAPE)).first()
+    finally:
+        phrases.phrase_counts = held
+    assert row.score == 1000 * 3 * 7 * 10**24 // (20 * 10**24)
+    again = phrases.collocations(spark.createDataFrame([(1, "no " * 200, "en", "s", 0)], SHAPE)).collect()
+    assert [(r.phrase, r.a, r.l, r.r) for r in sorted(again, key=lambda r: r.k)] == [("no no", 199, 200, 200), ("no no no", 198, 200, 199), ("no no no no", 197, 200, 198), ("no no no no no", 196, 200, 197)]
+
+
+def test_automaton_counts_places():
+    words = np.array([1, 2, 1, 2, 1, 1, 2], np.uint64)
+    tree = phrases.SuffixAutomaton(words, np.array([0, 0, 0, 0, 0, 1, 1]))
+    tree.deepen()
+    at, n = tree.nodes()
+    assert sorted((tuple(words[i - 1 : i + 1].tolist()), k) for i, k in zip(at, n.tolist(), strict=True)) == [((1, 2), 3), ((2, 1), 2)]
+    tree.deepen()
+    assert sorted(tree.counts()[1].tolist()) == [1, 2]
+    tree.keep(np.zeros(7, bool))
+    tree.deepen()
+    assert len(tree.counts()[0]) == 0
+
+
+# --- resampling ------------------------------------------------------------------------
+def resampled_by_force(rows, goal, percent=5, least_words=20, buckets=10_000):
+    def of(text):
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", folded(text))
+        return w, [zlib.crc32(" ".join(w[i : i + k]).encode()) % buckets for k in (1, 2, 3) for i in range(len(w) - k + 1)]
+
+    docs = [(r[0], *of(r[1])) for r in rows]
+    s, t = collections.Counter(b for _, _, f in docs for b in f), collections.Counter(b for _, text in goal for b in of(text)[1])
+    big_s, big_t = sum(s.values()), sum(t.values())
+    gain = {b: math.floor(1000 * math.log((t[b] + 1.0) * (big_s + buckets) / ((s[b] + 1.0) * (big_t + buckets)))) for b in s}
+    out = []
+    for i, w, f in docs:
+        weight = sum(gain[b] for b in f)
+        h = int(hashlib.sha256(f"42:{'' if i is None else i}".encode()).hexdigest()[:8], 16)
+        out.append((i, len(w), len(f), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296)))))
+    able = sorted((r for r in out if r[1] >= least_words), key=lambda r: (-r[4], r[0]))
+    return out, [r[0] for r in able[: len(able) * percent // 100]]
+
+
+@pytest.mark.parametrize("words, percent", [(resample.CHUNK_WORDS, 5), (50, 30), (1, 90)])
+def test_resample(spark, sf, rows, words, percent):
+    docs, goal = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
+    found = resample.resample(docs, goal, words=words, percent=percent).collect()
+    exp, drawn = resampled_by_force(rows, GOAL, percent)
+    assert bag((r.doc_id, r.n_words, r.n_features, r.weight, r.score) for r in found) == bag(exp)
+    assert [r.doc_id for r in sorted((r for r in found if r["rank"]), key=lambda r: r["rank"])] == drawn
+    assert sorted(r["rank"] for r in found if r["rank"]) == list(range(1, len(drawn) + 1))
+
+
+def test_draw_keeps_columns(spark, sf, rows):
+    docs, goal = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
+    got = resample.draw(docs, goal, percent=20)
+    assert got.columns == docs.columns and {r.doc_id for r in got.collect()} == set(resampled_by_force(rows, GOAL, 20)[1])
+
+
+def test_features_of_long_words():
+    texts = ["x" * 700 + " ü " + "y" * 300 + " z", "ab" * 40, None, "", "A-b"]
+    count, text, bucket = resample.features(*_column(texts))
+    for i, t in enumerate(texts):
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", folded(t))
+        assert sorted(bucket[text == i].tolist()) == sorted(zlib.crc32(" ".join(w[j : j + k]).encode()) % 10_000 for k in (1, 2, 3) for j in range(len(w) - k + 1))
+        assert count[i] == len(w)
+
+
+def _column(texts):
+    from tracelake.llm.shared import buffers
+
+    return buffers(pa.array(texts, pa.string()))
+
+
+def test_chunks_own_every_start_once():
+    text = "  Ab, cd ef-gh ij\nkl mn  "
+    cut = resample.chunks(text, 3)
+    assert cut == [("Ab, cd ef-gh ij", 3), ("gh ij\nkl mn", 3), ("mn", 1)]
+    whole = sorted(resample.features(*_column([text]))[2].tolist())
+    assert whole == sorted(resample.features(*_column([x for x, _ in cut]), np.array([n for _, n in cut]))[2].tolist())
+
+
+# --- SetSketch -------------------------------------------------------------------------
+def sketch_sets(n, jaccard, count, seed):
+    rng, common = np.random.default_rng(seed), round(2 * n * jaccard / (1 + jaccard))
+    x = [rng.integers(0, 1 << 63, 2 * n - common, dtype=np.uint64) for _ in range(count)]
+    return [np.sort(v[:n]) for v in x], [np.sort(v[n - common :]) for v in x]
+
+
+@pytest.mark.parametrize("jaccard", [0.2, 0.6, 0.85, 0.95])
+def test_sketches_estimate(jaccard):
+    left, right = sketch_sets(400, jaccard, 200, 3)
+    a, b = setsketch.registers(left), setsketch.registers(right)
+    n = np.full(200, 400)
+    exact = np.array([len(np.intersect1d(x, y)) / len(np.union1d(x, y)) for x, y in zip(left, right, strict=True)])
+    error = setsketch.jaccard(a, b, n, n) - exact
+    assert abs(error.mean()) < 0.01 and error.std() < 1.3 * math.sqrt(jaccard * (1 - jaccard) / a.shape[1])
+    assert (setsketch.merged(a, b) == setsketch.registers([np.union1d(x, y) for x, y in zip(left, right, strict=True)])).all()
+    reach = setsketch.may_reach(a, b, n, n, 85)
+    assert reach.all() if jaccard >= 0.85 else reach.sum() == 0 if jaccard < 0.5 else True
+    if jaccard >= 0.85:
+        bands = a.reshape(200, setsketch.BANDS, -1) == b.reshape(200, setsketch.BANDS, -1)
+        assert bands.all(2).any(1).all()
+
+
+def test_empty_sets_have_zeros():
+    assert not setsketch.registers([np.zeros(0, np.uint64)]).any() and setsketch.registers([]).shape[0] == 0
+
+
+@pytest.mark.parametrize("cell", [setsketch.CELL, 2])
+def test_near_copies(spark, sf, rows, cell):
+    found = setsketch.near_copies(spark.read.parquet(f"{sf}/documents.parquet"), cell=cell).collect()
+    assert bag((r.doc_id, r.n_shingles, r.component_id) for r in found) == component_want(rows, 3, 85)
+    assert all(r.kept == (r.doc_id == r.component_id) for r in found)
+
+
+def test_near_copies_that_no_leader_links(spark, monkeypatch):
+    """A chain of texts, each near the next alone, all in the same lists: what the leader doesn't reach is found in cells."""
+    rng = random.Random(31)
+    words = [f"w{k}" for k in range(400)]
+    rows = []
+    for i in range(14):
+        rows.append((i, " ".join(words), "en", "s", 0))
+        for k in range(i * 8, i * 8 + 8):
+            words[k] = f"x{rng.randrange(10**9)}"
+    monkeypatch.setattr(setsketch, "BLOCK", 2)
+    docs = spark.createDataFrame(rows, SHAPE)
+    got = setsketch.near_copies(docs, cell=3).collect()
+    assert bag((r.doc_id, r.n_shingles, r.component_id) for r in got) == component_want(rows, 3, 85)
+    assert {r.component_id for r in got} == {0}
