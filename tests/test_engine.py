@@ -16,6 +16,7 @@ from tracelake.operators import waveforms as X
 from tracelake.operators import windows as W
 from tracelake.plans import jobs
 from tracelake.sources import metadata as M
+from tracelake.sources import files as FL
 from tracelake.sources import recording as R
 
 
@@ -582,7 +583,7 @@ def test_recording_with_its_metadata(spark, tmp_path):
     words = R.sync_words(df, 3)
     fronts = E.write_sync(E.sync_lines(words, spark.createDataFrame([(i, 0, 0, 5.0 if i > 50 else 0.0) for i in range(100)], "sample long, window long, channel long, v double")), 100.0, str(tmp_path / "sync"))
     assert {(r.channel, r.n) for r in fronts.groupBy("channel").count().withColumnRenamed("count", "n").collect()} == {(0, 499), (2, 499), (16, 1)}
-    told = R.same_as_told(spark, str(tmp_path / "*.ap.*"), M.read(spark, str(tmp_path / "a.ap.meta"))).first()
+    told = FL.same_as_told(spark, str(tmp_path / "*.ap.*"), M.read(spark, str(tmp_path / "a.ap.meta"))).first()
     assert told.same is False and told.told == "ab"
     files = R.with_system(spark.createDataFrame([("f", "imec0", "a", None, None), ("f", "", None, None, "n")], "folder string, label string, ap string, lf string, nidq string"))
     assert {r.system for r in files.collect()} == {"3B"}

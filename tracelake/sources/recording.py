@@ -7,26 +7,50 @@ samples by channels (int16 by default), a ``.npy`` matrix, or a chunk-compressed
 file with its ``.ch`` description, on a local disk or in a store that pyarrow
 opens by its address.  A partition is a range of samples; the driver reads no
 more than the file's size (or its description).  Options ``first``, ``last``
-(samples) and ``only`` (channels, as ``0:3,7``) keep the rest from being read.
+(samples) and ``only`` (channels, as ``0:3,7``) keep the rest from being read,
+and so do filters on block, first_sample and channel where
+``spark.sql.python.filterPushdown.enabled`` is set: ranges and sets of the
+first two leave out partitions, those of channels rows.
 :func:`read_recording` joins the metadata beside a file: volts and sites.
 """
 
 from __future__ import annotations
 
 import json
+import os
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualNullSafe, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual
 
 SCHEMA = "block bigint, channel bigint, first_sample bigint, samples array<float>"
 #: Without a description, channels are told from the file's size: with or without a sync trace.
 GUESSES = (385, 384)
 
 
+def local_path(path: str) -> str:
+    return path.removeprefix("file://").removeprefix("file:")
+
+
+def marker_of(path: str) -> str:
+    """Beside a file that is being appended to: holds the length that counts till then."""
+    return f"{path}.appending"
+
+
+def open_file(path: str):
+    """A file to read, on a disk or in a store that pyarrow opens by its address."""
+    path = local_path(path)
+    if "://" not in path:
+        return open(path, "rb")
+    from pyarrow.fs import FileSystem
+
+    system, at = FileSystem.from_uri(path)
+    return system.open_input_file(at)
+
+
 class Span(InputPartition):
     """Samples [first, last) of a file."""
 
@@ -34,17 +58,37 @@ class Span(InputPartition):
         self.block, self.first, self.last = block, first, last
 
 
+class _Test:
+    """A filter on a column of whole numbers."""
+
+    def __init__(self, op: type, value):
+        self.op, self.value = op, value
+
+    def __call__(self, x: int) -> bool:
+        if self.op in (EqualTo, EqualNullSafe):
+            return x == self.value
+        if self.op is In:
+            return x in self.value
+        if self.op is GreaterThan:
+            return x > self.value
+        if self.op is GreaterThanOrEqual:
+            return x >= self.value
+        return x < self.value if self.op is LessThan else x <= self.value
+
+
 class _File:
     """Layout of a recording: where its samples are."""
 
     def __init__(self, options: dict):
-        self.path = options["path"].removeprefix("file://").removeprefix("file:")
+        self.path = local_path(options["path"])
         self.dtype = np.dtype(options.get("dtype", "int16"))
         self.size = int(options.get("block", 8192))
         self.scale = float(options.get("scale", 1.0))
         self.first, self.last = int(options.get("first", 0)), int(options["last"]) if "last" in options else None
         self.only = _channels(options["only"]) if "only" in options else None
-        self.offset, self.chunks = 0, None
+        self.counted = options.get("read_bytes", "false").lower() == "true"
+        self.tests: list[tuple[str, _Test]] = []
+        self.offset, self.chunks, self.read_bytes = 0, None, 0
         self.bytes = self._size()
         if self.path.endswith(".npy"):
             with self._open() as f:
@@ -66,15 +110,15 @@ class _File:
                 raise ValueError(f"the number of channels of {self.path} can't be told from its size")
 
     def _open(self, path: str | None = None):
-        path = path or self.path
-        if "://" not in path:
-            return open(path, "rb")
-        from pyarrow.fs import FileSystem
-
-        system, at = FileSystem.from_uri(path)
-        return system.open_input_file(at)
+        return open_file(path or self.path)
 
     def _size(self) -> int:
+        if "://" not in self.path and os.path.exists(marker_of(self.path)):
+            try:
+                with open(marker_of(self.path)) as f:
+                    return int(f.read())
+            except FileNotFoundError:  # committed meanwhile
+                pass
         with self._open() as f:
             return f.seek(0, 2)
 
@@ -96,25 +140,34 @@ class _File:
             if self.chunks:
                 at = self.chunks["chunk_offsets"]
                 f.seek(at[span.block])
-                raw = zlib.decompress(f.read(at[span.block + 1] - at[span.block]))
+                self.read_bytes = at[span.block + 1] - at[span.block]
+                raw = zlib.decompress(f.read(self.read_bytes))
                 order = "F" if self.chunks.get("chunk_order") == "F" else "C"
                 made = np.frombuffer(raw, self.dtype).reshape((span.last - span.first, self.channels), order=order)
                 made = np.cumsum(made, 0, dtype=self.dtype) if self.chunks.get("do_time_diff") else made
                 return np.cumsum(made, 1, dtype=self.dtype) if self.chunks.get("do_spatial_diff") else made
             width = self.channels * self.dtype.itemsize
             f.seek(self.offset + span.first * width)
-            return np.frombuffer(f.read((span.last - span.first) * width), self.dtype).reshape(-1, self.channels)
+            self.read_bytes = (span.last - span.first) * width
+            return np.frombuffer(f.read(self.read_bytes), self.dtype).reshape(-1, self.channels)
 
     def rows(self, span: Span) -> Iterator[pa.RecordBatch]:
         data, first = self.matrix(span), span.first
         if self.chunks:  # a chunk is read whole
             a, b = max(span.first, self.first), span.last if self.last is None else min(span.last, self.last)
             data, first = data[a - span.first : b - span.first], a
-        which = np.arange(self.channels) if self.only is None else np.array([c for c in self.only if c < self.channels], int)
+        which = np.array([c for c in (range(self.channels) if self.only is None else self.only) if c < self.channels and self.wanted("channel", c)], int)
         data = data.T[which].astype(np.float32) * np.float32(self.scale)
         n = len(data)
         values = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * data.shape[1], pa.int32()), pa.array(np.ascontiguousarray(data).ravel()))
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, span.block)), pa.array(which), pa.array(np.full(n, first)), values], names=["block", "channel", "first_sample", "samples"])
+        columns = {"block": pa.array(np.full(n, span.block)), "channel": pa.array(which), "first_sample": pa.array(np.full(n, first)), "samples": values}
+        if self.counted:
+            columns["read_bytes"] = pa.array(np.full(n, self.read_bytes))
+        yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+    def wanted(self, column: str, value: int) -> bool:
+        """Whether a row may have this value under the filters that the source has taken over."""
+        return all(test(value) for c, test in self.tests if c == column)
 
 
 def _channels(text: str) -> list[int]:
@@ -127,11 +180,27 @@ class _Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.file = _File(options)
 
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        """Takes over comparisons of block, first_sample and channel; Spark sees to the rest."""
+        for f in filters:
+            column = f.attribute[0] if hasattr(f, "attribute") and len(f.attribute) == 1 else None
+            if column not in ("block", "first_sample", "channel"):
+                yield f
+            elif isinstance(f, (EqualTo, EqualNullSafe, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual)) and f.value is not None:
+                self.file.tests.append((column, _Test(type(f), f.value)))
+            elif isinstance(f, In):
+                self.file.tests.append((column, _Test(In, frozenset(f.value) - {None})))
+            elif not isinstance(f, IsNotNull):  # none of them is ever null
+                yield f
+
     def partitions(self) -> list[Span]:
-        return self.file.spans(0, self.file.length())
+        """Spans with any row that is asked for; a row's first sample is its span's, or the option ``first`` within it."""
+        some = any(self.file.wanted("channel", c) for c in (range(self.file.channels) if self.file.only is None else self.file.only))
+        spans = self.file.spans(0, self.file.length()) if some else []
+        return [s for s in spans if self.file.wanted("block", s.block) and self.file.wanted("first_sample", max(s.first, self.file.first))] or [Span(0, 0, 0)]
 
     def read(self, partition: Span) -> Iterator[pa.RecordBatch]:
-        return self.file.rows(partition)
+        return self.file.rows(partition) if partition.last > partition.first else iter(())
 
 
 class _StreamReader(DataSourceStreamReader):
@@ -157,14 +226,14 @@ class _StreamReader(DataSourceStreamReader):
 
 
 class RecordingSource(DataSource):
-    """Options: path, channels, dtype, block (samples of a row), scale (volts per bit), first, last, only."""
+    """Options: path, channels, dtype, block (samples of a row), scale (volts per bit), first, last, only, read_bytes (true: a column with the bytes read for a row's partition)."""
 
     @classmethod
     def name(cls) -> str:
         return "recording"
 
     def schema(self) -> str:
-        return SCHEMA
+        return SCHEMA + (", read_bytes bigint" if self.options.get("read_bytes", "false").lower() == "true" else "")
 
     def reader(self, schema) -> DataSourceReader:
         return _Reader(dict(self.options))
@@ -215,16 +284,6 @@ def sync_words(df: DataFrame, channel: int) -> DataFrame:
     return one.select((F.col("first_sample") + F.col("i")).alias("sample"), F.pmod(F.col("v").cast("long"), F.lit(65536)).alias("word"))
 
 
-def same_as_told(spark, path: str, meta: DataFrame) -> DataFrame:
-    """path, sha1, told, same: hashes of files under ``path`` against those in their metadata (path without its suffix, meta)."""
-    from pyspark.sql import functions as F
-
-    stem = lambda c: F.regexp_replace(c, r"\.[^./]*$", "")
-    found = file_hashes(spark, path).where(~F.col("path").endswith(".meta")).withColumn("stem", stem(F.col("path")))
-    told = meta.select(stem(F.col("path")).alias("stem"), F.lower(F.element_at("meta", F.lit("fileSHA1"))).alias("told"))
-    return found.join(told, "stem", "left").select("path", "sha1", "told", (F.col("sha1") == F.col("told")).alias("same"))
-
-
 def write_compressed(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Rows as zstd Parquet, the recording's compressed form."""
     df.write.mode(mode).option("compression", "zstd").parquet(path)
@@ -240,13 +299,6 @@ def pad_tail(df: DataFrame, samples: int) -> DataFrame:
     return df.withColumn("__last", last).withColumn("samples", F.when(F.col("__last"), more).otherwise(F.col("samples"))).drop("__last")
 
 
-def file_hashes(spark, path: str) -> DataFrame:
-    """path and SHA-1 of each file's bytes."""
-    from pyspark.sql import functions as F
-
-    return spark.read.format("binaryFile").load(path).select("path", F.sha1("content").alias("sha1"))
-
-
 def probe_files(spark, root: str) -> DataFrame:
     """A row per probe of a folder tree: folder, label, and paths of its ap, lf and nidq files."""
     from pyspark.sql import functions as F
