@@ -86,22 +86,47 @@ def mute_blocks(sat: DataFrame, n: int = 7) -> DataFrame:
     return wide.select("block", gain.alias("mute"))
 
 
-def intervals_blocks(sat: DataFrame, size: int, flag: str = "saturated") -> DataFrame:
+#: Blocks, or groups of them, whose runs are joined together.
+FAN = 256
+
+
+def joined_runs(runs: DataFrame, span: Column | int, end: int, keys: tuple[str, ...] = (), fan: int = FAN) -> DataFrame:
+    """Runs (keys, start, last) that follow each other without a gap as one, where no run goes over a multiple of ``span``.
+
+    An associative scan in a tree: in each round the runs of ``fan`` spans
+    beside each other are joined; those that touch neither end of that range
+    are done, and at most two go on to the next round.  ``end`` is the last
+    place there is.
+    """
+    done, width = None, span
+    w = Window.partitionBy(*keys, "range").orderBy("start")
+    while True:
+        width = width * fan
+        ranged = runs.withColumn("range", F.floor(F.col("start") / width))
+        fresh = F.coalesce(F.col("start") > F.lag("last").over(w) + 1, F.lit(True)).cast("int")
+        runs = ranged.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(w)).groupBy(*keys, "range", "run").agg(F.min("start").alias("start"), F.max("last").alias("last")).select(*keys, "start", "last")
+        if width > end:
+            return runs if done is None else done.unionByName(runs)
+        open_ = (F.pmod("start", F.lit(width)) == 0) | (F.pmod(F.col("last") + 1, F.lit(width)) == 0)
+        done = runs.where(~open_) if done is None else done.unionByName(runs.where(~open_))
+        runs = runs.where(open_)
+
+
+def intervals_blocks(sat: DataFrame, size: int, flag: str = "saturated", fan: int = FAN) -> DataFrame:
     """As :func:`intervals`, of arrays of ``size`` samples a block: runs that go over a block's end are one.
 
-    Runs are found block by block; the window that joins them sees a row for
-    each run, not for each sample.
+    Each block gives its runs; those that touch a block's end are joined in a
+    tree over ranges of ``fan`` blocks, so no task sees more than two runs of
+    each of ``fan`` blocks or ranges.
     """
     edge = F.filter(F.transform(flag, lambda x, i: F.struct(i.alias("i"), (x & ~F.coalesce(F.get(F.col(flag), i - 1), F.lit(False))).alias("up"), (x & ~F.coalesce(F.get(F.col(flag), i + 1), F.lit(False))).alias("down"))), lambda r: r["up"] | r["down"])
     at = F.col("block") * size
     places = lambda name: F.transform(F.filter(F.col("e"), lambda r: r[name]), lambda r: at + r["i"])
     runs = sat.select("block", edge.alias("e")).select(F.inline(F.arrays_zip(places("up").alias("start"), places("down").alias("last"))))
-    w = Window.orderBy("start")
-    runs = runs.withColumn("fresh", F.coalesce(F.col("start") > F.lag("last").over(w) + 1, F.lit(True)).cast("int"))
-    runs = runs.withColumn("run", F.sum("fresh").over(w))
-    end = sat.agg(F.max(F.col("block") * size + F.size(flag) - 1).alias("end"))
-    joined = runs.groupBy("run").agg(F.min("start").alias("start_sample"), (F.max("last") + 1).alias("stop_sample"))
-    return joined.crossJoin(end).select("start_sample", F.least("stop_sample", "end").alias("stop_sample"))
+    end = sat.agg(F.max(at + F.size(flag) - 1)).first()[0] or 0
+    inner = (F.pmod("start", F.lit(size)) != 0) & (F.pmod(F.col("last") + 1, F.lit(size)) != 0)
+    whole = runs.where(inner).unionByName(joined_runs(runs.where(~inner), size, end, fan=fan))
+    return whole.select(F.col("start").alias("start_sample"), F.least(F.col("last") + 1, F.lit(end)).alias("stop_sample"))
 
 
 def mute(sat: DataFrame, n: int = 7) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels as K
 from ..functions.columns import at, first_argmax, taper
+from .samples import random_of_each
 from .voltage import with_margins
 
 #: Samples before the trough, samples of a waveform.
@@ -25,15 +26,13 @@ def far_from_ends(spikes: DataFrame, ns: int, trough_offset: int = TROUGH_OFFSET
 
 
 def waveform_table(spikes: DataFrame, ns: int | None = None, most: int = 256, seed: int = 0, trough_offset: int = TROUGH_OFFSET, length: int = LENGTH) -> DataFrame:
-    """At most ``most`` spikes of each cluster, chosen by a hash, with their place in the cluster and in the table.
+    """At most ``most`` spikes of each cluster, those of the least hashes, with their place in the cluster and in the table.
 
     ``spikes``: spike, sample, cluster, ...  A negative sample is padding.
     """
     rows = spikes.where("sample >= 0")
     rows = rows if ns is None else far_from_ends(rows, ns, trough_offset, length)
-    chosen = Window.partitionBy("cluster").orderBy(F.md5(F.concat_ws(":", F.col("spike").cast("string"), F.lit(str(seed)))), "spike")
-    rows = rows.withColumn("pick", F.row_number().over(chosen)).where(F.col("pick") <= most).drop("pick")
-    return with_places(rows)
+    return with_places(random_of_each(rows, "cluster", "spike", most, seed))
 
 
 def with_places(rows: DataFrame) -> DataFrame:
@@ -247,21 +246,31 @@ def shifted(df: DataFrame, cells: DataFrame, fs: float | None = None) -> DataFra
 
     ``df``: waveform_index, cluster, traces; ``cells``: the same as rows
     (cluster, trace, sample, v).  The lag is that of the template's peak trace,
-    by correlation; with ``fs`` by the slope of the phase.  A cluster's template
-    is a small array that meets its waveforms in a join, so that a large cluster
-    is no larger a task.
+    by correlation; with ``fs`` by the slope of the phase, whose line is found
+    once a cluster.  A constant template moves nothing.  A cluster's template is
+    a small array that meets its waveforms in a join, so that a large cluster is
+    no larger a task.
     """
     rows = templates(cells).groupBy("cluster", "trace").agg(F.transform(F.array_sort(F.collect_list(F.struct("sample", "template"))), lambda x: x["template"]).alias("t"))
     peak = rows.groupBy("cluster").agg(F.max_by(F.struct("trace", "t"), F.struct(F.array_max(F.transform("t", F.abs)), -F.col("trace"))).alias("best"))
-    joined = df.select("waveform_index", "cluster", "traces").join(peak.select("cluster", "best.trace", "best.t"), "cluster")
+
+    def calibrate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            lines = [K.phase_calibration(np.asarray(t, float), fs) if fs else (0.0, 0.0) for t in batch["t"]]
+            yield batch.assign(slope=[x for x, _ in lines], start=[x for _, x in lines])
+
+    peak = peak.select("cluster", F.col("best.trace").cast("int").alias("trace"), "best.t")
+    kind = df.schema["cluster"].dataType.simpleString()
+    peak = peak.mapInPandas(calibrate, f"cluster {kind}, trace int, t array<double>, slope double, start double")
+    joined = df.select("waveform_index", "cluster", "traces").join(peak, "cluster")
 
     def move(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             lags, moved = [], []
-            for traces, at, t in zip(batch["traces"], batch["trace"], batch["t"], strict=True):
+            for traces, at, t, *line in zip(batch["traces"], batch["trace"], batch["t"], batch["slope"], batch["start"], strict=True):
                 cube = np.stack([np.asarray(x, float) for x in traces])
                 t = np.asarray(t, float)
-                lag = K.shift_by_correlation(t, cube[at])[1] if fs is None else K.shift_by_phase(t, cube[at], fs)[1]
+                lag = K.shift_by_correlation(t, cube[at])[1] if fs is None else K.shift_by_phase(t, cube[at], fs, tuple(line))[1]
                 lags.append(float(lag))
                 moved.append([x.tolist() for x in K.shift(cube, lag)])
             yield pd.DataFrame({"waveform_index": batch["waveform_index"], "cluster": batch["cluster"], "lag": lags, "traces": moved})
