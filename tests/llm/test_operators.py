@@ -531,6 +531,18 @@ LAYOUTS = {
     "figure": (f"<article><h1>H</h1>{P}<figure><img src=x><figcaption>What it shows</figcaption></figure></article>", ["H", T, "What it shows"]),
     "pre and entities": (f"<article><h1>H &amp; I</h1>{P}<pre>a  &lt;b&gt;\n c</pre></article>", ["H & I", T, "a <b> c"]),
     "search form": (f"<div class='search-box'><form><p>Search the whole of this site here</p></form></div><article><h1>H</h1>{P}</article>", ["H", T]),
+    "theme with a sidebar, main": (f"<div class='content-sidebar-wrap'><main><article><h1>H</h1>{P}</article></main><aside class='sidebar'>{P}</aside></div>", ["H", T]),
+    "theme with a sidebar": (f"<div class='content-sidebar-wrap'><article><h1>H</h1>{P}</article><div class='sidebar'>{P}</div></div>", ["H", T]),
+    "theme of divs with a sidebar": (f"<div class='content-sidebar-wrap'><div class='post'><h1>H</h1>{P}{P}{P}</div><div class='sidebar'><p>little</p></div></div>", ["H", T, T, T]),
+    "links and comments in main": (f"<main><div class=body>{P}{P}</div><div class=recirc><a href=x>one link here</a></div><div id=responses><p>reader comment</p></div></main>", [T, T]),
+    "heading before the container": (f"<main><h1>H</h1><div class=zip>{P}{P}</div><div class=zap><p>other comment</p></div></main>", ["H", T, T]),
+    "responses": (f"<article><h1>H</h1>{P}<section class='reader-responses'>{P}</section></article>", ["H", T]),
+    "banner of an article": (f"<article><section class='banner'><h1>H</h1>{P}</section>{P}</article>", ["H", T, T]),
+    "header of a post": (f"<div class=post><header><h1>H</h1></header>{P}</div>", ["H", T]),
+    "header of a site": (f"<div id=page><header><h1>Site</h1></header><div class=post><h1>H</h1>{P}</div></div>", ["H", T]),
+    "header beside the text": (f"<div id=page><header><h1>Site</h1></header><nav>x</nav>{P}{P}</div>", [T, T]),
+    "site header by name": (f"<div class='header'><h1>Site</h1></div><div class=entry><h1>H</h1>{P}</div>", ["H", T]),
+    "wrapper that sounds like a footer": (f"<div class='main-footer-wrap'><article><h1>H</h1>{P}</article></div>", ["H", T]),
     "hidden": (f"<article><h1>H</h1><div hidden>{P}</div><div aria-hidden='true'>{P}</div>{P}</article>", ["H", T]),
 }
 
@@ -541,6 +553,57 @@ def test_layouts(name):
     assert html_text.extract(spread(page), None).split("\n\n") == want
 
 
+BROKEN = {
+    "divs": "<div>" * 209_715,
+    "quotes": "<a '" * 262_144,
+    "double quotes at the end": "<a x" * 262_144 + '" >',
+    "signs": "<" * 1_000_000,
+    "comments": "<!--" * 250_000,
+    "furniture in furniture": "<div class='ad'>" * 65_000 + "x",
+    "inline in blocks": "<b>" * 100_000 + "<div></div>" * 60_000,
+    "paragraphs": "<p><b>" * 170_000,
+    "spans": "<article><p>" + "<span>a" * 140_000,
+    "attributes": "<div " + "class='a b' " * 80_000 + ">text</div>",
+    "closings": "<i>" * 100_000 + "</b>" * 170_000,
+}
+
+
+@pytest.mark.parametrize("name", BROKEN)
+def test_broken_pages_of_a_megabyte(name):
+    """Twice the page takes no more than some three times as long: nothing walks the stack, or the rest of the page, for each tag."""
+    import time
+
+    took = []
+    for page in (BROKEN[name][: len(BROKEN[name]) // 2], BROKEN[name]):
+        began = time.process_time()
+        html_text.extract(page, None)
+        took.append(time.process_time() - began)
+    assert took[1] < max(1.0, 3.5 * took[0]) and took[1] < 12
+
+
+def test_a_page_of_some_megabytes(spark):
+    rng = random.Random(3)
+    blocks = [prose(rng, 300) for _ in range(2500)]
+    page = spread("<article><h1>Head</h1>" + "".join(f"<p>{b}</p>" for b in blocks) + "</article>")
+    assert len(page) > 2_500_000
+    out = html_text.extract_pages(spark.createDataFrame([(1, "http://a.example.com", page)], "page_id long, url string, html string"))
+    assert out.first().text.split("\n\n") == ["Head", *blocks]
+
+
+def test_the_host_tells_furniture(spark):
+    """A box with one text on all pages, and one of links, go; one that varies stays, and so does the same text on another host or on two pages."""
+    def page(i, box):
+        return spread(f"<div class='zork'><h1>Head {i}</h1><p>{'words ' * 40}{i}</p><div class='blip'><p>{box}</p></div><ul class='x{i}'><li>own {i}</li></ul><div class='glop'>{'<a href=x>more to read</a> ' * 2}{i}</div></div>")
+
+    rows = [(i, "http://a.example.com/x", page(i, "Always the same words")) for i in range(4)]
+    rows += [(10 + i, "http://b.example.com/x", page(10 + i, f"The words of {i}")) for i in range(4)]
+    rows += [(20 + i, "http://c.example.com/x", page(20 + i, "Always the same words")) for i in range(2)]
+    got = {r.page_id: r.text.split("\n\n") for r in html_text.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    text = lambda i: ("words " * 40 + str(i)).strip()
+    links = "more to read more to read "
+    assert got == {i: [f"Head {i}", text(i), f"own {i}"] for i in range(4)} | {10 + i: [f"Head {10 + i}", text(10 + i), f"The words of {i}", f"own {10 + i}"] for i in range(4)} | {20 + i: [f"Head {20 + i}", text(20 + i), "Always the same words", f"own {20 + i}", links + str(20 + i)] for i in range(2)}
+
+
 def article_of(page):
     """Blocks of the article element by the standard library's parser."""
     from html.parser import HTMLParser
