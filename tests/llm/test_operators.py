@@ -296,6 +296,31 @@ def test_ngram_join_with_long_lists(spark, hot, cell):
     assert bag(tuple(r) for r in out.collect()) == component_want(rows)
 
 
+@pytest.mark.parametrize("least", [0, 5])
+def test_common_ngrams_are_told_one_by_one(spark, least):
+    """However full their buckets: with every bucket suspected, only n-grams of many classes are dealt in parts, and others leave nothing for later."""
+    rng = random.Random(19)
+    passage = prose(rng, 30)
+    texts = [f"{prose(rng, 40)} {passage}" for _ in range(12)] + [" ".join(f"s{i}x{k}" for k in range(40)) for i in range(200)] + ["few classes share these words " * 3 + str(i) for i in range(3)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    order = np.zeros(1 << ngram_join.ORDER_BITS, np.int32)  # all buckets alike
+    rank = spark.sparkContext.broadcast(order)
+    common = ngram_join._common(docs, "text", rank, 0, 5, 80, least)
+    heads = collections.Counter()
+    for t in pa.array(texts):
+        one = ngram_join.shingle_sets(pa.array([t.as_py()]))[0]
+        heads.update(ngram_join.in_order(one, order)[: ngram_join.prefix_length(len(one), 80)].view(np.int64).tolist())
+    assert {r.tok: r.n for r in common.collect()} == {k: n for k, n in heads.items() if n > least}
+    tok = np.sort(np.array([k for k, n in heads.items() if n > 5], np.int64).view(np.uint64))
+    spread = spark.sparkContext.broadcast((tok, np.full(len(tok), 3, np.uint32)))
+    if not least:
+        return
+    lists = ngram_join._postings(docs, "text", rank, spread, 5, 80, 4).groupBy("p").applyInPandas(ngram_join._lists(80), "a bigint, b bigint, na bigint, nb bigint, blob binary")
+    later = {r.a for r in lists.where("blob IS NOT NULL").collect()}
+    single = {k for k, n in heads.items() if n <= ngram_join.SHORT_LIST}
+    assert len(single) > 1000 and not later & single and later >= {int(x) for x in tok.view(np.int64)}
+
+
 @pytest.mark.parametrize("hot", [4096, 16])
 def test_ngram_join_over_very_many_cells(spark, hot):
     """A list of 280 classes of which few link with its leader, in cells of two: over 66 of them."""
@@ -841,10 +866,10 @@ def test_automaton_counts_places():
     at, n = tree.nodes()
     assert sorted((tuple(words[i - 1 : i + 1].tolist()), k) for i, k in zip(at, n.tolist(), strict=True)) == [((1, 2), 3), ((2, 1), 2)]
     tree.deepen()
-    assert sorted(tree.counts()[1].tolist()) == [1, 2]
+    assert sorted(tree.nodes()[1].tolist()) == [1, 2]
     tree.keep(np.zeros(7, bool))
     tree.deepen()
-    assert len(tree.counts()[0]) == 0
+    assert len(tree.nodes()[0]) == 0
 
 
 # --- resampling ------------------------------------------------------------------------

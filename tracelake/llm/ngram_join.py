@@ -11,7 +11,8 @@ list of many classes only pairs with its leader are tried at first, and pairs
 of classes that are still in different components later: a large group of
 near copies costs a few links each, not all its pairs.  The list of a common
 n-gram is dealt in parts by a hash of n-gram and class, each with a leader of
-its own.  What is left for later is dealt by list, component and length into
+its own; which n-grams are common is counted exactly, among those of prefixes
+whose bucket may hold one.  What is left for later is dealt by list, component and length into
 cells of a bounded size, and cells are compared two by two; lists within one
 component end before that.
 
@@ -48,8 +49,10 @@ ORDER_BITS, CHUNK_BITS = 22, 16
 FRAGMENTS = 8
 #: Lists up to this length give all their pairs at once.
 SHORT_LIST = 4
-#: Documents that a hash bucket of n-grams has before its lists are dealt in parts of about so many.
+#: Classes that an n-gram's list has before it is dealt in parts of about so many; more where that would make more than ``COMMON`` n-grams common.
 HOT = 4096
+#: Common n-grams at most (their hashes are broadcast, 12 bytes each).
+COMMON = 1 << 20
 #: Classes of a long list are compared in cells of about so many.
 CELL = 256
 #: Tokens of a task in the lists and in the fragments.
@@ -89,7 +92,7 @@ def _survey(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFram
     def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        counts = np.zeros(1 << ORDER_BITS, np.uint32)
+        counts = np.zeros(1 << ORDER_BITS, np.int64)
         names = ["id", "n", "key", "chunk", "salt", "blob"]
         id_type = None
         for batch in batches:
@@ -97,7 +100,7 @@ def _survey(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFram
             for part in pieces(batch, 1 << 20):
                 sets = shingle_sets(part.column(1), width)
                 if sets:
-                    counts += np.bincount((np.concatenate(sets) >> np.uint64(64 - ORDER_BITS)).astype(np.int64), minlength=len(counts)).astype(np.uint32)
+                    counts += np.bincount((np.concatenate(sets) >> np.uint64(64 - ORDER_BITS)).astype(np.int64), minlength=len(counts))
                 none = pa.nulls(len(sets), pa.int32())
                 keys = [set_key(s) if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.int64()), none, none, pa.nulls(len(sets), pa.binary())], names=names)
@@ -113,25 +116,62 @@ def _survey(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFram
 
 
 def _add_chunks(group: pd.DataFrame) -> pd.DataFrame:
-    total = np.zeros(1 << CHUNK_BITS, np.uint32)
+    total = np.zeros(1 << CHUNK_BITS, np.int64)
     for blob in group["blob"]:
-        total += np.frombuffer(zlib.decompress(blob), np.uint32)
+        total += np.frombuffer(zlib.decompress(blob), np.int64)
     return pd.DataFrame({"chunk": [int(group["chunk"].iloc[0])], "blob": [zlib.compress(total.tobytes(), 1)]})
 
 
-def _order(chunks: DataFrame, hot: int) -> tuple[np.ndarray, np.ndarray, int, np.ndarray]:
-    """Rank of each hash bucket in the global order, the n-grams up to each rank, the first rank of more than ``hot`` documents, and into how many parts the lists from there on are dealt."""
+def _order(chunks: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Rank of each hash bucket in the global order, and the n-grams in the buckets of each rank."""
     summed = chunks.groupBy("chunk", "salt").applyInPandas(_add_chunks, "chunk int, blob binary").groupBy("chunk").applyInPandas(_add_chunks, "chunk int, blob binary")
-    counts = np.zeros((1 << ORDER_BITS - CHUNK_BITS, 1 << CHUNK_BITS), np.uint32)
-    for row in summed.collect():  # 16 MB at most
-        counts[row.chunk] = np.frombuffer(zlib.decompress(row.blob), np.uint32)
+    counts = np.zeros((1 << ORDER_BITS - CHUNK_BITS, 1 << CHUNK_BITS), np.int64)
+    for row in summed.collect():  # 32 MB at most
+        counts[row.chunk] = np.frombuffer(zlib.decompress(row.blob), np.int64)
     counts = counts.reshape(-1)
     by = np.argsort(counts, kind="stable")
     rank = np.empty(len(by), np.int32)
     rank[by] = np.arange(len(by), dtype=np.int32)
-    counts = counts[by].astype(np.int64)
+    return rank, counts[by]
+
+
+def _common(docs: DataFrame, text_col: str, rank, first: int, width: int, percent: int, hot: int) -> DataFrame:
+    """tok, n of n-grams in more than ``hot`` prefixes, of those in buckets from rank ``first`` on; a class counts once a task at least."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order, seen = rank.value, set()
+        for batch in batches:
+            for part in pieces(batch, 2 << 20):
+                toks = [np.zeros(0, np.uint64)]
+                for tokens in shingle_sets(part.column(0), width):
+                    if not len(tokens) or (key := set_key(tokens)) in seen:
+                        continue
+                    if len(seen) < 500_000:
+                        seen.add(key)
+                    head = in_order(tokens, order)[: prefix_length(len(tokens), percent)]
+                    # the order is by rank: what may be common stands last
+                    at = np.searchsorted(order[(head >> np.uint64(64 - ORDER_BITS)).astype(np.int64)], first)
+                    toks.append(head[at:])
+                tok, n = np.unique(np.concatenate(toks), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(tok.view(np.int64)), pa.array(n.astype(np.int64))], names=["tok", "n"])
+
+    counts = docs.select(F.col(text_col).alias("body")).mapInArrow(count, "tok bigint, n bigint")
+    return counts.groupBy("tok").agg(F.sum("n").alias("n")).where(F.col("n") > hot)
+
+
+def _parts(docs: DataFrame, text_col: str, rank, counts: np.ndarray, width: int, percent: int, hot: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the common n-grams, ascending, and into how many parts the list of each is dealt."""
+    hot = max(hot, int(counts.sum()) // COMMON)
     first = int(np.searchsorted(counts, hot, "right"))
-    return rank, np.cumsum(counts), first, (-(-counts[first:] // hot)).astype(np.uint32)
+    none = np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+    if first == len(counts):
+        return none
+    rows = _common(docs, text_col, rank, first, width, percent, hot).toArrow()  # COMMON rows at most: each stands for more than a COMMON-th of all
+    if not rows.num_rows:
+        return none
+    tok, n = rows.column("tok").to_numpy().view(np.uint64), rows.column("n").to_numpy()
+    by = np.argsort(tok)
+    return tok[by], (-(-n[by] // hot)).astype(np.uint32)
 
 
 def in_order(tokens: np.ndarray, rank: np.ndarray) -> np.ndarray:
@@ -151,7 +191,7 @@ def may_link(n1, i1, n2, i2, percent: int):
 
 def _postings(docs: DataFrame, text_col: str, rank, spread, width: int, percent: int, count: int) -> DataFrame:
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order, (first, parts), seen = rank.value, spread.value, set()
+        order, (common, parts), seen = rank.value, spread.value, set()
         for batch in batches:
             for part in pieces(batch, 2 << 20):
                 toks, keys, sizes, places = [], [], [], []
@@ -174,10 +214,11 @@ def _postings(docs: DataFrame, text_col: str, rank, spread, width: int, percent:
                 size = np.repeat(np.array(sizes, np.int32), lengths)
                 place = (np.arange(len(tok)) - np.repeat(np.cumsum(lengths) - lengths, lengths)).astype(np.int32)
                 # the lists of common n-grams in parts; -1 is a list that is whole
-                at = order[(tok >> np.uint64(64 - ORDER_BITS)).astype(np.int64)] - first
-                common = at >= 0
                 share = np.full(len(tok), -1, np.int32)
-                share[common] = mix(tok[common] ^ key[common].view(np.uint64)) % parts[at[common]]
+                if len(common):
+                    at = np.minimum(np.searchsorted(common, tok), len(common) - 1)
+                    dealt_ = common[at] == tok
+                    share[dealt_] = mix(tok[dealt_] ^ key[dealt_].view(np.uint64)) % parts[at[dealt_]]
                 home = mix(tok ^ (share + 1).astype(np.uint64) * _ODDS[0])
                 rows = pack((home % np.uint64(count)).astype(np.int64), count, tok, key, size, place, share)
                 yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.int64()), pa.array([b for _, b in rows], pa.binary())], names=["p", "blob"])
@@ -445,8 +486,9 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     docs = docs.select(F.col(f"`{id_col}`").alias(id_col), F.col(f"`{text_col}`").alias(text_col))
     survey = work.write(_survey(docs, id_col, text_col, width), "join-survey")
     rows = survey.where("chunk IS NULL").select("id", "n", "key")
-    order, mass, first, parts = _order(survey.where("chunk IS NOT NULL").select("chunk", "salt", "blob"), hot)
-    rank, spread = spark.sparkContext.broadcast(order), spark.sparkContext.broadcast((first, parts))
+    order, counts = _order(survey.where("chunk IS NOT NULL").select("chunk", "salt", "blob"))
+    rank, mass = spark.sparkContext.broadcast(order), np.cumsum(counts)
+    spread = spark.sparkContext.broadcast(_parts(docs, text_col, rank, counts, width, percent, hot))
     count = partitions(spark, float(mass[-1]) * (100 - percent) / 100, TASK_TOKENS)
     lists = _postings(docs, text_col, rank, spread, width, percent, count).repartition(count, "p").groupBy("p")
     candidates = work.write(lists.applyInPandas(_lists(percent), "a bigint, b bigint, na bigint, nb bigint, blob binary"), "join-lists")
