@@ -14,7 +14,8 @@ is maximised over the similarity; a pair is left out only if the threshold
 itself is less likely than the best by ``exp(MARGIN)``.  The others are
 verified on their full sets.  Links become components; pairs of one list whose
 classes are then still in different components are compared in cells of a
-bounded size, in the same two steps.
+bounded size, in the same two steps, a pair only in the list of the first band
+that it shares and only while it would join two components.
 
 Lists, leaders and pairs are joins and aggregations whose keys Spark combines
 before the shuffle or splits when they are skewed; sets meet in blocks of one
@@ -145,16 +146,17 @@ def _survey(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _bands(classes: DataFrame) -> DataFrame:
-    """A row for each class and band: h (band and its registers), cid, n."""
+    """A row for each class and band: h (band and its registers), band, cid, n."""
     size = 2 * ROWS
     each = F.array(*(F.xxhash64(F.lit(i), F.substring("sketch", 1 + size * i, size)) for i in range(BANDS)))
-    return classes.select("cid", "n", F.explode(each).alias("h"))
+    return classes.select("cid", "n", F.posexplode(each).alias("band", "h"))
 
 
 def _lists(classes: DataFrame) -> DataFrame:
-    """Bands of more than one class; of those with the same classes, one (h), with how often they occur."""
-    sums = _bands(classes).groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("cid")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "cid")).alias("y"))
-    return sums.where("m > 1").groupBy("m", "x", "y").agg(F.min("h").alias("h"), F.count(F.lit(1)).alias("often")).select("h", "m", (F.col("m") * F.col("often")).alias("mass"))
+    """Bands of more than one class; of those with the same classes, one (h), with the bands that it stands for as bits and how many members they have."""
+    sums = _bands(classes).groupBy("h").agg(F.min("band").alias("band"), F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("cid")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "cid")).alias("y"))
+    bit = F.expr("shiftleft(1L, band)")
+    return sums.where("m > 1").groupBy("m", "x", "y").agg(F.min("h").alias("h"), F.bit_or(bit).alias("bands"), F.count(F.lit(1)).alias("often")).select("h", "m", "bands", (F.col("m") * F.col("often")).alias("mass"))
 
 
 def _near(a: Column, b: Column, percent: int) -> Column:
@@ -186,20 +188,10 @@ def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "na", "nb", "left", "right").mapInArrow(estimate, "a bigint, b bigint, na bigint, nb bigint")
 
 
-def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, work: Scratch, width: int, percent: int) -> DataFrame:
-    """Links (a, b): pairs whose full sets are similar enough."""
-    spark = docs.sparkSession
-    total = pairs.agg(F.sum(F.col("na") + F.col("nb"))).first()[0] or 0
-    if not total:
-        return pairs.select("a", "b").limit(0)
-    groups = partitions(spark, float(total), TASK_TOKENS)
-    # a class with many partners meets them in blocks
-    many = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
-    block = F.pmod(F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("blocks"))), F.lit(groups))
-    placed = work.write(pairs.join(many, "a").select("a", "b", "na", "nb", block.alias("p")), "sketch-blocks")
-    routes = placed.select(F.col("a").alias("cid"), F.col("p").alias("q")).union(placed.select("b", "p")).distinct()
-    wanted = classes.select("cid", "key").join(routes.select("cid").distinct(), "cid", "left_semi")
-    needed = spark.sparkContext.broadcast(key_filter(wanted.select(F.xxhash64("key"))))
+def _sets(docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
+    """cid and tokens (its sorted set) of classes (cid, key), once each."""
+    wanted = classes.select("cid", "key")
+    needed = docs.sparkSession.sparkContext.broadcast(key_filter(wanted.select(F.xxhash64("key"))))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
@@ -218,7 +210,22 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, work: Scrat
             yield batch.filter(pa.array(passes(needed.value, batch.column(2).to_numpy()))).select([0, 1])
 
     found = docs.select("body").mapInArrow(sets, "key binary, tokens binary").select("key", "tokens", F.xxhash64("key").alias("k")).mapInArrow(asked, "key binary, tokens binary")
-    found = wanted.hint("merge").join(found.dropDuplicates(["key"]), "key").select("cid", "tokens")
+    return wanted.hint("merge").join(found.dropDuplicates(["key"]), "key").select("cid", "tokens")
+
+
+def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, work: Scratch, width: int, percent: int) -> DataFrame:
+    """Links (a, b): pairs whose full sets are similar enough."""
+    spark = docs.sparkSession
+    total = pairs.agg(F.sum(F.col("na") + F.col("nb"))).first()[0] or 0
+    if not total:
+        return pairs.select("a", "b").limit(0)
+    groups = partitions(spark, float(total), TASK_TOKENS)
+    # a class with many partners meets them in blocks
+    many = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    block = F.pmod(F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("blocks"))), F.lit(groups))
+    placed = work.write(pairs.join(many, "a").select("a", "b", "na", "nb", block.alias("p")), "sketch-blocks")
+    routes = placed.select(F.col("a").alias("cid"), F.col("p").alias("q")).union(placed.select("b", "p")).distinct()
+    found = _sets(docs, classes.join(routes.select("cid").distinct(), "cid", "left_semi"), width)
     sent = routes.hint("merge").join(found, "cid").select("q", "cid", "tokens")
     sent, placed = dealt(sent, groups, "q"), dealt(placed, groups, "p")
 
@@ -234,36 +241,60 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, work: Scrat
     return sent.groupBy("q").cogroup(placed.groupBy("p")).applyInPandas(count, "a bigint, b bigint")
 
 
-def _across(placed: DataFrame, runs: DataFrame, classes: DataFrame, percent: int, count: int) -> DataFrame:
-    """Pairs (a, b, na, nb) of members of two cells that are in different components and that their sketches don't rule out."""
-    columns = ("name", "x", "y", "key", "n", "root", "sketch")
-    placed = placed.join(classes.select(F.col("cid").alias("key"), "sketch"), "key")
+def _across(docs: DataFrame, classes: DataFrame, placed: DataFrame, runs: DataFrame, work: Scratch, width: int, percent: int) -> DataFrame:
+    """Links (a, b) that join components, among the members of two cells (runs: name, x, y, bands) that their sketches don't rule out.
+
+    Each pair of cells gives no more links than it has members.
+    """
+    members = placed.select("key").distinct().withColumnRenamed("key", "cid")
+    whole = classes.join(members, "cid", "left_semi")
+    whole = work.write(whole.select("cid", "sketch").join(_sets(docs, whole, width), "cid").withColumnRenamed("cid", "key"), "sketch-sets")
+    columns = ("name", "x", "y", "bands", "key", "n", "root")
     left = placed.withColumnRenamed("cell", "x").join(runs, ["name", "x"]).select(*columns, F.lit(0).alias("side"))
     right = placed.withColumnRenamed("cell", "y").join(runs.where("x <> y"), ["name", "y"]).select(*columns, F.lit(1).alias("side"))
-    both = left.union(right).withColumn("p", F.pmod(F.xxhash64("name", "x", "y"), F.lit(count)))
+    both = work.write(left.union(right), "sketch-copies")
+    count = partitions(docs.sparkSession, float(both.agg(F.sum("n")).first()[0] or 0), TASK_TOKENS)
+    both = both.withColumn("p", F.pmod(F.xxhash64("name", "x", "y"), F.lit(count))).join(whole, "key")
 
     def cross(group: pd.DataFrame) -> pd.DataFrame:
-        found = [(np.zeros(0, np.int64),) * 4]
+        links: list[tuple[int, int]] = []
         for (_, x, y), one in group.sort_values(["name", "x", "y", "side"], kind="stable").groupby(["name", "x", "y"], sort=False):
             key, n, root, side = (one[c].to_numpy() for c in ("key", "n", "root", "side"))
             sketch = np.frombuffer(b"".join(one["sketch"]), np.uint16).reshape(len(one), -1)
-            whole, cut = x == y, int((side == 0).sum())
-            rows, others = (np.arange(len(one)),) * 2 if whole else (np.arange(cut), np.arange(cut, len(one)))
+            tokens, bands = [np.frombuffer(t, np.uint64) for t in one["tokens"]], int(one["bands"].iloc[0])
+            above = {r: r for r in root.tolist()}
+
+            def top(r: int) -> int:
+                while above[r] != r:
+                    above[r] = r = above[above[r]]
+                return r
+
+            same, cut = x == y, int((side == 0).sum())
+            rows, others = (np.arange(len(one)),) * 2 if same else (np.arange(cut), np.arange(cut, len(one)))
             for r in rows.tolist():
                 ok = (root[r] != root[others]) & (np.minimum(n[r], n[others]) * 100 >= np.maximum(n[r], n[others]) * percent)
-                if whole:
+                if same:
                     ok &= key[r] < key[others]
                 to = others[ok]
-                if len(to):
-                    to = to[may_reach(np.broadcast_to(sketch[r], (len(to), sketch.shape[1])), sketch[to], np.full(len(to), n[r]), n[to], percent)]
-                    swap = key[to] < key[r]
-                    mine, theirs = np.full(len(to), key[r]), key[to]
-                    own, other = np.full(len(to), n[r]), n[to]
-                    found.append((np.where(swap, theirs, mine), np.where(swap, mine, theirs), np.where(swap, other, own), np.where(swap, own, other)))
-        a, b, na, nb = (np.concatenate(c) for c in zip(*found, strict=True))
-        return pd.DataFrame({"a": a, "b": b, "na": na, "nb": nb})
+                if not len(to):
+                    continue
+                equal = sketch[r] == sketch[to]
+                first = equal.reshape(len(to), BANDS, ROWS).all(2).argmax(1)
+                mine = (bands >> first & 1).astype(bool)
+                to, equal = to[mine], equal[mine].sum(1)
+                if not len(to):
+                    continue
+                reach = may_reach(np.broadcast_to(sketch[r], (len(to), sketch.shape[1])), sketch[to], np.full(len(to), n[r]), n[to], percent)
+                for j in to[reach][np.argsort(-equal[reach], kind="stable")].tolist():
+                    if top(int(root[r])) != top(int(root[j])):
+                        shared = len(np.intersect1d(tokens[r], tokens[j], assume_unique=True))
+                        if shared * 100 >= (n[r] + n[j] - shared) * percent:
+                            links.append((int(key[r]), int(key[j])))
+                            above[top(int(root[j]))] = top(int(root[r]))
+        tidy()
+        return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
 
-    return dealt(both, count, "p").groupBy("p").applyInPandas(cross, "a bigint, b bigint, na bigint, nb bigint").distinct()
+    return dealt(both, count, "p").groupBy("p").applyInPandas(cross, "a bigint, b bigint")
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT, cell: int = CELL) -> DataFrame:
@@ -288,7 +319,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     classes = survey.where("sketch IS NOT NULL").groupBy("key").agg(F.first("sketch").alias("sketch"), F.first("n").alias("n"))
     classes = work.write(classes.withColumn("cid", F.monotonically_increasing_id()), "sketch-classes")
     lists = work.write(_lists(classes), "sketch-lists")
-    members = work.write(_bands(classes).join(lists, "h"), "sketch-members")
+    members = work.write(_bands(classes).join(lists.drop("bands"), "h"), "sketch-members")
     pairs = work.write(_with_leaders(members, percent), "sketch-pairs")
     likely = work.write(_likely(pairs, classes, percent), "sketch-likely")
     links = work.write(_verified(rows, classes, likely, work, width, percent), "sketch-links")
@@ -298,9 +329,9 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     known = known.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     placed, runs = _cells(work.write(known, "sketch-known"), work, percent, cell)
     if not runs.isEmpty():
-        more = _across(placed, runs, classes, percent, partitions(spark, float(runs.count()), 16)).join(pairs.select("a", "b"), ["a", "b"], "left_anti")
-        more = work.write(more, "sketch-more")
-        roots = components(links.union(_verified(rows, classes, more, work, width, percent)), work)
+        runs = runs.join(lists.select(F.col("h").alias("name"), "bands"), "name")
+        more = work.write(_across(rows, classes, placed, runs, work, width, percent), "sketch-more")
+        roots = components(links.union(more), work)
     roots = classes.select("key", "cid").join(roots.select(F.col("node").alias("cid"), "root"), "cid", "left").select("key", F.coalesce("root", "cid").alias("root"))
     named = work.write(survey.select("id", "n", "key").join(roots, "key", "left").select("id", "n", "root"), "sketch-named")
     least = materialise(named.where("root IS NOT NULL").groupBy("root").agg(F.min("id").alias("least")), "sketch-least")
