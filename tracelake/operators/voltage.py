@@ -199,13 +199,7 @@ def _shifted(df: DataFrame, geometry: DataFrame) -> DataFrame:
 
 def _spatial(df: DataFrame, fs: float, geometry: DataFrame, labels: DataFrame | None, k_filter, epsilon: float | None) -> DataFrame:
     """Bad channels rebuilt and the spatial filter: a block's arrays meet in one shuffle, and the steps before run once."""
-    if k_filter is True:
-        lagc = int(fs / 10) if fs >= 3000 else None
-        kernel = lambda x: K.kfilt(x, lagc, epsilon=epsilon)
-    elif k_filter is False:
-        kernel = lambda x: x - np.median(x, 0)
-    else:
-        kernel = k_filter
+    kernel = spatial_kernel(fs, k_filter, epsilon)
     if labels is None:
         return df if kernel is None else across_channels(df, kernel, ("block", "shank"))
     columns = df.columns
@@ -215,14 +209,7 @@ def _spatial(df: DataFrame, fs: float, geometry: DataFrame, labels: DataFrame |
         group = group.sort_values("channel")
         x = np.stack(group["samples"].to_numpy()).astype(float)
         label = group["__label"].fillna(0).to_numpy().astype(int)
-        bad = np.isin(label, (1, 2))
-        if bad.any():
-            x[bad] = K.interpolation_weights(group["__x"].to_numpy(), group["__y"].to_numpy(), label) @ x
-        if kernel is not None:
-            for s in group["shank"].unique():
-                rows = np.flatnonzero((group["shank"].to_numpy() == s) & (label != 3))
-                if len(rows):
-                    x[rows] = kernel(x[rows])
+        x = clean_block(x, fs, group["shank"].to_numpy(), None, (group["__x"].to_numpy(), group["__y"].to_numpy()), label, None, kernel)
         return group[columns].assign(samples=list(x))
 
     return _placed(df, sites).groupBy("block").applyInPandas(run, df.schema)
@@ -261,48 +248,84 @@ def running_median(df: DataFrame, value: str, n: int = 11, keys: tuple[str, ...]
     return df.withColumn("trend", F.element_at(F.array_sort(F.array(*around)), half + 1))
 
 
-def bad_channels(df: DataFrame, fs: float, similarity_threshold: tuple[float, float] = (-0.5, 1.0), psd_threshold: float = 0.02, outside_threshold: float | str = -0.75) -> DataFrame:
+#: Limits of the similarity of dead and noisy channels, of their density at high frequencies, of the similarity outside.
+SIMILARITY, DENSITY, OUTSIDE = (-0.5, 1.0), 0.02, -0.75
+
+
+def _trend(x: np.ndarray, n: int = 11) -> np.ndarray:
+    half = n // 2
+    wide = np.concatenate([np.repeat(x[:1], half), x, np.repeat(x[-1:], half)])
+    return np.sort(np.lib.stride_tricks.sliding_window_view(wide, n), 1)[:, half]
+
+
+def _likeness(x: np.ndarray) -> np.ndarray:
+    """Projection of each row on the median row, without means; NaN if that is constant."""
+    ref = np.median(x, 0)
+    ref = ref - ref.mean()
+    power = (ref * ref).sum()
+    return (x - x.mean(1, keepdims=True)) @ ref / power if power else np.full(len(x), np.nan)
+
+
+def channel_features(x: np.ndarray, fs: float, similarity_threshold: tuple[float, float] = SIMILARITY, psd_threshold: float = DENSITY, outside_threshold: float | str = OUTSIDE) -> dict[str, np.ndarray]:
+    """Features and labels of the channels of a block's matrix, as :func:`bad_channels` has them."""
+    whole = _likeness(x)
+    slow = _trend(_likeness(K.sosfiltfilt(K.butterworth(3, 2 * (300 if fs > 2600 else 1) / fs, "highpass"), x)))
+    f, p = K.welch(x * 1e6, fs)
+    out = {"rms_raw": np.sqrt((x * x).mean(1)), "xcor_hf": whole - _trend(whole), "xcor_lf": slow - 1, "psd_hf": p[:, f > fs / 2 * 0.8].mean(1)}
+    limit = _fall(out["xcor_lf"]) if outside_threshold == "adaptive" else float(outside_threshold)
+    outside = np.logical_and.accumulate((out["xcor_lf"] < limit)[::-1])[::-1]
+    low, high = similarity_threshold
+    noisy, dead = (out["xcor_hf"] > high) | (out["psd_hf"] > psd_threshold), out["xcor_hf"] < low
+    return out | {"label": np.where(noisy, 2, np.where(dead, 1, np.where(outside, 3, 0)))}
+
+
+def bad_channels(df: DataFrame, fs: float, similarity_threshold: tuple[float, float] = SIMILARITY, psd_threshold: float = DENSITY, outside_threshold: float | str = OUTSIDE) -> DataFrame:
     """Per block and channel: rms_raw, xcor_hf, xcor_lf, psd_hf and label (0 good, 1 dead, 2 noisy, 3 outside).
 
     Dead: like its neighbours too little; noisy: too much like nothing, or
     loud at high frequencies; outside: the run of low similarity that reaches
     the last channel.  The threshold of that may be ``adaptive``: the value
     halfway down the smoothed fall of a block's similarity along its channels.
+    A block's arrays meet in one shuffle.
     """
-    long = to_long(df)
-    raw = long.groupBy("block", "channel").agg(rms(F.col("v") - 0).alias("rms_raw"))
-    whole = running_median(similarity(long), "xcor").select("block", "channel", (F.col("xcor") - F.col("trend")).alias("xcor_hf"))
-    filtered = similarity(to_long(high_pass(df, fs, 300 if fs > 2600 else 1)))
-    slow = running_median(filtered.withColumn("x", F.col("xcor")), "x").select("block", "channel", (F.col("trend") - 1).alias("xcor_lf"))
-
-    def loud(x: np.ndarray) -> np.ndarray:
-        f, p = K.welch(x * 1e6, fs)
-        return p[:, f > fs / 2 * 0.8].mean(1, keepdims=True)
-
-    psd = along_time(df, loud).select("block", "channel", F.col("samples")[0].alias("psd_hf"))
-    out = raw.join(whole, ["block", "channel"]).join(slow, ["block", "channel"]).join(psd, ["block", "channel"])
-    w = Window.partitionBy("block").orderBy(F.desc("channel")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    if outside_threshold == "adaptive":
-        out = out.join(_falls(out), "block", "left")
-        limit = F.col("__limit")
-    else:
-        limit = F.lit(float(outside_threshold))
-    outside = F.coalesce(F.min((F.col("xcor_lf") < limit).cast("int")).over(w) == 1, F.lit(False))
-    low, high = similarity_threshold
-    label = F.when((F.col("xcor_hf") > high) | (F.col("psd_hf") > psd_threshold), 2).when(F.col("xcor_hf") < low, 1).when(outside, 3).otherwise(0)
-    return out.withColumn("label", label.cast("long")).drop("__limit")
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("channel")
+        found = channel_features(np.stack(group["samples"].to_numpy()).astype(float), fs, similarity_threshold, psd_threshold, outside_threshold)
+        return pd.DataFrame({"block": group["block"].to_numpy(), "channel": group["channel"].to_numpy(), **found})
+
+    return df.select("block", "channel", "samples").groupBy("block").applyInPandas(run, "block bigint, channel bigint, rms_raw double, xcor_hf double, xcor_lf double, psd_hf double, label bigint")
 
 
-def _falls(features: DataFrame, smooth: int = 25, drop: float = -0.02) -> DataFrame:
-    """block, __limit: similarity at the median of the channels where its moving average falls by more than ``drop``; null without such."""
+def _fall(x: np.ndarray, smooth: int = 25, drop: float = -0.02) -> float:
+    """Similarity at the median of the channels where its moving average falls by more than ``drop``; below all without such."""
+    fall = np.flatnonzero(np.diff(np.convolve(x, np.ones(smooth) / smooth, "same")) < drop) if len(x) > smooth else np.zeros(0, int)
+    return float(x[int(np.median(fall))]) if len(fall) else -np.inf
 
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        x = group.sort_values("channel")["xcor_lf"].to_numpy()
-        fall = np.flatnonzero(np.diff(np.convolve(x, np.ones(smooth) / smooth, "same")) < drop) if len(x) > smooth else np.zeros(0, int)
-        limit = float(x[int(np.median(fall))]) if len(fall) else None
-        return pd.DataFrame({"block": [group["block"].iloc[0]], "__limit": [limit]})
 
-    return features.select("block", "channel", "xcor_lf").groupBy("block").applyInPandas(one, "block bigint, __limit double")
+def clean_block(x: np.ndarray, fs: float, shank: np.ndarray, shift: np.ndarray | None = None, xy: tuple[np.ndarray, np.ndarray] | None = None, label: np.ndarray | None = None, sos: np.ndarray | None = None, kernel: Kernel | None = None) -> np.ndarray:
+    """A block's matrix (channels, samples) filtered, re-phased, with bad channels rebuilt and ``kernel`` over the channels of each shank inside the brain."""
+    x = x if sos is None else K.sosfiltfilt(sos, x)
+    x = x if shift is None else K.shift(x, shift)
+    label = np.zeros(len(x), int) if label is None else label
+    if xy is not None and (bad := np.isin(label, (1, 2))).any():
+        x = x.copy()
+        x[bad] = K.interpolation_weights(*xy, label) @ x
+    if kernel is not None:
+        x = x.copy()
+        for s in np.unique(shank):
+            rows = np.flatnonzero((shank == s) & (label != 3))
+            if len(rows):
+                x[rows] = kernel(x[rows])
+    return x
+
+
+def spatial_kernel(fs: float, k_filter: bool | None | Kernel = True, epsilon: float | None = 1e-8) -> Kernel | None:
+    """The k-filter (true), the common reference (false), none, or what is given."""
+    if k_filter is True:
+        lagc = int(fs / 10) if fs >= 3000 else None
+        return lambda x: K.kfilt(x, lagc, epsilon=epsilon)
+    return (lambda x: x - np.median(x, 0)) if k_filter is False else k_filter
 
 
 def label_mode(labels: DataFrame) -> DataFrame:

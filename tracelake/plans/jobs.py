@@ -82,26 +82,81 @@ _FEATURES = ("dc_offset", "raw", "butter", "destripe", "striping")
 def raw_features(df: DataFrame, fs: float, geometry: DataFrame) -> DataFrame:
     """Quality of each channel and block, in microvolts: offset, RMS raw, filtered, cleaned, and of the stripes; labels and their features.
 
-    The filters run once, on a block's arrays together.
+    The filters run once, on a block's arrays together, and bad channels are left as they are.
     """
     corner = 300 if fs > 2600 else 2
-    sos, lagc = K.butterworth(3, 2 * corner / fs, "highpass"), int(fs / 10) if fs >= 3000 else None
+    sos, kernel = K.butterworth(3, 2 * corner / fs, "highpass"), V.spatial_kernel(fs)
     sites = geometry.select(F.col("ind").alias("channel"), F.col("sample_shift").alias("__shift"))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("channel")
         x = np.stack(group["samples"].to_numpy()).astype(float)
         high = K.sosfiltfilt(sos, x)
-        clean = K.shift(high, group["__shift"].to_numpy())
-        for s in group["shank"].unique():
-            rows = np.flatnonzero(group["shank"].to_numpy() == s)
-            clean[rows] = K.kfilt(clean[rows], lagc, epsilon=1e-8)
+        clean = V.clean_block(high, fs, group["shank"].to_numpy(), group["__shift"].to_numpy(), kernel=kernel)
         level = lambda a: np.sqrt((a * a).mean(1)) * 1e6
-        return pd.DataFrame({"block": group["block"], "channel": group["channel"], "dc_offset": x.mean(1) * 1e6, "raw": level(x), "butter": level(high), "destripe": level(clean), "striping": level(high - clean)})
+        levels = {"dc_offset": x.mean(1) * 1e6, "raw": level(x), "butter": level(high), "destripe": level(clean), "striping": level(high - clean)}
+        return pd.DataFrame({"block": group["block"].to_numpy(), "channel": group["channel"].to_numpy(), **levels, **V.channel_features(x, fs)})
 
-    shape = "block bigint, channel bigint, " + ", ".join(f"{c} double" for c in _FEATURES)
-    levels = df.join(sites, "channel").groupBy("block").applyInPandas(run, shape)
-    return levels.join(V.bad_channels(df, fs), ["block", "channel"])
+    shape = "block bigint, channel bigint, " + ", ".join(f"{c} double" for c in (*_FEATURES, "rms_raw", "xcor_hf", "xcor_lf", "psd_hf")) + ", label bigint"
+    return df.join(sites, "channel").groupBy("block").applyInPandas(run, shape)
+
+
+#: Filter, its corners, spatial filter and density limit of the bands.
+BANDS = {"ap": ("highpass", (300,), True, 0.02), "lf": ("bandpass", (2, 200), False, 1.4)}
+_TABLE = ("dc_offset", "raw_rms", "butter_rms", "destripe_rms", "striping_rms", "channel_labels", *(f"{c}_{k}" for k in ("raw", "destripe") for c in ("xcor_hf", "xcor_lf", "psd_hf")))
+
+
+def band_table(df: DataFrame, fs: float, geometry: DataFrame, band: str = "ap") -> DataFrame:
+    """Quality of each snippet (block) and channel in one band, twelve columns ``<band>_..``, levels in microvolts.
+
+    Levels raw, filtered, cleaned (by the channels' own labels) and of the
+    stripes between; labels; features of the raw and of the cleaned traces.
+    Filters run once, on a block's arrays together.
+    """
+    kind, corners, k_filter, limit = BANDS[band]
+    sos = K.butterworth(3, 2 * np.array(corners if len(corners) > 1 else corners[0]) / fs, kind)
+    first = sos if band == "ap" else K.butterworth(3, 2 * np.array((0.5, 300)) / fs, "bandpass")
+    kernel = V.spatial_kernel(fs, k_filter)
+    sites = geometry.select(F.col("ind").alias("channel"), F.col("sample_shift").alias("__shift"), F.col("x").alias("__x"), F.col("y").alias("__y"))
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("channel")
+        x = np.stack(group["samples"].to_numpy()).astype(float)
+        at = {c: group[c].to_numpy() for c in ("shank", "__shift", "__x", "__y")}
+        raw = V.channel_features(x, fs, psd_threshold=limit)
+        butter = K.sosfiltfilt(sos, x)
+        clean = V.clean_block(x, fs, at["shank"], at["__shift"], (at["__x"], at["__y"]), raw["label"], first, kernel)
+        after = V.channel_features(clean, fs, psd_threshold=limit)
+        level = lambda a: np.sqrt((a * a).mean(1)) * 1e6
+        made = [x.mean(1) * 1e6, raw["rms_raw"] * 1e6, level(butter), after["rms_raw"] * 1e6, level(butter - clean), raw["label"]]
+        made += [f[c] for f in (raw, after) for c in ("xcor_hf", "xcor_lf", "psd_hf")]
+        return pd.DataFrame({"snippet": group["block"].to_numpy(), "channel": group["channel"].to_numpy(), **{f"{band}_{c}": v for c, v in zip(_TABLE, made, strict=True)}})
+
+    shape = "snippet bigint, channel bigint, " + ", ".join(f"{band}_{c} {'bigint' if c == 'channel_labels' else 'double'}" for c in _TABLE)
+    return df.select("block", "channel", "shank", "samples").join(sites, "channel").groupBy("block").applyInPandas(run, shape)
+
+
+def raw_table(ap: DataFrame, lf: DataFrame, fs_ap: float, fs_lf: float, geometry: DataFrame) -> DataFrame:
+    """Both bands' :func:`band_table` by snippet and channel; a snippet or channel that one band lacks has nulls there."""
+    return band_table(ap, fs_ap, geometry, "ap").join(band_table(lf, fs_lf, geometry, "lf"), ["snippet", "channel"], "full")
+
+
+def snippets(df: DataFrame, starts: DataFrame, fs: float, seconds: float) -> DataFrame:
+    """Parts of a recording (first_sample, channel, shank, samples) as blocks: of each row of ``starts`` (snippet, start in seconds) so many seconds, or what there is of them.
+
+    Rows meet snippets by the seconds that they touch, an equality join.
+    """
+    n = int(fs * seconds)
+    want = starts.select("snippet", F.floor(F.col("start") * fs).alias("__a")).withColumn("__b", F.col("__a") + n)
+    touched = lambda a, b: F.explode(F.sequence(F.floor(a / fs), F.floor((b - 1) / fs))).alias("__second")
+    rows = df.where(F.size("samples") > 0).withColumn("__end", F.col("first_sample") + F.size("samples"))
+    met = rows.select("*", touched(F.col("first_sample"), F.col("__end"))).join(want.select("*", touched(F.col("__a"), F.col("__b"))), "__second")
+    # a row and a snippet that share several seconds meet in the first of these
+    begin, end = F.greatest("first_sample", "__a"), F.least("__end", "__b")
+    met = met.where((F.col("__second") == F.floor(begin / fs)) & (begin < end))
+    part = F.slice("samples", (begin - F.col("first_sample") + 1).cast("int"), (end - begin).cast("int"))
+    parts = met.groupBy("snippet", "channel", "shank").agg(F.array_sort(F.collect_list(F.struct(begin.alias("at"), part.alias("part")))).alias("parts"))
+    return parts.select(F.col("snippet").alias("block"), "channel", "shank", F.flatten(F.transform("parts", lambda r: r["part"])).alias("samples"))
 
 
 def raw_features_over_snippets(df: DataFrame, fs: float, geometry: DataFrame) -> DataFrame:
