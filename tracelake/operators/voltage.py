@@ -11,6 +11,7 @@ neighbours, and its own part of the result is kept.
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -240,22 +241,48 @@ def similarity(df: DataFrame, keys: tuple[str, ...] = ("block",)) -> DataFrame:
     return paired.groupBy(*keys, "channel").agg((F.sum(F.col("v") * F.col("r")) / F.nullif(F.sum(F.col("r") * F.col("r")), F.lit(0.0))).alias("xcor"))
 
 
-def running_median(df: DataFrame, value: str, n: int = 11, keys: tuple[str, ...] = ("block",), order: str = "channel") -> DataFrame:
-    """``trend``: median of ``n`` rows around each, the ends repeated."""
+def sliding_median(x: np.ndarray, n: int) -> np.ndarray:
+    """Median of the ``n`` (odd) values around each, the ends repeated; NaN counts as above all numbers.
+
+    The window is kept in order: a value comes in and one goes out by
+    bisection, so that the width hardly counts.
+    """
+    if n % 2 == 0:
+        raise ValueError("the width of a running median has to be odd")
     half = n // 2
-    w = Window.partitionBy(*keys).orderBy(order)
-    around = [F.coalesce(F.lag(value, k).over(w) if k > 0 else F.lead(value, -k).over(w) if k < 0 else F.col(value), F.first(value).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) if k > 0 else F.last(value).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))) for k in range(-half, half + 1)]
-    return df.withColumn("trend", F.element_at(F.array_sort(F.array(*around)), half + 1))
+    if not len(x):
+        return np.zeros(0)
+    wide = np.where(np.isnan(x), np.inf, x)
+    wide = np.concatenate([np.repeat(wide[:1], half), wide, np.repeat(wide[-1:], half)]).tolist()
+    held = sorted(wide[:n])
+    out = [held[half]]
+    for gone, new in zip(wide, wide[n:], strict=False):
+        if gone != new:
+            del held[bisect.bisect_left(held, gone)]
+            bisect.insort(held, new)
+        out.append(held[half])
+    made = np.array(out)
+    return np.where(np.isposinf(made), np.nan, made) if np.isnan(x).any() else made
 
 
-#: Limits of the similarity of dead and noisy channels, of their density at high frequencies, of the similarity outside.
-SIMILARITY, DENSITY, OUTSIDE = (-0.5, 1.0), 0.02, -0.75
+def running_median(df: DataFrame, value: str, n: int = 11, keys: tuple[str, ...] = ("block",), order: str = "channel") -> DataFrame:
+    """``trend``: median of ``n`` (odd) rows around each, the ends repeated; a task holds the values of one key."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(order)
+        return group.assign(trend=sliding_median(group[value].to_numpy(float), n))
 
+    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    return df.groupBy(*keys).applyInPandas(run, f"{shape}, trend double")
 
-def _trend(x: np.ndarray, n: int = 11) -> np.ndarray:
-    half = n // 2
-    wide = np.concatenate([np.repeat(x[:1], half), x, np.repeat(x[-1:], half)])
-    return np.sort(np.lib.stride_tricks.sliding_window_view(wide, n), 1)[:, half]
+
+def median_filter(df: DataFrame, n: int) -> DataFrame:
+    """Running median along time of a recording's blocks (block, channel, samples): blocks see half a width of their neighbours."""
+    return in_margins(df, lambda x: along_time(x, lambda a: np.stack([sliding_median(r, n) for r in a])), n // 2)
+
+
+#: Limits of the similarity of dead and noisy channels, of their density at high frequencies, of the similarity outside.
+SIMILARITY, DENSITY, OUTSIDE = (-0.5, 1.0), 0.02, -0.75
 
 
 def _likeness(x: np.ndarray) -> np.ndarray:
@@ -269,9 +296,9 @@ def _likeness(x: np.ndarray) -> np.ndarray:
 def channel_features(x: np.ndarray, fs: float, similarity_threshold: tuple[float, float] = SIMILARITY, psd_threshold: float = DENSITY, outside_threshold: float | str = OUTSIDE) -> dict[str, np.ndarray]:
     """Features and labels of the channels of a block's matrix, as :func:`bad_channels` has them."""
     whole = _likeness(x)
-    slow = _trend(_likeness(K.sosfiltfilt(K.butterworth(3, 2 * (300 if fs > 2600 else 1) / fs, "highpass"), x)))
+    slow = sliding_median(_likeness(K.sosfiltfilt(K.butterworth(3, 2 * (300 if fs > 2600 else 1) / fs, "highpass"), x)), 11)
     f, p = K.welch(x * 1e6, fs)
-    out = {"rms_raw": np.sqrt((x * x).mean(1)), "xcor_hf": whole - _trend(whole), "xcor_lf": slow - 1, "psd_hf": p[:, f > fs / 2 * 0.8].mean(1)}
+    out = {"rms_raw": np.sqrt((x * x).mean(1)), "xcor_hf": whole - sliding_median(whole, 11), "xcor_lf": slow - 1, "psd_hf": p[:, f > fs / 2 * 0.8].mean(1)}
     limit = _fall(out["xcor_lf"]) if outside_threshold == "adaptive" else float(outside_threshold)
     outside = np.logical_and.accumulate((out["xcor_lf"] < limit)[::-1])[::-1]
     low, high = similarity_threshold
