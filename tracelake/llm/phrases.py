@@ -11,10 +11,13 @@ arrays.
 Counts of nodes are summed over the shards.  A node is entered only if the
 sums of its link and of its prefix reach the least count, so the texts are
 read three times: for words and pairs, for longer phrases all whose pairs are
-frequent, and for the exact counts of what may be frequent, by their words.
-What a shard looks at is told by a filter of hashes (8 MB); it may let more
-through, never less.  With far more than 60 million frequent pairs it lets
-most through, and more is shuffled.
+frequent, and for the words of those that are.  With its count each node gives
+a place of its own, a hash of the document's words and of the position in it;
+the least place of each is the only one whose words are read, so a phrase
+that stands in every shard is sent once.  What a shard looks at is told by
+filters of hashes (8 MB); they may let more through, never less.  With far
+more than 60 million frequent pairs they let most through, and more counts
+are shuffled.  Phrases are told apart by 64-bit hashes.
 
 Cuts and subsumption are joins on language and phrase.  A phrase lies in a
 longer one of at least as many occurrences only if it is the link or the
@@ -39,8 +42,8 @@ LEAST = 100
 TOP = 2000
 #: Occurrences of a longer phrase in hundredths of a phrase's own that make it redundant.
 PERCENT = 100
-#: Bytes of texts of one automaton.
-SHARD_BYTES = 16 << 20
+#: Bytes of texts of one automaton, and of those hashed at once.
+SHARD_BYTES, HASH_BYTES = 8 << 20, 1 << 20
 #: Parts of a language that are ranked on their own first.
 PARTS = 64
 
@@ -67,7 +70,7 @@ class SuffixAutomaton:
 
     def keep(self, known: np.ndarray) -> None:
         """Leave out the places whose node is not in ``known`` (a mask by place)."""
-        self.ok &= known
+        self.ok = self.ok & known
 
     def deepen(self) -> None:
         """Go on to strings of one word more whose link and prefix are left."""
@@ -78,10 +81,6 @@ class SuffixAutomaton:
         ok &= self.ok
         self.key, self.ok, self.depth = key, ok, self.depth + 1
 
-    def counts(self) -> tuple[np.ndarray, np.ndarray]:
-        """Nodes at this depth, and their endpos counts."""
-        return np.unique(self.key[self.ok], return_counts=True)
-
     def nodes(self) -> tuple[np.ndarray, np.ndarray]:
         """A place of each node at this depth, and its endpos count."""
         at = np.flatnonzero(self.ok)
@@ -89,48 +88,75 @@ class SuffixAutomaton:
         return at[first], count
 
 
-def _shards(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
-    """Batches of about ``limit`` bytes of texts (the second column)."""
+class _Shard:
+    """Words of some texts: their hashes, sequences, languages and names of their places, and where their bytes are."""
+
+    def __init__(self, parts: list[pa.RecordBatch]):
+        self.names: list[str] = []
+        words, sequence, lang, start, end, places, raw, at, gone = [], [], [], [], [], [], [], 0, 0
+        for part in parts:
+            langs = part.column(0).dictionary_encode()
+            to = []
+            for name in langs.dictionary.to_pylist():
+                if name not in self.names:
+                    self.names.append(name)
+                to.append(self.names.index(name))
+            data, offsets = buffers(part.column(1))
+            hashes, a, b, first = word_hashes(data, offsets, space=_GAP)
+            text = np.repeat(np.arange(part.num_rows), np.diff(first))
+            of = np.array(to, np.int32)[langs.indices.to_numpy()][text]
+            place = np.arange(len(hashes)) - first[text] if len(hashes) else text
+            # a name for the document's words, and of each place in it
+            each = mix(hashes + mix(place.astype(np.uint64) + _STEP))
+            sums = np.r_[np.uint64(0), np.cumsum(each, dtype=np.uint64)]
+            own = sums[first[1:]] - sums[first[:-1]]
+            places.append(mix(own[text] ^ mix(place.astype(np.uint64))))
+            salt = np.array([int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "little") for x in self.names], np.uint64)
+            ends = np.cumsum(_PIECE_ENDS[data], dtype=np.int32)
+            words.append(mix(hashes ^ salt[of]))
+            # a new text begins a new sequence as well
+            sequence.append(ends[a] + text + gone if len(a) else text)
+            lang.append(of)
+            start.append(a + at)
+            end.append(b + at)
+            raw.append(data.tobytes())
+            at, gone = at + len(data), gone + part.num_rows + (int(ends[-1]) if len(ends) else 0)
+        self.words, self.sequence, self.lang, self.start, self.end, self.places = map(np.concatenate, (words, sequence, lang, start, end, places))
+        self.raw, self.sizes = b"".join(raw), np.bincount(self.lang, minlength=len(self.names))
+
+    def tree(self) -> SuffixAutomaton:
+        return SuffixAutomaton(self.words, self.sequence)
+
+
+def _shards(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[_Shard]:
+    """Shards of about ``limit`` bytes of texts (lang, body)."""
     held, size = [], 0
     for batch in batches:
-        for part in pieces(batch.select([1, 0]), limit):
-            held.append(part)
+        for part in pieces(batch.select([1, 0]), HASH_BYTES):
+            held.append(part.select([1, 0]))
             size += part.column(0).nbytes
             if size >= limit:
-                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                yield _Shard(held)
                 held, size = [], 0
-    if sum(x.num_rows for x in held):
-        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-
-
-def _read(shard: pa.RecordBatch) -> tuple[SuffixAutomaton, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[str]]:
-    """The automaton of a shard (body, lang), its bytes, words' bounds, the language of each word, and the languages."""
-    langs = shard.column(1).dictionary_encode()
-    names = langs.dictionary.to_pylist()
-    of = langs.indices.to_numpy()
-    data, offsets = buffers(shard.column(0))
-    words, start, end, first = word_hashes(data, offsets, space=_GAP)
-    text = np.repeat(np.arange(len(of)), np.diff(first))
-    salt = np.array([int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "little") for x in names], np.uint64)
-    lang = of[text]
-    words = mix(words ^ salt[lang]) if len(words) else words
-    ends = np.cumsum(_PIECE_ENDS[data]) if len(data) else np.zeros(0, np.int64)
-    # a new text begins a new sequence as well
-    return SuffixAutomaton(words, ends[start] + text), data, np.stack([start, end]), lang, np.bincount(lang, minlength=len(names)), names
+    if held:
+        yield _Shard(held)
 
 
 def _hash_counts(docs: DataFrame, depths: range, known: np.ndarray | None, limit: int) -> DataFrame:
-    """h, n of the nodes at these depths in each shard, of those entered."""
+    """h, n, place of the nodes at these depths in each shard, of those entered; summed, with the least place of each."""
     held = None if known is None else docs.sparkSession.sparkContext.broadcast(known)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard in _shards(batches, limit):
-            tree = _read(shard)[0]
+            tree, places = shard.tree(), shard.places.view(np.int64)
+            del shard
             while True:
                 if tree.depth in depths:
-                    key, n = tree.counts()
-                    for a in range(0, len(key), 500_000):
-                        yield pa.RecordBatch.from_arrays([pa.array(key[a : a + 500_000].view(np.int64)), pa.array(n[a : a + 500_000].astype(np.int64))], names=["h", "n"])
+                    at, n = tree.nodes()
+                    for a in range(0, len(at), 100_000):
+                        part = at[a : a + 100_000]
+                        yield pa.RecordBatch.from_arrays([pa.array(tree.key[part].view(np.int64)), pa.array(n[a : a + 100_000].astype(np.int64)), pa.array(places[part])], names=["h", "n", "place"])
+                    del at, n
                 if tree.depth == depths[-1]:
                     break
                 if held is not None and tree.depth == 2:
@@ -138,50 +164,47 @@ def _hash_counts(docs: DataFrame, depths: range, known: np.ndarray | None, limit
                 tree.deepen()
             tidy()
 
-    return docs.mapInArrow(count, "h bigint, n bigint")
+    return docs.mapInArrow(count, "h bigint, n bigint, place bigint").groupBy("h").agg(F.sum("n").alias("n"), F.min("place").alias("place"))
 
 
-def _text_counts(docs: DataFrame, known: np.ndarray, depth: int, limit: int) -> DataFrame:
-    """lang, phrase, k (its words), n in each shard, of phrases that ``known`` holds; k = 0 has the number of words."""
-    held = docs.sparkSession.sparkContext.broadcast(known)
+def _words_of(docs: DataFrame, keys: DataFrame, depth: int, limit: int) -> DataFrame:
+    """h, place, lang, phrase, k (its words) at places that ``keys`` (h, place) may name; k = 0 has a shard's number of words of a language as h."""
+    known, named = (docs.sparkSession.sparkContext.broadcast(key_filter(keys.select(c))) for c in ("h", "place"))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard in _shards(batches, limit):
-            tree, data, bounds, lang, sizes, names = _read(shard)
-            rows: list[tuple[str, str, int, int]] = [(x, "", 0, int(n)) for x, n in zip(names, sizes.tolist(), strict=True)]
-            raw = data.tobytes().lower()  # of bytes: A-Z alone
-            start, end = bounds.tolist()
+            tree, raw = shard.tree(), shard.raw.lower()  # of bytes: A-Z alone
+            rows: list[tuple] = [(int(n), 0, x, "", 0) for x, n in zip(shard.names, shard.sizes.tolist(), strict=True)]
+            start, end, lang, places = shard.start, shard.end, shard.lang, shard.places.view(np.int64)
+            here = passes(named.value, shard.places)
             while True:
-                ok = passes(held.value, tree.key)
-                full, tree.ok = tree.ok, tree.ok & ok
-                k = tree.depth
-                at, n = tree.nodes()
-                for i, m in zip(at.tolist(), n.tolist(), strict=True):
-                    rows.append((names[lang[i]], b" ".join(raw[start[j] : end[j]] for j in range(i - k + 1, i + 1)).decode(), k, m))
+                k, full = tree.depth, tree.ok
+                tree.keep(passes(known.value, tree.key))
+                for i in np.flatnonzero(tree.ok & here).tolist():
+                    rows.append((int(tree.key[i : i + 1].view(np.int64)[0]), int(places[i]), shard.names[lang[i]], b" ".join(raw[start[j] : end[j]] for j in range(i - k + 1, i + 1)).decode(), k))
                 if k == depth:
                     break
                 if k == 1:
                     tree.ok = full
                 tree.deepen()
-            columns = list(zip(*rows, strict=True))
             for a in range(0, len(rows), 100_000):
-                part = [c[a : a + 100_000] for c in columns]
-                yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.string()), pa.array(part[1], pa.string()), pa.array(part[2], pa.int32()), pa.array(part[3], pa.int64())], names=["lang", "phrase", "k", "n"])
+                part = list(zip(*rows[a : a + 100_000], strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.int64()), pa.array(part[1], pa.int64()), pa.array(part[2], pa.string()), pa.array(part[3], pa.string()), pa.array(part[4], pa.int32())], names=["h", "place", "lang", "phrase", "k"])
             tidy()
 
-    return docs.mapInArrow(count, "lang string, phrase string, k int, n bigint")
+    return docs.mapInArrow(read, "h bigint, place bigint, lang string, phrase string, k int")
 
 
 def phrase_counts(docs: DataFrame, work: Scratch, depth: int = DEPTH, least: int = LEAST, limit: int = SHARD_BYTES) -> tuple[DataFrame, DataFrame]:
     """Frequent phrases of up to ``depth`` words (lang, phrase, k, n), and each language's words (lang, n).  ``docs``: lang, body."""
-    pairs = _hash_counts(docs, range(1, 3), None, limit).groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("h")
-    pairs = work.write(pairs, "phrase-pairs")
+    pairs = work.write(_hash_counts(docs, range(1, 3), None, limit).where(F.col("n") >= least), "phrase-pairs")
     keys = pairs
     if depth > 2:
-        longer = _hash_counts(docs, range(3, depth + 1), key_filter(pairs), limit).groupBy("h").agg(F.sum("n").alias("n"))
-        keys = pairs.union(work.write(longer.where(F.col("n") >= least).select("h"), "phrase-longer"))
-    sums = work.write(_text_counts(docs, key_filter(keys), depth, limit).groupBy("lang", "phrase", "k").agg(F.sum("n").alias("n")), "phrase-counts")
-    return sums.where((F.col("k") > 0) & (F.col("n") >= least)), sums.where("k = 0").select("lang", "n")
+        longer = _hash_counts(docs, range(3, depth + 1), key_filter(pairs.select("h")), limit)
+        keys = pairs.union(work.write(longer.where(F.col("n") >= least), "phrase-longer"))
+    told = work.write(_words_of(docs, keys, depth, limit), "phrase-words")
+    found = told.where("k > 0").dropDuplicates(["h", "place"]).join(keys, ["h", "place"]).select("lang", "phrase", "k", "n")
+    return work.write(found, "phrase-counts"), told.where("k = 0").groupBy("lang").agg(F.sum("h").alias("n"))
 
 
 def _part(first: bool):
