@@ -42,6 +42,17 @@ def test_same_as_sql(spark, duck, name):
             assert (got[c].astype(str) == want[c].astype(str)).all(), c
 
 
+@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLE_SQL)))
+def test_others_run(spark, name):
+    """Queries without SQL, as registered: rows, the same again, and no infinite value."""
+    out = registry.QUERIES[name](spark, AT)
+    numbers = [c for c, kind in out.dtypes if kind in ("double", "float")]
+    got = comparable(out.toPandas())
+    assert len(got) and not np.isinf(got[numbers].to_numpy(float)).any() and got[numbers].notna().to_numpy().any() >= bool(numbers)
+    again = comparable(registry.QUERIES[name](spark, AT).toPandas())
+    assert got.astype(str).equals(again.astype(str))
+
+
 def test_entry(spark):
     import __spark_entry__
 

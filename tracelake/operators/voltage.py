@@ -286,11 +286,12 @@ SIMILARITY, DENSITY, OUTSIDE = (-0.5, 1.0), 0.02, -0.75
 
 
 def _likeness(x: np.ndarray) -> np.ndarray:
-    """Projection of each row on the median row, without means; NaN if that is constant."""
+    """Projection of each row on the median row, without means; NaN if that is constant.  As :func:`similarity`."""
+    x = x - x.mean(1, keepdims=True)
     ref = np.median(x, 0)
     ref = ref - ref.mean()
     power = (ref * ref).sum()
-    return (x - x.mean(1, keepdims=True)) @ ref / power if power else np.full(len(x), np.nan)
+    return x @ ref / power if power else np.full(len(x), np.nan)
 
 
 def channel_features(x: np.ndarray, fs: float, similarity_threshold: tuple[float, float] = SIMILARITY, psd_threshold: float = DENSITY, outside_threshold: float | str = OUTSIDE) -> dict[str, np.ndarray]:

@@ -141,6 +141,8 @@ class PlacedBytes(DataSource):
 def place(rows: DataFrame, path: str, append: bool = False) -> None:
     """Writes rows (at, data) as one file."""
     rows.sparkSession.dataSource.register(PlacedBytes)
+    if "://" not in (at := local_path(path)):
+        os.makedirs(os.path.dirname(at) or ".", exist_ok=True)
     rows.select("at", "data").write.format("placed_bytes").mode("append").option("append", str(append).lower()).save(path)
 
 
