@@ -140,9 +140,18 @@ def flat(tmp_path_factory):
     return at
 
 
+def test_two_conditions_on_one_load(spark, flat):
+    """A load that doesn't push may be used under any number of conditions; loads that push are one's own."""
+    rows = spark.read.format("recording").option("channels", NC).option("block", 100).load(flat)
+    both = rows.where("channel = 1").union(rows.where("channel <> 1"))
+    assert both.count() == 10 * NC
+    pushed = R.pushed(spark, flat, "channel = 1", channels=NC, block=100).union(R.pushed(spark, flat, "channel = 2", channels=NC, block=100))
+    assert {r.channel for r in pushed.collect()} == {1, 2}
+
+
 def spans_read(df):
     """Partitions that gave rows, and bytes read for them."""
-    each = df.groupBy("first_sample").agg(F.first("read_bytes").alias("b")).agg(F.count(F.lit(1)), F.sum("b")).first()
+    each = df.select("first_sample", "read_bytes").groupBy("first_sample").agg(F.first("read_bytes").alias("b")).agg(F.count(F.lit(1)), F.sum("b")).first()
     return each[0], each[1] or 0
 
 
@@ -161,8 +170,7 @@ def spans_read(df):
     ],
 )
 def test_filters_leave_out_bytes(spark, flat, where, firsts, channels):
-    rows = spark.read.format("recording").option("channels", NC).option("block", 100).option("read_bytes", "true").load(flat)
-    got = rows.where(where)
+    got = R.pushed(spark, flat, where, channels=NC, block=100, read_bytes="true")
     assert {(r.first_sample, r.channel) for r in got.collect()} == {(f, c) for f in firsts for c in channels}
     assert spans_read(got)[1] == 2 * NC * 100 * len(firsts)
 
@@ -170,8 +178,8 @@ def test_filters_leave_out_bytes(spark, flat, where, firsts, channels):
 def test_partitions_follow_the_filters(spark, flat):
     rows = spark.read.format("recording").option("channels", NC).option("block", 100).load(flat)
     assert rows.rdd.getNumPartitions() == 10
-    assert rows.where("channel IN (1, 2) AND first_sample >= 700").rdd.getNumPartitions() == 3
-    file = R._Reader({"path": flat, "channels": str(NC), "block": "100"})
+    assert R.pushed(spark, flat, "channel IN (1, 2) AND first_sample >= 700", channels=NC, block=100).rdd.getNumPartitions() == 3
+    file = R._PushReader({"path": flat, "channels": str(NC), "block": "100"})
     rest = list(file.pushFilters([R.GreaterThan(("first_sample",), 150), R.EqualTo(("samples",), 1), R.In(("channel",), (2, None))]))
     assert [r.attribute for r in rest] == [("samples",)] and [s.first for s in file.partitions()] == list(range(200, 1000, 100))
     batch = next(iter(file.read(file.partitions()[0])))

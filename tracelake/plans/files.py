@@ -56,7 +56,7 @@ def _read(spark, at, block: int):
 @query(f"WITH {_WHOLE} SELECT channel, t AS sample, v FROM whole WHERE channel IN (3, 40, 99) AND t >= 64")
 def flat_file(spark, d):
     """The signal as a flat int16 file of many tasks; of three channels, what is read from sample 64 on by filters that reach the file."""
-    rows = _read(spark, _flat(spark, d), 32).where("channel IN (3, 40, 99) AND first_sample >= 64")
+    rows = R.pushed(spark, _flat(spark, d), "channel IN (3, 40, 99) AND first_sample >= 64", channels=100, block=32)
     cells = rows.select("channel", "first_sample", F.posexplode("samples").alias("i", "v"))
     return cells.select("channel", (F.col("first_sample") + F.col("i")).alias("sample"), F.col("v").cast("long").alias("v"))
 

@@ -146,8 +146,8 @@ def place(rows: DataFrame, path: str, append: bool = False) -> None:
     rows.select("at", "data").write.format("placed_bytes").mode("append").option("append", str(append).lower()).save(path)
 
 
-def _matrix(group: pd.DataFrame, channels: int, kind: np.dtype, scale: float) -> np.ndarray:
-    """Samples by channels, of one block's rows (channel, samples): divided by the scale, rounded, within the type's range."""
+def _matrix(group: pd.DataFrame, channels: int, kind: np.dtype, scale: float, whole=np.rint) -> np.ndarray:
+    """Samples by channels, of one block's rows (channel, samples): divided by the scale, made whole, within the type's range."""
     group = group.sort_values("channel")
     if group["channel"].tolist() != list(range(channels)):
         raise ValueError(f"the block has channels {group['channel'].tolist()[:5]}.., not 0 to {channels - 1}, once each")
@@ -156,7 +156,7 @@ def _matrix(group: pd.DataFrame, channels: int, kind: np.dtype, scale: float) ->
         raise ValueError("the block's channels differ in length")
     x = np.stack(rows, 1) / scale
     if kind.kind in "iu":
-        x = np.clip(np.rint(x), np.iinfo(kind).min, np.iinfo(kind).max)
+        x = np.clip(whole(x), np.iinfo(kind).min, np.iinfo(kind).max)
     return x.astype(kind)
 
 
@@ -165,11 +165,11 @@ def _exists(path: str, append: bool, overwrite: bool) -> None:
         raise FileExistsError(path)
 
 
-def write_flat(df: DataFrame, path: str, channels: int, scale: float = 1.0, dtype: str = "int16", append: bool = False, overwrite: bool = False, padding: int = 0) -> None:
+def write_flat(df: DataFrame, path: str, channels: int, scale: float = 1.0, dtype: str = "int16", append: bool = False, overwrite: bool = False, padding: int = 0, truncate: bool = False) -> None:
     """A recording (first_sample, channel, samples) as a flat matrix of samples by channels.
 
-    Values are divided by ``scale``, rounded to the nearest (whole types) and
-    clipped to the type.  Blocks may have any lengths, but have to follow each
+    Values are divided by ``scale``, rounded to the nearest (whole types;
+    towards zero with ``truncate``) and clipped to the type.  Blocks may have any lengths, but have to follow each
     other without gaps; every block has all channels from 0.  ``append`` goes
     on after a file's old end, ``padding`` repeats the last sample so often.
     No file is left, or the old one as it was, if a block is missing or a task
@@ -180,7 +180,7 @@ def write_flat(df: DataFrame, path: str, channels: int, scale: float = 1.0, dtyp
     first, last = df.agg(F.min("first_sample"), F.max("first_sample")).first()
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        x, begin = _matrix(group, channels, kind, scale), int(group["first_sample"].iloc[0])
+        x, begin = _matrix(group, channels, kind, scale, np.trunc if truncate else np.rint), int(group["first_sample"].iloc[0])
         if padding and begin == last:
             x = np.concatenate([x, np.repeat(x[-1:], padding, 0)])
         return pd.DataFrame({"at": [(begin - first) * width], "data": [x.tobytes()]})
@@ -256,6 +256,11 @@ def damaged_chunks(spark: SparkSession, path: str) -> DataFrame:
     return found.where("hex(digest) <> upper(told)").select("chunk", "first_sample", "last_sample")
 
 
+def write_text(spark: SparkSession, text: str, path: str) -> None:
+    """A small text as one file."""
+    place(spark.createDataFrame([(0, text.encode())], "at bigint, data binary"), path)
+
+
 def to_flat(spark: SparkSession, source: str, path: str, **options) -> None:
     """A recording file (chunk-compressed, or any that the source reads) as a flat one, value by value."""
     spark.dataSource.register(RecordingSource)

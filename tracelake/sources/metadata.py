@@ -174,6 +174,35 @@ def write(df: DataFrame, path: str, by: tuple[str, ...] = ("path",)) -> None:
     told.repartition(*by).write.mode("overwrite").partitionBy(*by).text(path)
 
 
+def as_runs(channels: list[int]) -> str:
+    """Channels in the form of a subset: ``0:3,7``."""
+    runs: list[list[int]] = []
+    for c in sorted(channels):
+        if runs and c == runs[-1][1] + 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return ",".join(f"{a}:{b}" if b > a else str(a) for a, b in runs)
+
+
+def for_part(meta: dict[str, str], channels: list[int], n_sync: int, band: str, shank: int, size: int, fs: float, split: bool) -> dict[str, str]:
+    """Metadata of a part of a recording: the saved ``channels`` (``n_sync`` of them sync) of one shank and band, in a file of ``size`` bytes.
+
+    A part of a split recording names its channels from 0, and those that it
+    has of the original; what is marked as no original isn't converted again.
+    """
+    counts = [str(len(channels) - n_sync), "0"]
+    told = ",".join([*(counts if band == "ap" else counts[::-1]), str(n_sync)])
+    out = meta | {"acqApLfSy": told, "snsApLfSy": told, "fileSizeBytes": str(size), "imSampRate": f"{fs:g}", "original_meta": "False"}
+    if split:
+        return out | {"snsSaveChanSubset_orig": as_runs(channels), "snsSaveChanSubset": f"0:{len(channels) - 1}", "nSavedChans": str(len(channels)), "NP2.4_shank": str(shank)}
+    return out | {f"{SINGLE}_shank": str(shank)}
+
+
+#: Version that a probe with one shank is converted as.
+SINGLE = "NP2.1"
+
+
 def for_shanks(df: DataFrame, shanks: DataFrame) -> DataFrame:
     """Metadata (meta) of each shank's parts of a recording: shank, band, meta.
 

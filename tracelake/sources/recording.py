@@ -8,9 +8,11 @@ file with its ``.ch`` description, on a local disk or in a store that pyarrow
 opens by its address.  A partition is a range of samples; the driver reads no
 more than the file's size (or its description).  Options ``first``, ``last``
 (samples) and ``only`` (channels, as ``0:3,7``) keep the rest from being read,
-and so do filters on block, first_sample and channel where
-``spark.sql.python.filterPushdown.enabled`` is set: ranges and sets of the
-first two leave out partitions, those of channels rows.
+and so do filters on block, first_sample and channel with the option ``push``
+(and ``spark.sql.python.filterPushdown.enabled``): ranges and sets of the first
+two leave out partitions, those of channels rows.  Spark keeps one reader for
+each ``load``, with the filters that came last, so a load that pushes is for one
+condition; :func:`pushed` loads anew for each.
 :func:`read_recording` joins the metadata beside a file: volts and sites.
 """
 
@@ -180,6 +182,17 @@ class _Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.file = _File(options)
 
+    def partitions(self) -> list[Span]:
+        """Spans with any row that is asked for; a row's first sample is its span's, or the option ``first`` within it."""
+        some = any(self.file.wanted("channel", c) for c in (range(self.file.channels) if self.file.only is None else self.file.only))
+        spans = self.file.spans(0, self.file.length()) if some else []
+        return [s for s in spans if self.file.wanted("block", s.block) and self.file.wanted("first_sample", max(s.first, self.file.first))] or [Span(0, 0, 0)]
+
+    def read(self, partition: Span) -> Iterator[pa.RecordBatch]:
+        return self.file.rows(partition) if partition.last > partition.first else iter(())
+
+
+class _PushReader(_Reader):
     def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
         """Takes over comparisons of block, first_sample and channel; Spark sees to the rest."""
         for f in filters:
@@ -193,15 +206,6 @@ class _Reader(DataSourceReader):
             elif not isinstance(f, IsNotNull):  # none of them is ever null
                 yield f
 
-    def partitions(self) -> list[Span]:
-        """Spans with any row that is asked for; a row's first sample is its span's, or the option ``first`` within it."""
-        some = any(self.file.wanted("channel", c) for c in (range(self.file.channels) if self.file.only is None else self.file.only))
-        spans = self.file.spans(0, self.file.length()) if some else []
-        return [s for s in spans if self.file.wanted("block", s.block) and self.file.wanted("first_sample", max(s.first, self.file.first))] or [Span(0, 0, 0)]
-
-    def read(self, partition: Span) -> Iterator[pa.RecordBatch]:
-        return self.file.rows(partition) if partition.last > partition.first else iter(())
-
 
 class _StreamReader(DataSourceStreamReader):
     """Offsets are numbers of samples; a growing file gives what was added, in whole samples."""
@@ -226,7 +230,7 @@ class _StreamReader(DataSourceStreamReader):
 
 
 class RecordingSource(DataSource):
-    """Options: path, channels, dtype, block (samples of a row), scale (volts per bit), first, last, only, read_bytes (true: a column with the bytes read for a row's partition)."""
+    """Options: path, channels, dtype, block (samples of a row), scale (volts per bit), first, last, only, push (true: filters are taken over), read_bytes (true: a column with the bytes read for a row's partition)."""
 
     @classmethod
     def name(cls) -> str:
@@ -236,12 +240,19 @@ class RecordingSource(DataSource):
         return SCHEMA + (", read_bytes bigint" if self.options.get("read_bytes", "false").lower() == "true" else "")
 
     def reader(self, schema) -> DataSourceReader:
-        return _Reader(dict(self.options))
+        return (_PushReader if self.options.get("push", "false").lower() == "true" else _Reader)(dict(self.options))
 
     def streamReader(self, schema) -> DataSourceStreamReader:
         return _StreamReader(dict(self.options))
 
 
+def pushed(spark, path: str, where: str, **options) -> DataFrame:
+    """A recording's rows under a condition that reaches the source, in a load of its own."""
+    spark.dataSource.register(RecordingSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")  # concerns loads with ``push`` alone
+    return spark.read.format("recording").options(push="true", **{k: str(v) for k, v in options.items()}).load(path).where(where)
+
+
 def read_recording(spark, path: str, meta: str | None = None, band: str | None = None, **options) -> DataFrame:
     """A recording with the metadata beside it: block, channel, first_sample, samples in volts, shank, x, y, position.
 
