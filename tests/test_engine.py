@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tracelake.functions import columns as C
 from tracelake.functions import kernels as K
+from tracelake.operators import clocks as CL
 from tracelake.operators import events as E
 from tracelake.operators import geometry as G
 from tracelake.operators import voltage as V
@@ -443,7 +444,7 @@ def test_clocks_far_apart_and_with_gaps(spark):
     i, j, _, _ = E.match_clocks(np.array([0.0, 5.0, 5.04, 9.0, 20.0]), np.array([0.0, 5.0, 5.04, 9.0, 20.0]) + 2)
     assert i.tolist() == j.tolist() == [0, 1, 2, 3, 4]
     rows = [(1, "a", float(t)) for t in a] + [(1, "b", float(t)) for t in b] + [(2, "a", 1.0), (2, "b", 1.0)]
-    found = {r.rec: (r.lag, r.n) for r in E.clock_lag(spark.createDataFrame(rows, "rec long, side string, time double")).collect()}
+    found = {r.rec: (r.lag, r.n) for r in CL.clock_lag(spark.createDataFrame(rows, "rec long, side string, time double")).collect()}
     assert abs(found[1][0] + 34343) <= 1 and found[2] == (0, 1)
 
 

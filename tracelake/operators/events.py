@@ -216,24 +216,6 @@ def _best_lag(x: np.ndarray, y: np.ndarray) -> tuple[int, float, float, float]:
     return i - n, c[i], c[i - 1], c[i + 1]
 
 
-def clock_lag(events: DataFrame, tbin: float = 0.1) -> DataFrame:
-    """Per recording the lag, in bins, at which most of the occupied bins of its two clocks meet, the first of equals: rec, lag, n.
-
-    ``events``: rec, side ('a' or 'b'), time.  All lags are tried.
-    """
-    low = events.groupBy("rec").agg(F.min("time").alias("low"))
-    bins = events.join(low, "rec").select("rec", "side", F.floor((F.col("time") - F.col("low")) / tbin).cast("long").alias("bin")).distinct()
-
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        a, b = (np.sort(group.loc[group["side"] == s, "bin"].to_numpy()) for s in "ab")
-        if not len(a) or not len(b):
-            return pd.DataFrame({"rec": [], "lag": [], "n": []})
-        lag, n, _, _ = _best_lag(a, b)
-        return pd.DataFrame({"rec": [group["rec"].iloc[0]], "lag": [lag], "n": [int(n)]})
-
-    return bins.groupBy("rec").applyInPandas(one, "rec bigint, lag bigint, n bigint")
-
-
 def _near_pairs(a: np.ndarray, b: np.ndarray, width: float) -> tuple[np.ndarray, np.ndarray]:
     """Indices of all pairs of a's and ascending b's values nearer than ``width``."""
     lo, hi = np.searchsorted(b, a - width, "right"), np.searchsorted(b, a + width, "left")
@@ -280,19 +262,3 @@ def match_clocks(tsa: np.ndarray, tsb: np.ndarray, tbin: float = 0.1, linear: bo
     ia = np.flatnonzero(match >= 0)
     slope, start = np.polyfit(tsa[ia], tsb[match[ia]], 1) if len(ia) > 1 else (1.0, -delta)
     return ia, match[ia], float(slope), float(start)
-
-
-def clock_pairs(events: DataFrame, tbin: float = 0.1) -> DataFrame:
-    """Matches per recording: rec, time_a, time_b, drift_ppm, of rows (rec, side 'a' or 'b', time).
-
-    A task holds the events of one recording.
-    """
-
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        a, b = (np.sort(group.loc[group["side"] == s, "time"].to_numpy()) for s in "ab")
-        if not len(a) or not len(b):
-            return pd.DataFrame({"rec": [], "time_a": [], "time_b": [], "drift_ppm": []})
-        i, j, slope, _ = match_clocks(a, b, tbin)
-        return pd.DataFrame({"rec": group["rec"].iloc[0], "time_a": a[i], "time_b": b[j], "drift_ppm": (slope - 1) * 1e6})
-
-    return events.groupBy("rec").applyInPandas(one, "rec bigint, time_a double, time_b double, drift_ppm double")

@@ -3,9 +3,6 @@
 from __future__ import annotations
 
 import os
-import re
-import tempfile
-import uuid
 
 import numpy as np
 import pandas as pd
@@ -23,6 +20,7 @@ from ..sources import metadata as M
 from ..sources import recording as R
 from ..streaming import stateful as S
 
+from ..views import folder as _folder
 from .signals import SQL as SIGNAL_SQL
 from .signals import recursion_sql, recursive
 from .spikes import SQL as SPIKE_SQL
@@ -31,16 +29,6 @@ QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    """A new folder beside the shared ones; where none is named, a temporary one in local mode and an error on a cluster."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
-        at = tempfile.mkdtemp(prefix="tracelake-")
-    return f"{at}/{name}-{uuid.uuid4().hex}"
-
-
 #: Samples that a block sees of its neighbours.
 MARGIN = 1024
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .. import views
 from ..functions import columns as C
 from ..functions import kernels as K
+from ..operators import clocks as CL
 from ..operators import events as E
 from ..operators import geometry as G
 from ..operators import waveforms as X
@@ -315,7 +316,7 @@ SELECT lag, n FROM g ORDER BY n DESC, lag LIMIT 1""")
 def sync_lag(spark, d):
     both = views.spikes(spark, d).where(F.col("sorter").isin("view", "click"))
     clocks = both.select(F.lit(0).cast("long").alias("rec"), F.when(F.col("sorter") == "view", "a").otherwise("b").alias("side"), F.col("sample").cast("double").alias("time"))
-    return E.clock_lag(clocks, 600.0).select("lag", "n")
+    return CL.clock_lag(clocks, 600.0).select("lag", "n")
 
 
 @query("""WITH p AS (SELECT user_id, ts, event_id FROM events WHERE event_type = 'purchase'), v AS (SELECT user_id, ts, event_id FROM events WHERE event_type = 'view')
@@ -344,7 +345,7 @@ def sync_match(spark, d):
     t = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 - 1704067200
     e = views.table(spark, d, "events").select(F.col("user_id").alias("rec"), t.alias("time"))
     both = e.withColumn("side", F.lit("a")).unionByName(e.select("rec", (F.col("time") * 1.000001 + 3.0).alias("time"), F.lit("b").alias("side")))
-    return E.clock_pairs(both, 10.0).select("rec", *(F.round(c, k).alias(c) for c, k in (("time_a", 6), ("time_b", 6), ("drift_ppm", 1))))
+    return CL.clock_pairs(both, views.folder(spark, "clocks"), 10.0).select("rec", *(F.round(c, k).alias(c) for c, k in (("time_a", 6), ("time_b", 6), ("drift_ppm", 1))))
 
 
 # --- spike tables and waveforms ----------------------------------------------------------
@@ -623,4 +624,4 @@ def drift_of_clocks(spark, d):
     t = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 - 1704067200
     e = views.table(spark, d, "events").where("event_type = 'view'").select(F.col("user_id").alias("rec"), t.alias("time"))
     both = e.withColumn("side", F.lit("a")).unionByName(e.select("rec", (F.col("time") * (1 + 17.14e-6) + 34.323).alias("time"), F.lit("b").alias("side")))
-    return E.clock_pairs(both, 60.0).groupBy("rec").agg(F.round(F.max("drift_ppm"), 2).alias("drift_ppm"))
+    return CL.clock_pairs(both, views.folder(spark, "clocks"), 60.0).groupBy("rec").agg(F.round(F.max("drift_ppm"), 2).alias("drift_ppm"))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +14,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder beside the shared ones; where none is named, a temporary one in local mode and an error on a cluster."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        at = tempfile.mkdtemp(prefix="tracelake-")
+    return f"{at}/{name}-{uuid.uuid4().hex}"
+
+
 def signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks of 100 channels on four shanks, 64 samples each: block, channel, shank, samples."""
     e = table(spark, sf_dir, "embeddings")
