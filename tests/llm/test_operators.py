@@ -471,11 +471,33 @@ def test_ppm_keeps_its_order_at_any_number_of_grams(spark, tmp_path):
         s = b"\xff" * 5 + texts[i] + b"\xff"
         want[i] = sum(price(s[k - 5 : k + 1]) for k in range(5, len(s)))
     assert len({s[k : k + 6] for s in streams for k in range(len(s) - 5)}) > 200
-    for out in (ppm.score_documents(spark.read.parquet(str(tmp_path / "d"))), ppm.score_documents(spark.read.parquet(str(tmp_path / "d")), max_nodes=200)):
+    for nodes in (ppm.MAX_NODES, 200, 20, 3):
+        out = ppm.score_documents(spark.read.parquet(str(tmp_path / "d")), max_nodes=nodes)
         got = {r.doc_id: r.score for r in out.collect()}
         assert len(got) == 41 and all(math.isclose(got[i], x, rel_tol=1e-5) for i, x in want.items())
 
 
+def test_ppm_deals_a_dominant_pair_by_more_bytes():
+    """Of one pair that most n-grams' contexts end in: the largest task's n-grams stay within twice what a task should hold."""
+    rng = np.random.default_rng(1)
+    n, most = 40_000, 1000
+    bytes_ = rng.integers(97, 123, (n, 6)).astype(np.uint64)
+    bytes_[: n * 3 // 4, 3:5] = [101, 32]  # contexts that end in "e "
+    keys = np.unique((bytes_ << (np.arange(5, -1, -1, dtype=np.uint64) * np.uint64(8))).sum(1, dtype=np.uint64))
+    hot, above = {}, None
+    for d in range(2, 5):
+        ends = ppm._ends(keys >> np.uint64(8), d)
+        ends = ends if above is None else ends[np.isin(ppm._ends(ends, d - 1), above)]
+        found, count = np.unique(ends, return_counts=True)
+        above = found[count > most]
+        if not len(above):
+            break
+        hot[d] = (above, None, None)
+    plain = np.unique(ppm._dealt_by(keys, 5, 2, {}), return_counts=True)[1]
+    split = np.unique(ppm._dealt_by(keys, 5, 2, hot), return_counts=True)[1]
+    assert plain.max() > n // 2 and split.max() <= 2 * most
+
+
 def test_ppm_blocks_of_very_uneven_texts(spark, tmp_path, monkeypatch):
     """Long texts among short ones: every row once, the same scores as in a table of its own order."""
     rng = random.Random(6)

@@ -13,8 +13,11 @@ block sends, packed and by hash partition, its distinct n-grams and words with
 their counts (none for those of held-out rows alone).  Distinct n-grams are
 dealt again by the last two bytes of their contexts, so that all longer
 contexts of an n-gram lie together, and each gets its log probability there.
-Of the shorter contexts the counts of byte pairs are broadcast: 65,536 at most
-in any corpus.  Each block gets back the log probabilities of its own n-grams
+Where two bytes have more n-grams than a task should hold, these are dealt by
+three, and so on.  Of the contexts that are shorter than what an n-gram is
+dealt by the successors' counts are broadcast: those of byte pairs, 65,536 at
+most in any corpus, and those of ``HOT`` contexts of each length at most.
+Each block gets back the log probabilities of its own n-grams
 and the counts of its own words, so the model has its full order at any size.
 """
 
@@ -45,6 +48,8 @@ PART_BYTES = 64 << 20
 MAX_NODES = 500_000
 #: Bytes of a context by which n-grams are dealt; shorter contexts are broadcast.
 NEAR = 2
+#: Contexts of one length that are dealt by a byte more, at most.
+HOT = 1 << 13
 
 
 def fold(data: np.ndarray) -> np.ndarray:
@@ -122,6 +127,11 @@ def _home(keys: np.ndarray, count: int) -> np.ndarray:
     return ((keys * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(33)) % np.uint64(count)).astype(np.int64)
 
 
+def _ends(codes: np.ndarray, n: int) -> np.ndarray:
+    """The last ``n`` bytes of codes."""
+    return codes & np.uint64((1 << 8 * n) - 1)
+
+
 @dataclass
 class Level:
     """n-grams of one length: sorted codes, their counts, and per gram its context's totals."""
@@ -139,10 +149,13 @@ class Trie:
     """PPM model from the counts of (order+1)-grams.
 
     ``short`` are the whole corpus's counts of ``near``-grams, where
-    ``codes`` hold only all those with some contexts of ``near`` bytes.
+    ``codes`` hold only all those with some contexts of ``near`` bytes; ``hot``
+    has, by length, the contexts of which they hold but a part, and the
+    whole corpus's counts of what follows these; ``asked`` are all grams that
+    will be asked for.
     """
 
-    def __init__(self, codes: np.ndarray, counts: np.ndarray, order: int, near: int = 0, short: tuple[np.ndarray, np.ndarray] | None = None):
+    def __init__(self, codes: np.ndarray, counts: np.ndarray, order: int, near: int = 0, short: tuple[np.ndarray, np.ndarray] | None = None, hot: dict[int, tuple] | None = None, asked: np.ndarray | None = None):
         self.order = order
         self.levels: list[Level] = []
         by_length = {order: (codes, counts.astype(np.int64))}
@@ -152,6 +165,11 @@ class Trie:
                 by_length[k] = short
                 continue
             by_length[k] = _sum(longer[0] & np.uint64((1 << 8 * (k + 1)) - 1), longer[1])
+            if hot and k in hot:
+                own, (contexts, whole, sums) = by_length[k], hot[k]
+                part = np.isin(own[0] >> np.uint64(8), contexts)
+                here = np.isin(whole >> np.uint64(8), _ends(asked >> np.uint64(8), k))
+                by_length[k] = _sum(np.r_[own[0][~part], whole[here]], np.r_[own[1][~part], sums[here]])
         for k in range(order + 1):
             codes, counts = by_length[k]
             contexts = codes >> np.uint64(8)
@@ -364,17 +382,81 @@ def _short_grams(grams_by_part: DataFrame, near: int) -> tuple[np.ndarray, np.nd
     return found["code"].to_numpy(np.uint64), found["n"].to_numpy(np.int64)
 
 
-def _prices(grams_by_part: DataFrame, order: int, count: int, tasks: int) -> DataFrame:
-    """Each distinct gram with its log10 probability, packed, by the partition (p) that counted it."""
+def _hot_contexts(grams_by_part: DataFrame, order: int, near: int, most: int) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """By length (``near`` bytes and more), the contexts with more than ``most`` n-grams, and codes and counts of these with their next byte.
+
+    A length is looked at only below what is hot at the one before.
+    """
+    spark, out, above = grams_by_part.sparkSession, {}, None
+    for d in range(near, order):
+        held = spark.sparkContext.broadcast(above)
+
+        def tell(batches: Iterator[pa.RecordBatch], d=d, held=held) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for blob in batch.column(0).to_pylist():
+                    (keys,), (sums,) = _unpack_sorted([blob], "<u8", "<i8")
+                    contexts = keys >> np.uint64(8)
+                    if held.value is not None:
+                        some = np.isin(_ends(contexts, d - 1), held.value)
+                        keys, sums, contexts = keys[some], sums[some], contexts[some]
+                    found, n = np.unique(_ends(contexts, d), return_counts=True)
+                    # counts of what follows a context: those of the length before, now that its contexts are known
+                    codes, total = _sum(_ends(keys, d), sums) if held.value is not None else (keys[:0], sums[:0])
+                    kind = np.r_[np.zeros(len(found), np.int32), np.ones(len(codes), np.int32)]
+                    yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(np.r_[found, codes].view(np.int64)), pa.array(np.r_[n, total].astype(np.int64))], names=["kind", "code", "n"])
+
+        sums = grams_by_part.select("blob").mapInArrow(tell, "kind int, code bigint, n bigint").groupBy("kind", "code").agg(F.sum("n").alias("n"))
+        told = sums.where(((F.col("kind") == 0) & (F.col("n") > most)) | ((F.col("kind") == 1) & (F.col("n") > 0))).orderBy("code").toArrow()
+        kind, code, n = told.column("kind").to_numpy(), told.column("code").to_numpy().view(np.uint64), told.column("n").to_numpy()
+        if above is not None:
+            out[d - 1] = (above, code[kind == 1], n[kind == 1])
+        above = code[kind == 0]
+        if not len(above):
+            return out
+    # the last length's contexts have 256 n-grams at most; none is hot unless a task is to hold fewer
+    codes = _followers(grams_by_part, order - 1, above) if above is not None else None
+    if codes is not None:
+        out[order - 1] = (above, *codes)
+    return out
+
+
+def _followers(grams_by_part: DataFrame, d: int, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes and counts of contexts of ``d`` bytes with their next one."""
+    held = grams_by_part.sparkSession.sparkContext.broadcast(contexts)
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for blob in batch.column(0).to_pylist():
+                (keys,), (sums,) = _unpack_sorted([blob], "<u8", "<i8")
+                some = np.isin(_ends(keys >> np.uint64(8), d), held.value)
+                codes, total = _sum(_ends(keys[some], d + 1), sums[some])
+                yield pa.RecordBatch.from_arrays([pa.array(codes.view(np.int64)), pa.array(total.astype(np.int64))], names=["code", "n"])
+
+    told = grams_by_part.select("blob").mapInArrow(tell, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")).where("n > 0").orderBy("code").toArrow()
+    return told.column("code").to_numpy().view(np.uint64), told.column("n").to_numpy()
+
+
+def _dealt_by(keys: np.ndarray, order: int, near: int, hot: dict[int, tuple]) -> np.ndarray:
+    """What an n-gram is dealt by: the last bytes of its context, one more than where they are hot, and how many."""
+    contexts = keys >> np.uint64(8)
+    depth = np.full(len(keys), near, np.uint64)
+    for d in sorted(hot):
+        depth[(depth == d) & np.isin(_ends(contexts, d), hot[d][0])] += np.uint64(1)
+    return (contexts & ((np.uint64(1) << np.uint64(8) * depth) - np.uint64(1))) ^ (depth << np.uint64(56))
+
+
+def _prices(grams_by_part: DataFrame, order: int, count: int, tasks: int, most: int) -> DataFrame:
+    """Each distinct gram with its log10 probability, packed, by the partition (p) that counted it; ``most`` n-grams of a context stay together."""
     near = min(NEAR, order)
     spark = grams_by_part.sparkSession
     short = spark.sparkContext.broadcast(_short_grams(grams_by_part, near) if near else None)
+    hot = spark.sparkContext.broadcast(_hot_contexts(grams_by_part, order, near, most) if near else {})
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for blob in batch.column(0).to_pylist():
                 (keys,), (sums,) = _unpack_sorted([blob], "<u8", "<i8")
-                rows = _pack_sorted(_home(keys >> np.uint64(8) & np.uint64((1 << 8 * near) - 1), tasks), tasks, keys, sums)
+                rows = _pack_sorted(_home(_dealt_by(keys, order, near, hot.value), tasks), tasks, keys, sums)
                 yield pa.RecordBatch.from_arrays([pa.array([q for q, _ in rows], pa.int64()), pa.array([b for _, b in rows], pa.binary())], names=["q", "blob"])
 
     def price(group: pd.DataFrame) -> pd.DataFrame:
@@ -382,7 +464,7 @@ def _prices(grams_by_part: DataFrame, order: int, count: int, tasks: int) -> Dat
         by = np.argsort(keys)
         keys, sums = keys[by], sums[by]
         learnt = sums > 0
-        logs = Trie(keys[learnt], sums[learnt], order, near, short.value).log10(keys).astype(np.float32)
+        logs = Trie(keys[learnt], sums[learnt], order, near, short.value, hot.value, keys).log10(keys).astype(np.float32)
         rows = _pack_sorted(_home(keys, count), count, keys, logs)
         tidy()
         return pd.DataFrame({"p": [p for p, _ in rows], "blob": [b for _, b in rows]})
@@ -426,7 +508,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shape = "kind string, p bigint, block bigint, blob binary, tokens bigint, words bigint"
     counted = materialise(dealt(_gather(blocks, order, count), 2 * count, "kind", "p").groupBy("kind", "p").applyInPandas(_reduce, shape), "ppm-counts")
     distinct_grams = counted.where("kind = 'g'").agg(F.sum("words")).first()[0] or 0
-    prices = materialise(_prices(counted.where("kind = 'g'"), order, count, partitions(spark, distinct_grams, max_nodes)), "ppm-prices")
+    prices = materialise(_prices(counted.where("kind = 'g'"), order, count, partitions(spark, distinct_grams, max_nodes), max(max_nodes, distinct_grams // HOT)), "ppm-prices")
     tokens, distinct = counted.where("kind = 'n'").agg(F.sum("tokens"), F.sum("words")).first()
     n, v = tokens or 0, distinct or 0
     asked = dealt(counted.where("kind = 'i'").select("p", "block", "blob"), count, "p")
