@@ -57,13 +57,15 @@ def fronts_blocks(df: DataFrame, size: int, step: float = 1) -> DataFrame:
     return wide.select("channel", F.inline(F.filter(change, lambda r: F.abs(r["polarity"]) >= step)))
 
 
-def saturation_blocks(df: DataFrame, max_voltage: float, fs: float, v_per_sec: float = 1e-8, proportion: float = 0.2) -> DataFrame:
+def saturation_blocks(df: DataFrame, max_voltage: float, fs: float, v_per_sec: float = 1e-8, proportion: float = 0.2, alone: bool = False) -> DataFrame:
     """As :func:`saturation`, of array rows (block, channel, samples) that are parts of one recording: block, saturated (an array).
 
     Arrays of a block meet in one shuffle; the change at a block's end is that
-    to the next block's first sample.
+    to the next block's first sample, unless the blocks stand ``alone``.
     """
-    wide = with_margins(df.select("block", "channel", "samples"), 1, 1).select("block", "channel", F.concat("samples", "tail").alias("samples"), F.size("samples").alias("n"))
+    rows = df.select("block", "channel", "samples")
+    rows = rows.withColumn("tail", F.slice("samples", 1, 0)) if alone else with_margins(rows, 1, 1)
+    wide = rows.select("block", "channel", F.concat("samples", "tail").alias("samples"), F.size("samples").alias("n"))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         x, n = np.stack(group["samples"].to_numpy()).astype(float), int(group["n"].iloc[0])
@@ -76,11 +78,13 @@ def saturation_blocks(df: DataFrame, max_voltage: float, fs: float, v_per_sec: f
     return wide.groupBy("block").applyInPandas(run, "block bigint, saturated array<boolean>")
 
 
-def mute_blocks(sat: DataFrame, n: int = 7) -> DataFrame:
-    """As :func:`mute`, of the rows of :func:`saturation_blocks`: block, mute (an array); a window reaches into the blocks beside."""
+def mute_blocks(sat: DataFrame, n: int = 7, alone: bool = False) -> DataFrame:
+    """As :func:`mute`, of the rows of :func:`saturation_blocks`: block, mute (an array); a window reaches into the blocks beside, unless they stand ``alone``."""
     half = n // 2
     weights = [math.sin(math.pi / n * (k + 0.5)) for k in range(n)]
-    wide = with_margins(sat, half, half, (), "saturated").select("block", F.size("head").alias("h"), F.size("saturated").alias("n"), F.transform(F.concat("head", "saturated", "tail"), lambda x: x.cast("double")).alias("all"))
+    none = F.slice("saturated", 1, 0)
+    wide = sat.withColumns({"head": none, "tail": none}) if alone else with_margins(sat, half, half, (), "saturated")
+    wide = wide.select("block", F.size("head").alias("h"), F.size("saturated").alias("n"), F.transform(F.concat("head", "saturated", "tail"), lambda x: x.cast("double")).alias("all"))
     near = lambda i, k: F.coalesce(F.get(F.col("all"), F.col("h") + i + (k - half)), F.lit(0.0)) * weights[k]
     gain = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.greatest(F.lit(0.0), 1 - sum((near(i, k) for k in range(n)), F.lit(0.0))))
     return wide.select("block", gain.alias("mute"))

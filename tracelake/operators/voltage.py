@@ -132,6 +132,12 @@ def common_reference(df: DataFrame, keys: tuple[str, ...] = ("block", "shank", "
     return df.withColumn("v", F.col("v") - (F.median("v") if operator == "median" else F.avg("v")).over(w))
 
 
+def reference_blocks(df: DataFrame, operator: str = "median", keys: tuple[str, ...] = ("block", "shank")) -> DataFrame:
+    """As :func:`common_reference`, of array rows: a group's arrays meet in one shuffle, and no row is made for a sample."""
+    middle = np.median if operator == "median" else np.mean
+    return across_channels(df, lambda x: x - middle(x, 0), keys)
+
+
 def rms(column: Column) -> Column:
     return F.sqrt(F.avg(column * column))
 
@@ -175,6 +181,11 @@ def interpolate_bad(df: DataFrame, geometry: DataFrame, labels: DataFrame, p: fl
     return out.withColumn("v", F.when(F.col("bad"), F.coalesce("made", F.lit(0.0))).otherwise(F.col("v"))).select(*df.columns)
 
 
+def interpolate_blocks(df: DataFrame, geometry: DataFrame, labels: DataFrame) -> DataFrame:
+    """As :func:`interpolate_bad`, of array rows (block, channel, shank, samples)."""
+    return _spatial(df, 0.0, geometry, labels, None, None)
+
+
 def _placed(df: DataFrame, sites: DataFrame) -> DataFrame:
     """Rows with columns of their site; Spark broadcasts a probe's few sites by their size."""
     return df.join(sites, "channel")
@@ -294,6 +305,16 @@ def _likeness(x: np.ndarray) -> np.ndarray:
     return x @ ref / power if power else np.full(len(x), np.nan)
 
 
+def similarity_blocks(df: DataFrame) -> DataFrame:
+    """As :func:`similarity`, of array rows: block, channel, xcor."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("channel")
+        return pd.DataFrame({"block": group["block"].to_numpy(), "channel": group["channel"].to_numpy(), "xcor": _likeness(np.stack(group["samples"].to_numpy()).astype(float))})
+
+    return df.select("block", "channel", "samples").groupBy("block").applyInPandas(run, "block bigint, channel bigint, xcor double")
+
+
 def channel_features(x: np.ndarray, fs: float, similarity_threshold: tuple[float, float] = SIMILARITY, psd_threshold: float = DENSITY, outside_threshold: float | str = OUTSIDE) -> dict[str, np.ndarray]:
     """Features and labels of the channels of a block's matrix, as :func:`bad_channels` has them."""
     whole = _likeness(x)

@@ -94,14 +94,19 @@ GEOM = """geom AS (
   SELECT i AS ind, (i // 2)::DOUBLE * 20 + 20 AS y, [2, 0, 3, 1][(i % 4 + 1)::INT]::DOUBLE * 16 + 11 AS x FROM range(100) t(i))"""
 
 
+def _cells(df):
+    """Array rows as one for each sample, rounded."""
+    return rounded(V.to_long(df).withColumn("sample", F.col("sample").cast("long")), "v")
+
+
 @query(f"""WITH {SIGNAL} SELECT block, channel, shank, label, sample, round(v - median(v) OVER (PARTITION BY block, shank, sample), 6) + 0.0 AS v FROM sig""")
 def car_median(spark, d):
-    return rounded(V.common_reference(views.signal_long(spark, d)), "v")
+    return _cells(V.reference_blocks(views.signal(spark, d)))
 
 
 @query(f"""WITH {SIGNAL} SELECT block, channel, shank, label, sample, round(v - avg(v) OVER (PARTITION BY block, shank, sample), 6) + 0.0 AS v FROM sig""")
 def car_mean(spark, d):
-    return rounded(V.common_reference(views.signal_long(spark, d), operator="mean"), "v")
+    return _cells(V.reference_blocks(views.signal(spark, d), "mean"))
 
 
 @query(f"""WITH {SIGNAL} SELECT block, channel, round(sqrt(avg(v * v)), 6) AS rms, round(avg(v), 6) + 0.0 AS dc_offset FROM sig GROUP BY 1, 2""")
@@ -113,8 +118,9 @@ def rms_channel(spark, d):
 @query(f"""WITH {SIGNAL}, c AS (SELECT *, v - median(v) OVER (PARTITION BY block, shank, sample) AS c FROM sig)
 SELECT block, channel, round(sqrt(avg(c * c)), 6) AS rms, min(sample) AS first_sample, max(sample) AS last_sample FROM c GROUP BY 1, 2""")
 def block_rms_after_car(spark, d):
-    df = V.common_reference(views.signal_long(spark, d))
-    return rounded(df.groupBy("block", "channel").agg(V.rms(F.col("v")).alias("rms"), F.min("sample").alias("first_sample"), F.max("sample").alias("last_sample")), "rms")
+    energy, n = F.aggregate("samples", F.lit(0.0), lambda a, x: a + x * x), F.size("samples")
+    out = V.reference_blocks(views.signal(spark, d)).select("block", "channel", F.sqrt(energy / n).alias("rms"), F.lit(0).cast("long").alias("first_sample"), (n - 1).cast("long").alias("last_sample"))
+    return rounded(out, "rms")
 
 
 @query(f"""WITH {SIGNAL} SELECT label, sample, round(avg(v), 6) + 0.0 AS v, count(*) AS fold FROM sig GROUP BY 1, 2""")
@@ -132,7 +138,7 @@ r AS (SELECT *, median(c) OVER (PARTITION BY block, sample) AS r0 FROM m),
 q AS (SELECT *, r0 - avg(r0) OVER (PARTITION BY block, channel) AS r FROM r)
 SELECT block, channel, round(sum(c * r) / sum(r * r), 6) + 0.0 AS xcor FROM q GROUP BY 1, 2""")
 def xcor_median_reference(spark, d):
-    return rounded(V.similarity(views.signal_long(spark, d)), "xcor")
+    return rounded(V.similarity_blocks(views.signal(spark, d)), "xcor")
 
 
 _PAD = "[x[1], x[1], x[1], x[1], x[1]] || x || [x[-1], x[-1], x[-1], x[-1], x[-1]]"
@@ -170,8 +176,8 @@ FROM sig s LEFT JOIN m ON m.block = s.block AND m.target = s.channel AND m.sampl
 def interpolate_bad(spark, d):
     geometry = G.layout(spark, "1", channels=100)
     labels = spark.range(100).select(F.col("id").alias("channel"), F.when(F.col("id") % 13 == 5, 1).otherwise(0).alias("label"))
-    df = views.signal_long(spark, d).select("block", "channel", "sample", "v")
-    return rounded(V.interpolate_bad(df, geometry, labels), "v")
+    df = views.signal(spark, d).select("block", "channel", "shank", "samples")
+    return _cells(V.interpolate_blocks(df, geometry, labels)).drop("shank")
 
 
 @query(f"""WITH {SIGNAL}, p AS (SELECT *, channel // 2 AS row, channel % 2 AS col FROM sig),

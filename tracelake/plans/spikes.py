@@ -266,19 +266,21 @@ f AS (SELECT block, sample, avg((abs(v) > 0.96 * 0.3)::INT) > 0.06 OR avg(coales
 
 
 def _saturation(spark, d):
-    return E.saturation(views.signal_long(spark, d), 0.3, 2, 0.16, 0.06)
+    return E.saturation_blocks(views.signal(spark, d), 0.3, 2, 0.16, 0.06, alone=True)
 
 
 @query(f"WITH {views.SIGNAL}, {_SATURATION} SELECT block, sample, saturated FROM f")
 def saturation(spark, d):
-    return _saturation(spark, d)
+    out = _saturation(spark, d).select("block", F.posexplode("saturated").alias("sample", "saturated"))
+    return out.withColumn("sample", F.col("sample").cast("long"))
 
 
 @query(f"""WITH {views.SIGNAL}, {_SATURATION}, m AS (SELECT a.block, a.sample, sum(b.saturated::INT * sin(pi() / 7 * (b.sample - a.sample + 3.5))) AS t
   FROM f a JOIN f b ON a.block = b.block AND abs(a.sample - b.sample) <= 3 GROUP BY 1, 2)
 SELECT block, sample, round(greatest(0, 1 - t), 6) + 0.0 AS mute FROM m""")
 def mute(spark, d):
-    return rounded(E.mute(_saturation(spark, d)).select("block", "sample", "mute"), "mute")
+    out = E.mute_blocks(_saturation(spark, d), alone=True).select("block", F.posexplode("mute").alias("sample", "mute"))
+    return rounded(out.withColumn("sample", F.col("sample").cast("long")), "mute")
 
 
 @query(f"""WITH {SERIES}, f AS (SELECT channel, sample, v > 60 AS s, lag(v > 60, 1, false) OVER w AS ps, lead(sample) OVER w AS nx, max(sample) OVER (PARTITION BY channel) AS e FROM series WINDOW w AS (PARTITION BY channel ORDER BY sample)),
