@@ -6,11 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
-from ..functions.columns import at, first_argmax, taper
+from ..functions.columns import at, first_argmax
 from .samples import random_of_each
 from .voltage import with_margins
 
@@ -135,9 +137,66 @@ def parabolic_maximum(values: Column) -> Column:
     return F.struct(F.when(edge, i.cast("double")).otherwise(i + move).alias("i"), F.when(edge, b).otherwise(b + move * slope + move * move * curve).alias("v"))
 
 
-def _extreme(arr: Column, low: Column, high: Column) -> Column:
-    """Place of the greatest value between two places (the second excluded), the first of equals."""
-    return first_argmax(F.transform(arr, lambda x, i: F.when((i >= low) & (i < high), x)))
+def _first_max(x: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Of each row the place of its greatest value between two places (the second excluded), the first of equals."""
+    i = np.arange(x.shape[1])
+    return np.where((i >= low[:, None]) & (i < high[:, None]), x, -np.inf).argmax(1)
+
+
+def shape_features(x: np.ndarray, fs: float, k: int) -> dict[str, np.ndarray]:
+    """Features of tapered waveforms (waveforms, traces, samples), as :func:`features` names them; NaN where there is none."""
+    m, _, n = x.shape
+    rows, last = np.arange(m), np.full(m, n)
+    best = np.abs(x).reshape(m, -1).argmax(1)
+    trace, pt = np.divmod(best, n)
+    real = x[rows, trace]
+    pv, sign = real[rows, pt], -np.sign(real[rows, pt])
+    tt = _first_max(real * sign[:, None], pt, last)
+    tv = real[rows, tt]
+    over = lambda a, b: np.divide(a, b, out=np.full(m, np.nan), where=b != 0)
+    swap = (pv > 0) & (np.abs(over(pv, tv)) <= 1.5)
+    pt, pv, first = np.where(swap, tt, pt), np.where(swap, tv, pv), tt
+    sign = np.where(swap, -np.sign(pv), sign)
+    turned = real * sign[:, None]
+    arr = np.where(swap[:, None], real, turned)
+    tt = np.where(swap, _first_max(turned, pt, last), first)
+    tv = real[rows, tt]
+    tip = np.where(pt > 0, _first_max(arr, np.zeros(m, int), pt), -1)
+    i = np.arange(n)
+    above = arr - (pv / 2 * sign)[:, None] > 0
+    later, sooner = above & (i >= pt[:, None]), above & (i < pt[:, None])
+    post = np.where(later.any(1), later.argmax(1), 0)
+    pre = np.where(sooner.any(1), n - 1 - sooner[:, ::-1].argmax(1), n - 1)
+    rec = np.minimum(tt + k, n - 1)
+    value = lambda at: arr[rows, at] * sign
+    ratio, none = np.abs(over(pv, tv)), tip < 0
+    tipv, recv = np.where(none, np.nan, value(tip)), value(rec)
+    slope = lambda rise, a, b: over(rise, (a - b) / fs)
+    with np.errstate(divide="ignore"):
+        log = np.where(ratio > 0, np.log(ratio), np.nan)
+    return {
+        "peak_trace_idx": trace,
+        "peak_time_idx": pt,
+        "peak_val": pv,
+        "invert_sign_peak": sign,
+        "trough_time_idx": tt,
+        "trough_val": tv,
+        "peak_to_trough_ratio": ratio,
+        "peak_to_trough_ratio_log": log,
+        "tip_time_idx": np.where(none, np.nan, tip),
+        "tip_val": tipv,
+        "peak_to_trough_duration": (tt - pt) / fs,
+        "half_peak_post_time_idx": post,
+        "half_peak_pre_time_idx": pre,
+        "half_peak_post_val": value(post),
+        "half_peak_pre_val": value(pre),
+        "half_peak_duration": (post - pre) / fs,
+        "recovery_time_idx": rec,
+        "recovery_val": recv,
+        "depolarisation_slope": slope(pv - tipv, pt, tip),
+        "repolarisation_slope": slope(tv - pv, tt, pt),
+        "recovery_slope": slope(recv - tv, rec, tt),
+    }
 
 
 def features(df: DataFrame, fs: float = 30_000, length: int = LENGTH, recovery_ms: float = 0.16) -> DataFrame:
@@ -147,59 +206,37 @@ def features(df: DataFrame, fs: float = 30_000, length: int = LENGTH, recovery_m
     greatest value of the inverted trace from it on, the tip before it.  Where
     a positive peak is at most 1.5 times its trough, the two swap.  Without a
     sample before the peak there is no tip, and features of it are null.
+    Waveforms are read in batches, all that have as many traces at once; one
+    without traces has no features.
     """
     k = int(round(recovery_ms * fs / 1000))
     if k >= length:
         raise ValueError("the recovery point lies outside of the waveform")
-    n = F.lit(length)
-    tapered = F.transform("traces", lambda tr: F.transform(tr, lambda x, i: F.nanvl(F.coalesce(x, F.lit(0.0)), F.lit(0.0)) * taper(i, 0, length, 5)))
-    d = df.select("waveform_index", tapered.alias("traces"))
-    d = d.withColumn("b", _peak(F.col("traces"))).select("waveform_index", (-F.col("b.k")).cast("long").alias("peak_trace_idx"), (-F.col("b.i")).cast("long").alias("pt"), F.col("b.x").alias("pv"), at(F.col("traces"), -F.col("b.k")).alias("real"))
-    d = d.withColumn("sign", -F.signum("pv")).withColumn("arr", F.transform("real", lambda x: x * F.col("sign")))
-    d = d.withColumn("tt", _extreme(F.col("arr"), F.col("pt"), n)).withColumn("tv", at(F.col("real"), F.col("tt")))
-    d = d.withColumn("swap", (F.col("pv") > 0) & (F.abs(F.col("pv") / F.nullif("tv", F.lit(0.0))) <= 1.5))
-    d = d.withColumn("swap", F.coalesce("swap", F.lit(False)))
-    pick = lambda a, b: F.when(F.col("swap"), a).otherwise(b)
-    d = d.select("waveform_index", "peak_trace_idx", "real", "swap", pick(F.col("tt"), F.col("pt")).cast("long").alias("pt"), pick(F.col("tv"), F.col("pv")).alias("pv"), F.col("tt").alias("tt0"), F.col("sign").alias("sign0"))
-    d = d.withColumn("sign", pick(-F.signum("pv"), F.col("sign0"))).withColumn("arr", pick(F.col("real"), F.transform("real", lambda x: x * F.col("sign"))))
-    again = _extreme(F.transform("real", lambda x: x * F.col("sign")), F.col("pt"), n)
-    d = d.withColumn("tt", pick(again, F.col("tt0")).cast("long")).withColumn("tv", at(F.col("real"), F.col("tt")))
-    d = d.withColumn("tip", F.when(F.col("pt") > 0, _extreme(F.col("arr"), F.lit(0), F.col("pt"))).cast("long"))
-    half = F.col("pv") / 2 * F.col("sign")
-    above = F.transform("arr", lambda x: (x - half) > 0)
-    d = d.withColumn("above", above)
-    later = F.array_min(F.transform("above", lambda x, i: F.when(x & (i >= F.col("pt")), i)))
-    sooner = F.array_max(F.transform("above", lambda x, i: F.when(x & (i < F.col("pt")), i)))
-    d = d.withColumn("post", F.coalesce(later, F.lit(0)).cast("long")).withColumn("pre", F.coalesce(sooner, n - 1).cast("long"))
-    d = d.withColumn("rec", F.least(F.col("tt") + k, n - 1).cast("long"))
-    value = lambda i: at(F.col("arr"), F.col(i)) * F.col("sign")
-    ratio = F.abs(F.col("pv") / F.nullif("tv", F.lit(0.0)))
-    span = lambda a, b: F.nullif((F.col(a) - F.col(b)) / fs, F.lit(0.0))
-    d = d.withColumn("tipv", value("tip")).withColumn("recv", value("rec"))
-    return d.select(
-        "waveform_index",
-        "peak_trace_idx",
-        F.col("pt").alias("peak_time_idx"),
-        F.col("pv").alias("peak_val"),
-        F.col("sign").alias("invert_sign_peak"),
-        F.col("tt").alias("trough_time_idx"),
-        F.col("tv").alias("trough_val"),
-        ratio.alias("peak_to_trough_ratio"),
-        F.ln(ratio).alias("peak_to_trough_ratio_log"),
-        F.col("tip").alias("tip_time_idx"),
-        F.col("tipv").alias("tip_val"),
-        ((F.col("tt") - F.col("pt")) / fs).alias("peak_to_trough_duration"),
-        F.col("post").alias("half_peak_post_time_idx"),
-        F.col("pre").alias("half_peak_pre_time_idx"),
-        value("post").alias("half_peak_post_val"),
-        value("pre").alias("half_peak_pre_val"),
-        ((F.col("post") - F.col("pre")) / fs).alias("half_peak_duration"),
-        F.col("rec").alias("recovery_time_idx"),
-        F.col("recv").alias("recovery_val"),
-        ((F.col("pv") - F.col("tipv")) / span("pt", "tip")).alias("depolarisation_slope"),
-        ((F.col("tv") - F.col("pv")) / span("tt", "pt")).alias("repolarisation_slope"),
-        ((F.col("recv") - F.col("tv")) / span("rec", "tt")).alias("recovery_slope"),
-    )
+    at = np.arange(length)
+    ramp = lambda x, low, high: np.clip((1 - np.cos(np.clip((x - low) / (high - low), 0, 1) * np.pi)) / 2, 0, 1)
+    fade = ramp(at, 0, 5) * (1 - ramp(at, length - 5, length))
+    names = list(shape_features(np.ones((1, 1, length)), fs, k))
+    kind = df.schema["waveform_index"].dataType.simpleString()
+    whole = {c for c in names if c.endswith("_idx")}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            traces = batch.column(1)
+            found = {c: np.full(batch.num_rows, np.nan) for c in names}
+            count = pc.fill_null(pc.list_value_length(traces), 0).to_numpy(zero_copy_only=False)
+            for n in np.unique(count[count > 0]):
+                rows = np.flatnonzero(count == n)
+                one = traces.take(pa.array(rows)).flatten()
+                if (pc.fill_null(pc.list_value_length(one), 0).to_numpy(zero_copy_only=False) != length).any():
+                    raise ValueError(f"a trace has not {length} samples")
+                x = np.nan_to_num(one.flatten().to_numpy(zero_copy_only=False).astype(float), posinf=np.inf, neginf=-np.inf)
+                for c, v in shape_features(x.reshape(len(rows), int(n), length) * fade, fs, k).items():
+                    found[c][rows] = v
+            columns = [pa.array(np.nan_to_num(v).astype(np.int64), mask=np.isnan(v)) if c in whole else pa.array(v, mask=np.isnan(v)) for c, v in found.items()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["waveform_index", *names])
+
+    shape = f"waveform_index {kind}, " + ", ".join(f"{c} {'bigint' if c in whole else 'double'}" for c in names)
+    return df.select("waveform_index", F.col("traces").cast("array<array<double>>").alias("traces")).mapInArrow(run, shape)
 
 
 def spatial_spread(df: DataFrame, geometry: DataFrame) -> DataFrame:
