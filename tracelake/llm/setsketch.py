@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .ngram_join import _cells, shingle_sets
-from .shared import Scratch, dealt, key_filter, materialise, mix, partitions, passes, pieces, small_batches, tidy
+from .shared import Scratch, dealt, key_filter, materialise, partitions, passes, pieces, small_batches, tidy
 
 WIDTH = 3
 #: Similarity in hundredths.
