@@ -65,6 +65,17 @@ def test_windows_with_overlap_after_a_restart(spark, tmp_path):
     assert {k: v.tolist() for k, v in made.items()} == {k: v for k, v in want.items() if k in made} and set(want) - set(made) <= {(5, 80)}
 
 
+def test_windows_in_a_session_that_names_no_state_store(spark, tmp_path):
+    """The state has several variables, which Spark's own default doesn't hold."""
+    name, x, at = "spark.sql.streaming.stateStore.providerClass", np.arange(50.0), str(tmp_path)
+    plain = spark.newSession()
+    plain.conf.set(name, "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider")
+    stream = O.stream_overlapping(feed(plain, at, [[(5, 0, x.tolist())], [(5, 50, None)]]), lambda a: np.array([a.sum(), len(a)]), 20, 0, 10, whole=True)
+    got = drained(plain, stream, at)
+    assert {k: v.tolist() for k, v in got.items()} == {(5, a): [x[a : a + 30].sum(), len(x[a : a + 30])] for a in (0, 20)}
+    assert "HDFSBacked" in plain.conf.get(name)
+
+
 def test_a_recording_that_gets_no_more_rows_ends(spark, tmp_path):
     at = str(tmp_path)
     feed(spark, at, [[(1, 0, [1.0] * 25)]])

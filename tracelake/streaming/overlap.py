@@ -63,7 +63,7 @@ class Overlapping(StatefulProcessor):
             out.append(self._made(key, data, begin, at, self.step, at + self.step + self.after))
             at += self.step
         if ended:
-            while at is not None and at < end and not (self.whole and out and at + self.after >= end):
+            while at is not None and at < end and not (self.whole and at and at + self.after >= end):
                 n = min(self.step, end - at)
                 out.append(self._made(key, data, begin, at, n, min(end, at + n + self.after)))
                 at += n
@@ -107,7 +107,8 @@ def stream_overlapping(rows: DataFrame, kernel: Callable[[np.ndarray], np.ndarra
 
     A zero-phase filter is its kernel with the margin before and after; windows
     of ``size`` that overlap are ``step`` = size - overlap and ``after`` = overlap
-    with ``whole``.  A recording begins at sample 0.
+    with ``whole``.  A recording begins at sample 0.  The query has to start
+    with its state in RocksDB (:func:`~.stateful.rocksdb`).
     """
     kind = rows.schema[key].dataType.simpleString()
     shape = f"{key} {kind}, first_sample bigint, samples array<double>"
