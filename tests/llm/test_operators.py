@@ -1000,3 +1000,34 @@ def test_near_copies_that_no_leader_links(spark, monkeypatch):
     got = setsketch.near_copies(docs, cell=3).collect()
     assert bag((r.doc_id, r.n_shingles, r.component_id) for r in got) == component_want(rows, 3, 85)
     assert {r.component_id for r in got} == {0}
+
+
+def test_what_earlier_steps_leave_in_executors(spark, tmp_path):
+    """State stores close with their tasks, and an encoder gives up most segments that it remembers; settings come back."""
+    import glob
+    import tempfile
+
+    def stores():
+        folder = spark.conf.get("spark.local.dir", None) or tempfile.gettempdir()
+        return set(glob.glob(f"{folder}/**/StateStoreId*", recursive=True))
+
+    before, name = stores(), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    held = spark.conf.get(name, None)
+    at = str(tmp_path / "docs")
+    spark.createDataFrame([(i, f"text {i % 7}") for i in range(50)], "doc_id bigint, text string").write.parquet(at)
+    assert {r.group_size for r in exact_dedup.exact_dedup(spark, at).collect()} == {7, 8}
+    assert not stores() - before and spark.conf.get(name, None) == held
+
+
+def test_segments_that_are_forgotten_are_encoded_again():
+    import public_tokenizers
+
+    made = pieces_bpe.PieceEncoder(public_tokenizers.path("piece_bpe_32k.model"))
+    texts = [" ".join(f"w{i}x" for i in range(a, a + 30)) for a in range(0, 300, 10)]
+    want = made.encode(texts)
+    n = len(made.seen)
+    first = list(made.seen)[:20]
+    made.forget(20)
+    assert n > 20 and list(made.seen) == first
+    assert [x for t in texts for x in made.encode([t], most_seen=50)] == want
+    assert len(made.seen) <= 50 + 30

@@ -19,13 +19,14 @@ import logging
 import math
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import pieces
+from .shared import pieces, tidy
 
 MARK = "▁"
 #: Characters up to which a segment's agenda is a list.
@@ -130,11 +131,16 @@ class PieceEncoder:
                 own[k] = b
         self.seen.update(zip(new, (np.array(x, "<u4").tobytes() for x in own), strict=True))
 
-    def encode(self, texts: list[str], most_seen: int = 1_000_000) -> list[bytes]:
+    def forget(self, keep: int = 200_000) -> None:
+        """Drops remembered segments but for the first ``keep``, among which the frequent ones are."""
+        if len(self.seen) > keep:
+            self.seen = dict(islice(self.seen.items(), keep))
+
+    def encode(self, texts: list[str], most_seen: int = 500_000) -> list[bytes]:
         """Ids of each text with begin and end, as little-endian unsigned 32-bit integers."""
         split = [self.split(t) for t in texts]
         if len(self.seen) > most_seen:
-            self.seen.clear()
+            self.forget(min(200_000, most_seen // 2))
         new = set().union(*split).difference(self.seen) if split else set()
         if new:
             self.learn(new)
@@ -182,6 +188,9 @@ def encode_pieces(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
                 else:
                     lists = pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in ids], pa.list_(pa.int32()))
                     yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(texts, pa.string())], names=[id_col, "ids", "decoded"])
+        # workers stay for later stages
+        held.forget()
+        tidy()
 
     shape = "n_tokens bigint, ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string"
     return kept.mapInArrow(encode, f"`{id_col}` {kind}, {shape}")
