@@ -7,6 +7,7 @@ import math
 import os
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -361,6 +362,42 @@ def test_components(spark):
     assert got == {i: 0 for i in range(31)} | {i: 100 for i in range(100, 140)}
 
 
+@pytest.mark.parametrize("edges,rounds", [([(9, x) for x in range(10, 30)] + [(40, 41), (41, 40)], 0), ([(1, 5), (2, 5), (2, 7)], 2), ([], 0)])
+def test_components_end_with_stars(spark, monkeypatch, edges, rounds):
+    """No round over what are stars already."""
+    from tracelake.llm.shared import Scratch
+
+    ran, large = [], components._large
+    monkeypatch.setattr(components, "_large", lambda e: ran.append(e) or large(e))
+    got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark)).collect()}
+    assert got == dict.fromkeys({x for e in edges if e[0] < 9 for x in e}, 1) | {x: e[0] for e in edges if 9 <= e[0] < 41 for x in e}
+    assert len(ran) == rounds
+
+
+def test_ngram_join_leaves_the_driver_its_memory(spark, monkeypatch):
+    """While links become components the driver holds nothing by hash bucket; in the end what was broadcast goes."""
+    rows = near_group(random.Random(21), 60, 120, (0, 1, 2, 3, 4, 6))
+    docs, held, join = spark.createDataFrame(rows, SHAPE), [], ngram_join.components
+    monkeypatch.setattr(ngram_join, "components", lambda *a: held.append(tracemalloc.get_traced_memory()[0]) or join(*a))
+    before = set(os.listdir(spark.sparkContext._temp_dir))
+    tracemalloc.start()
+    try:
+        out = ngram_join.similar_sets(docs)
+    finally:
+        tracemalloc.stop()
+    assert held and max(held) < 16 << 20
+    assert set(os.listdir(spark.sparkContext._temp_dir)) <= before
+    assert bag(tuple(r) for r in out.collect()) == component_want(rows)
+
+
+def test_exact_dedup_gives_up_what_it_broadcast(spark):
+    docs = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "doc_id long, text string")
+    before = set(os.listdir(spark.sparkContext._temp_dir))
+    out = exact_dedup.drop_copies(docs)
+    assert set(os.listdir(spark.sparkContext._temp_dir)) <= before
+    assert sorted(r.doc_id for r in out.collect()) == [2, 3]
+
+
 # --- mixing ------------------------------------------------------------------------------
 def test_mix(spark, sf, rows):
     sizes, weights = collections.Counter(), {}

@@ -8,10 +8,17 @@ from pyspark.sql import functions as F
 from .shared import Scratch
 
 
+def _ends(edges: DataFrame, **values: tuple[str, str]) -> DataFrame:
+    """Two rows an edge, one of each end: u, and each of ``values`` for hi and for lo."""
+    ends = [F.struct(F.col(u).alias("u"), *(F.expr(v[i]).alias(k) for k, v in values.items())) for i, u in enumerate(("hi", "lo"))]
+    return edges.select(F.inline(F.array(*ends)))
+
+
 def _large(edges: DataFrame) -> DataFrame:
-    both = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(edges.select("lo", "hi"))
+    both = _ends(edges, v=("lo", "hi"))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
+    up = edges.select(F.col("lo").alias("u"), F.col("hi").alias("v"))
+    return up.join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
 
 
 def _small(edges: DataFrame) -> DataFrame:
@@ -20,8 +27,10 @@ def _small(edges: DataFrame) -> DataFrame:
     return moved.union(least.select("hi", F.col("m").alias("lo"))).distinct()
 
 
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first())
+def _settled(edges: DataFrame) -> bool:
+    """Whether each node is a root alone or has one edge alone, to a root: what a further round would leave as it is."""
+    sides = _ends(edges, above=("0L", "1L"), below=("1L", "0L")).groupBy("u").agg(F.sum("above").alias("above"), F.sum("below").alias("below"))
+    return not sides.where("below > 1 OR below > 0 AND above > 0").agg(F.count(F.lit(1))).first()[0]
 
 
 def components(links: DataFrame, work: Scratch, rounds: int = 100) -> DataFrame:
@@ -35,17 +44,13 @@ def components(links: DataFrame, work: Scratch, rounds: int = 100) -> DataFrame:
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct()
     held = Scratch(links.sparkSession)
     edges = held.write(edges, "links")
-    mark = _mark(edges)
     for _ in range(rounds):
-        if not mark[0]:
+        if _settled(edges):
             break
         later = Scratch(links.sparkSession)
         edges = later.write(_small(_large(edges)), "stars")
-        before, mark = mark, _mark(edges)
         held.clear()
         held = later
-        if mark == before:
-            break
     else:
         raise RuntimeError("components did not settle")
     out = edges.select(F.col("hi").alias("node"), F.col("lo").alias("root")).union(edges.select("lo", "lo").distinct())

@@ -122,8 +122,8 @@ def _add_chunks(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"chunk": [int(group["chunk"].iloc[0])], "blob": [zlib.compress(total.tobytes(), 1)]})
 
 
-def _order(chunks: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Rank of each hash bucket in the global order, and the n-grams in the buckets of each rank."""
+def _order(chunks: DataFrame, hot: int) -> tuple[np.ndarray, int, np.ndarray, int, int]:
+    """Rank of each hash bucket in the global order; of the buckets' n-grams, all, and the ranks that cut them in equal shares; the least count that makes an n-gram common, and the first rank that may hold one."""
     summed = chunks.groupBy("chunk", "salt").applyInPandas(_add_chunks, "chunk int, blob binary").groupBy("chunk").applyInPandas(_add_chunks, "chunk int, blob binary")
     counts = np.zeros((1 << ORDER_BITS - CHUNK_BITS, 1 << CHUNK_BITS), np.int64)
     for row in summed.collect():  # 32 MB at most
@@ -132,7 +132,13 @@ def _order(chunks: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     by = np.argsort(counts, kind="stable")
     rank = np.empty(len(by), np.int32)
     rank[by] = np.arange(len(by), dtype=np.int32)
-    return rank, counts[by]
+    # the driver keeps the ranks alone, until they are broadcast
+    del by
+    counts.sort()
+    hot = max(hot, int(counts.sum()) // COMMON)
+    first = int(np.searchsorted(counts, hot, "right"))
+    mass = np.cumsum(counts, out=counts)
+    return rank, int(mass[-1]), np.searchsorted(mass, mass[-1] * np.arange(1, FRAGMENTS) / FRAGMENTS), hot, first
 
 
 def _common(docs: DataFrame, text_col: str, rank, first: int, width: int, percent: int, hot: int) -> DataFrame:
@@ -159,12 +165,10 @@ def _common(docs: DataFrame, text_col: str, rank, first: int, width: int, percen
     return counts.groupBy("tok").agg(F.sum("n").alias("n")).where(F.col("n") > hot)
 
 
-def _parts(docs: DataFrame, text_col: str, rank, counts: np.ndarray, width: int, percent: int, hot: int) -> tuple[np.ndarray, np.ndarray]:
+def _parts(docs: DataFrame, text_col: str, rank, first: int, width: int, percent: int, hot: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the common n-grams, ascending, and into how many parts the list of each is dealt."""
-    hot = max(hot, int(counts.sum()) // COMMON)
-    first = int(np.searchsorted(counts, hot, "right"))
     none = np.zeros(0, np.uint64), np.zeros(0, np.uint32)
-    if first == len(counts):
+    if first == 1 << ORDER_BITS:
         return none
     rows = _common(docs, text_col, rank, first, width, percent, hot).toArrow()  # COMMON rows at most: each stands for more than a COMMON-th of all
     if not rows.num_rows:
@@ -363,18 +367,15 @@ def _cross_pairs(percent: int):
     return cross
 
 
-def _overlaps(docs: DataFrame, text_col: str, pairs: DataFrame, rank, mass: np.ndarray, width: int, percent: int) -> DataFrame:
+def _overlaps(docs: DataFrame, text_col: str, pairs: DataFrame, rank, cuts: np.ndarray, width: int, percent: int, work: Scratch) -> DataFrame:
     """Links (a, b) among candidate pairs (a, b, na, nb): partial overlaps by fragment, summed per pair."""
-    spark = docs.sparkSession
     total = pairs.agg(F.sum(F.col("na") + F.col("nb"))).first()[0] or 0
     if not total:
         return pairs.select("a", "b").limit(0)
     groups = int(max(1, -(-total // (FRAGMENTS * 2 * TASK_TOKENS))))
     h = F.pmod(F.xxhash64("a"), F.lit(groups))
-    # equal shares of all n-grams, as ranks of hash buckets
-    cuts = np.searchsorted(mass, mass[-1] * np.arange(1, FRAGMENTS) / FRAGMENTS)
     routes = pairs.select(F.col("a").alias("key"), h.alias("h")).union(pairs.select("b", h)).distinct()
-    needed = spark.sparkContext.broadcast(key_filter(routes.select("key").distinct()))
+    needed = work.broadcast(key_filter(routes.select("key").distinct()))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, bits = set(), needed.value
@@ -486,14 +487,15 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     docs = docs.select(F.col(f"`{id_col}`").alias(id_col), F.col(f"`{text_col}`").alias(text_col))
     survey = work.write(_survey(docs, id_col, text_col, width), "join-survey")
     rows = survey.where("chunk IS NULL").select("id", "n", "key")
-    order, counts = _order(survey.where("chunk IS NOT NULL").select("chunk", "salt", "blob"))
-    rank, mass = spark.sparkContext.broadcast(order), np.cumsum(counts)
-    spread = spark.sparkContext.broadcast(_parts(docs, text_col, rank, counts, width, percent, hot))
-    count = partitions(spark, float(mass[-1]) * (100 - percent) / 100, TASK_TOKENS)
+    order, total, cuts, hot, first = _order(survey.where("chunk IS NOT NULL").select("chunk", "salt", "blob"), hot)
+    rank = work.broadcast(order)
+    del order
+    spread = work.broadcast(_parts(docs, text_col, rank, first, width, percent, hot))
+    count = partitions(spark, float(total) * (100 - percent) / 100, TASK_TOKENS)
     lists = _postings(docs, text_col, rank, spread, width, percent, count).repartition(count, "p").groupBy("p")
     candidates = work.write(lists.applyInPandas(_lists(percent), "a bigint, b bigint, na bigint, nb bigint, blob binary"), "join-lists")
     pairs = work.write(candidates.where("blob IS NULL").select("a", "b", "na", "nb").distinct(), "join-pairs")
-    links = work.write(_overlaps(docs, text_col, pairs, rank, mass, width, percent), "join-links")
+    links = work.write(_overlaps(docs, text_col, pairs, rank, cuts, width, percent, work), "join-links")
     later = candidates.where("blob IS NOT NULL").select("a", "blob").distinct()
     roots = components(links, work)
     if not later.isEmpty():
@@ -505,7 +507,7 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             more = _across(placed, runs, percent, count).distinct().join(pairs.select("a", "b"), ["a", "b"], "left_anti")
             more = work.write(more, "join-more")
             if not more.isEmpty():
-                roots = components(links.union(_overlaps(docs, text_col, more, rank, mass, width, percent)), work)
+                roots = components(links.union(_overlaps(docs, text_col, more, rank, cuts, width, percent, work)), work)
     named = rows.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").select("id", "n", F.coalesce("root", "key").alias("root"))
     named = materialise(named, "join-named")
     # a table of its own, so that Spark can split the rows of a large component in the join
