@@ -77,8 +77,11 @@ def chunk_file(spark, d):
 SELECT chunk, sha256(unhex('00' || x)) AS digest FROM b"""
 )
 def file_chunk_hashes(spark, d):
-    """The leaves of a flat file's tree of hashes, a block each."""
-    return FL.chunk_hashes(spark, _flat(spark, d), 64 * 100 * 2).select("chunk", F.lower(F.hex("digest")).alias("digest"))
+    """The leaves of a flat file's tree of hashes, a block each; blocks are written with the channels that they have."""
+    at = f"{_folder(spark, 'flat')}/a.bin"
+    places = FL.write_blocks(_recording(spark, d), at, scale=0.001)
+    ranges = places.select(F.floor(F.col("first_sample") / 64).alias("chunk"), "at", "size")
+    return FL.chunk_hashes(spark, at, ranges=ranges).select("chunk", F.lower(F.hex("digest")).alias("digest"))
 
 
 @query(f"WITH {_WHOLE} SELECT channel, count(*) AS n, sum(v)::BIGINT AS total, sum(v * (t % 7))::BIGINT AS weighted FROM whole GROUP BY 1")

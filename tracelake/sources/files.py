@@ -21,7 +21,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
@@ -29,6 +29,8 @@ from .recording import RecordingSource, local_path, marker_of, open_file
 
 #: Bytes that a task hashes on its own, those it holds at once, and children of a node of the tree.
 HASH_CHUNK, HASH_STEP, HASH_FAN = 64 << 20, 4 << 20, 1024
+#: Samples of a range in which blocks' places are summed.
+PLACE_RANGE = 1 << 20
 
 
 @dataclass
@@ -188,7 +190,32 @@ def write_flat(df: DataFrame, path: str, channels: int, scale: float = 1.0, dtyp
     place(df.select("first_sample", "channel", "samples").groupBy("first_sample").applyInPandas(run, "at bigint, data binary"), path, append)
 
 
-def _in_chunks(df: DataFrame, size: int) -> DataFrame:
+def write_blocks(df: DataFrame, path: str, scale: float = 1.0, dtype: str = "int16") -> DataFrame:
+    """A recording (first_sample, channel, samples) as one file of its blocks, each a flat matrix of its samples by the channels it has; each one's place: first_sample, at, size.
+
+    Where all blocks have all channels, the file is that of :func:`write_flat`.
+    Places are sums over ranges of samples and, of these, a row each.
+    """
+    _exists(path, False, False)
+    kind = np.dtype(dtype)
+    sizes = df.groupBy("first_sample").agg((F.sum(F.size("samples")) * kind.itemsize).alias("size")).withColumn("range", F.floor(F.col("first_sample") / PLACE_RANGE))
+    before = lambda w: F.sum("size").over(w) - F.col("size")
+    ranges = sizes.groupBy("range").agg(F.sum("size").alias("size")).select("range", before(Window.orderBy("range")).alias("base"))
+    inner = sizes.select("range", "first_sample", "size", before(Window.partitionBy("range").orderBy("first_sample")).alias("inner"))
+    places = inner.join(ranges, "range").select("first_sample", (F.col("base") + F.col("inner")).alias("at"), "size")
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        if group["channel"].duplicated().any():
+            raise ValueError(f"the block at {group['first_sample'].iloc[0]} has a channel twice")
+        x = _matrix(group.assign(channel=group["channel"].rank().astype(int) - 1), len(group), kind, scale)
+        return pd.DataFrame({"at": group["at"].iloc[:1], "data": [x.tobytes()]})
+
+    rows = df.select("first_sample", "channel", "samples").join(places.select("first_sample", "at"), "first_sample")
+    place(rows.groupBy("first_sample").applyInPandas(run, "at bigint, data binary"), path)
+    return places
+
+
+def in_chunks(df: DataFrame, size: int) -> DataFrame:
     """Rows (first_sample, channel, samples) cut where a chunk of ``size`` samples ends: chunk, first_sample, channel, samples."""
     n = F.size("samples")
     ids = F.sequence(F.floor(F.col("first_sample") / size), F.floor((F.col("first_sample") + n - 1) / size))
@@ -227,7 +254,7 @@ def write_chunks(df: DataFrame, path: str, channels: int, fs: float, work: str,
 
     shape = "chunk bigint, first bigint, n bigint, size bigint, sha1 string, data binary"
     made = f"{work}/chunks-{uuid.uuid4().hex}"
-    _in_chunks(df.select("first_sample", "channel", "samples"), size).groupBy("chunk").applyInPandas(run, shape).write.parquet(made)
+    in_chunks(df.select("first_sample", "channel", "samples"), size).groupBy("chunk").applyInPandas(run, shape).write.parquet(made)
     chunks = spark.read.schema(shape).parquet(made)
     told = chunks.select("chunk", "first", "n", "size", "sha1").orderBy("chunk").collect()  # the description has them all
     bounds, offsets = np.r_[0, np.cumsum([r.n for r in told])].astype(int).tolist(), np.r_[0, np.cumsum([r["size"] for r in told])].astype(int).tolist()
@@ -297,13 +324,20 @@ def _digests(rows: DataFrame, algorithm: str, keep: str, prefix: bytes = b"") ->
     return rows.select(*names, *(c for c in ("path", "at", "size") if c not in names)).mapInArrow(run, f"{keep}, digest binary")
 
 
-def chunk_hashes(spark: SparkSession, path: str, chunk: int = HASH_CHUNK) -> DataFrame:
-    """path, chunk, at, size, digest: SHA-256 of a zero byte and each range of ``chunk`` bytes of files, every range a row that any task may take."""
+def chunk_hashes(spark: SparkSession, path: str, chunk: int = HASH_CHUNK, ranges: DataFrame | None = None) -> DataFrame:
+    """path, chunk, at, size, digest: SHA-256 of a zero byte and each range of ``chunk`` bytes of files, every range a row that any task may take.
+
+    ``ranges`` (chunk, at, size) names those of one file instead.
+    """
+    shape = "path string, chunk bigint, at bigint, size bigint"
+    if ranges is not None:
+        told = ranges.select(F.lit(path).alias("path"), "chunk", "at", "size")
+        return _digests(told.repartition("chunk"), "sha256", shape, b"\0")
     n = F.ceil(F.col("length") / chunk)
     ranges = files_under(spark, path).select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("chunk"))
     at = F.col("chunk") * chunk
     ranges = ranges.select("path", "chunk", at.alias("at"), F.least(F.lit(chunk), F.col("length") - at).alias("size"))
-    return _digests(ranges.repartition("path", "chunk"), "sha256", "path string, chunk bigint, at bigint, size bigint", b"\0")
+    return _digests(ranges.repartition("path", "chunk"), "sha256", shape, b"\0")
 
 
 def tree_hashes(spark: SparkSession, path: str, chunk: int = HASH_CHUNK, fan: int = HASH_FAN) -> DataFrame:
