@@ -48,3 +48,14 @@ def test_file_chunk_hashes(spark, part, tmp_path, monkeypatch):
     assert np.fromfile(tmp_path / "a.bin", np.int16).tolist() == np.concatenate(want).tolist()
     at = np.r_[0, np.cumsum([2 * len(w) for w in want])].tolist()
     assert [tuple(r) for r in places.orderBy("first_sample").collect()] == [(2 * b, at[b], 2 * len(want[b])) for b in range(10)]
+
+
+def test_flat_file(spark, part, tmp_path):
+    same_as_sql(spark, part, "flat_file")
+    rows = spark.createDataFrame([(0, 0, [1.0, 2.0]), (0, 2, [3.0, 4.0])], "first_sample bigint, channel bigint, samples array<double>")
+    with pytest.raises(Exception, match="has channels"):  # unless asked for
+        FL.write_flat(rows, str(tmp_path / "a.bin"), 3)
+    with pytest.raises(Exception, match="has channels"):
+        FL.write_flat(rows.unionByName(rows), str(tmp_path / "a.bin"), 3, absent=9.0)
+    FL.write_flat(rows, str(tmp_path / "a.bin"), 3, absent=9.0)
+    assert np.fromfile(tmp_path / "a.bin", np.int16).tolist() == [1, 9, 3, 2, 9, 4]

@@ -44,10 +44,16 @@ def _recording(spark, d):
 
 def _flat(spark, d) -> str:
     at = f"{_folder(spark, 'flat')}/a.bin"
-    FL.write_flat(_recording(spark, d), at, 100, scale=0.001)
+    FL.write_flat(_recording(spark, d), at, 100, scale=0.001, absent=0.0)
     return at
 
 
+def held(rows, signal):
+    """Rows (first_sample, channel, samples) of a recording's file, cut at the ends of the signal's blocks of 64, less what stands for channels that a block lacks."""
+    there = signal.select(F.col("block").alias("chunk"), "channel")
+    return FL.in_chunks(rows, 64).join(there, ["chunk", "channel"], "left_semi")
+
+
 def _read(spark, at, block: int):
     spark.dataSource.register(R.RecordingSource)
     return spark.read.format("recording").option("channels", 100).option("block", block).load(at)
@@ -57,7 +63,7 @@ def _read(spark, at, block: int):
 def flat_file(spark, d):
     """The signal as a flat int16 file of many tasks; of three channels, what is read from sample 64 on by filters that reach the file."""
     rows = R.pushed(spark, _flat(spark, d), "channel IN (3, 40, 99) AND first_sample >= 64", channels=100, block=32)
-    cells = rows.select("channel", "first_sample", F.posexplode("samples").alias("i", "v"))
+    cells = held(rows, views.signal(spark, d)).select("channel", "first_sample", F.posexplode("samples").alias("i", "v"))
     return cells.select("channel", (F.col("first_sample") + F.col("i")).alias("sample"), F.col("v").cast("long").alias("v"))
 
 
@@ -65,7 +71,7 @@ def flat_file(spark, d):
 def chunk_file(spark, d):
     """The signal as a chunk-compressed file, 50 samples a chunk, and what its chunks hold."""
     at = _folder(spark, "chunks")
-    FL.write_chunks(_recording(spark, d), f"{at}/a.cbin", 100, 50.0, f"{at}-work", scale=0.001)
+    FL.write_chunks(_recording(spark, d), f"{at}/a.cbin", 100, 50.0, f"{at}-work", scale=0.001, absent=0.0)
     spark.dataSource.register(R.RecordingSource)
     rows = spark.read.format("recording").load(f"{at}/a.cbin")
     total = F.aggregate("samples", F.lit(0.0), lambda a, x: a + x)

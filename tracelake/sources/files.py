@@ -148,15 +148,24 @@ def place(rows: DataFrame, path: str, append: bool = False) -> None:
     rows.select("at", "data").write.format("placed_bytes").mode("append").option("append", str(append).lower()).save(path)
 
 
-def _matrix(group: pd.DataFrame, channels: int, kind: np.dtype, scale: float, whole=np.rint) -> np.ndarray:
-    """Samples by channels, of one block's rows (channel, samples): divided by the scale, made whole, within the type's range."""
+def _matrix(group: pd.DataFrame, channels: int, kind: np.dtype, scale: float, whole=np.rint, absent: float | None = None) -> np.ndarray:
+    """Samples by channels, of one block's rows (channel, samples): divided by the scale, made whole, within the type's range.
+
+    Channels that the block lacks are an error, or hold ``absent``.
+    """
     group = group.sort_values("channel")
-    if group["channel"].tolist() != list(range(channels)):
-        raise ValueError(f"the block has channels {group['channel'].tolist()[:5]}.., not 0 to {channels - 1}, once each")
+    held = group["channel"].tolist()
+    if held != list(range(channels)) and (absent is None or len(set(held)) < len(held) or held[0] < 0 or held[-1] >= channels):
+        raise ValueError(f"the block has channels {held[:5]}.., not 0 to {channels - 1}, once each")
     rows = [np.asarray(x, float) for x in group["samples"]]
     if len({len(x) for x in rows}) > 1:
         raise ValueError("the block's channels differ in length")
-    x = np.stack(rows, 1) / scale
+    x = np.stack(rows, 1)
+    if len(held) < channels:
+        wide = np.full((len(x), channels), absent, float)
+        wide[:, held] = x
+        x = wide
+    x = x / scale
     if kind.kind in "iu":
         x = np.clip(whole(x), np.iinfo(kind).min, np.iinfo(kind).max)
     return x.astype(kind)
@@ -167,12 +176,13 @@ def _exists(path: str, append: bool, overwrite: bool) -> None:
         raise FileExistsError(path)
 
 
-def write_flat(df: DataFrame, path: str, channels: int, scale: float = 1.0, dtype: str = "int16", append: bool = False, overwrite: bool = False, padding: int = 0, truncate: bool = False) -> None:
+def write_flat(df: DataFrame, path: str, channels: int, scale: float = 1.0, dtype: str = "int16", append: bool = False, overwrite: bool = False, padding: int = 0, truncate: bool = False, absent: float | None = None) -> None:
     """A recording (first_sample, channel, samples) as a flat matrix of samples by channels.
 
     Values are divided by ``scale``, rounded to the nearest (whole types;
     towards zero with ``truncate``) and clipped to the type.  Blocks may have any lengths, but have to follow each
-    other without gaps; every block has all channels from 0.  ``append`` goes
+    other without gaps; every block has all channels from 0, unless those it
+    lacks are to hold the value ``absent``.  ``append`` goes
     on after a file's old end, ``padding`` repeats the last sample so often.
     No file is left, or the old one as it was, if a block is missing or a task
     fails.  A task holds one block.
@@ -182,7 +192,7 @@ def write_flat(df: DataFrame, path: str, channels: int, scale: float = 1.0, dtyp
     first, last = df.agg(F.min("first_sample"), F.max("first_sample")).first()
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        x, begin = _matrix(group, channels, kind, scale, np.trunc if truncate else np.rint), int(group["first_sample"].iloc[0])
+        x, begin = _matrix(group, channels, kind, scale, np.trunc if truncate else np.rint, absent), int(group["first_sample"].iloc[0])
         if padding and begin == last:
             x = np.concatenate([x, np.repeat(x[-1:], padding, 0)])
         return pd.DataFrame({"at": [(begin - first) * width], "data": [x.tobytes()]})
