@@ -59,3 +59,7 @@ def test_flat_file(spark, part, tmp_path):
         FL.write_flat(rows.unionByName(rows), str(tmp_path / "a.bin"), 3, absent=9.0)
     FL.write_flat(rows, str(tmp_path / "a.bin"), 3, absent=9.0)
     assert np.fromfile(tmp_path / "a.bin", np.int16).tolist() == [1, 9, 3, 2, 9, 4]
+
+
+def test_chunk_file(spark, part):
+    same_as_sql(spark, part, "chunk_file")

@@ -73,9 +73,10 @@ def chunk_file(spark, d):
     at = _folder(spark, "chunks")
     FL.write_chunks(_recording(spark, d), f"{at}/a.cbin", 100, 50.0, f"{at}-work", scale=0.001, absent=0.0)
     spark.dataSource.register(R.RecordingSource)
-    rows = spark.read.format("recording").load(f"{at}/a.cbin")
+    rows = held(spark.read.format("recording").load(f"{at}/a.cbin"), views.signal(spark, d))
     total = F.aggregate("samples", F.lit(0.0), lambda a, x: a + x)
-    return rows.select("first_sample", "channel", F.size("samples").cast("long").alias("n"), total.cast("long").alias("total"))
+    first = F.floor(F.col("first_sample") / 50) * 50
+    return rows.groupBy(first.alias("first_sample"), "channel").agg(F.sum(F.size("samples")).alias("n"), F.sum(total).cast("long").alias("total"))
 
 
 @query(

@@ -236,20 +236,20 @@ def in_chunks(df: DataFrame, size: int) -> DataFrame:
     return cut.select("chunk", begin.alias("first_sample"), "channel", part.alias("samples"))
 
 
-def write_chunks(df: DataFrame, path: str, channels: int, fs: float, work: str, scale: float = 1.0, dtype: str = "int16", chunk: int | None = None, time_differences: bool = True, channel_differences: bool = False, level: int = 6, overwrite: bool = False) -> dict:
+def write_chunks(df: DataFrame, path: str, channels: int, fs: float, work: str, scale: float = 1.0, dtype: str = "int16", chunk: int | None = None, time_differences: bool = True, channel_differences: bool = False, level: int = 6, overwrite: bool = False, absent: float | None = None) -> dict:
     """A recording (first_sample, channel, samples) as a chunk-compressed ``.cbin`` file with its ``.ch`` description; returns that.
 
     Chunks have ``chunk`` samples (a second), cut from blocks of any lengths.
     Each is compressed by one task into a table in the folder ``work``; their
     sizes give every chunk's place, and a second job puts the bytes there.
     Besides the usual entries the description has each chunk's SHA-1.  The
-    first sample has to be 0.
+    first sample has to be 0.  Channels that a block lacks hold ``absent``, if given.
     """
     _exists(path, False, overwrite)
     spark, size, kind = df.sparkSession, chunk or int(fs), np.dtype(dtype)
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        parts = [_matrix(one, channels, kind, scale) for _, one in group.groupby("first_sample", sort=True)]
+        parts = [_matrix(one, channels, kind, scale, absent=absent) for _, one in group.groupby("first_sample", sort=True)]
         starts = sorted(group["first_sample"].unique().tolist())
         if any(a + len(x) != b for a, x, b in zip(starts, parts, starts[1:], strict=False)):
             raise ValueError(f"samples are missing or given twice after {starts[0]}")
