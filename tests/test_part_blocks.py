@@ -63,3 +63,7 @@ def test_flat_file(spark, part, tmp_path):
 
 def test_chunk_file(spark, part):
     same_as_sql(spark, part, "chunk_file")
+
+
+def test_stream_recording(spark, part):
+    same_as_sql(spark, part, "stream_recording")

@@ -98,7 +98,7 @@ def stream_recording(spark, d):
     spark.dataSource.register(R.RecordingSource)
     stream = spark.readStream.format("recording").option("channels", 100).option("block", 48).load(at)
     T.append_flat(stream, f"{at}.copy.bin", 100, f"{at}-stream").trigger(availableNow=True).start().awaitTermination()
-    cells = _read(spark, f"{at}.copy.bin", 40).select("channel", "first_sample", F.posexplode("samples").alias("i", "v"))
+    cells = held(_read(spark, f"{at}.copy.bin", 40), views.signal(spark, d)).select("channel", "first_sample", F.posexplode("samples").alias("i", "v"))
     v = F.col("v").cast("long")
     return cells.groupBy("channel").agg(F.count(F.lit(1)).alias("n"), F.sum(v).alias("total"), F.sum(v * ((F.col("first_sample") + F.col("i")) % 7)).alias("weighted"))
 
