@@ -67,3 +67,7 @@ def test_chunk_file(spark, part):
 
 def test_stream_recording(spark, part):
     same_as_sql(spark, part, "stream_recording")
+
+
+def test_conversion_routes(spark, part):
+    same_as_sql(spark, part, "conversion_routes")

@@ -99,7 +99,7 @@ def _mock(spark, d, version: str, shanks: int) -> str:
     """The signal as a recording of 99 sites and a sync trace, with its metadata."""
     at = f"{_folder(spark, 'convert')}/m.ap.bin"
     rows = views.signal(spark, d).select((F.col("block") * 64).alias("first_sample"), "channel", "samples")
-    FL.write_flat(rows, at, 100, scale=0.001)
+    FL.write_flat(rows, at, 100, scale=0.001, absent=0.0)
     kind = {"NP2.4": 24, "NP2.1": 21, "NP1": 0}[version]
     sites = "".join(f"({i * shanks // 99}:{i % 2}:{i // 2}:1)" for i in range(99))
     text = f"typeThis=imec\nimDatPrb_type={kind}\nimSampRate=30000\nnSavedChans=100\nsnsApLfSy=99,0,1\nacqApLfSy=99,0,1\nsnsSaveChanSubset=0:99\n~snsShankMap=({shanks},2,50){sites}\n"
