@@ -71,3 +71,7 @@ def test_stream_recording(spark, part):
 
 def test_conversion_routes(spark, part):
     same_as_sql(spark, part, "conversion_routes")
+
+
+def test_converted_shanks(spark, part):
+    same_as_sql(spark, part, "converted_shanks")

@@ -13,6 +13,7 @@ from ..operators import voltage as V
 from ..sources import files as FL
 from ..sources import metadata as M
 from ..sources import recording as R
+from .files import held
 from .jobs import _folder
 
 QUERIES: dict = {}
@@ -119,8 +120,9 @@ def converted_shanks(spark, d):
             original = meta.select(F.posexplode(F.flatten(runs)).alias("channel", "original")).withColumn("channel", F.col("channel").cast("long"))
             n = len([c for c in range(99) if c * 4 // 99 == k]) + 1
             part = spark.read.format("recording").option("channels", n).option("block", 50).load(file)
-            sums = part.groupBy("channel").agg(F.sum(F.aggregate("samples", F.lit(0.0), lambda a, x: a + x)).cast("long").alias("total"), F.sum(F.size("samples")).alias("n"))
-            one = sums.join(original, "channel").select(F.lit(k).cast("long").alias("shank"), F.col("original").alias("channel"), "n", "total")
+            told = held(part.join(original, "channel").select("first_sample", F.col("original").alias("channel"), "samples"), views.signal(spark, d))
+            sums = told.groupBy("channel").agg(F.sum(F.aggregate("samples", F.lit(0.0), lambda a, x: a + x)).cast("long").alias("total"), F.sum(F.size("samples")).alias("n"))
+            one = sums.select(F.lit(k).cast("long").alias("shank"), "channel", "n", "total")
             out = one if out is None else out.unionByName(one)
     return out
 
