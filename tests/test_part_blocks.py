@@ -75,3 +75,12 @@ def test_conversion_routes(spark, part):
 
 def test_converted_shanks(spark, part):
     same_as_sql(spark, part, "converted_shanks")
+
+
+def test_csd_filtered(spark, part):
+    same_as_sql(spark, part, "csd_filtered")
+    x = np.random.default_rng(1).normal(size=(9, 2))
+    for kind, order in (("gaussian", (5, 1.0)), ("boxcar", 4), ("hamming", 3)):
+        whole = K.density_filter(np.concatenate([x[:3], np.zeros((6, 2))]), kind, order)
+        assert np.allclose(K.density_filter(x[:3], kind, order), whole[:3])
+    assert K.source_density(x[:1], np.array([0.02]), "standard").tolist() == [[0, 0]]
