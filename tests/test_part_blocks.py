@@ -84,3 +84,14 @@ def test_csd_filtered(spark, part):
         whole = K.density_filter(np.concatenate([x[:3], np.zeros((6, 2))]), kind, order)
         assert np.allclose(K.density_filter(x[:3], kind, order), whole[:3])
     assert K.source_density(x[:1], np.array([0.02]), "standard").tolist() == [[0, 0]]
+
+
+def test_csd_spline(spark, part):
+    """As many values as sites, those of the same spline at the sites' depths."""
+    rows = registry.QUERIES["csd_spline"](spark, part[0]).where("block = 2 AND shank = 2").toPandas()
+    x = np.stack([part[1].execute(f"SELECT embedding FROM embeddings WHERE vec_id = {250 + i}").fetchone()[0] for i in range(3)]).astype(float)
+    z = np.arange(1, 4) * 0.02
+    got = rows.pivot(index="channel", columns="sample", values="v").to_numpy()
+    assert np.allclose(got, np.linalg.solve(K.spline_matrix(z, 0.5), x), atol=1e-5)
+    for kind in ("delta", "step", "spline"):  # not defined for one depth
+        assert np.isnan(K.source_density(x[:1], z[:1], kind)).all()

@@ -483,7 +483,7 @@ def _csd(method, **more):
     return run
 
 
-QUERIES["csd_standard"], QUERIES["csd_delta"], QUERIES["csd_step"], QUERIES["csd_spline"] = _csd("standard"), _csd("delta"), _csd("step"), _csd("spline", steps=25)
+QUERIES["csd_standard"], QUERIES["csd_delta"], QUERIES["csd_step"], QUERIES["csd_spline"] = _csd("standard"), _csd("delta"), _csd("step"), _csd("spline", steps=None)
 _STANDARD = f"""{SIGNAL}, d AS (SELECT *, lag(v) OVER w AS a, lead(v) OVER w AS b FROM sig WINDOW w AS (PARTITION BY block, shank, sample ORDER BY channel)),
 c AS (SELECT block, channel, shank, sample, -0.3 * (coalesce(a, v) - 2 * v + coalesce(b, v)) / 0.02 ** 2 AS v FROM d)"""
 SQL["csd_standard"] = f"WITH {_STANDARD} SELECT block, channel, shank, sample, round(v, 6) + 0.0 AS v FROM c"
