@@ -84,13 +84,26 @@ def in_margins(df: DataFrame, step: Callable[[DataFrame], DataFrame], margin: in
     return step(wide).withColumns({c: own(c) for c in ("samples", also) if c}).select(*df.columns)
 
 
+def _side_by_side(group: pd.DataFrame, column: str = "samples") -> tuple[np.ndarray, list[slice]]:
+    """A group's arrays as a matrix, and each one's place in its row: zeros stand where a block beside lacks a channel, so that it has no margin there."""
+    rows = [np.asarray(x, float) for x in group[column]]
+    if "__head" not in group:
+        return np.stack(rows), [slice(None)] * len(rows)
+    at = (group["__head"].max() - group["__head"]).tolist()
+    spans = [slice(a, a + len(x)) for a, x in zip(at, rows, strict=True)]
+    out = np.zeros((len(rows), max(s.stop for s in spans)))
+    for i, (s, x) in enumerate(zip(spans, rows, strict=True)):
+        out[i, s] = x
+    return out, spans
+
+
 def across_channels(df: DataFrame, kernel: Kernel, keys: tuple[str, ...] = ("block",), column: str = "samples", order: str = "channel") -> DataFrame:
     """``column`` replaced by the kernel of each group's matrix (channels, samples)."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(order)
-        made = kernel(np.stack(group[column].to_numpy()).astype(float))
-        return group.assign(**{column: list(made)})
+        x, spans = _side_by_side(group, column)
+        return group.assign(**{column: [r[s] for r, s in zip(kernel(x), spans, strict=True)]})
 
     return df.groupBy(*keys).applyInPandas(run, df.schema)
 
@@ -219,10 +232,10 @@ def _spatial(df: DataFrame, fs: float, geometry: DataFrame, labels: DataFrame |
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("channel")
-        x = np.stack(group["samples"].to_numpy()).astype(float)
+        x, spans = _side_by_side(group)
         label = group["__label"].fillna(0).to_numpy().astype(int)
         x = clean_block(x, fs, group["shank"].to_numpy(), None, (group["__x"].to_numpy(), group["__y"].to_numpy()), label, None, kernel)
-        return group[columns].assign(samples=list(x))
+        return group[columns].assign(samples=[r[s] for r, s in zip(x, spans, strict=True)])
 
     return _placed(df, sites).groupBy("block").applyInPandas(run, df.schema)
 
