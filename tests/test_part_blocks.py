@@ -119,3 +119,7 @@ def test_destripe_in_margins(spark, part):
         there = [c for c in range(6) if (b, c) in made]
         own = np.stack([high[c][500 * b - (c == 1) * 500 :][:500] for c in there])
         assert near(np.stack([made[b, c] for c in there]), own - np.median(own, 0), 1e-2)
+
+
+def test_saturation_over_blocks(spark, part):
+    same_as_sql(spark, part, "saturation_over_blocks")
