@@ -123,3 +123,7 @@ def test_destripe_in_margins(spark, part):
 
 def test_saturation_over_blocks(spark, part):
     same_as_sql(spark, part, "saturation_over_blocks")
+
+
+def test_mute_blocks(spark, part):
+    same_as_sql(spark, part, "mute_blocks")
