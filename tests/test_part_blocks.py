@@ -127,3 +127,8 @@ def test_saturation_over_blocks(spark, part):
 
 def test_mute_blocks(spark, part):
     same_as_sql(spark, part, "mute_blocks")
+
+
+def test_destripe_job(spark, part):
+    out = registry.QUERIES["destripe_job"](spark, part[0]).toPandas()
+    assert sorted(zip(out.block, out.channel, strict=True)) == [(v // 100, v % 100) for v in range(253)] and out.rms.notna().all()
