@@ -132,3 +132,15 @@ def test_mute_blocks(spark, part):
 def test_destripe_job(spark, part):
     out = registry.QUERIES["destripe_job"](spark, part[0]).toPandas()
     assert sorted(zip(out.block, out.channel, strict=True)) == [(v // 100, v % 100) for v in range(253)] and out.rms.notna().all()
+
+
+def test_median_over_blocks(spark, part):
+    same_as_sql(spark, part, "median_over_blocks")
+    x = np.random.default_rng(3).normal(size=30)
+    for n in (3, 7, 41):
+        half = n // 2
+        for begins in (False, True):
+            for ends in (False, True):
+                wide = np.concatenate([np.repeat(x[:1], half * begins), x, np.repeat(x[-1:], half * ends)])
+                want = [np.median(wide[max(0, i + half * begins - half) : i + half * begins + half + 1]) for i in range(30)]
+                assert V.sliding_median(x, n, begins, ends).tolist() == want

@@ -265,9 +265,11 @@ def similarity(df: DataFrame, keys: tuple[str, ...] = ("block",)) -> DataFrame:
     return paired.groupBy(*keys, "channel").agg((F.sum(F.col("v") * F.col("r")) / F.nullif(F.sum(F.col("r") * F.col("r")), F.lit(0.0))).alias("xcor"))
 
 
-def sliding_median(x: np.ndarray, n: int) -> np.ndarray:
+def sliding_median(x: np.ndarray, n: int, begins: bool = True, ends: bool = True) -> np.ndarray:
     """Median of the ``n`` (odd) values around each, the ends repeated; NaN counts as above all numbers.
 
+    Where it neither ``begins`` nor ``ends`` the recording, there are fewer values around the outermost.
+
     The window is kept in order: a value comes in and one goes out by
     bisection, so that the width hardly counts.
     """
@@ -286,6 +288,12 @@ def sliding_median(x: np.ndarray, n: int) -> np.ndarray:
             bisect.insort(held, new)
         out.append(held[half])
     made = np.array(out)
+    if not (begins and ends):
+        there = np.array(wide[half * (not begins) : len(wide) - half * (not ends)])
+        for i in range(len(x)):
+            if not begins and i < half or not ends and i >= len(x) - half:
+                at = i + half * begins
+                made[i] = np.median(there[max(0, at - half) : at + half + 1])
     return np.where(np.isposinf(made), np.nan, made) if np.isnan(x).any() else made
 
 
@@ -301,8 +309,20 @@ def running_median(df: DataFrame, value: str, n: int = 11, keys: tuple[str, ...]
 
 
 def median_filter(df: DataFrame, n: int) -> DataFrame:
-    """Running median along time of a recording's blocks (block, channel, samples): blocks see half a width of their neighbours."""
-    return in_margins(df, lambda x: along_time(x, lambda a: np.stack([sliding_median(r, n) for r in a])), n // 2)
+    """Running median along time of a recording's blocks (block, channel, samples): blocks see half a width of their neighbours.
+
+    The recording's own ends are repeated; a channel that is there for a part
+    of the blocks has fewer values around its own ends.
+    """
+    first, last = df.agg(F.min("block"), F.max("block")).first()
+
+    def step(x: DataFrame) -> DataFrame:
+        late = (F.col("__head") == 0) & (F.col("block") != first)
+        early = (F.size("samples") == F.col("__head") + F.col("__own")) & (F.col("block") != last)
+        x = x.withColumn("__open", late.cast("int") + 2 * early.cast("int"))
+        return along_time(x, lambda a, open_: np.stack([sliding_median(r, n, not k & 1, not k & 2) for r, k in zip(a, open_.tolist(), strict=True)]), extra="__open")
+
+    return in_margins(df, step, n // 2) if n > 1 else df
 
 
 #: Limits of the similarity of dead and noisy channels, of their density at high frequencies, of the similarity outside.
