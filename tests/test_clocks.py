@@ -71,3 +71,19 @@ def test_no_group_of_a_recording(spark, tmp_path):
 
 def test_nothing_to_match(spark, tmp_path):
     assert C.clock_pairs(table(spark, {1: (np.array([1.0]), np.zeros(0))}), str(tmp_path)).count() == 0
+
+
+def test_few_events_over_a_long_span_need_no_transform(monkeypatch):
+    rng = np.random.default_rng(7)
+    x, y = (np.unique(rng.integers(0, 60, 40)) for _ in "ab")
+    nx, ny = rng.integers(1, 5, len(x)), rng.integers(1, 5, len(y))
+    want = {}
+    for i, n in zip(x.tolist(), nx.tolist(), strict=True):
+        for j, m in zip(y.tolist(), ny.tolist(), strict=True):
+            want[i - j] = want.get(i - j, 0) + n * m
+    held = lambda made: {k: n for k, n in zip(*(c.tolist() for c in made), strict=True) if n}
+    assert held(C._products(x, y, nx, ny)) == want  # by transform
+    monkeypatch.setattr(np.fft, "rfft", None)
+    assert held(C._products(x * 1000, y * 1000, nx, ny)) == {k * 1000: n for k, n in want.items()}
+    few = held(C._products(np.array([3, 500_000, 900_000]), np.array([0, 499_997]), np.ones(3, int), np.ones(2, int)))
+    assert few == {3: 2, 500_000: 1, 900_000: 1, -499_994: 1, 400_003: 1}
