@@ -87,3 +87,27 @@ def test_few_events_over_a_long_span_need_no_transform(monkeypatch):
     assert held(C._products(x * 1000, y * 1000, nx, ny)) == {k * 1000: n for k, n in want.items()}
     few = held(C._products(np.array([3, 500_000, 900_000]), np.array([0, 499_997]), np.ones(3, int), np.ones(2, int)))
     assert few == {3: 2, 500_000: 1, 900_000: 1, -499_994: 1, 400_003: 1}
+
+
+def test_few_events_and_those_close_together(spark, tmp_path):
+    """Clocks without losses: each event has its own image, however few there are or near to each other."""
+    rng, month = np.random.default_rng(11), 2.6e6
+    few = {r: np.sort(rng.uniform(0, month, 2 + r % 3)) for r in range(24)}
+    images = {r: (a, a * (1 + 17.14e-6) + 34.323) for r, a in few.items()}
+    got = C.clock_pairs(table(spark, images), str(tmp_path / "few"), 60.0).collect()
+    assert len(got) == sum(map(len, few.values())) and all(abs(r.drift_ppm - 17.14) < 1e-3 for r in got)
+    for r, (a, b) in images.items():
+        i, j, slope, _ = E.match_clocks(a, b, 60.0)
+        assert i.tolist() == j.tolist() == list(range(len(a))) and abs((slope - 1) * 1e6 - 17.14) < 1e-3
+    a = {r: np.sort(np.r_[rng.uniform(0, month, 60), month * 0.8 + np.array([0.0, 0.7, 3.5]) + 40 * r]) for r in range(12)}
+    images = {r: (x, x * 1.000001 + 3) for r, x in a.items()}
+    got = C.clock_pairs(table(spark, images), str(tmp_path / "near"), 10.0).collect()
+    assert {(r.rec, r.time_a, r.time_b) for r in got} == {(r, t, u) for r, (x, y) in images.items() for t, u in zip(x.tolist(), y.tolist(), strict=True)}
+
+
+def test_wide_lags_of_joined_bins(spark):
+    rng = np.random.default_rng(5)
+    a = np.sort(rng.uniform(0, 4e5, 300))
+    df = table(spark, {1: (a, a * 1.000001 + 777.7), 3: (a[:50], a[:40] - 5000.3)})
+    got = {r.rec: (r.lag, r.n, r.before, r.after) for r in C.clock_lag(df, 0.1, most=4096, wide=True).collect()}
+    assert got == {r.rec: (r.lag, r.n, r.before, r.after) for r in C.clock_lag(df, 0.1, wide=True).collect()}
